@@ -252,7 +252,7 @@ _SQL = {
                'MULTIPOLYGON (' || string_agg(replace(geom_wkt, 'POLYGON ', ''), ',' ORDER BY codesource_area) || ')' AS footprint
         FROM area_grid WHERE codesource_area IN (SELECT codesource_area FROM listed)""",
     "hull_centre": """
-        SELECT round(SUM((ax + bx) * c) / (3 * SUM(c)), 6) AS lon, round(SUM((ay + by) * c) / (3 * SUM(c)), 6) AS lat
+        SELECT round(SUM((px + qx) * c) / (3 * SUM(c)), 6) AS lon, round(SUM((py + qy) * c) / (3 * SUM(c)), 6) AS lat
         FROM (
           WITH corners AS (
             SELECT x0 AS x, y0 AS y FROM area_grid UNION SELECT x1, y0 FROM area_grid UNION SELECT x1, y1 FROM area_grid
@@ -269,7 +269,7 @@ _SQL = {
           outer_points AS (
             SELECT x, y FROM reach
             WHERE lo1 IS NULL OR lo2 IS NULL OR y <= lo1 OR y >= hi1 OR y <= lo2 OR y >= hi2)
-          SELECT a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by, a.x * b.y - b.x * a.y AS c
+          SELECT a.x AS px, a.y AS py, b.x AS qx, b.y AS qy, a.x * b.y - b.x * a.y AS c
           FROM outer_points a JOIN outer_points b ON a.x <> b.x OR a.y <> b.y
           WHERE NOT EXISTS (
             SELECT 1 FROM outer_points p

@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridcompare import schema as S
-from gridcompare.functions import geometry as G
 from gridcompare.functions.scalars import number_text, recode_gridtype
 from gridcompare.operators import areas as A
 from gridcompare.operators import grouped as GR
@@ -46,6 +45,7 @@ class DriverTables:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
+        self._stored: dict[str, DataFrame] = {}
 
     def path(self, name: str) -> str:
         return f"{self.sf_dir}/{name}.parquet"
@@ -202,17 +202,20 @@ class DriverTables:
 
     # -- stored tables ----------------------------------------------------------------------
 
+    def _materialised(self, name: str, tables, build, **layout) -> DataFrame:
+        """A stored table, looked up once per query."""
+        if name not in self._stored:
+            key = fingerprint(self.spark, [self.path(t) for t in tables])
+            self._stored[name] = materialise(self.spark, name, key, build, **layout)
+        return self._stored[name]
+
+    def build_areas(self) -> DataFrame:
+        """The numbered area dimension computed from the lists."""
+        return A.numbered(self.areas_unnumbered())
+
     def areas(self) -> DataFrame:
         """The numbered area dimension, stored on first use."""
-        key = fingerprint(self.spark, [self.path("supplier")])
-        return materialise(
-            self.spark,
-            "areas",
-            key,
-            lambda: A.numbered(self.areas_unnumbered()).drop("geom_wkt").withColumn(
-                "geom_wkt", G.polygon_text(F.col("polygons")[0])
-            ),
-        )
+        return self._materialised("areas", ["supplier"], self.build_areas)
 
     def build_grouped(self) -> DataFrame:
         """The grouped fact computed from the tables."""
@@ -220,11 +223,9 @@ class DriverTables:
 
     def grouped(self) -> DataFrame:
         """The grouped fact, stored on first use: one folder per dataset, sorted by unit, species and year."""
-        key = fingerprint(self.spark, [self.path(t) for t in self.FACT_TABLES])
-        return materialise(
-            self.spark,
+        return self._materialised(
             "grouped",
-            key,
+            self.FACT_TABLES,
             self.build_grouped,
             partition_by=["dataset"],
             cluster_by=["measurement_unit", "species", "year"],
@@ -232,8 +233,7 @@ class DriverTables:
 
     def combinations(self) -> DataFrame:
         """The facet combinations, stored on first use."""
-        key = fingerprint(self.spark, [self.path(t) for t in self.FACT_TABLES])
-        return materialise(self.spark, "combinations", key, lambda: GR.facet_combinations(self.grouped()))
+        return self._materialised("combinations", self.FACT_TABLES, lambda: GR.facet_combinations(self.grouped()))
 
     # -- manifest, code lists, drawn features -------------------------------------------------
 

@@ -78,12 +78,18 @@ def fingerprint(spark: SparkSession, inputs: Iterable[str]) -> str:
 _REGISTRY_SCHEMA = "key string, path string, schema string"
 
 
-def _registered(spark: SparkSession, registry: str, key: str) -> tuple[str, T.StructType] | None:
+def _stored(spark: SparkSession, registry: str, key: str) -> DataFrame | None:
+    """The stored table of this key; None when there is none or its folder has been removed."""
     try:
-        found = spark.read.schema(_REGISTRY_SCHEMA).json(registry).where(F.col("key") == key).limit(1).collect()
+        entries = spark.read.schema(_REGISTRY_SCHEMA).json(registry).where(F.col("key") == key).collect()
     except AnalysisException:  # nothing has been stored yet
         return None
-    return (found[0]["path"], T.StructType.fromJson(json.loads(found[0]["schema"]))) if found else None
+    for entry in entries:  # one per time this table was built
+        try:
+            return spark.read.schema(T.StructType.fromJson(json.loads(entry["schema"]))).parquet(entry["path"])
+        except AnalysisException:
+            continue
+    return None
 
 
 def materialise(
@@ -105,16 +111,16 @@ def materialise(
     if root is None:
         return build()
     registry, key = f"{root}/registry", f"{name}-{key}"
-    stored = _registered(spark, registry, key)
-    if stored is None:
-        frame = build()
-        stored = f"{root}/{key}/{uuid.uuid4().hex}", frame.schema
-        if partition_by:
-            frame = frame.hint("rebalance", *[F.col(c) for c in partition_by])
-        if partition_by or cluster_by:
-            frame = frame.sortWithinPartitions(*partition_by, *cluster_by)
-        frame.write.partitionBy(*partition_by).parquet(stored[0])
-        entry = spark.createDataFrame([(key, stored[0], stored[1].json())], _REGISTRY_SCHEMA)
-        entry.coalesce(1).write.mode("append").json(registry)
-    path, schema = stored
+    stored = _stored(spark, registry, key)
+    if stored is not None:
+        return stored
+    path, frame = f"{root}/{key}/{uuid.uuid4().hex}", build()
+    schema = frame.schema
+    if partition_by:
+        frame = frame.hint("rebalance", *[F.col(c) for c in partition_by])
+    if partition_by or cluster_by:
+        frame = frame.sortWithinPartitions(*partition_by, *cluster_by)
+    frame.write.partitionBy(*partition_by).parquet(path)
+    entry = spark.createDataFrame([(key, path, schema.json())], _REGISTRY_SCHEMA)
+    entry.coalesce(1).write.mode("append").json(registry)
     return spark.read.schema(schema).parquet(path)
