@@ -20,9 +20,8 @@ def _with_bucket(df: DataFrame, key: str, distinct_keys: DataFrame) -> DataFrame
     sample = distinct_keys.where(F.col(key).isNotNull()).orderBy(F.xxhash64(key), key).limit(BUCKETS)
     cuts = sample.agg(F.array_sort(F.collect_list(key))).scalar()
     # NULL keys compare with nothing, so they fall into bucket 0, before everything else.
-    return df.withColumn("_cuts", cuts).withColumn(
-        "_bucket", F.size(F.filter("_cuts", lambda cut: cut <= F.col(key)))
-    ).drop("_cuts")
+    bucket = F.size(F.filter("_cuts", lambda cut: cut <= F.col(key)))
+    return df.withColumn("_cuts", cuts).withColumn("_bucket", F.coalesce(bucket, F.lit(0))).drop("_cuts")
 
 
 def _bucket_offsets(bucketed: DataFrame, weight: Column) -> DataFrame:
@@ -68,26 +67,38 @@ def quantile_breaks(df: DataFrame, value: str, probs: Sequence[float]) -> DataFr
         .withColumn("_first", F.col("_last") - F.col("_n"))
     )
 
+    fuzz = 4 * 2.220446049250313e-16  # a position this close to a whole number counts as whole
+    wanted = F.transform(F.array(*[F.lit(float(p)) for p in probs]), lambda p: _position(p, fuzz))
+    ranked = ranked.withColumn("_wanted", wanted)
+
+    def holds(rank: Column) -> Column:
+        return (F.col("_first") <= rank) & (rank < F.col("_last"))
+
+    # At most two values per probability are picked, wherever they are.
+    picked = ranked.where(F.exists("_wanted", lambda w: holds(w["low"]) | holds(w["high"]))).agg(
+        F.collect_list(F.struct("_first", "_last", F.col(value).alias("_value"))).alias("_picked"),
+        F.first("_wanted").alias("_wanted"),
+    )
+
     def value_at(rank: Column) -> Column:
-        return F.max(F.when((F.col("_first") <= rank) & (rank < F.col("_last")), F.col(value)))
-
-    fuzz = 4 * 2.220446049250313e-16
-    picks: list[Column] = []
-    for i, p in enumerate(probs):
-        position = (F.col("_total") - 1) * F.lit(float(p))
-        low = F.floor(position + fuzz)
-        high = F.least(low + 1, F.col("_total") - 1)
-        picks += [
-            value_at(low).alias(f"_low{i}"),
-            value_at(high).alias(f"_high{i}"),
-            F.max(F.when(position - low < fuzz, F.lit(0.0)).otherwise(position - low)).alias(f"_part{i}"),
-        ]
-    found = ranked.agg(*picks)
-    breaks = [
-        F.col(f"_low{i}") + F.col(f"_part{i}") * (F.col(f"_high{i}") - F.col(f"_low{i}"))
-        for i in range(len(probs))
-    ]
-    return found.select(F.array(*breaks).alias("breaks"))
+        return F.filter("_picked", lambda r: (r["_first"] <= rank) & (rank < r["_last"]))[0]["_value"]
+
+    breaks = F.transform(
+        "_wanted", lambda w: value_at(w["low"]) + w["part"] * (value_at(w["high"]) - value_at(w["low"]))
+    )
+    return picked.select(breaks.alias("breaks"))
+
+
+def _position(prob: Column, fuzz: float) -> Column:
+    """0-based ranks around a probability among ``_total`` rows, and how far it lies between them."""
+    position = (F.col("_total") - 1) * prob
+    low = F.floor(position + fuzz)
+    part = position - low
+    return F.struct(
+        low.alias("low"),
+        F.least(low + 1, F.col("_total") - 1).alias("high"),
+        F.when(part < fuzz, F.lit(0.0)).otherwise(part).alias("part"),
+    )
 
 
 def top_values(df: DataFrame, value: str, n: int, rank_name: str = "_rank") -> DataFrame:

@@ -141,19 +141,31 @@ def regroup(facts: DataFrame) -> DataFrame:
     return facts.groupBy(*S.SELECTION_KEYS).agg(sum_or_zero("measurement_value").alias("measurement_value"))
 
 
-def non_spatial(facts: DataFrame, selection: Selection) -> DataFrame:
-    """Dimension filters and re-aggregation, polygon ignored. A full reset returns the facts as they are."""
-    if selection.is_reset:
-        return facts.select(*S.SELECTION_KEYS, "measurement_value")
-    return regroup(filter_dimensions(facts, selection))
+def kept_rows(facts: DataFrame, areas: DataFrame, selection: Selection) -> DataFrame:
+    """Rows of the facts kept by the lists and the polygon, not summed.
+
+    Views start from here: a sum of sums is the sum, so they need no shuffle at the grain of the facts.
+    """
+    listed = facts if selection.is_reset else filter_dimensions(facts, selection)
+    if selection.polygon is None:
+        return listed
+    return facts_within(listed, areas_within(areas, selection.polygon))
+
+
+def at_grain(rows: DataFrame, selection: Selection) -> DataFrame:
+    """Kept rows summed to the grain of a selection. After a full reset the facts stay as they are."""
+    return rows.select(*S.SELECTION_KEYS, "measurement_value") if selection.is_reset else regroup(rows)
+
+
+def non_spatial(facts: DataFrame, areas: DataFrame, selection: Selection) -> DataFrame:
+    """Rows kept by the lists alone, polygon ignored, at the grain of a selection."""
+    return selected(facts, areas, selection.without_polygon())
 
 
 def selected(facts: DataFrame, areas: DataFrame, selection: Selection) -> DataFrame:
-    """Rows kept by the lists and the polygon. The area list is applied before the sum, which gives the
-    same rows as applying it afterwards and shuffles only what is kept."""
-    if selection.polygon is not None:
-        facts = facts_within(facts, areas_within(areas, selection.polygon))
-    return non_spatial(facts, selection)
+    """Rows kept by the lists and the polygon, at the grain of a selection. The area list is applied
+    before the sum, which gives the same rows as applying it afterwards and shuffles only what is kept."""
+    return at_grain(kept_rows(facts, areas, selection), selection)
 
 
 def refine_polygon(base: DataFrame, areas: DataFrame, polygon: str | None) -> DataFrame:
@@ -190,10 +202,6 @@ def _unless(condition, frame: DataFrame) -> DataFrame:
     return frame.withColumn("_skip", condition).where(~F.col("_skip")).drop("_skip")
 
 
-def _listed(facts: DataFrame, selection: Selection) -> DataFrame:
-    return facts if selection.is_reset else filter_dimensions(facts, selection)
-
-
 def with_fallback(
     facts: DataFrame, areas: DataFrame, selection: Selection, previous: DataFrame | None = None
 ) -> DataFrame:
@@ -203,7 +211,7 @@ def with_fallback(
     alone keep nothing, the rows of ``previous`` are returned.
     """
     keys = [*S.SELECTION_KEYS, "measurement_value"]
-    listed = _listed(facts, selection)
+    listed = kept_rows(facts, areas, selection.without_polygon())
     rows, status = listed, F.lit(APPLIED)
     if selection.polygon is not None:
         within = areas_within(areas, selection.polygon)
@@ -214,7 +222,7 @@ def with_fallback(
             .where(F.col("_inside").isNotNull() | ~F.col("_some"))
         )
         status = F.when(some_inside, F.lit(APPLIED)).otherwise(F.lit(SPATIAL_FALLBACK))
-    result = (rows if selection.is_reset else regroup(rows)).select(*keys).withColumn("status", status)
+    result = at_grain(rows, selection).select(*keys).withColumn("status", status)
     if previous is not None:
         fallback = _unless(_any(listed), previous.select(*keys))
         result = result.unionByName(fallback.withColumn("status", F.lit(DIMENSION_FALLBACK)))
@@ -230,12 +238,13 @@ def apply_selection(
     rows to show fall back to the previous rows.
     """
     keys = [*S.SELECTION_KEYS, "measurement_value"]
-    base = non_spatial(facts, selection)
-    shown = areas if selection.is_reset else footprint(areas, base)
+    base = non_spatial(facts, areas, selection)
+    listed = kept_rows(facts, areas, selection.without_polygon())
+    shown = areas if selection.is_reset else footprint(areas, listed)
     shown = shown.select("codesource_area", "polygons")
     filtered = with_fallback(facts, areas, selection, None if previous is None else previous.filtered)
     if previous is not None and not selection.is_reset:
-        some = _any(_listed(facts, selection))
+        some = _any(listed)
         base = base.unionByName(_unless(some, facts.select(*keys)))
         shown = shown.unionByName(_unless(some, previous.footprint))
     return SelectionResult(selection, base, shown, filtered)

@@ -22,8 +22,9 @@ from gridcompare.sources.driver_tables import DriverTables
 BOX = ("xmin", "ymin", "xmax", "ymax")
 UNITS = ("no", "t")
 SELECTED = (*S.SELECTION_KEYS, "measurement_value")
-TWO_UNITS = D.DEFAULT.without_polygon().with_values(measurement_unit=UNITS)
-ALL_UNITS = D.DEFAULT.without_polygon().with_values(measurement_unit=None)
+LISTS_ONLY = D.DEFAULT.without_polygon()
+TWO_UNITS = LISTS_ONLY.with_values(measurement_unit=UNITS)
+ALL_UNITS = LISTS_ONLY.with_values(measurement_unit=None)
 
 _QUERIES: dict[str, Callable[[DriverTables], DataFrame]] = {}
 
@@ -209,8 +210,9 @@ def grouped_fact(t: DriverTables) -> DataFrame:
     return t.build_grouped()
 
 
-def _base(t: DriverTables, selection: SE.Selection) -> DataFrame:
-    return SE.non_spatial(t.grouped(), selection)
+def _rows(t: DriverTables, selection: SE.Selection) -> DataFrame:
+    """Rows of a selection as the views take them."""
+    return SE.kept_rows(t.grouped(), t.areas(), selection)
 
 
 @_query
@@ -220,7 +222,7 @@ def filter_eight_dims(t: DriverTables) -> DataFrame:
 
 @_query
 def filter_regroup(t: DriverTables) -> DataFrame:
-    return _base(t, D.DEFAULT).select(*SELECTED)
+    return SE.non_spatial(t.grouped(), t.areas(), D.DEFAULT).select(*SELECTED)
 
 
 @_query
@@ -256,7 +258,7 @@ def refine_subset(t: DriverTables) -> DataFrame:
 
 @_query
 def reset_all(t: DriverTables) -> DataFrame:
-    everything = _base(t, SE.Selection.all())
+    everything = SE.selected(t.grouped(), t.areas(), SE.Selection.all())
     return everything.groupBy("gridtype").agg(F.count(F.lit(1)).alias("count"))
 
 
@@ -349,16 +351,16 @@ def _map_columns(view: DataFrame) -> DataFrame:
 @_query
 def flagship(t: DriverTables) -> DataFrame:
     """The default selection as a map: lists, polygon, sum per cell, area columns."""
-    return _map_columns(V.map_view(SE.selected(t.grouped(), t.areas(), D.DEFAULT), _map_areas(t)))
+    return _map_columns(V.map_view(_rows(t, D.DEFAULT), _map_areas(t)))
 
 
 @_query
 def map_view(t: DriverTables) -> DataFrame:
-    return _map_columns(V.map_view(_base(t, D.DEFAULT), _map_areas(t)))
+    return _map_columns(V.map_view(_rows(t, LISTS_ONLY), _map_areas(t)))
 
 
 def _cells(t: DriverTables) -> DataFrame:
-    return V.map_cells(_base(t, D.DEFAULT))
+    return V.map_cells(_rows(t, LISTS_ONLY))
 
 
 @_query
@@ -378,11 +380,11 @@ def map_deciles(t: DriverTables) -> DataFrame:
 
 @_query
 def plot_view(t: DriverTables) -> DataFrame:
-    return V.plot_view(_base(t, D.DEFAULT))
+    return V.plot_view(_rows(t, LISTS_ONLY))
 
 
 def _series(t: DriverTables) -> DataFrame:
-    return V.series_long(V.plot_view(_base(t, ALL_UNITS)))
+    return V.series_long(V.plot_view(_rows(t, ALL_UNITS)))
 
 
 @_query
@@ -406,7 +408,7 @@ def series_date_merge(t: DriverTables) -> DataFrame:
 
 
 def _plot(t: DriverTables) -> DataFrame:
-    return V.plot_view(_base(t, TWO_UNITS))
+    return V.plot_view(_rows(t, TWO_UNITS))
 
 
 @_query

@@ -14,7 +14,7 @@ from gridcompare.operators import areas as A
 from gridcompare.operators import grouped as GR
 from gridcompare.operators import ingest as I
 from gridcompare.operators.selection import Selection
-from gridcompare.sources.sinks import fingerprint, materialise
+from gridcompare.sources.sinks import materialise
 
 LEVEL0 = "global_nominal_catch_firms_level0"
 LEVEL1 = "global_catch_level1"
@@ -45,7 +45,6 @@ class DriverTables:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
-        self._stored: dict[str, DataFrame] = {}
 
     def path(self, name: str) -> str:
         return f"{self.sf_dir}/{name}.parquet"
@@ -203,11 +202,7 @@ class DriverTables:
     # -- stored tables ----------------------------------------------------------------------
 
     def _materialised(self, name: str, tables, build, **layout) -> DataFrame:
-        """A stored table, looked up once per query."""
-        if name not in self._stored:
-            key = fingerprint(self.spark, [self.path(t) for t in tables])
-            self._stored[name] = materialise(self.spark, name, key, build, **layout)
-        return self._stored[name]
+        return materialise(self.spark, name, [self.path(t) for t in tables], build, **layout)
 
     def build_areas(self) -> DataFrame:
         """The numbered area dimension computed from the lists."""

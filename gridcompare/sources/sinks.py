@@ -78,29 +78,40 @@ def fingerprint(spark: SparkSession, inputs: Iterable[str]) -> str:
 _REGISTRY_SCHEMA = "key string, path string, schema string"
 
 
-def _stored(spark: SparkSession, registry: str, key: str) -> DataFrame | None:
-    """The stored table of this key; None when there is none or its folder has been removed."""
+def _stored(spark: SparkSession, registry: str, key: str) -> tuple[str, T.StructType] | None:
+    """Where the table of this key is; None when there is none or its folder has been removed."""
     try:
         entries = spark.read.schema(_REGISTRY_SCHEMA).json(registry).where(F.col("key") == key).collect()
     except AnalysisException:  # nothing has been stored yet
         return None
     for entry in entries:  # one per time this table was built
+        schema = T.StructType.fromJson(json.loads(entry["schema"]))
         try:
-            return spark.read.schema(T.StructType.fromJson(json.loads(entry["schema"]))).parquet(entry["path"])
+            spark.read.schema(schema).parquet(entry["path"])
         except AnalysisException:
             continue
+        return entry["path"], schema
     return None
 
 
+# Tables found or stored by this process. Inputs are checked once per session, like the file list of any
+# table Spark has opened; ``forget_tables`` makes the next query check them again.
+_opened: dict[tuple, tuple[str, T.StructType]] = {}
+
+
+def forget_tables() -> None:
+    _opened.clear()
+
+
 def materialise(
     spark: SparkSession,
     name: str,
-    key: str,
+    inputs: Iterable[str],
     build: Callable[[], DataFrame],
     partition_by: Sequence[str] = (),
     cluster_by: Sequence[str] = (),
 ) -> DataFrame:
-    """Read the stored table ``name`` for this key, or compute and store it first.
+    """Read the stored table ``name`` made from these input files, or compute and store it first.
 
     Every attempt writes a folder of its own, and the table is registered only after the write has
     succeeded. Sessions that run at the same time cannot disturb each other, and a table left
@@ -110,11 +121,19 @@ def materialise(
     root = storage_root(spark)
     if root is None:
         return build()
-    registry, key = f"{root}/registry", f"{name}-{key}"
-    stored = _stored(spark, registry, key)
-    if stored is not None:
-        return stored
-    path, frame = f"{root}/{key}/{uuid.uuid4().hex}", build()
+    inputs = tuple(sorted(inputs))
+    session_key = (spark.sparkContext.applicationId, root, name, inputs)
+    if session_key not in _opened:
+        key = f"{name}-{fingerprint(spark, inputs)}"
+        registry = f"{root}/registry"
+        _opened[session_key] = _stored(spark, registry, key) or _store(
+            spark, registry, key, f"{root}/{key}/{uuid.uuid4().hex}", build(), partition_by, cluster_by
+        )
+    path, schema = _opened[session_key]
+    return spark.read.schema(schema).parquet(path)
+
+
+def _store(spark, registry, key, path, frame, partition_by, cluster_by) -> tuple[str, T.StructType]:
     schema = frame.schema
     if partition_by:
         frame = frame.hint("rebalance", *[F.col(c) for c in partition_by])
@@ -123,4 +142,4 @@ def materialise(
     frame.write.partitionBy(*partition_by).parquet(path)
     entry = spark.createDataFrame([(key, path, schema.json())], _REGISTRY_SCHEMA)
     entry.coalesce(1).write.mode("append").json(registry)
-    return spark.read.schema(schema).parquet(path)
+    return path, schema
