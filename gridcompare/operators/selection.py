@@ -191,6 +191,17 @@ class SelectionResult:
     footprint: DataFrame
     filtered: DataFrame
 
+    def keep(self) -> "SelectionResult":
+        """Hold ``base`` and ``filtered`` for the views and for the next refinement; lost blocks are
+        computed again. Call ``release`` when the selection is left."""
+        self.base.persist()
+        self.filtered.persist()
+        return self
+
+    def release(self) -> None:
+        self.filtered.unpersist()
+        self.base.unpersist()
+
 
 def _any(rows: DataFrame):
     """One true or false, read from rows that are not summed yet; stops at the first row found."""

@@ -122,7 +122,7 @@ def area_dim(t: DriverTables) -> DataFrame:
 
 @_query
 def areas_used(t: DriverTables) -> DataFrame:
-    return A.used_by(A.grid_areas(t.area_grid_source()), t.catch()).select("codesource_area", "gridtype")
+    return A.used_by(A.grid_areas(t.area_grid_source()), t.grouped()).select("codesource_area", "gridtype")
 
 
 @_query

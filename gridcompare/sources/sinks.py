@@ -6,7 +6,8 @@ import hashlib
 import json
 import tempfile
 import uuid
-from collections.abc import Callable, Iterable, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from contextlib import contextmanager
 from functools import cache
 from pathlib import Path
 
@@ -63,15 +64,33 @@ def _code_version() -> str:
     return digest.hexdigest()[:16]
 
 
+@contextmanager
+def _setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+LISTING_TASKS = 256
+
+
 def fingerprint(spark: SparkSession, inputs: Iterable[str]) -> str:
     """Changes whenever an input file is added, removed or rewritten, or the library changes.
 
-    Only names, sizes and times are listed (file contents are not read), and one row comes back.
+    Only names, sizes and times are listed (file contents are not read), and one row comes back. Tasks
+    are bounded by number, as Spark would otherwise plan them for the bytes of the files.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(sorted(inputs))
-    row = files.select(
-        F.xxhash64("path", F.col("modificationTime").cast("string"), "length").alias("h")
-    ).agg(F.count("h").alias("n"), F.bit_xor("h").alias("x"), F.sum(F.col("h").cast("decimal(38,0)")).alias("s")).first()
+    entry = F.xxhash64("path", F.col("modificationTime").cast("string"), "length")
+    with _setting(spark, "spark.sql.files.maxPartitionNum", str(LISTING_TASKS)):
+        row = (
+            files.select(entry.alias("h"))
+            .agg(F.count("h").alias("n"), F.bit_xor("h").alias("x"), F.sum(F.col("h").cast("decimal(38,0)")).alias("s"))
+            .first()
+        )
     return hashlib.sha256(f"{row['n']}|{row['x']}|{row['s']}|{_code_version()}".encode()).hexdigest()[:24]
 
 
