@@ -228,37 +228,39 @@ class SelectionPolygon:
             (_col(xmin) >= F.lit(x0)) & (_col(xmax) <= F.lit(x1)) & (_col(ymin) >= F.lit(y0)) & (_col(ymax) <= F.lit(y1))
         )
 
-    def covers(self, polygons: str | Column) -> Column:
+    def covers(self, polygons: str | Column, xmin="xmin", ymin="ymin", xmax="xmax", ymax="ymax") -> Column:
         """True where every polygon lies inside; touching the boundary counts as inside.
 
-        Each edge of the tested ring is cut wherever it meets an edge of the selection. Between two
-        cuts a piece is wholly inside or wholly outside, so its midpoint decides. As the selection
-        has no hole, a ring that is inside encloses only points that are inside.
+        When no edge of the selection meets the bounding box, everything in the box is on one side and one
+        point decides. Otherwise each edge of the tested ring is cut wherever it meets an edge of the
+        selection. Between two cuts a piece is wholly inside or wholly outside, so its midpoint decides.
+        As the selection has no hole, a ring that is inside encloses only points that are inside.
         """
         sel_edges = self._edges()
+        box = [_col(c) for c in (xmin, ymin, xmax, ymax)]
 
         def piece_ok(edge: Column) -> Column:
-            cuts = F.array_sort(
-                F.concat(
-                    F.array(F.lit(0.0), F.lit(1.0)),
-                    F.flatten(F.transform(sel_edges, lambda s: _cut_positions(edge, s))),
-                )
-            )
-            spans = F.zip_with(
-                F.slice(cuts, F.lit(1), F.size(cuts) - 1),
-                F.slice(cuts, F.lit(2), F.size(cuts) - 1),
-                lambda a, b: F.struct(a.alias("a"), b.alias("b")),
-            )
-            return F.forall(
-                F.filter(spans, lambda s: s["b"] - s["a"] > TOLERANCE),
-                lambda s: point_in_ring(
-                    edge["x1"] + (s["a"] + s["b"]) / 2 * (edge["x2"] - edge["x1"]),
-                    edge["y1"] + (s["a"] + s["b"]) / 2 * (edge["y2"] - edge["y1"]),
-                    sel_edges,
-                ),
-            )
-
-        return F.forall(outer_edges(polygons), piece_ok)
+            def inside(position: Column) -> Column:
+                x = edge["x1"] + position * (edge["x2"] - edge["x1"])
+                y = edge["y1"] + position * (edge["y2"] - edge["y1"])
+                return point_in_ring(x, y, sel_edges)
+
+            def all_spans(cuts: Column) -> Column:
+                def ok(i: Column) -> Column:
+                    start, end = cuts[i - 1], cuts[i]
+                    return (end - start <= TOLERANCE) | inside((start + end) / 2)
+
+                return F.forall(F.sequence(F.lit(1), F.size(cuts) - 1), ok)
+
+            found = F.flatten(F.transform(sel_edges, lambda s: _cut_positions(edge, s)))
+            cuts = F.array_sort(F.concat(F.array(F.lit(0.0), F.lit(1.0)), found))
+            return F.transform(F.array(cuts), all_spans)[0]  # the list is bound once, not computed per span
+
+        start = F.get(F.get(F.get(_col(polygons), F.lit(0)), F.lit(0)), F.lit(0))
+        near = F.exists(sel_edges, lambda e: edge_meets_box(e, *box))
+        return F.when(~near, point_in_ring(start["x"], start["y"], sel_edges)).otherwise(
+            F.forall(outer_edges(polygons), piece_ok)
+        )
 
 
 def _cross(ax: Column, ay: Column, bx: Column, by: Column) -> Column:
@@ -311,21 +313,36 @@ def point_in_ring(px: Column, py: Column, ring_edges: Column) -> Column:
     return point_on_edges(px, py, ring_edges) | (F.size(F.filter(ring_edges, crosses)) % 2 == 1)
 
 
+def edge_meets_box(e: Column, xmin: Column, ymin: Column, xmax: Column, ymax: Column) -> Column:
+    """True when a segment and a closed box share a point: no axis and not the segment's normal separates them."""
+    dx, dy = e["x2"] - e["x1"], e["y2"] - e["y1"]
+    corners = ((xmin, ymin), (xmin, ymax), (xmax, ymin), (xmax, ymax))
+    sides = [_cross(dx, dy, x - e["x1"], y - e["y1"]) for x, y in corners]
+    return (
+        (F.least(e["x1"], e["x2"]) <= xmax)
+        & (F.greatest(e["x1"], e["x2"]) >= xmin)
+        & (F.least(e["y1"], e["y2"]) <= ymax)
+        & (F.greatest(e["y1"], e["y2"]) >= ymin)
+        & (F.least(*sides) <= 0)
+        & (F.greatest(*sides) >= 0)
+    )
+
+
 def ring_touches_box(ring_edges: Column, xmin: Column, ymin: Column, xmax: Column, ymax: Column) -> Column:
     """True when the closed polygon with these edges and the closed box share a point."""
+    corner_inside = F.exists(ring_edges, lambda e: e["x1"].between(xmin, xmax) & e["y1"].between(ymin, ymax))
+    return (
+        corner_inside
+        | F.exists(ring_edges, lambda e: edge_meets_box(e, xmin, ymin, xmax, ymax))
+        | point_in_ring(xmin, ymin, ring_edges)
+    )
 
-    def edge_meets(e: Column) -> Column:
-        dx, dy = e["x2"] - e["x1"], e["y2"] - e["y1"]
-        sides = [
-            _cross(dx, dy, x - e["x1"], y - e["y1"]) for x, y in ((xmin, ymin), (xmin, ymax), (xmax, ymin), (xmax, ymax))
-        ]
-        return (
-            (F.least(e["x1"], e["x2"]) <= xmax)
-            & (F.greatest(e["x1"], e["x2"]) >= xmin)
-            & (F.least(e["y1"], e["y2"]) <= ymax)
-            & (F.greatest(e["y1"], e["y2"]) >= ymin)
-            & (F.least(*sides) <= 0)
-            & (F.greatest(*sides) >= 0)
-        )
 
-    return F.exists(ring_edges, edge_meets) | point_in_ring(xmin, ymin, ring_edges)
+def is_box(polygons: str | Column, xmin: Column, ymin: Column, xmax: Column, ymax: Column) -> Column:
+    """True when the geometry is one axis-parallel rectangle, that is, fills its bounding box with four edges."""
+    ring_edges = outer_edges(polygons)
+    straight = F.forall(ring_edges, lambda e: (e["x1"] == e["x2"]) != (e["y1"] == e["y2"]))
+    on_frame = F.forall(
+        ring_edges, lambda e: e["x1"].isin(xmin, xmax) & e["y1"].isin(ymin, ymax)
+    )
+    return (F.size(_col(polygons)) == 1) & (F.size(ring_edges) == 4) & straight & on_frame

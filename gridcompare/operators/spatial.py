@@ -43,13 +43,14 @@ def drawn_rectangles(features: DataFrame, feature: str = "feature") -> DataFrame
     def coordinate(vertex: int, axis: int):
         return F.get(F.get("_ring", F.lit(vertex)), F.lit(axis))
 
-    corners = ring.select(
-        *rest,
+    # As generated columns the corners are read once; a filter on them is not pushed below the JSON parser.
+    corner = F.struct(
         coordinate(0, 0).alias("lng1"),
         coordinate(0, 1).alias("lat1"),
         coordinate(2, 0).alias("lng2"),
         coordinate(1, 1).alias("lat2"),
     )
+    corners = ring.select(*rest, F.inline(F.array(corner)))
     return corners.withColumn(
         "wkt", G.rectangle_wkt(F.col("lng1"), F.col("lat1"), F.col("lng2"), F.col("lat2"))
     )
@@ -81,7 +82,7 @@ def _by_cell(frame: DataFrame, xmin: str, ymin: str, xmax: str, ymax: str) -> Da
 def disjoint_rectangles(rectangles: DataFrame, areas: DataFrame) -> DataFrame:
     """Drawn rectangles that share no point with any area.
 
-    Equal rectangles are tested once, and equal areas too. Both sides are cut into grid cells, so the
+    Equal rectangles are tested once, and equal areas too; a grid cell needs no more than its box. Both sides are cut into grid cells, so the
     test is an equi-join; as a semi join it stops at the first area met and never emits pairs.
     """
     box = ["left", "bottom", "right", "top"]
@@ -95,7 +96,13 @@ def disjoint_rectangles(rectangles: DataFrame, areas: DataFrame) -> DataFrame:
     )
     distinct_boxes = _by_cell(boxed.select(*box).distinct(), *box)
     shapes = _by_cell(
-        areas.select(G.outer_edges("polygons").alias("ring_edges"), "xmin", "ymin", "xmax", "ymax").distinct(),
+        areas.select("polygons", "xmin", "ymin", "xmax", "ymax")
+        .distinct()
+        .select(
+            G.outer_edges("polygons").alias("ring_edges"),
+            G.is_box("polygons", *map(F.col, ("xmin", "ymin", "xmax", "ymax"))).alias("is_box"),
+            "xmin", "ymin", "xmax", "ymax",
+        ),
         "xmin", "ymin", "xmax", "ymax",
     )
     r, s = distinct_boxes.alias("r"), shapes.alias("s")
@@ -105,7 +112,7 @@ def disjoint_rectangles(rectangles: DataFrame, areas: DataFrame) -> DataFrame:
         & (F.col("s.ymin") <= F.col("r.top"))
         & (F.col("s.ymax") >= F.col("r.bottom"))
     )
-    meets = G.ring_touches_box(F.col("s.ring_edges"), *[F.col(f"r.{c}") for c in box])
+    meets = F.col("s.is_box") | G.ring_touches_box(F.col("s.ring_edges"), *[F.col(f"r.{c}") for c in box])
     touching = r.join(
         s,
         (F.col("r.cell_x") == F.col("s.cell_x")) & (F.col("r.cell_y") == F.col("s.cell_y")) & overlap & meets,

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridcompare import schema as S
-from gridcompare.functions.scalars import number_text, recode_gridtype
+from gridcompare.functions.scalars import recode_gridtype
 from gridcompare.operators import areas as A
 from gridcompare.operators import grouped as GR
 from gridcompare.operators import ingest as I
@@ -304,5 +304,5 @@ def _area_code():
 
 
 def _closed_ring(before: str, corners, after: str):
-    pairs = [F.concat_ws(" ", number_text(x), number_text(y)) for x, y in [*corners, corners[0]]]
+    pairs = [F.concat_ws(" ", x.cast("string"), y.cast("string")) for x, y in [*corners, corners[0]]]
     return F.concat(F.lit(before), F.concat_ws(",", *pairs), F.lit(after))
