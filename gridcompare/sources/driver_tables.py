@@ -11,10 +11,9 @@ from pyspark.sql import functions as F
 from gridcompare import schema as S
 from gridcompare.functions.scalars import recode_gridtype
 from gridcompare.operators import areas as A
-from gridcompare.operators import grouped as GR
 from gridcompare.operators import ingest as I
 from gridcompare.operators.selection import Selection
-from gridcompare.sources.sinks import materialise
+from gridcompare.sources.stored import StoredTables
 
 LEVEL0 = "global_nominal_catch_firms_level0"
 LEVEL1 = "global_catch_level1"
@@ -37,10 +36,9 @@ NARROW = DEFAULT.with_values(species=("PROMO",), year=(1997, 1998))
 IMPOSSIBLE = DEFAULT.with_values(species=("NONE",))
 
 
-class DriverTables:
+class DriverTables(StoredTables):
     """The published inputs seen through the test tables of one scale factor."""
 
-    FACT_TABLES = ("lineitem", "orders", "customer", "nation", "region", "part", "supplier")
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
@@ -138,7 +136,7 @@ class DriverTables:
     def harmonised(self) -> DataFrame:
         return I.stack(I.harmonise(raw, dataset) for dataset, raw in self.layouts().items())
 
-    def catch(self) -> DataFrame:
+    def facts(self) -> DataFrame:
         """The typed fact, from one pass over the tables."""
         return I.typed_observations(self.raw_catch())
 
@@ -199,36 +197,14 @@ class DriverTables:
     def areas_unnumbered(self) -> DataFrame:
         return A.area_dimension(A.grid_areas(self.area_grid_source()), A.nominal_areas(self.area_nominal_source()))
 
-    # -- stored tables ----------------------------------------------------------------------
-
-    def _materialised(self, name: str, tables, build, **layout) -> DataFrame:
-        return materialise(self.spark, name, [self.path(t) for t in tables], build, **layout)
-
     def build_areas(self) -> DataFrame:
-        """The numbered area dimension computed from the lists."""
         return A.numbered(self.areas_unnumbered())
 
-    def areas(self) -> DataFrame:
-        """The numbered area dimension, stored on first use."""
-        return self._materialised("areas", ["supplier"], self.build_areas)
-
-    def build_grouped(self) -> DataFrame:
-        """The grouped fact computed from the tables."""
-        return GR.grouped_fact(self.catch(), self.areas())
-
-    def grouped(self) -> DataFrame:
-        """The grouped fact, stored on first use: one folder per dataset, sorted by unit, species and year."""
-        return self._materialised(
-            "grouped",
-            self.FACT_TABLES,
-            self.build_grouped,
-            partition_by=["dataset"],
-            cluster_by=["measurement_unit", "species", "year"],
-        )
+    def area_inputs(self) -> list[str]:
+        return [self.path("supplier")]
 
-    def combinations(self) -> DataFrame:
-        """The facet combinations, stored on first use."""
-        return self._materialised("combinations", self.FACT_TABLES, lambda: GR.facet_combinations(self.grouped()))
+    def fact_inputs(self) -> list[str]:
+        return [self.path(t) for t in ("lineitem", "orders", "customer", "nation", "region", "part", "supplier")]
 
     # -- manifest, code lists, drawn features -------------------------------------------------
 

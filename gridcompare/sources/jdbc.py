@@ -6,6 +6,8 @@ from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gridcompare.sources.stored import materialise
+
 # The projected columns of the published catch table.
 FACT_COLUMNS = (
     "ogc_fid",
@@ -64,3 +66,8 @@ def read_fact(
     if bounds["a"] is not None:
         reader = reader.options(**partition_options(int(bounds["a"]), int(bounds["b"]), partitions))
     return reader.load()
+
+
+def stored_fact(spark: SparkSession, env: Mapping[str, str], version: str, **read_options) -> DataFrame:
+    """The table as stored parquet, fetched from the database on first use of ``version``."""
+    return materialise(spark, "database_fact", [], lambda: read_fact(spark, env, **read_options), version=version)

@@ -1,20 +1,9 @@
-"""Writers, and tables that are computed once and reused."""
+"""Writers."""
 
 from __future__ import annotations
 
-import hashlib
-import json
-import tempfile
-import uuid
-from collections.abc import Callable, Iterable, Iterator, Sequence
-from contextlib import contextmanager
-from functools import cache
-from pathlib import Path
-
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from gridcompare.operators.areas import geometry_as_text
 
@@ -36,129 +25,3 @@ def write_areas(areas: DataFrame, path: str) -> None:
     """Areas with the geometry as text, which any parquet reader understands."""
     drop = [c for c in ("polygons", "geom_wkt") if c in areas.columns]
     geometry_as_text(areas).drop(*drop).write.parquet(path)
-
-
-# ---------------------------------------------------------------------------------------------
-# Stored tables
-
-
-@cache
-def _local_root() -> str:
-    return tempfile.mkdtemp(prefix="gridcompare-")
-
-
-def storage_root(spark: SparkSession) -> str | None:
-    """Shared folder for stored tables: ``spark.checkpoint.dir``. Where it is unset, a local session uses a
-    temporary folder and a cluster session stores nothing."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return f"{configured.rstrip('/')}/gridcompare"
-    return _local_root() if spark.conf.get("spark.master", "").startswith("local") else None
-
-
-@cache
-def _code_version() -> str:
-    digest = hashlib.sha256()
-    for file in sorted(Path(__file__).resolve().parents[1].rglob("*.py")):
-        digest.update(file.read_bytes())
-    return digest.hexdigest()[:16]
-
-
-@contextmanager
-def _setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, value)
-    try:
-        yield
-    finally:
-        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
-
-
-LISTING_TASKS = 256
-
-
-def fingerprint(spark: SparkSession, inputs: Iterable[str]) -> str:
-    """Changes whenever an input file is added, removed or rewritten, or the library changes.
-
-    Only names, sizes and times are listed (file contents are not read), and one row comes back. Tasks
-    are bounded by number, as Spark would otherwise plan them for the bytes of the files.
-    """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(sorted(inputs))
-    entry = F.xxhash64("path", F.col("modificationTime").cast("string"), "length")
-    with _setting(spark, "spark.sql.files.maxPartitionNum", str(LISTING_TASKS)):
-        row = (
-            files.select(entry.alias("h"))
-            .agg(F.count("h").alias("n"), F.bit_xor("h").alias("x"), F.sum(F.col("h").cast("decimal(38,0)")).alias("s"))
-            .first()
-        )
-    return hashlib.sha256(f"{row['n']}|{row['x']}|{row['s']}|{_code_version()}".encode()).hexdigest()[:24]
-
-
-_REGISTRY_SCHEMA = "key string, path string, schema string"
-
-
-def _stored(spark: SparkSession, registry: str, key: str) -> tuple[str, T.StructType] | None:
-    """Where the table of this key is; None when there is none or its folder has been removed."""
-    try:
-        entries = spark.read.schema(_REGISTRY_SCHEMA).json(registry).where(F.col("key") == key).collect()
-    except AnalysisException:  # nothing has been stored yet
-        return None
-    for entry in entries:  # one per time this table was built
-        schema = T.StructType.fromJson(json.loads(entry["schema"]))
-        try:
-            spark.read.schema(schema).parquet(entry["path"])
-        except AnalysisException:
-            continue
-        return entry["path"], schema
-    return None
-
-
-# Tables found or stored by this process. Inputs are checked once per session, like the file list of any
-# table Spark has opened; ``forget_tables`` makes the next query check them again.
-_opened: dict[tuple, tuple[str, T.StructType]] = {}
-
-
-def forget_tables() -> None:
-    _opened.clear()
-
-
-def materialise(
-    spark: SparkSession,
-    name: str,
-    inputs: Iterable[str],
-    build: Callable[[], DataFrame],
-    partition_by: Sequence[str] = (),
-    cluster_by: Sequence[str] = (),
-) -> DataFrame:
-    """Read the stored table ``name`` made from these input files, or compute and store it first.
-
-    Every attempt writes a folder of its own, and the table is registered only after the write has
-    succeeded. Sessions that run at the same time cannot disturb each other, and a table left
-    unfinished by a lost job is never read. ``partition_by`` columns become folders; ``cluster_by``
-    columns are sorted inside each file, so filters on them skip row groups.
-    """
-    root = storage_root(spark)
-    if root is None:
-        return build()
-    inputs = tuple(sorted(inputs))
-    session_key = (spark.sparkContext.applicationId, root, name, inputs)
-    if session_key not in _opened:
-        key = f"{name}-{fingerprint(spark, inputs)}"
-        registry = f"{root}/registry"
-        _opened[session_key] = _stored(spark, registry, key) or _store(
-            spark, registry, key, f"{root}/{key}/{uuid.uuid4().hex}", build(), partition_by, cluster_by
-        )
-    path, schema = _opened[session_key]
-    return spark.read.schema(schema).parquet(path)
-
-
-def _store(spark, registry, key, path, frame, partition_by, cluster_by) -> tuple[str, T.StructType]:
-    schema = frame.schema
-    if partition_by:
-        frame = frame.hint("rebalance", *[F.col(c) for c in partition_by])
-    if partition_by or cluster_by:
-        frame = frame.sortWithinPartitions(*partition_by, *cluster_by)
-    frame.write.partitionBy(*partition_by).parquet(path)
-    entry = spark.createDataFrame([(key, path, schema.json())], _REGISTRY_SCHEMA)
-    entry.coalesce(1).write.mode("append").json(registry)
-    return path, schema

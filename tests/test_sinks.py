@@ -4,15 +4,15 @@ from pyspark.sql import functions as F
 from gridcompare import schema as S
 from gridcompare.operators import areas as A
 from gridcompare.operators import ingest as I
-from gridcompare.sources import files, sinks
+from gridcompare.sources import files, sinks, stored
 
 
 @pytest.fixture
 def root(monkeypatch, tmp_path):
-    monkeypatch.setattr(sinks, "storage_root", lambda spark: str(tmp_path / "store"))
-    sinks.forget_tables()
+    monkeypatch.setattr(stored, "storage_root", lambda spark: str(tmp_path / "store"))
+    stored.forget_tables()
     yield tmp_path
-    sinks.forget_tables()
+    stored.forget_tables()
 
 
 def source(spark, root, value):
@@ -28,47 +28,47 @@ def test_stored_table_is_built_once(spark, root):
         return spark.read.parquet(*inputs)
 
     for _ in range(3):
-        assert sinks.materialise(spark, "t", inputs, build).count() == 5
-        sinks.forget_tables()
+        assert stored.materialise(spark, "t", inputs, build).count() == 5
+        stored.forget_tables()
     assert len(built) == 1
 
 
 def test_changed_input_is_noticed(spark, root):
     inputs = source(spark, root, "a")
     build = lambda: spark.read.parquet(*inputs)
-    assert sinks.materialise(spark, "t", inputs, build).count() == 5
+    assert stored.materialise(spark, "t", inputs, build).count() == 5
     source(spark, root, "b")
-    sinks.forget_tables()
-    assert sinks.materialise(spark, "t", inputs, build).count() == 10
+    stored.forget_tables()
+    assert stored.materialise(spark, "t", inputs, build).count() == 10
 
 
 def test_failed_build_leaves_nothing_to_read(spark, root):
     inputs = source(spark, root, "a")
     with pytest.raises(Exception):
-        sinks.materialise(spark, "t", inputs, lambda: spark.range(3).select(F.raise_error(F.lit("lost")).alias("x")))
-    assert sinks.materialise(spark, "t", inputs, lambda: spark.range(2)).count() == 2
+        stored.materialise(spark, "t", inputs, lambda: spark.range(3).select(F.raise_error(F.lit("lost")).alias("x")))
+    assert stored.materialise(spark, "t", inputs, lambda: spark.range(2)).count() == 2
 
 
 def test_removed_table_is_built_again(spark, root):
     inputs = source(spark, root, "a")
-    key = f"t-{sinks.fingerprint(spark, inputs)}"
+    key = f"t-{stored.fingerprint(spark, inputs)}"
     gone = (key, str(root / "store" / "gone"), spark.range(2).schema.json())
     spark.createDataFrame([gone], "key string, path string, schema string").write.json(str(root / "store" / "registry"))
-    assert sinks.materialise(spark, "t", inputs, lambda: spark.range(4)).count() == 4
-    sinks.forget_tables()
-    assert sinks.materialise(spark, "t", inputs, lambda: spark.range(9)).count() == 4
+    assert stored.materialise(spark, "t", inputs, lambda: spark.range(4)).count() == 4
+    stored.forget_tables()
+    assert stored.materialise(spark, "t", inputs, lambda: spark.range(9)).count() == 4
 
 
 def test_layout_of_a_stored_table(spark, root):
     inputs = source(spark, root, "a")
     build = lambda: spark.createDataFrame([("007", "", 2, None), ("d", "t", 1, 1.5)], "dataset string, unit string, n int, v double")
-    stored = sinks.materialise(spark, "t", inputs, build, partition_by=["dataset"], cluster_by=["unit", "n"])
-    assert {(r["dataset"], r["unit"], r["n"], r["v"]) for r in stored.collect()} == {("007", "", 2, None), ("d", "t", 1, 1.5)}
+    table = stored.materialise(spark, "t", inputs, build, partition_by=["dataset"], cluster_by=["unit", "n"])
+    assert {(r["dataset"], r["unit"], r["n"], r["v"]) for r in table.collect()} == {("007", "", 2, None), ("d", "t", 1, 1.5)}
 
 
 def test_without_shared_folder_nothing_is_stored(spark, monkeypatch):
-    monkeypatch.setattr(sinks, "storage_root", lambda spark: None)
-    assert sinks.materialise(spark, "t", ["/nowhere"], lambda: spark.range(3)).count() == 3
+    monkeypatch.setattr(stored, "storage_root", lambda spark: None)
+    assert stored.materialise(spark, "t", ["/nowhere"], lambda: spark.range(3)).count() == 3
 
 
 def test_fact_round_trip(spark, tmp_path):
@@ -89,6 +89,6 @@ def test_manifest_and_areas_are_written(spark, tmp_path):
     assert spark.read.csv(str(tmp_path / "manifest"), header=True).first()["title"] == "T, with comma"
     areas = A.with_geometry(spark.createDataFrame([("a", "POLYGON ((0 0,1 0,1 1,0 0))")], "codesource_area string, geom_wkt string"))
     sinks.write_areas(areas, str(tmp_path / "areas"))
-    stored = spark.read.parquet(str(tmp_path / "areas"))
-    assert stored.first()["geom"] == "SRID=4326;POLYGON ((0 0,1 0,1 1,0 0))"
-    assert "polygons" not in stored.columns
+    back = spark.read.parquet(str(tmp_path / "areas"))
+    assert back.first()["geom"] == "SRID=4326;POLYGON ((0 0,1 0,1 1,0 0))"
+    assert "polygons" not in back.columns

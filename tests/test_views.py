@@ -60,7 +60,7 @@ def test_grouped_total_equals_raw_total_of_rows_with_area(spark, small_dir):
     from gridcompare.sources.driver_tables import DriverTables
 
     tables = DriverTables(spark, small_dir)
-    raw = tables.catch().where("codesource_area is not null").agg(F.sum("measurement_value")).first()[0]
+    raw = tables.facts().where("codesource_area is not null").agg(F.sum("measurement_value")).first()[0]
     assert tables.grouped().agg(F.sum("measurement_value")).first()[0] == raw
 
 
