@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from gridcompare import schema as S
 from gridcompare.functions.scalars import recode_gridtype
@@ -36,6 +37,9 @@ NARROW = DEFAULT.with_values(species=("PROMO",), year=(1997, 1998))
 IMPOSSIBLE = DEFAULT.with_values(species=("NONE",))
 
 
+_columns: dict[tuple[str, str], StructType] = {}
+
+
 class DriverTables(StoredTables):
     """The published inputs seen through the test tables of one scale factor."""
 
@@ -48,7 +52,11 @@ class DriverTables(StoredTables):
         return f"{self.sf_dir}/{name}.parquet"
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(self.path(name))
+        """One test table. Its columns are looked up in the file once per session."""
+        key = (self.spark.sparkContext.applicationId, self.path(name))
+        if key not in _columns:
+            _columns[key] = self.spark.read.parquet(self.path(name)).schema
+        return self.spark.read.schema(_columns[key]).parquet(self.path(name))
 
     # -- facts ------------------------------------------------------------------------------
 
