@@ -14,7 +14,7 @@ from gridcompare import schema as S
 from gridcompare.functions.geometry import SelectionPolygon
 from gridcompare.functions.scalars import in_values, sum_or_zero
 from gridcompare.operators.areas import footprint
-from gridcompare.operators.spatial import areas_within, facts_within
+from gridcompare.operators.spatial import areas_inside, facts_within
 
 # Longer lists are joined instead of written into the plan.
 INLINE_VALUES = 200
@@ -149,7 +149,7 @@ def kept_rows(facts: DataFrame, areas: DataFrame, selection: Selection) -> DataF
     listed = facts if selection.is_reset else filter_dimensions(facts, selection)
     if selection.polygon is None:
         return listed
-    return facts_within(listed, areas_within(areas, selection.polygon))
+    return facts_within(listed, areas_inside(areas, selection.polygon))
 
 
 def at_grain(rows: DataFrame, selection: Selection) -> DataFrame:
@@ -170,7 +170,7 @@ def selected(facts: DataFrame, areas: DataFrame, selection: Selection) -> DataFr
 
 def refine_polygon(base: DataFrame, areas: DataFrame, polygon: str | None) -> DataFrame:
     """Same lists, other polygon: only the area test is applied to the rows kept by the lists."""
-    return base if polygon is None else facts_within(base, areas_within(areas, polygon))
+    return base if polygon is None else facts_within(base, areas_inside(areas, polygon))
 
 
 # ---------------------------------------------------------------------------------------------
@@ -225,13 +225,9 @@ def with_fallback(
     listed = kept_rows(facts, areas, selection.without_polygon())
     rows, status = listed, F.lit(APPLIED)
     if selection.polygon is not None:
-        within = areas_within(areas, selection.polygon)
-        some_inside = _any(facts_within(listed, within))
-        rows = (
-            listed.join(within.withColumn("_inside", F.lit(True)), "codesource_area", "left")
-            .withColumn("_some", some_inside)
-            .where(F.col("_inside").isNotNull() | ~F.col("_some"))
-        )
+        inside = facts_within(listed, areas_inside(areas, selection.polygon))
+        some_inside = _any(inside)
+        rows = inside.unionByName(_unless(some_inside, listed))
         status = F.when(some_inside, F.lit(APPLIED)).otherwise(F.lit(SPATIAL_FALLBACK))
     result = at_grain(rows, selection).select(*keys).withColumn("status", status)
     if previous is not None:

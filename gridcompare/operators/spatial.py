@@ -12,22 +12,30 @@ from gridcompare.functions.hull import hull_centre
 CELL_DEGREES = 5
 
 
-def areas_within(areas: DataFrame, polygon: str | SelectionPolygon) -> DataFrame:
-    """Distinct codes of the areas that lie wholly inside a polygon (its edge included).
+def areas_inside(areas: DataFrame, polygon: str | SelectionPolygon) -> DataFrame:
+    """Rows of the area dimension that lie wholly inside a polygon (its edge included).
 
     The bounding-box test is plain column comparisons, so on a stored dimension it prunes row groups.
     For a rectangle it is the exact answer; otherwise the few areas left are tested ring by ring.
     """
     polygon = SelectionPolygon.from_wkt(polygon) if isinstance(polygon, str) else polygon
     inside = areas.where(F.col("gridtype").isNotNull() & polygon.covers_box())
-    if not polygon.is_rectangle:
-        inside = inside.where(polygon.covers("polygons"))
-    return inside.select("codesource_area").distinct()
+    return inside if polygon.is_rectangle else inside.where(polygon.covers("polygons"))
+
+
+def areas_within(areas: DataFrame, polygon: str | SelectionPolygon) -> DataFrame:
+    """Distinct codes of the areas inside a polygon."""
+    return areas_inside(areas, polygon).select("codesource_area").distinct()
+
 
+def facts_within(facts: DataFrame, inside: DataFrame) -> DataFrame:
+    """Facts whose area is in the list. Spark broadcasts the list only while it is small enough.
 
-def facts_within(facts: DataFrame, within: DataFrame) -> DataFrame:
-    """Facts whose area is in the list. Spark broadcasts the list only while it is small enough."""
-    return facts.where(F.col("codesource_area").isNotNull()).join(within, "codesource_area", "left_semi")
+    The list may repeat a code. It is not made distinct here: a semi join does not need that, and an
+    aggregate on this side would keep adaptive execution from splitting the facts of a hot area.
+    """
+    codes = inside.select("codesource_area")
+    return facts.where(F.col("codesource_area").isNotNull()).join(codes, "codesource_area", "left_semi")
 
 
 # ---------------------------------------------------------------------------------------------
@@ -118,4 +126,4 @@ def disjoint_rectangles(rectangles: DataFrame, areas: DataFrame) -> DataFrame:
         (F.col("r.cell_x") == F.col("s.cell_x")) & (F.col("r.cell_y") == F.col("s.cell_y")) & overlap & meets,
         "left_semi",
     )
-    return boxed.join(touching.select(*box).distinct(), box, "left_anti").drop(*box)
+    return boxed.join(touching.select(*box), box, "left_anti").drop(*box)

@@ -171,7 +171,7 @@ def areas_within_polygon(t: DriverTables) -> DataFrame:
 
 @_query
 def facts_within(t: DriverTables) -> DataFrame:
-    return SP.facts_within(t.grouped(), SP.areas_within(t.areas(), D.DEFAULT.polygon)).select(*S.GROUPED_COLUMNS)
+    return SP.facts_within(t.grouped(), SP.areas_inside(t.areas(), D.DEFAULT.polygon)).select(*S.GROUPED_COLUMNS)
 
 
 @_query

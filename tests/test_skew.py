@@ -16,6 +16,7 @@ SETTINGS = {
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20KB",
     "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20KB",
     "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+    "spark.sql.adaptive.coalescePartitions.enabled": "false",
 }
 
 
@@ -65,7 +66,22 @@ def test_hot_area_is_split_when_gridtype_is_joined(spark, hot):
 def test_hot_area_is_split_when_facts_are_filtered(spark, hot):
     facts, areas = hot
     with small_limits(spark):
-        rows, plan = executed(SP.facts_within(facts, SP.areas_within(areas, "POLYGON ((0 0,50 0,50 1,0 1,0 0))")))
+        rows, plan = executed(SP.facts_within(facts, SP.areas_inside(areas, "POLYGON ((0 0,50 0,50 1,0 1,0 0))")))
     assert "SortMergeJoin(skew=true)" in plan
     expected = sum(1 for i in range(60_000) if i % 3 == 0 or i % 100 < 50)
     assert len(rows) == expected
+
+
+def test_hot_rectangle_is_split(spark, hot):
+    """One third of the drawn rectangles are the same one."""
+    _, areas = hot
+    drawn = spark.range(0, 60_000, 1, 6).select(
+        F.col("id").alias("event_id"),
+        F.when(F.col("id") % 3 == 0, 200.0).otherwise((F.col("id") % 150).cast("double") + 0.25).alias("lng1"),
+        F.lit(0.25).alias("lat1"),
+    )
+    drawn = drawn.withColumns({"lng2": F.col("lng1") + 0.5, "lat2": F.lit(0.75)})
+    with small_limits(spark):
+        rows, plan = executed(SP.disjoint_rectangles(drawn, areas))
+    assert "SortMergeJoin(skew=true)" in plan
+    assert len(rows) == sum(1 for i in range(60_000) if i % 3 == 0 or i % 150 >= 100)
