@@ -30,6 +30,11 @@ def _as_published(text: DataFrame) -> DataFrame:
     )
 
 
+def csv_columns(spark: SparkSession, path: str) -> list[str]:
+    """Column names of a CSV file; reads its first line."""
+    return spark.read.csv(path, header=True, inferSchema=False).columns
+
+
 def read_observations_csv(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     """Raw observations, every column text. Files of one call must share their columns; they are split
     into tasks by Spark."""
@@ -39,7 +44,8 @@ def read_observations_csv(spark: SparkSession, path: str | Sequence[str]) -> Dat
 
 def with_file_provenance(raw: DataFrame) -> DataFrame:
     """Add ``dataset`` from the name of the file each row was read from (call it right after the reader)."""
-    return raw.withColumn("dataset", dataset_of_path(F.col("_metadata.file_path")))
+    encoded = F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B"))  # a plus sign is not encoded there
+    return raw.withColumn("dataset", dataset_of_path(F.url_decode(encoded)))
 
 
 def _csv_member(archive: zipfile.ZipFile, path: str) -> str:

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 from dataclasses import dataclass, field
+from functools import cached_property
 
 from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
 
 from gridcompare.operators import areas as A
 from gridcompare.operators import facets as FA
@@ -46,6 +48,7 @@ class PublishedFiles(StoredTables):
             return derived
         return I.enrich_manifest(derived, files.read_codelist(self.spark, self.inputs.records))
 
+    @cached_property
     def _published(self) -> list[Row]:
         """One row per published file. Each names a file to open, so the list is needed to build the plan."""
         derived = I.derive_manifest(files.read_manifest(self.spark, self.inputs.manifest))
@@ -57,27 +60,41 @@ class PublishedFiles(StoredTables):
         name = {"csv": entry["newname"], "zip": entry["source_filename"]}.get(entry["file_mime"], f"{entry['code']}.parquet")
         return f"{self.inputs.data_dir.rstrip('/')}/{name}"
 
-    def _raw(self, entry: Row) -> DataFrame:
+    def _unsplit(self, entry: Row) -> DataFrame:
+        """Observations of one file that is not CSV; an archive is unpacked once."""
         path = self._path(entry)
-        if entry["file_mime"] == "csv":
-            return files.read_observations_csv(self.spark, path)
-        if entry["file_mime"] == "zip":
-            return materialise(
-                self.spark, f"unzipped_{entry['code']}", [path], lambda: files.read_observations_zip(self.spark, path)
-            )
-        return self.spark.read.parquet(path)
+        if entry["file_mime"] != "zip":
+            return self.spark.read.parquet(path)
+        return materialise(
+            self.spark, f"unzipped_{entry['code']}", [path], lambda: files.read_observations_zip(self.spark, path)
+        )
 
     # -- facts and areas ------------------------------------------------------------------------
 
     def fact_inputs(self) -> list[str]:
-        return [self.inputs.manifest, *map(self._path, self._published())]
+        return [self.inputs.manifest, *map(self._path, self._published)]
 
     def area_inputs(self) -> list[str]:
         return [self.inputs.grid_areas, self.inputs.nominal_areas, *self.fact_inputs()]
 
     def harmonised(self) -> DataFrame:
-        """All observations in canonical columns, as text."""
-        return I.stack(I.harmonise(self._raw(e), e["code"]) for e in self._published())
+        """All observations in canonical columns, as text.
+
+        CSV files with the same columns are read by one scan, so the plan grows with the number of layouts
+        and not with the number of files.
+        """
+        by_columns: dict[tuple[str, ...], list[str]] = {}
+        frames = []
+        for entry in self._published:
+            if entry["file_mime"] == "csv":
+                path = self._path(entry)
+                by_columns.setdefault(tuple(files.csv_columns(self.spark, path)), []).append(path)
+            else:
+                frames.append(I.harmonise(self._unsplit(entry), entry["code"]))
+        for paths in by_columns.values():
+            raw = files.with_file_provenance(files.read_observations_csv(self.spark, paths))
+            frames.append(I.harmonise(raw, F.col("dataset")))
+        return I.stack(frames)
 
     def facts(self) -> DataFrame:
         """The typed fact, stored on first use, one folder per dataset."""

@@ -106,10 +106,10 @@ def test_csv_reader_tells_missing_from_blank(spark, tmp_path):
 
 
 def test_dataset_from_file_name(spark, tmp_path):
-    for name in ("one_1.csv", "two_2.csv"):
+    for name in ("one_1.csv", "two + 3%_2.csv"):
         (tmp_path / name).write_text("a,b\n1,2\n")
     raw = files.with_file_provenance(files.read_observations_csv(spark, str(tmp_path)))
-    assert {r["dataset"] for r in raw.collect()} == {"one_1", "two_2"}
+    assert {r["dataset"] for r in raw.collect()} == {"one_1", "two + 3%_2"}
 
 
 def test_zip_reader(spark, tmp_path, monkeypatch):

@@ -14,6 +14,8 @@ HEADER_A = "source_authority,fishing_fleet,time_start,time_end,geographic_identi
 HEADER_B = "source_authority,flag,time_start,time_end,geographic_identifier,gear,species,schooltype_label,catchunit,value\n"
 ROWS_A = "IOTC,EUFRA,2012-01-01,2012-01-31,100,01.1,YFT,FS,MT,2.5\nIOTC,EUFRA,2012-02-01,2012-02-28,100,01.1,YFT,LS,t,1.5\nIOTC,EUESP,2012-01-01,2012-01-31,N1,01.2,YFT,FS,NO,7\n"
 ROWS_B = "ICCAT,EUESP,2013-01-01,2013-01-31,200,01.1,YFT,FS,Tons,4\nICCAT,EUESP,2013-01-01,2013-01-31,NA,01.1,YFT,FS,Tons,100\nICCAT,EUESP,2013-01-01,2013-01-31,999,01.1,YFT,FS,Tons,bad\n"
+ROW_C = "IOTC,FRA,1990-01-01,1990-01-31,100,09,SKJ,FS,t,1\n"
+ROW_D = "IOTC,FRA,1991-01-01,1991-01-31,100,09,SKJ,FS,Tons,2\n"
 
 
 @pytest.fixture
@@ -22,9 +24,15 @@ def published(spark, tmp_path, monkeypatch):
     stored.forget_tables()
     data = tmp_path / "data"
     data.mkdir()
-    (tmp_path / "list.csv").write_text("DOI,Filename\n10.5281/zenodo.11,catch_a.csv\n10.5281/zenodo.22,catch_b.zip\n")
+    (tmp_path / "list.csv").write_text(
+        "DOI,Filename\n10.5281/zenodo.11,catch_a.csv\n10.5281/zenodo.22,catch_b.zip\n"
+        "10.5281/zenodo.33,catch c.csv\n10.5281/zenodo.44,catch_d.qs\n"
+    )
     (tmp_path / "records.csv").write_text("record_id,title,identifier\n11,urn:Catch A,urn:x:1\n")
     (data / "catch_a_11.csv").write_text(HEADER_A + ROWS_A)
+    (data / "catch c_33.csv").write_text(HEADER_A + ROW_C)
+    columns = HEADER_A.strip().split(",")
+    spark.createDataFrame([tuple(ROW_D.strip().split(","))], columns).write.parquet(str(data / "catch_d_44.parquet"))
     with zipfile.ZipFile(data / "catch_b.zip", "w") as archive:
         archive.writestr("catch_b.csv", HEADER_B + ROWS_B)
     (tmp_path / "grid.csv").write_text(
@@ -51,16 +59,23 @@ def test_facts_of_two_layouts(published):
     assert rows == {
         ("catch_a_11", "100", "t", 2.5, 2012), ("catch_a_11", "100", "t", 1.5, 2012), ("catch_a_11", "N1", "no", 7.0, 2012),
         ("catch_b_22", "200", "t", 4.0, 2013), ("catch_b_22", None, "t", 100.0, 2013), ("catch_b_22", "999", "t", None, 2013),
+        ("catch c_33", "100", "t", 1.0, 1990), ("catch_d_44", "100", "t", 2.0, 1991),
     }
 
 
+def test_files_of_one_layout_are_one_scan(published):
+    plan = published.harmonised()._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 3 and plan.count("] csv") == 1
+
+
 def test_areas_of_the_facts_and_all_nominal_ones(published):
     areas = {r["codesource_area"]: (r["gridtype"], r["ogc_fid"]) for r in published.areas().collect()}
     assert areas == {"100": ("1deg_x_1deg", 1), "200": ("5deg_x_5deg", 2), "N1": ("nominal", 3), "N2": ("nominal", 4)}
 
 
 def test_grouped_fact_and_facets(published):
-    grouped = {r["codesource_area"]: (r["measurement_value"], r["gridtype"]) for r in published.grouped().collect()}
+    recent = published.grouped().where("year > 2000").collect()
+    grouped = {r["codesource_area"]: (r["measurement_value"], r["gridtype"]) for r in recent}
     assert grouped == {"100": (4.0, "1deg_x_1deg"), "N1": (7.0, "nominal"), "200": (4.0, "5deg_x_5deg"), "999": (0.0, None)}
     labels = {(r["dimension"], r["code"]): r["label"] for r in published.facets().collect()}
     assert labels["fishing_fleet", "EUFRA"] == "France" and labels["fishing_fleet", "EUESP"] == "EUESP"
@@ -81,10 +96,12 @@ def test_selections_step_by_step(published):
     nowhere = published.select(wider.selection.with_values(year=(2012,), polygon="POLYGON ((90 80,91 80,91 81,90 81,90 80))"), wider)
     assert {r["status"] for r in nowhere.filtered.collect()} == {SPATIAL_FALLBACK}
     everything = published.select(Selection.all(), wider)
-    assert everything.filtered.agg(F.sum("measurement_value")).first()[0] == 15.0
+    assert everything.filtered.agg(F.sum("measurement_value")).first()[0] == 18.0
     first.release()
 
 
 def test_manifest_has_titles(published):
     titles = {r["code"]: (r["title"], r["identifier"]) for r in published.manifest().collect()}
-    assert titles == {"catch_a_11": ("Catch A", "x:1"), "catch_b_22": ("", "")}
+    assert titles == {
+        "catch_a_11": ("Catch A", "x:1"), "catch_b_22": ("", ""), "catch c_33": ("", ""), "catch_d_44": ("", ""),
+    }
