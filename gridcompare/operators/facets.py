@@ -63,6 +63,12 @@ def labelled(values: DataFrame, codelist: DataFrame) -> DataFrame:
     return joined.withColumn("label", F.coalesce("label", "code"))
 
 
+def dataset_facet(values: DataFrame, manifest: DataFrame) -> DataFrame:
+    """Datasets of the data, shown by their code, with title, identifier and link from the manifest."""
+    known = manifest.select("code", "title", "identifier", "url")
+    return values.join(known, "code", "left").withColumn("label", F.col("code"))
+
+
 def species_facet(values: DataFrame, codelist: DataFrame) -> DataFrame:
     """Species of the data, shown by scientific name."""
     joined = labelled(values, codelist)

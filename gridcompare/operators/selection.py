@@ -219,9 +219,11 @@ def with_fallback(
     """Selected rows plus ``status``, decided inside the plan.
 
     When no row is inside the polygon, the rows kept by the lists alone are returned. When the lists
-    alone keep nothing, the rows of ``previous`` are returned.
+    alone keep nothing, the rows of ``previous`` are returned. A full reset has no fallback.
     """
     keys = [*S.SELECTION_KEYS, "measurement_value"]
+    if selection.is_reset:
+        return selected(facts, areas, selection).select(*keys).withColumn("status", F.lit(APPLIED))
     listed = kept_rows(facts, areas, selection.without_polygon())
     rows, status = listed, F.lit(APPLIED)
     if selection.polygon is not None:
@@ -229,7 +231,7 @@ def with_fallback(
         some_inside = _any(inside)
         rows = inside.unionByName(_unless(some_inside, listed))
         status = F.when(some_inside, F.lit(APPLIED)).otherwise(F.lit(SPATIAL_FALLBACK))
-    result = at_grain(rows, selection).select(*keys).withColumn("status", status)
+    result = regroup(rows).select(*keys).withColumn("status", status)
     if previous is not None:
         fallback = _unless(_any(listed), previous.select(*keys))
         result = result.unionByName(fallback.withColumn("status", F.lit(DIMENSION_FALLBACK)))

@@ -5,6 +5,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from gridcompare.operators import facets as FA
 from gridcompare.operators import views as V
 from gridcompare.operators.selection import SPATIAL_FALLBACK, Selection
 from gridcompare.sources import stored
@@ -105,3 +106,10 @@ def test_manifest_has_titles(published):
     assert titles == {
         "catch_a_11": ("Catch A", "x:1"), "catch_b_22": ("", ""), "catch c_33": ("", ""), "catch_d_44": ("", ""),
     }
+
+
+def test_datasets_are_shown_with_their_titles(published):
+    shown = FA.dataset_facet(FA.values_of(published.combinations(), "dataset"), published.manifest())
+    assert {r["code"]: (r["label"], r["title"]) for r in shown.where("code like '%_11' or code like '%_22'").collect()} == {
+        "catch_a_11": ("catch_a_11", "Catch A"), "catch_b_22": ("catch_b_22", ""),
+    }

@@ -130,6 +130,10 @@ def test_no_fallback_when_rows_are_inside(facts, areas):
     assert total(rows) == 3
 
 
+def test_a_reset_has_no_fallback(facts, areas):
+    assert SE.with_fallback(facts, areas, Selection.all(NO_AREA), previous=facts).isEmpty()
+
+
 def test_dimension_fallback_returns_the_previous_results(facts, areas):
     previous = SE.apply_selection(facts, areas, EVERYTHING.with_values(polygon=SQUARE.format(0, 1)))
     result = SE.apply_selection(facts, areas, EVERYTHING.with_values(species=("none",)), previous)
