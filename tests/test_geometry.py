@@ -107,6 +107,30 @@ def test_ring_test_agrees_with_box_test_on_rectangles(spark):
     assert by_ring == within(spark, shapes, square(0, 0, 9, 8)) and by_ring
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_areas_inside_a_skyline_match_brute_force(spark, seed):
+    """Selections under a random skyline: many notches, flush edges and shared corners."""
+    rng = random.Random(seed)
+    heights = [rng.randint(1, 6) for _ in range(8)]
+    points = [(0, 0)]
+    for i, h in enumerate(heights):
+        points += [(i, h), (i + 1, h)]
+    points += [(8, 0), (0, 0)]
+    skyline = "POLYGON ((" + ",".join(f"{x} {y}" for x, y in points) + "))"
+    boxes = {}
+    for i in range(80):
+        x, y = rng.randint(-1, 7), rng.randint(-1, 5)
+        boxes[str(i)] = (x, y, x + rng.randint(1, 4), y + rng.randint(1, 3))
+    inside = {
+        name
+        for name, (x0, y0, x1, y1) in boxes.items()
+        if x0 >= 0 and x1 <= 8 and y0 >= 0 and y1 <= min(heights[x0:x1])
+    }
+    shapes = {name: square(x0, y0, x1 - x0, y1 - y0) for name, (x0, y0, x1, y1) in boxes.items()}
+    assert within(spark, shapes, skyline) == inside
+    assert inside
+
+
 def test_bigger_rectangle_holds_what_the_smaller_one_holds(spark):
     shapes = {f"{x}/{y}": square(x, y) for x in range(0, 12, 2) for y in range(0, 12, 2)}
     assert within(spark, shapes, square(2, 2, 5, 5)) < within(spark, shapes, square(1, 1, 9, 9))
