@@ -169,9 +169,9 @@ def disc(cx: str | Column, cy: str | Column, radius: float = 1.0, segments: int
 
 
 def rectangle_wkt(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
-    """Text of the rectangle with opposite corners (x1, y1) and (x2, y2), starting at (x1, y2)."""
+    """Text of the rectangle with opposite corners (x1, y1) and (x2, y2), given as texts, starting at (x1, y2)."""
     corners = [(x1, y2), (x2, y2), (x2, y1), (x1, y1), (x1, y2)]
-    pairs = [F.concat_ws(" ", number_text(x), number_text(y)) for x, y in corners]
+    pairs = [F.concat_ws(" ", x, y) for x, y in corners]
     return F.concat(F.lit("POLYGON (("), F.concat_ws(",", *pairs), F.lit("))"))
 
 

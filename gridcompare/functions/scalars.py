@@ -87,7 +87,8 @@ def text_or_na(text: str | Column) -> Column:
 def number_text(value: str | Column) -> Column:
     """Plain decimal text of a coordinate, without exponent or trailing zeros."""
     value = F.col(value) if isinstance(value, str) else value
-    return F.regexp_replace(value.cast("decimal(24,12)").cast("string"), r"\.?0+$", "")
+    decimal = F.regexp_replace(value.cast("decimal(38,12)").cast("string"), r"\.?0+$", "")
+    return F.when(value == F.rint(value), value.try_cast("bigint").cast("string")).otherwise(decimal)
 
 
 def share_of(value: str | Column, total: str | Column) -> Column:

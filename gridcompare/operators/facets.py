@@ -1,4 +1,8 @@
-"""Facet lists: the values a user can choose, with labels. All of them read the combinations table."""
+"""Facet lists: the values a user can choose, with labels.
+
+The values of all dimensions are found in one pass over the combinations table and stored; the lists
+below read that small table. Only dependent facets go back to the combinations.
+"""
 
 from __future__ import annotations
 
@@ -20,9 +24,9 @@ def facet_values(combinations: DataFrame) -> DataFrame:
     return combinations.select(F.explode(pairs).alias("p")).select("p.dimension", "p.value").distinct()
 
 
-def values_of(combinations: DataFrame, dimension: str) -> DataFrame:
-    """Distinct values of one dimension as column ``code``."""
-    return combinations.select(F.col(dimension).cast("string").alias("code")).distinct()
+def values_of(values: DataFrame, dimension: str) -> DataFrame:
+    """Values of one dimension as column ``code``, from the table of all facet values."""
+    return values.where(F.col("dimension") == dimension).select(F.col("value").alias("code"))
 
 
 def dependent_values(combinations: DataFrame, selection: Selection) -> DataFrame:
@@ -45,12 +49,12 @@ def selection_values(grouped: DataFrame, selection: Selection) -> DataFrame:
     return facet_values(filter_dimensions(grouped, selection))
 
 
-def ordered_values(combinations: DataFrame, dimensions: tuple[str, ...] = ("year", "gridtype")) -> DataFrame:
+def ordered_values(values: DataFrame, dimensions: tuple[str, ...] = ("year", "gridtype")) -> DataFrame:
     """Sorted values of the dimensions that have no code list, missing values left out."""
-    values = facet_values(combinations).where(F.col("dimension").isin(list(dimensions)) & F.col("value").isNotNull())
+    listed = values.where(F.col("dimension").isin(list(dimensions)) & F.col("value").isNotNull())
     number = F.when(F.col("dimension") == "year", F.col("value").try_cast("int"))
     pos = F.row_number().over(Window.partitionBy("dimension").orderBy(number, "value"))
-    return values.select("dimension", "value", pos.alias("pos"))
+    return listed.select("dimension", "value", pos.alias("pos"))
 
 
 # ---------------------------------------------------------------------------------------------
@@ -91,17 +95,17 @@ def authority_facet(values: DataFrame, codelist: DataFrame) -> DataFrame:
     return joined.select("code", shown.alias("label"), F.col("label").alias("sort_label"))
 
 
-def facet_labels(combinations: DataFrame, codelists: dict[str, DataFrame]) -> DataFrame:
+def facet_labels(values: DataFrame, codelists: dict[str, DataFrame]) -> DataFrame:
     """``(dimension, code, label)`` of all eight dimensions. ``codelists`` has one frame per dimension
     with a code list; a dimension without one shows its codes."""
     builders = {"species": species_facet, "gear_type": gear_facet, "source_authority": authority_facet}
     parts = []
     for dimension in S.DIMENSIONS:
-        values = values_of(combinations, dimension)
+        mine = values_of(values, dimension)
         if dimension in codelists:
-            shown = builders.get(dimension, labelled)(values, codelists[dimension])
+            shown = builders.get(dimension, labelled)(mine, codelists[dimension])
         else:
-            shown = values.withColumn("label", F.col("code"))
+            shown = mine.withColumn("label", F.col("code"))
         if dimension in ("year", "gridtype"):
             shown = shown.where(F.col("code").isNotNull())
         parts.append(shown.select(F.lit(dimension).alias("dimension"), "code", "label"))

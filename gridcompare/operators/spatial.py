@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gridcompare.functions import geometry as G
 from gridcompare.functions.geometry import SelectionPolygon
 from gridcompare.functions.hull import hull_centre
+from gridcompare.functions.scalars import number_text
 
 CELL_DEGREES = 5
 
@@ -59,9 +60,9 @@ def drawn_rectangles(features: DataFrame, feature: str = "feature") -> DataFrame
         coordinate(1, 1).alias("lat2"),
     )
     corners = ring.select(*rest, F.inline(F.array(corner)))
-    return corners.withColumn(
-        "wkt", G.rectangle_wkt(F.col("lng1"), F.col("lat1"), F.col("lng2"), F.col("lat2"))
-    )
+    names = ["lng1", "lat1", "lng2", "lat2"]
+    texts = corners.withColumns({f"_{n}": number_text(n) for n in names})  # each is used more than once
+    return texts.withColumn("wkt", G.rectangle_wkt(*[F.col(f"_{n}") for n in names])).drop(*[f"_{n}" for n in names])
 
 
 def rectangle_centres(rectangles: DataFrame) -> DataFrame:

@@ -214,9 +214,10 @@ def gear_totals(series: DataFrame) -> DataFrame:
     return series.groupBy("measurement_unit", "gear_type").agg(_total())
 
 
-def top_gears_by_code(totals: DataFrame, n: int = 9) -> DataFrame:
+def top_gears_by_code(gears: DataFrame, n: int = 9) -> DataFrame:
     """The ``n`` last gear codes in text order (all of them when there are no more)."""
-    return totals.select("gear_type").distinct().orderBy(F.col("gear_type").desc()).limit(n)
+    known = gears.select("gear_type").where(F.col("gear_type").isNotNull())
+    return known.distinct().orderBy(F.col("gear_type").desc()).limit(n)
 
 
 def top_gears_by_total(totals: DataFrame, n: int = 9) -> DataFrame:

@@ -289,17 +289,17 @@ def facet_values(t: DriverTables) -> DataFrame:
 
 @_query
 def facet_year_gridtype(t: DriverTables) -> DataFrame:
-    return FA.ordered_values(t.combinations())
+    return FA.ordered_values(t.values())
 
 
 @_query
 def facet_labels(t: DriverTables) -> DataFrame:
-    return FA.facet_labels(t.combinations(), t.codelists())
+    return FA.facet_labels(t.values(), t.codelists())
 
 
 @_query
 def facet_order(t: DriverTables) -> DataFrame:
-    labels = FA.facet_labels(t.combinations(), t.codelists())
+    labels = FA.facet_labels(t.values(), t.codelists())
     return FA.ordered_labels(labels.where(~F.col("dimension").isin("year", "gridtype")))
 
 
@@ -310,23 +310,23 @@ def facet_dependent(t: DriverTables) -> DataFrame:
 
 @_query
 def codelist_join(t: DriverTables) -> DataFrame:
-    fleets = FA.values_of(t.combinations(), "fishing_fleet")
+    fleets = FA.values_of(t.values(), "fishing_fleet")
     return FA.labelled(fleets, t.codelists()["fishing_fleet"]).select("code", "label")
 
 
 @_query
 def species_facet(t: DriverTables) -> DataFrame:
-    return FA.species_facet(FA.values_of(t.combinations(), "species"), t.codelists()["species"]).select("code", "label")
+    return FA.species_facet(FA.values_of(t.values(), "species"), t.codelists()["species"]).select("code", "label")
 
 
 @_query
 def gear_facet(t: DriverTables) -> DataFrame:
-    return FA.gear_facet(FA.values_of(t.combinations(), "gear_type"), t.codelists()["gear_type"])
+    return FA.gear_facet(FA.values_of(t.values(), "gear_type"), t.codelists()["gear_type"])
 
 
 @_query
 def authority_facet(t: DriverTables) -> DataFrame:
-    authorities = FA.values_of(t.combinations(), "source_authority")
+    authorities = FA.values_of(t.values(), "source_authority")
     return FA.authority_facet(authorities, t.codelists()["source_authority"]).select("code", "label")
 
 
@@ -459,6 +459,10 @@ def _gear_series(t: DriverTables) -> DataFrame:
     return V.gear_species_series(t.grouped())
 
 
+def _gears(t: DriverTables) -> DataFrame:
+    return FA.values_of(t.values(), "gear_type").withColumnRenamed("code", "gear_type")
+
+
 @_query
 def gear_species_series(t: DriverTables) -> DataFrame:
     return _gear_series(t)
@@ -471,7 +475,7 @@ def gear_totals(t: DriverTables) -> DataFrame:
 
 @_query
 def top_gears_by_code(t: DriverTables) -> DataFrame:
-    return V.top_gears_by_code(t.combinations())
+    return V.top_gears_by_code(_gears(t))
 
 
 @_query
@@ -481,7 +485,7 @@ def top_gears_by_total(t: DriverTables) -> DataFrame:
 
 @_query
 def top_gear_series(t: DriverTables) -> DataFrame:
-    return V.series_of_gears(_gear_series(t), V.top_gears_by_code(t.combinations()))
+    return V.series_of_gears(_gear_series(t), V.top_gears_by_code(_gears(t)))
 
 
 @_query

@@ -119,7 +119,7 @@ class PublishedFiles(StoredTables):
 
     def facets(self) -> DataFrame:
         """``(dimension, code, label)`` of everything a user can choose."""
-        return FA.facet_labels(self.combinations(), self.codelists())
+        return FA.facet_labels(self.values(), self.codelists())
 
     def select(self, selection: Selection, previous: SelectionResult | None = None) -> SelectionResult:
         """Apply a selection, from the previous result when that holds all rows needed."""

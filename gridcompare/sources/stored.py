@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gridcompare.operators import facets as FA
 from gridcompare.operators import grouped as GR
 
 
@@ -145,7 +146,7 @@ def _store(spark, registry, key, path, frame, partition_by, cluster_by) -> tuple
 
 
 class StoredTables:
-    """The three stored tables every selection starts from. Subclasses say where facts and areas come from."""
+    """The stored tables every selection and facet starts from. Subclasses say where facts and areas come from."""
 
     spark: SparkSession
 
@@ -192,3 +193,12 @@ class StoredTables:
             self.fact_inputs() + self.area_inputs(),
             lambda: GR.facet_combinations(self.grouped()),
         )
+
+    def values(self) -> DataFrame:
+        """The values of every dimension, stored on first use: one short table for all facet lists."""
+        return materialise(
+            self.spark,
+            "values",
+            self.fact_inputs() + self.area_inputs(),
+            lambda: FA.facet_values(self.combinations()),
+        )
