@@ -17,7 +17,8 @@ from gridcompare.plans.catalog import all_queries  # noqa: E402
 from gridcompare.session import session  # noqa: E402
 from gridcompare.sources.driver_tables import DEFAULT, NARROW, DriverTables  # noqa: E402
 
-# The first two read the raw tables; the others read the stored grouped fact, as a user's queries do.
+# The first two read the raw tables and the last four the area and event tables; the others read the stored
+# grouped fact and what is stored from it, as a user's queries do.
 HEADLINE = (
     "harmonise_layouts",
     "grouped_fact",
