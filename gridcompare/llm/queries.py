@@ -5,14 +5,65 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from gridcompare.llm.decontamination import decontamination_report
+from gridcompare.llm.language_id import held_out, identify, learn
 from gridcompare.llm.near_duplicates import near_duplicates
-from gridcompare.llm.storage import read_table
+from gridcompare.llm.neighbours import nearest_neighbours
+from gridcompare.llm.packing import pack
+from gridcompare.llm.personal_data import personal_data_report
+from gridcompare.llm.sharding import shard_documents
+from gridcompare.llm.storage import new_folder, read_table
+from gridcompare.llm.warc import archive, archived_pages
+
+
+def tokenizer_file(name: str) -> str:
+    """A file of the installed public tokenizers; it is there on every executor."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_folder(spark, "archives")
+    archive(read_table(spark, sf_dir, "pages"), folder)
+    return archived_pages(spark, folder)
 
 
 def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(read_table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
+
+
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_documents(read_table(spark, sf_dir, "documents"))
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination_report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data_report(read_table(spark, sf_dir, "documents"))
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    found = identify(docs, learn(docs))
+    return found.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_minhash_dedup,)}
+    named = (
+        op2_nearest_neighbours, op3_warc, op4_minhash_dedup, op5_packing, op7_sharding, op8_decontamination,
+        op9_personal_data, op10_language_id,
+    )
+    return {f.__name__: f for f in named}

@@ -34,6 +34,37 @@ SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, coalesce(c.component_id, s.doc_
 FROM sets s LEFT JOIN classes c USING (doc_id)
 """
 
+# Words of the decontamination contract.
+PLAIN_WORDS = r"regexp_extract_all({0}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+WINDOWS = f"""
+item_words AS (SELECT item_id, {PLAIN_WORDS.format(LOWER.format("coalesce(text, '')"))} AS w FROM benchmark),
+item_windows AS (
+    SELECT DISTINCT item_id, least(len(w), 10) AS size,
+           unnest(list_transform(range(1, len(w) - least(len(w), 10) + 2),
+                                 lambda i: array_to_string(w[i:i + least(len(w), 10) - 1], ' '))) AS win
+    FROM item_words WHERE len(w) > 0),
+sizes AS (SELECT DISTINCT size FROM item_windows),
+doc_words AS (SELECT doc_id, {PLAIN_WORDS.format(LOWER.format("coalesce(text, '')"))} AS w FROM documents),
+doc_windows AS (
+    SELECT doc_id, size, unnest(range(1, len(w) - size + 2)) AS start,
+           unnest(list_transform(range(1, len(w) - size + 2), lambda i: array_to_string(w[i:i + size - 1], ' '))) AS win
+    FROM doc_words, sizes WHERE len(w) >= size),
+found AS (SELECT doc_id, start, d.size, item_id FROM doc_windows d JOIN item_windows i ON d.win = i.win AND d.size = i.size),
+places AS (SELECT DISTINCT doc_id, unnest(range(start, start + size)) AS place FROM found),
+hit AS (SELECT doc_id, count(*) AS n_hit FROM places GROUP BY doc_id),
+items AS (
+    SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids
+    FROM found GROUP BY doc_id)
+"""
+
+OP8 = f"""
+WITH {WINDOWS}
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM doc_words LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
 
 def llm_reference_sql() -> dict[str, str]:
-    return {"op4_minhash_dedup": OP4}
+    return {"op4_minhash_dedup": OP4, "op8_decontamination": OP8}
