@@ -41,12 +41,13 @@ def _numbers(values: list) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
-def propagate(linked: DataFrame, free: list[int], capacity: int, shards: int, rounds: int = ROUNDS) -> DataFrame:
-    """``linked`` (community, shard, ...) after some rounds; ``free`` are the unlinked rows of each shard."""
+def propagate(linked: DataFrame, capacity: int, shards: int, rounds: int = ROUNDS) -> DataFrame:
+    """``linked`` (community, shard, ...) after some rounds. Unlinked documents make room later, at no cost, so
+    only linked ones count for a shard's quota."""
     linked = stored(linked, "linked")
     for turn in range(rounds):
         votes = linked.groupBy("community", "shard").agg(F.count("shard").alias("n"))
-        favour = F.struct(F.col("n"), F.xxhash64("community", "shard"), F.col("shard"))
+        favour = F.struct(F.col("n"), F.xxhash64("community", "shard", F.lit(turn)), F.col("shard"))
         wish = votes.groupBy("community").agg(F.max(favour)["shard"].alias("wish"), F.sum("n").alias("members"), F.max("n").alias("there"))
         wish = stored(wish.where("there < members"), "wishes")
         if wish.isEmpty():
@@ -58,7 +59,7 @@ def propagate(linked: DataFrame, free: list[int], capacity: int, shards: int, ro
             leaving[row["shard"]] += row["n"]
             arriving[row["wish"]] += row["n"]
         loads = _loads(linked, shards)
-        room = [capacity - loads[s] - free[s] + leaving[s] for s in range(shards)]
+        room = [capacity - loads[s] + leaving[s] for s in range(shards)]
         quota = _numbers([max(0.0, min(1.0, room[s] / arriving[s])) if arriving[s] else 1.0 for s in range(shards)])
         allowed = _share("community", F.lit(turn)) < F.get(quota, F.col("wish"))
         moved = linked.join(wish.where(allowed).select("community", "wish"), "community", "left")
@@ -93,7 +94,7 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     rows = rows.join(groups, group).withColumn("shard", first)
     rows = stored(rows.withColumn("community", F.xxhash64(*group, spread)), "started")
     alone = rows.where("members = 1")
-    linked = propagate(rows.where("members > 1"), _loads(alone, shards), capacity, shards)
+    linked = propagate(rows.where("members > 1"), capacity, shards)
     rows = alone.unionByName(linked)
     # Ranks within a shard: linked rows first, communities together, in slices that one task can sort.
     slices = max(1, math.ceil(total / shards / RANKED_ROWS))
