@@ -2,21 +2,66 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from gridcompare.llm.decontamination import clean_documents
+from gridcompare.llm.language_id import NO_LANGUAGE, identify, learn
 from gridcompare.llm.near_duplicates import near_duplicates
+from gridcompare.llm.packing import pack
+from gridcompare.llm.personal_data import masked
+from gridcompare.llm.queries import tokenizer_file
 from gridcompare.llm.storage import read_table, stored
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+LEAST_SCORE = 0.5
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents go that have no letter, or no language that holds half of their letters. A missing ``lang`` is
+    filled in."""
+    found = identify(docs, learn(docs), "text", "lang", "source", "n_chars")
+    kept = found.where((F.col("lang_pred") != NO_LANGUAGE) & (F.col("score") >= LEAST_SCORE))
+    return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: the one with the smallest doc_id."""
-    dropped = near_duplicates(docs).where("NOT kept").select("doc_id")
-    return docs.join(dropped, "doc_id", "left_anti").select(*COLUMNS)
+    """One document of each group of near copies stays: the one with the smallest doc_id. Of rows that repeat a
+    doc_id one stays; rows without doc_id stay."""
+    dropped = near_duplicates(docs).where("NOT kept").select("doc_id").distinct()
+    kept = docs.join(dropped, "doc_id", "left_anti").select(*COLUMNS)
+    repeated = docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if repeated.isEmpty():
+        return kept
+    order = Window.partitionBy("doc_id").orderBy(*[c for c in COLUMNS if c != "doc_id"])
+    once = kept.join(repeated, "doc_id", "left_semi").withColumn("_n", F.row_number().over(order)).where("_n = 1")
+    return kept.join(repeated, "doc_id", "left_anti").unionByName(once.drop("_n"))
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents go that hold a passage of the benchmark."""
+    return clean_documents(docs, read_table(spark, sf_dir, "benchmark")).select(*COLUMNS)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data are replaced by their kind in brackets; ``n_chars`` follows the text."""
+    return masked(docs).withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents and their places in training sequences."""
+    return pack(docs, tokenizer_file("word_bpe_49k.json"))
+
 
+STAGES = [
+    ("language", language),
+    ("near_dedup", near_dedup),
+    ("decontaminate", decontaminate),
+    ("personal_data", personal_data),
+    ("packing", packing),
+]
 
-STAGES = [("near_dedup", near_dedup)]
+# The learned language model and the tokenizer are beyond SQL; tests/llm compares run() with a plain version.
 ORACLE_SQL = None
 
 

@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridcompare.llm.words import chunks, text_buffer
 
@@ -234,11 +235,10 @@ def best_path(scores: np.ndarray, rows: np.ndarray, penalty: float = SWITCH_PENA
     return out
 
 
-IDENTIFIED = "doc_id long, lang_pred string, score double, spans array<struct<start:int,end:int,lang:string>>"
 _SPAN = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())])
 
 
-def _identify_rows(part: pa.RecordBatch, model: LanguageModel) -> pa.RecordBatch:
+def _identify_rows(part: pa.RecordBatch, model: LanguageModel) -> list[pa.Array]:
     pieces, scores = [], []
     for piece in chunks(part, "text"):
         words = _words(piece.column("text"))
@@ -268,25 +268,15 @@ def _identify_rows(part: pa.RecordBatch, model: LanguageModel) -> pa.RecordBatch
         flat = [{"start": b, "end": e, "lang": model.languages[k]} for b, e, k in zip(begin, end, mine[at], strict=True)]
         cuts = np.searchsorted(row_of[at], np.arange(n + 1)).tolist()
         spans += [flat[i:j] for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
-    return pa.RecordBatch.from_arrays(
-        [
-            part.column("doc_id"),
-            pa.array(lead, pa.string()),
-            pa.array(np.concatenate(share), pa.float64()),
-            pa.array(spans, pa.list_(_SPAN)),
-        ],
-        names=["doc_id", "lang_pred", "score", "spans"],
-    )
+    return [pa.array(lead, pa.string()), pa.array(np.concatenate(share), pa.float64()), pa.array(spans, pa.list_(_SPAN))]
 
 
-def _undetermined(part: pa.RecordBatch) -> pa.RecordBatch:
-    n = part.num_rows
-    empty = [pa.array([NO_LANGUAGE] * n, pa.string()), pa.array(np.zeros(n)), pa.array([[]] * n, pa.list_(_SPAN))]
-    return pa.RecordBatch.from_arrays([part.column("doc_id"), *empty], names=["doc_id", "lang_pred", "score", "spans"])
+def _undetermined(n: int) -> list[pa.Array]:
+    return [pa.array([NO_LANGUAGE] * n, pa.string()), pa.array(np.zeros(n)), pa.array([[]] * n, pa.list_(_SPAN))]
 
 
-def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """(doc_id, lang_pred, score, spans) for each row of ``docs`` (doc_id, text).
+def identify(docs: DataFrame, model: LanguageModel, *keep: str) -> DataFrame:
+    """(doc_id, lang_pred, score, spans) for each row of ``docs`` (doc_id, text), and the columns named in ``keep``.
 
     ``score`` is the share of the text's letters in spans of the predicted language. Spans hold code point
     positions, end exclusive. A null text, one without letters, or a model that has learned no language gives
@@ -297,7 +287,17 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, "text", 8 << 20):
-                yield _identify_rows(part, model) if model.languages else _undetermined(part)
+                found = _identify_rows(part, model) if model.languages else _undetermined(part.num_rows)
+                kept = [part.column(name) for name in ("doc_id", *keep)]
+                yield pa.RecordBatch.from_arrays([*kept, *found], names=["doc_id", *keep, "lang_pred", "score", "spans"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, IDENTIFIED)
+    text = F.col("text").cast("string").alias("text")
+    rows = docs.select("doc_id", text, *[name for name in keep if name != "text"])
+    kept = T.StructType([rows.schema[name] for name in ("doc_id", *keep)])
+    return rows.mapInArrow(run, _schema(kept))
+
+
+def _schema(kept: T.StructType) -> T.StructType:
+    span = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("lang", T.StringType())])
+    found = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("spans", T.ArrayType(span))]
+    return T.StructType([*kept.fields, *found])

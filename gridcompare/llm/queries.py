@@ -13,8 +13,10 @@ from gridcompare.llm.near_duplicates import near_duplicates
 from gridcompare.llm.neighbours import nearest_neighbours
 from gridcompare.llm.packing import pack
 from gridcompare.llm.personal_data import personal_data_report
+from gridcompare.llm.repeated_passages import without_repeats
 from gridcompare.llm.sharding import shard_documents
 from gridcompare.llm.storage import new_folder, read_table
+from gridcompare.llm.token_counts import EDIT, edited, with_trees
 from gridcompare.llm.warc import archive, archived_pages
 
 
@@ -25,6 +27,23 @@ def tokenizer_file(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts before and after three edits of every document: 30 characters from a third on are put in capitals,
+    20 characters from two thirds on are cut, and a last line is added."""
+    path = tokenizer_file("byte_bpe_50k.tiktoken")
+    docs = read_table(spark, sf_dir, "documents")
+    size, text = F.char_length("text"), F.col("text")
+    third, late = F.floor(size / 3).cast("int"), F.floor(2 * size / 3).cast("int")
+    rows = with_trees(docs, path)
+    changes = F.array(
+        F.struct(third.alias("start"), (third + 30).alias("stop"), F.upper(text.substr(third + 1, F.lit(30))).alias("put")),
+        F.struct(late.alias("start"), (late + 20).alias("stop"), F.lit("").alias("put")),
+        F.struct(size.alias("start"), size.alias("stop"), F.lit("\nEnd of document.").alias("put")),
+    ).cast(EDIT)
+    found = edited(rows.withColumn("edits", changes), path)
+    return found.select("doc_id", "tokens_before", "tokens", "n_edits", "chars_encoded")
+
+
 def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_neighbours(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
@@ -43,6 +62,11 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read_table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
+def op6_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = without_repeats(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(read_table(spark, sf_dir, "documents"))
 
@@ -63,7 +87,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = (
-        op2_nearest_neighbours, op3_warc, op4_minhash_dedup, op5_packing, op7_sharding, op8_decontamination,
+        op1_token_counts, op2_nearest_neighbours, op3_warc, op4_minhash_dedup, op5_packing, op6_repeated_passages, op7_sharding, op8_decontamination,
         op9_personal_data, op10_language_id,
     )
     return {f.__name__: f for f in named}

@@ -65,6 +65,24 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM doc_words LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
+OP6 = f"""
+WITH words AS (SELECT doc_id, {SPACED_WORDS.format("coalesce(text, '')")} AS w FROM documents),
+windows AS (
+    SELECT doc_id, unnest(range(1, len(w) - 11)) AS start,
+           unnest(list_transform(range(1, len(w) - 11), lambda i: array_to_string(w[i:i + 12], ' '))) AS win
+    FROM words WHERE len(w) >= 13),
+firsts AS (SELECT win, min(doc_id) AS first FROM windows GROUP BY win),
+repeated AS (SELECT doc_id, start FROM windows JOIN firsts USING (win) WHERE first < doc_id),
+places AS (SELECT DISTINCT doc_id, unnest(range(start, start + 13)) AS place FROM repeated),
+gone AS (SELECT doc_id, list(place) AS gone FROM places GROUP BY doc_id),
+kept AS (
+    SELECT doc_id, len(w) AS n_words, len(coalesce(gone, [])) AS n_removed,
+           CASE WHEN gone IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(gone, i)) END AS k
+    FROM words LEFT JOIN gone USING (doc_id))
+SELECT doc_id, n_words::BIGINT AS n_words, n_removed::BIGINT AS n_removed, sha256(array_to_string(k, ' ')) AS kept_sha256
+FROM kept
+"""
+
 
 def llm_reference_sql() -> dict[str, str]:
-    return {"op4_minhash_dedup": OP4, "op8_decontamination": OP8}
+    return {"op4_minhash_dedup": OP4, "op6_repeated_passages": OP6, "op8_decontamination": OP8}

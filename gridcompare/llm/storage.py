@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from functools import cache
@@ -50,3 +51,9 @@ def is_small(df: DataFrame, rows: int) -> bool:
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def collect_garbage(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of finished steps now, not when the driver's memory fills up."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
