@@ -9,11 +9,10 @@ A bucket (documents with equal bands) is never gathered and its pairs are never
 
 1. Documents with equal sets are one representative from the start.
 2. The members of a bucket are compared with its smallest one (a star), then components are formed.
-3. Only buckets whose other members are still in different components go on. They are cut into blocks of
-   bounded size, and each pair of blocks proposes, for every member, its most similar partner in another
-   component by signature. Components are formed again.
-4. What is still apart is proposed pair by pair if the signatures agree in half their places at least, which a
-   linked pair misses with a probability under 1e-9.
+3. Only buckets whose other members are still in different components go on. They are cut into blocks of bounded
+   size, and each pair of blocks goes to one task, which confirms the pairs that are still apart and gives back
+   the links of a forest. A pair is judged in one bucket only, and if the signatures agree in half their places
+   at least, which a linked pair misses with a probability under 1e-9.
 """
 
 from __future__ import annotations
@@ -21,7 +20,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,6 +33,7 @@ SIMILARITY = 75  # per cent
 PERMUTATIONS = 80
 BANDS = 40
 BLOCK_MEMBERS = 512
+BLOCK_SHINGLES = 1 << 20
 LEAST_AGREEMENT = 0.5
 
 _SEEDS = np.random.default_rng(7).integers(0, 1 << 63, (2, PERMUTATIONS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -130,47 +129,59 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(of("a"), "a").join(of("b"), "b").mapInArrow(_confirm, "a long, b long")
 
 
-def _propose(every_pair: bool):
-    def propose(block: pd.DataFrame) -> pd.DataFrame:
-        block = block.drop_duplicates("doc_id").reset_index(drop=True)
-        ids, size = block.doc_id.to_numpy(), block.n_shingles.to_numpy()
-        group, half = block.component.to_numpy(), block.half.to_numpy()
-        sketches = np.frombuffer(b"".join(block.sketch), np.uint8).reshape(len(block), -1)
-        found = []
-        for i in range(len(block)):
-            rest = slice(i + 1 if every_pair else 0, len(block))
-            apart = group[rest] != group[i]
-            low, high = np.minimum(size[rest], size[i]), np.maximum(size[rest], size[i])
-            apart &= 100 * low >= SIMILARITY * high
-            if half.any():  # two blocks: only pairs across
-                apart &= half[rest] != half[i]
-            others = np.flatnonzero(apart) + rest.start
-            if not len(others):
-                continue
-            agree = (sketches[others] == sketches[i]).mean(axis=1)
-            if every_pair:
-                found += [(ids[i], ids[j]) for j in others[agree >= LEAST_AGREEMENT]]
-            elif agree.max() >= LEAST_AGREEMENT:
-                found.append((ids[i], ids[others[agree.argmax()]]))
-        pairs = np.array(found, np.int64).reshape(-1, 2)
-        return pd.DataFrame({"a": pairs.min(axis=1), "b": pairs.max(axis=1)})
-
-    return propose
+def _links_in_block(table: pa.Table) -> pa.Table:
+    """Links between members of a bucket that are in different components, as a forest.
+
+    A pair is judged in the first band it shares only, and only while its components are apart.
+    """
+    table = table.combine_chunks()
+    ids, first = np.unique(table.column("doc_id").to_numpy(), return_index=True)
+    batch = table.take(pa.array(first)).combine_chunks().to_batches()[0]
+    sets = [s for part in chunks(batch, "text") for s in shingle_sets(part.column("text"))]
+    size = np.array([len(s) for s in sets])
+    half = batch.column("half").to_numpy()
+    keys = batch.column("bands").flatten().to_numpy().reshape(len(ids), BANDS)
+    sketches = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint8).reshape(len(ids), -1)
+    _, group = np.unique(batch.column("component").to_numpy(), return_inverse=True)
+    band = int(np.flatnonzero(keys[0] == batch.column("band")[0].as_py())[0])
+    found = []
+    for i in range(len(ids)):
+        apart = group[i + 1 :] != group[i]
+        low, high = np.minimum(size[i + 1 :], size[i]), np.maximum(size[i + 1 :], size[i])
+        apart &= 100 * low >= SIMILARITY * high
+        if half.any():  # two blocks: only pairs across
+            apart &= half[i + 1 :] != half[i]
+        others = np.flatnonzero(apart) + i + 1
+        others = others[~(keys[others, :band] == keys[i, :band]).any(axis=1)]
+        others = others[(sketches[others] == sketches[i]).mean(axis=1) >= LEAST_AGREEMENT]
+        if not len(others):
+            continue
+        theirs = np.concatenate([sets[j] for j in others])
+        at = np.minimum(np.searchsorted(sets[i], theirs), size[i] - 1)
+        starts = np.concatenate([[0], np.cumsum(size[others])[:-1]])
+        common = np.add.reduceat((sets[i][at] == theirs).astype(np.int64), starts)
+        for j in others[100 * common >= SIMILARITY * (size[i] + size[others] - common)]:
+            if group[j] != group[i]:
+                group[group == group[j]] = group[i]
+                found.append((ids[i], ids[j]))
+    pairs = np.array(found, np.int64).reshape(-1, 2)
+    return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
 
 def _open_members(shared: DataFrame, labels: DataFrame | None, members: DataFrame) -> DataFrame:
     """Members of the buckets whose members, the star's centre aside, are in more than one component."""
-    rows = shared.where("doc_id <> centre").select("band", "doc_id")
+    rows = shared.where("doc_id <> centre").select("band", "doc_id", "n_shingles")
     if labels is None:
         rows = rows.withColumn("component", F.col("doc_id"))
     else:
         rows = rows.join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left")
         rows = rows.withColumn("component", F.coalesce("component", "doc_id"))
     split = rows.groupBy("band").agg(
-        F.min("component").alias("_low"), F.max("component").alias("_high"), F.count("doc_id").alias("_n")
-    )
-    split = split.where("_low < _high").select("band", F.ceil(F.col("_n") / BLOCK_MEMBERS).cast("int").alias("blocks"))
-    return rows.join(split, "band").join(members, "doc_id")
+        F.min("component").alias("_low"), F.max("component").alias("_high"),
+        F.greatest(F.count("doc_id") / BLOCK_MEMBERS, F.sum("n_shingles") / BLOCK_SHINGLES).alias("_blocks"),
+    )
+    split = split.where("_low < _high").select("band", F.ceil("_blocks").cast("int").alias("blocks"))
+    return rows.drop("n_shingles").join(split, "band").join(members, "doc_id")
 
 
 def _block_pairs(rows: DataFrame) -> DataFrame:
@@ -179,7 +190,7 @@ def _block_pairs(rows: DataFrame) -> DataFrame:
     rows = rows.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return rows.select(
         "band", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
-        "doc_id", "n_shingles", "component", "sketch",
+        "doc_id", "component", "bands", "sketch",
         (F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2)).alias("half"),
     )
 
@@ -198,7 +209,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         named.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("rep")), "classes"
     )
     reps = named.join(classes.select("set_a", "set_b", "n_shingles", F.col("rep").alias("doc_id")), ["set_a", "set_b", "n_shingles", "doc_id"], "left_semi")
-    members = reps.select("doc_id", "n_shingles", "sketch")
+    members = reps.select("doc_id", "bands", "sketch")
     bands = reps.select("doc_id", "n_shingles", F.explode("bands").alias("band"))
     stars = (
         bands.groupBy("band")
@@ -212,21 +223,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         .select(F.col("centre").alias("a"), F.col("doc_id").alias("b")).distinct()
     )
     links = stored(confirmed(proposed, docs), "links-of-stars")
-    for every_pair in (False, True):
-        labels = None if links.isEmpty() else components(links)
-        still_open = stored(_open_members(shared, labels, members), "open-buckets")
-        if still_open.isEmpty():
-            break
-        more = (
-            _block_pairs(still_open).groupBy("band", "low", "high")
-            .applyInPandas(_propose(every_pair), "a long, b long").distinct()
-        )
-        more = stored(confirmed(more, docs), "more-links")
-        if more.isEmpty() and every_pair:
-            break
-        links = links.unionByName(more)
-    else:
-        labels = components(links)
+    labels = None if links.isEmpty() else components(links)
+    rest = stored(_block_pairs(_open_members(shared, labels, members)).join(docs, "doc_id"), "open-buckets")
+    more = stored(rest.groupBy("band", "low", "high").applyInArrow(_links_in_block, "a long, b long").distinct(), "more-links")
+    if not more.isEmpty():
+        labels = components(links.unionByName(more))
     component = F.col("rep")
     if labels is not None:
         classes = classes.join(labels.withColumnRenamed("id", "rep"), "rep", "left")
