@@ -12,10 +12,10 @@ from pathlib import Path
 ROOT = Path(__file__).resolve().parent
 sys.path.insert(0, str(ROOT))
 
-from gridcompare.operators.selection import apply_selection, selected  # noqa: E402
-from gridcompare.plans.catalog import all_queries  # noqa: E402
+from gridcompare.operators.selection import apply_selection, next_selection  # noqa: E402
+from gridcompare.plans.catalog import CHAIN, all_queries  # noqa: E402
 from gridcompare.session import session  # noqa: E402
-from gridcompare.sources.driver_tables import DEFAULT, NARROW, DriverTables  # noqa: E402
+from gridcompare.sources.driver_tables import DriverTables  # noqa: E402
 
 # The first two read the raw tables and the last four the area and event tables; the others read the stored
 # grouped fact and what is stored from it, as a user's queries do.
@@ -28,6 +28,7 @@ HEADLINE = (
     "filter_with_polygon",
     "fallback_spatial",
     "refine_subset",
+    "refine_chain",
     "map_view",
     "map_deciles",
     "plot_view",
@@ -42,22 +43,17 @@ HEADLINE = (
 RUNS = 3
 
 
-def refine_over_scratch(spark, sf_dir: str) -> float:
-    """Time of a narrowed selection taken from the kept previous result, over the time from the whole fact."""
+def chain_step_seconds(spark, sf_dir: str) -> list[float]:
+    """Time of each step of a session of changed selections, rows to show included."""
     tables = DriverTables(spark, sf_dir)
     grouped, areas = tables.grouped(), tables.areas()
-    previous = apply_selection(grouped, areas, DEFAULT).keep()
-    previous.base.count()
-
-    def seconds(source) -> float:
+    result, times = apply_selection(grouped, areas, CHAIN[0]), []
+    for selection in CHAIN[1:]:
         start = time.perf_counter()
-        selected(source, areas, NARROW).write.format("noop").mode("overwrite").save()
-        return time.perf_counter() - start
-
-    scratch = statistics.median(seconds(grouped) for _ in range(RUNS))
-    refined = statistics.median(seconds(previous.base) for _ in range(RUNS))
-    previous.release()
-    return refined / scratch
+        result, _ = next_selection(grouped, areas, result, selection)
+        result.filtered.write.format("noop").mode("overwrite").save()
+        times.append(round(time.perf_counter() - start, 3))
+    return times
 
 
 def main() -> None:
@@ -78,7 +74,7 @@ def main() -> None:
 
     first = {name: run(name) for name in HEADLINE}  # also stores the tables the others read
     timed = {name: statistics.median(run(name) for _ in range(RUNS)) for name in HEADLINE}
-    ratio = refine_over_scratch(spark, sf_dir)
+    steps = chain_step_seconds(spark, sf_dir)
     spark.stop()
     print(
         json.dumps(
@@ -88,7 +84,7 @@ def main() -> None:
                 "unit": "sec",
                 "queries": {name: round(sec, 3) for name, sec in timed.items()},
                 "first_run": {name: round(sec, 3) for name, sec in first.items()},
-                "refine_over_scratch": round(ratio, 3),
+                "chain_steps": steps,
                 "sf": Path(sf_dir).name.removeprefix("sf"),
             }
         )

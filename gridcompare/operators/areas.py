@@ -10,8 +10,6 @@ from gridcompare.functions import geometry as G
 from gridcompare.functions import scalars as X
 from gridcompare.functions.ordering import number_rows
 
-FOOTPRINT_CHUNK = 100_000
-
 
 def with_geometry(areas: DataFrame, wkt: str = "geom_wkt") -> DataFrame:
     """Add ``polygons`` and the bounding box read from a text column."""
@@ -73,7 +71,8 @@ def repeated_codes(areas: DataFrame) -> DataFrame:
 
 
 def areas_of_facts(facts: DataFrame) -> DataFrame:
-    """Distinct geometries of facts that carry their own geometry; the smallest id of each is kept."""
+    """Distinct geometries of facts that carry their own geometry; the smallest id of each is kept. With
+    ``with_geometry`` they serve as area dimension."""
     return (
         facts.where(F.col("gridtype").isNotNull() & F.col("geom_wkt").isNotNull())
         .groupBy("codesource_area", "gridtype", "geom_wkt")
@@ -99,23 +98,12 @@ def explode_parts(areas: DataFrame) -> DataFrame:
 
 
 def footprint(areas: DataFrame, facts: DataFrame | None = None) -> DataFrame:
-    """Areas that make up the footprint of some facts (or of all areas), as rows."""
+    """Areas that make up the footprint of some facts (or of all areas), as rows with their bounding boxes."""
     areas = areas if facts is None else used_by(areas, facts)
-    return areas.select("codesource_area", "polygons")
-
+    return areas.select("codesource_area", "polygons", "xmin", "ymin", "xmax", "ymax")
 
-def footprint_text(footprint_areas: DataFrame, chunk_rows: int = FOOTPRINT_CHUNK) -> DataFrame:
-    """The footprint as MULTIPOLYGON text, polygons in code order and not dissolved.
 
-    A text is made of at most ``chunk_rows`` areas so that no task holds an unlimited list; a larger
-    footprint continues in the next chunk. A whole world of 1-degree cells (64,800) fits in one.
-    """
-    position = number_rows(footprint_areas, ["codesource_area"], "_position")
-    bodies = position.select(
-        F.expr(f"cast((_position - 1) div {int(chunk_rows)} as int)").alias("chunk"),
-        "_position",
-        F.array_join(F.transform("polygons", G.polygon_body), ",").alias("_body"),
-    )
-    listed = bodies.groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("_position", "_body"))).alias("_list"))
-    text = F.array_join(F.transform("_list", lambda r: r["_body"]), ",")
-    return listed.select("chunk", F.concat(F.lit("MULTIPOLYGON ("), text, F.lit(")")).alias("footprint"))
+def footprint_text(footprint_areas: DataFrame) -> DataFrame:
+    """``(codesource_area, footprint)``: the footprint as MULTIPOLYGON texts, one row per area, not dissolved."""
+    body = F.array_join(F.transform("polygons", G.polygon_body), ",")
+    return footprint_areas.select("codesource_area", F.concat(F.lit("MULTIPOLYGON ("), body, F.lit(")")).alias("footprint"))

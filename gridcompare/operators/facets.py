@@ -85,19 +85,21 @@ def gear_facet(values: DataFrame, codelist: DataFrame) -> DataFrame:
     joined = labelled(values, codelist).select("code", "label")
     rows = F.count(F.lit(1))
     one_to_one = joined.agg(rows).scalar() == values.agg(rows).scalar()
-    return joined.select("code", F.when(one_to_one, F.col("label")).otherwise(F.col("code")).alias("label"))
+    shown = F.when(one_to_one, F.col("label")).otherwise(F.col("code"))
+    return joined.select("code", shown.alias("label"), F.col("label").alias("sort_label"))
 
 
 def authority_facet(values: DataFrame, codelist: DataFrame) -> DataFrame:
     """Source authorities as ``code - definition``."""
     joined = values.join(codelist, "code", "left")
     shown = F.concat_ws(" - ", X.text_or_na("code"), X.text_or_na("definition"))
-    return joined.select("code", shown.alias("label"), F.col("label").alias("sort_label"))
+    return joined.select("code", shown.alias("label"), F.coalesce("label", "code").alias("sort_label"))
 
 
 def facet_labels(values: DataFrame, codelists: dict[str, DataFrame]) -> DataFrame:
-    """``(dimension, code, label)`` of all eight dimensions. ``codelists`` has one frame per dimension
-    with a code list; a dimension without one shows its codes."""
+    """``(dimension, code, label, sort_label)`` of all eight dimensions. ``codelists`` has one frame per dimension
+    with a code list; a dimension without one shows its codes. Lists are ordered by the label of the code list
+    (``sort_label``), whatever is shown."""
     builders = {"species": species_facet, "gear_type": gear_facet, "source_authority": authority_facet}
     parts = []
     for dimension in S.DIMENSIONS:
@@ -108,7 +110,8 @@ def facet_labels(values: DataFrame, codelists: dict[str, DataFrame]) -> DataFram
             shown = mine.withColumn("label", F.col("code"))
         if dimension in ("year", "gridtype"):
             shown = shown.where(F.col("code").isNotNull())
-        parts.append(shown.select(F.lit(dimension).alias("dimension"), "code", "label"))
+        order = "sort_label" if "sort_label" in shown.columns else "label"
+        parts.append(shown.select(F.lit(dimension).alias("dimension"), "code", "label", F.col(order).alias("sort_label")))
     result = parts[0]
     for part in parts[1:]:
         result = result.unionByName(part)
@@ -120,9 +123,10 @@ def english(label: str | Column) -> Column:
 
 
 def ordered_labels(codelist: DataFrame, group: str = "dimension") -> DataFrame:
-    """Add ``pos``: the place of a label in English order within its list. A list holds the distinct
-    codes of one dimension."""
-    order = Window.partitionBy(group).orderBy(english("label"), "code")
+    """Add ``pos``: the place within its list, years by number, all else in English order of the code list's
+    label. A list holds the distinct codes of one dimension."""
+    number = F.when(F.col(group) == "year", F.col("code").try_cast("int"))
+    order = Window.partitionBy(group).orderBy(number, english("sort_label"), "code")
     return codelist.withColumn("pos", F.row_number().over(order))
 
 

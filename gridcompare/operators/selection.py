@@ -6,9 +6,11 @@ A ``Selection`` is a value. Applying one gives lazy frames; nothing here is shar
 from __future__ import annotations
 
 from dataclasses import dataclass, fields, replace
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, IntegralType
 
 from gridcompare import schema as S
 from gridcompare.functions.geometry import SelectionPolygon
@@ -16,9 +18,6 @@ from gridcompare.functions.scalars import in_values, sum_or_zero
 from gridcompare.operators.areas import footprint
 from gridcompare.operators.spatial import areas_inside, facts_within
 
-# Longer lists are joined instead of written into the plan.
-INLINE_VALUES = 200
-
 # The selection shown before a user chooses anything.
 DEFAULT_SPECIES = ("YFT", "UNK")
 DEFAULT_YEARS = tuple(range(2011, 2021))
@@ -115,25 +114,27 @@ class Selection:
 
 
 def filter_dimensions(facts: DataFrame, selection: Selection) -> DataFrame:
-    """Rows with an area whose eight dimensions are all in the lists."""
+    """Rows with an area whose eight dimensions are all in the lists. Values may be given as text, as facets show
+    them; Spark turns a long list into a set, and the test reaches the scan whatever the length."""
     kept = facts.where(F.col("codesource_area").isNotNull())
     for name in S.DIMENSIONS:
         values = getattr(selection, name)
-        if values is None:
-            continue
-        values = list(dict.fromkeys(values))
-        if len(values) <= INLINE_VALUES:
-            kept = kept.where(in_values(name, values))
-        else:
-            kept = _semi_join_values(kept, name, values)
+        if values is not None:
+            kept = kept.where(in_values(name, _typed(values, facts.schema[name].dataType)))
     return kept
 
 
-def _semi_join_values(facts: DataFrame, name: str, values: list) -> DataFrame:
-    dtype = facts.schema[name].dataType
-    wanted = facts.sparkSession.createDataFrame([(v,) for v in values], f"_wanted {dtype.simpleString()}")
-    key = F.col(name).eqNullSafe(F.col("_wanted")) if None in values else F.col(name) == F.col("_wanted")
-    return facts.join(wanted, key, "left_semi")
+def _typed(values: tuple, kind: DataType) -> list:
+    """Distinct values in the type of their column. A text that is no number equals no number."""
+    if not isinstance(kind, IntegralType):
+        return list(dict.fromkeys(values))
+    numbers: dict = {}
+    for value in values:
+        try:
+            numbers[None if value is None else int(value)] = None
+        except ValueError:
+            continue
+    return list(numbers)
 
 
 def regroup(facts: DataFrame) -> DataFrame:
@@ -179,28 +180,50 @@ def refine_polygon(base: DataFrame, areas: DataFrame, polygon: str | None) -> Da
 
 @dataclass(frozen=True)
 class SelectionResult:
-    """What one selection gives.
+    """What one selection gives, described by the selection that is in effect after the fallbacks.
 
-    ``base``      rows kept by the lists alone (input of a later refinement)
-    ``footprint`` areas of ``base``, one row each
-    ``filtered``  rows to show, with ``status`` telling which fallback, if any, was used
+    Every frame is built from the grouped fact and the area dimension, so its plan has the same size after one
+    step of a session as after a hundred.
     """
 
-    selection: Selection
-    base: DataFrame
-    footprint: DataFrame
-    filtered: DataFrame
+    selection: Selection  # as asked for
+    facts: DataFrame
+    areas: DataFrame
+    effective: Selection  # as shown
+    listed: Selection  # the lists of ``base``
+    status: str
+
+    @cached_property
+    def base(self) -> DataFrame:
+        """Rows kept by the lists alone."""
+        return selected(self.facts, self.areas, self.listed)
+
+    @cached_property
+    def footprint(self) -> DataFrame:
+        """Areas of the rows that the lists in effect keep, with their bounding boxes."""
+        lists = self.effective.without_polygon()
+        return footprint(self.areas, None if lists.is_reset else kept_rows(self.facts, self.areas, lists))
+
+    @cached_property
+    def filtered(self) -> DataFrame:
+        """Rows to show, with ``status`` telling which fallback, if any, was used."""
+        rows = selected(self.facts, self.areas, self.effective)
+        return rows.select(*S.SELECTION_KEYS, "measurement_value").withColumn("status", F.lit(self.status))
+
+    def read_from(self, rows: DataFrame) -> "SelectionResult":
+        """The same result with its rows to show read from a stored table."""
+        same = replace(self)
+        same.__dict__["filtered"] = rows
+        return same
 
     def keep(self) -> "SelectionResult":
-        """Hold ``base`` and ``filtered`` for the views and for the next refinement; lost blocks are
-        computed again. Call ``release`` when the selection is left."""
-        self.base.persist()
+        """Hold the rows to show for several views; lost blocks are computed again from the stored fact. Call
+        ``release`` when the selection is left."""
         self.filtered.persist()
         return self
 
     def release(self) -> None:
         self.filtered.unpersist()
-        self.base.unpersist()
 
 
 def _any(rows: DataFrame):
@@ -227,9 +250,12 @@ def with_fallback(
     listed = kept_rows(facts, areas, selection.without_polygon())
     rows, status = listed, F.lit(APPLIED)
     if selection.polygon is not None:
-        inside = facts_within(listed, areas_inside(areas, selection.polygon))
-        some_inside = _any(inside)
-        rows = inside.unionByName(_unless(some_inside, listed))
+        # One scan marks the rows inside; the other only looks for the first of them.
+        inside = areas_inside(areas, selection.polygon)
+        some_inside = _any(facts_within(listed, inside))
+        marks = inside.select("codesource_area", F.lit(True).alias("_inside")).distinct()
+        marked = listed.join(marks, "codesource_area", "left").withColumn("_some", some_inside)
+        rows = marked.where(F.col("_inside").isNotNull() | ~F.col("_some")).drop("_inside", "_some")
         status = F.when(some_inside, F.lit(APPLIED)).otherwise(F.lit(SPATIAL_FALLBACK))
     result = regroup(rows).select(*keys).withColumn("status", status)
     if previous is not None:
@@ -241,43 +267,53 @@ def with_fallback(
 def apply_selection(
     facts: DataFrame, areas: DataFrame, selection: Selection, previous: SelectionResult | None = None
 ) -> SelectionResult:
-    """The three results of one selection.
+    """The results of one selection. Looks for a first row of the lists, and for one inside the polygon, to know
+    which fallback is in effect; a full reset has none.
 
-    When the lists keep nothing, base falls back to the input and footprint to the previous one, as the
-    rows to show fall back to the previous rows.
+    When the lists keep nothing, what the previous selection shows is shown again, and base is the whole fact.
+    When no row is inside the polygon, the lists alone are in effect.
     """
-    keys = [*S.SELECTION_KEYS, "measurement_value"]
-    base = non_spatial(facts, areas, selection)
-    listed = kept_rows(facts, areas, selection.without_polygon())
-    shown = areas if selection.is_reset else footprint(areas, listed)
-    shown = shown.select("codesource_area", "polygons")
-    filtered = with_fallback(facts, areas, selection, None if previous is None else previous.filtered)
-    if previous is not None and not selection.is_reset:
-        some = _any(listed)
-        base = base.unionByName(_unless(some, facts.select(*keys)))
-        shown = shown.unionByName(_unless(some, previous.footprint))
-    return SelectionResult(selection, base, shown, filtered)
+    lists = selection.without_polygon()
+    effective, listed, status = selection, lists, APPLIED
+    if not selection.is_reset:
+        if previous is not None and kept_rows(facts, areas, lists).isEmpty():
+            effective, listed, status = previous.effective, Selection.all(), DIMENSION_FALLBACK
+        elif selection.polygon is not None and kept_rows(facts, areas, selection).isEmpty():
+            effective, status = lists, SPATIAL_FALLBACK
+    return SelectionResult(selection, facts, areas, effective, listed, status)
 
 
 def next_selection(
     whole: DataFrame, areas: DataFrame, previous: SelectionResult, selection: Selection
 ) -> tuple[SelectionResult, str]:
-    """Answer a changed selection from the smallest frame that holds all its rows.
+    """Answer a changed selection.
 
     Returns the result and the way it was made: ``same`` (nothing changed), ``polygon`` (only the polygon
-    changed), ``refine`` (lists narrowed), ``reset`` (all lists open) or ``scratch``.
+    changed: no fallback), ``refine`` (lists narrowed), ``reset`` (all lists open) or ``scratch``. Lists reach the
+    scan of the stored fact, which is sorted for them, so no way needs the rows of the previous result.
     """
     if selection.dimensions == previous.selection.dimensions:
         if selection.polygon == previous.selection.polygon:
             return previous, "same"
-        rows = refine_polygon(previous.base, areas, selection.polygon)
-        shown = rows.select(*S.SELECTION_KEYS, "measurement_value").withColumn("status", F.lit(APPLIED))
-        return SelectionResult(selection, previous.base, previous.footprint, shown), "polygon"
+        effective = replace(previous.listed, polygon=selection.polygon)
+        return SelectionResult(selection, whole, areas, effective, previous.listed, APPLIED), "polygon"
     if selection.is_reset:
         return apply_selection(whole, areas, selection), "reset"
-    if selection.narrows(previous.selection):
-        return apply_selection(previous.base, areas, selection, previous), "refine"
-    return apply_selection(whole, areas, selection, previous), "scratch"
+    way = "refine" if selection.narrows(previous.selection) else "scratch"
+    return apply_selection(whole, areas, selection, previous), way
+
+
+def recognise_reset(selection: Selection, values: DataFrame) -> Selection:
+    """The full reset, when all eight lists hold every value of ``values`` (dimension, value); else the selection
+    as it is. The polygon stays. Missing values need not be listed."""
+    if selection.is_reset or any(getattr(selection, name) is None for name in S.DIMENSIONS):
+        return selection
+    left_out = F.lit(False)
+    for name in S.DIMENSIONS:
+        listed = [str(v) for v in dict.fromkeys(getattr(selection, name)) if v is not None]
+        left_out |= (F.col("dimension") == name) & ~F.col("value").isin(listed)
+    unlisted = values.where(F.col("value").isNotNull() & left_out)
+    return Selection.all(selection.polygon) if unlisted.isEmpty() else selection
 
 
 def require_rows(frame: DataFrame, message: str = "no data with the current filters") -> DataFrame:

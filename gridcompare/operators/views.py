@@ -76,38 +76,53 @@ def series_long(plot: DataFrame) -> DataFrame:
     return plot.groupBy("dataset", "year", "measurement_unit").agg(_total())
 
 
+def _require_listed(rows: DataFrame, column: str, values: Sequence[str]) -> None:
+    """A pivot has the columns of its list; a value that is not in the list would vanish."""
+    missing = rows.where(F.col(column).isNull() | ~F.col(column).isin(list(values))).select(column).limit(1).collect()
+    if missing:
+        raise ValueError(f"{column} {missing[0][0]!r} is not in the list of columns")
+
+
 def series_wide(series: DataFrame, datasets: Sequence[str]) -> DataFrame:
     """One whole-number column per dataset; gaps and numbers beyond 32 bits are 0."""
+    _require_listed(series, "dataset", datasets)
     cut = X.lenient_int("measurement_value")
     wide = series.groupBy("year", "measurement_unit").pivot("dataset", list(datasets)).agg(F.first(cut))
     return wide.fillna(0, list(datasets))
 
 
 def series_dense(series: DataFrame) -> DataFrame:
-    """Every series (dataset and unit) with a positive total, with a value for every year of the data.
+    """Every series (dataset and unit) with a positive total, with a value for every year of the data; rows
+    without a year are one more year.
 
     The years present are one short list (calendar years), attached to each series; the yearly values
     of a series are a map from year to value, so nothing is joined.
     """
-    years = series.select("year").distinct().agg(F.array_sort(F.collect_list("year")))
+    undated = F.col("year").isNull()
+    years = series.agg(
+        F.concat(
+            F.array_sort(F.collect_set("year")),
+            F.when(F.max(undated), F.array(F.lit(None).cast("int"))).otherwise(F.array().cast("array<int>")),
+        )
+    )
     cut = F.coalesce(X.lenient_int("measurement_value"), F.lit(0))
     by_series = series.groupBy("dataset", "measurement_unit").agg(
         F.sum(cut).alias("_total"),
-        F.map_from_entries(
-            F.collect_list(F.when(F.col("year").isNotNull(), F.struct("year", cut.alias("value"))))
-        ).alias("_values"),
+        F.max(F.when(undated, cut)).alias("_undated"),
+        F.map_from_entries(F.collect_list(F.when(~undated, F.struct("year", cut.alias("value"))))).alias("_values"),
     )
     spread = (
         by_series.where(F.col("_total") > 0)
         .withColumn("_years", years.scalar())
-        .select("dataset", "measurement_unit", "_values", F.explode("_years").alias("year"))
+        .select("dataset", "measurement_unit", "_values", "_undated", F.explode("_years").alias("year"))
     )
+    value = F.when(undated, F.col("_undated")).otherwise(F.try_element_at("_values", F.col("year")))
     return spread.select(
         F.concat_ws("_", "dataset", X.text_or_na("measurement_unit")).alias("series_name"),
         "measurement_unit",
         "dataset",
         "year",
-        F.coalesce(F.try_element_at("_values", F.col("year")), F.lit(0)).alias("measurement_value"),
+        F.coalesce(value, F.lit(0)).alias("measurement_value"),
     )
 
 
@@ -116,7 +131,12 @@ def series_by_date(series: DataFrame, datasets: Sequence[str], units: Sequence[s
 
     A year in which a unit has no row at all is NULL in the columns of that unit; a year in which only
     some datasets have rows is 0 in the others. A series without any positive total is NULL throughout.
+    When the rows have a single unit, whichever it is, there is one column ``<dataset>`` per dataset and gaps are 0.
     """
+    _require_listed(series, "dataset", datasets)
+    if len(series.select("measurement_unit").distinct().limit(2).collect()) < 2:
+        parts = [F.coalesce(F.sum(F.when(F.col("dataset") == d, F.col("measurement_value"))), F.lit(0.0)).alias(d) for d in datasets]
+        return series.groupBy("year").agg(*parts).select(X.first_of_january("year").alias("date"), *datasets)
     kept = series.where(F.col("measurement_unit").isin(list(units)))
     names = [(f"{d}_{u}", d, u) for u in units for d in datasets]
 
@@ -177,6 +197,7 @@ def gridtype_share(totals: DataFrame, show_numbers: bool = True) -> DataFrame:
 
 def totals_wide(totals: DataFrame, units: Sequence[str]) -> DataFrame:
     """``measurement_value_<unit>`` and ``count_<unit>`` per dataset, gaps 0."""
+    _require_listed(totals, "measurement_unit", units)
     wide = totals.groupBy("dataset").pivot("measurement_unit", list(units)).agg(
         F.sum("measurement_value").alias("measurement_value"), F.sum("count").alias("count")
     )

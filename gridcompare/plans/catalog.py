@@ -130,6 +130,12 @@ def areas_from_facts(t: DriverTables) -> DataFrame:
     return A.areas_of_facts(t.facts_with_geometry())
 
 
+@_query
+def areas_from_facts_within(t: DriverTables) -> DataFrame:
+    """Areas made from facts, as the dimension of a polygon selection."""
+    return SP.areas_within(A.with_geometry(A.areas_of_facts(t.facts_with_geometry())), D.DEFAULT.polygon)
+
+
 @_query
 def nominal_disc(t: DriverTables) -> DataFrame:
     return A.nominal_areas(t.area_nominal_source()).select(
@@ -186,7 +192,7 @@ def selection_centre(t: DriverTables) -> DataFrame:
 
 @_query
 def selection_disjoint(t: DriverTables) -> DataFrame:
-    return SP.disjoint_rectangles(SP.drawn_rectangles(t.drawn_features()), t.areas()).select("event_id")
+    return SP.disjoint_rectangles(t.drawn(), t.areas()).select("event_id")
 
 
 @_query
@@ -222,7 +228,9 @@ def filter_eight_dims(t: DriverTables) -> DataFrame:
 
 @_query
 def filter_regroup(t: DriverTables) -> DataFrame:
-    return SE.non_spatial(t.grouped(), t.areas(), D.DEFAULT).select(*SELECTED)
+    """From single observations, several of which make up one row of the result."""
+    observations = t.facts().join(t.areas().select("codesource_area", "gridtype"), "codesource_area", "left")
+    return SE.non_spatial(observations, t.areas(), D.DEFAULT).select(*SELECTED)
 
 
 @_query
@@ -262,6 +270,45 @@ def reset_all(t: DriverTables) -> DataFrame:
     return everything.groupBy("gridtype").agg(F.count(F.lit(1)).alias("count"))
 
 
+CHAIN = (
+    D.DEFAULT,
+    D.DEFAULT.with_values(year=(1996, 1997, 1998)),
+    D.DEFAULT.with_values(year=(1996, 1997)),
+    D.DEFAULT.with_values(year=("1997",)),
+    D.DEFAULT.with_values(year=(1997,), species=("PROMO", "SMALL")),
+    D.DEFAULT.with_values(year=(1997,), species=("PROMO",)),
+    D.DEFAULT.with_values(year=(1997,), species=("NONE",)),
+    D.DEFAULT.with_values(fishing_fleet=tuple(f"NATION_{i}" for i in range(14)), polygon=D.SECOND_RECTANGLE),
+)
+
+
+@_query
+def refine_chain(t: DriverTables) -> DataFrame:
+    """Five narrowings, one that keeps nothing, and a widening, each from the result before."""
+    result = SE.apply_selection(t.grouped(), t.areas(), CHAIN[0])
+    for selection in CHAIN[1:]:
+        result, _ = SE.next_selection(t.grouped(), t.areas(), result, selection)
+    return result.filtered
+
+
+@_query
+def reset_listed(t: DriverTables) -> DataFrame:
+    """All values of all lists are a reset."""
+    listed: dict[str, list] = {}
+    for value in t.values().where("value IS NOT NULL").collect():  # what a user can tick in eight lists
+        listed.setdefault(value["dimension"], []).append(value["value"])
+    everything = SE.Selection(**{name: tuple(values) for name, values in listed.items()})
+    result = SE.apply_selection(t.grouped(), t.areas(), SE.recognise_reset(everything, t.values()))
+    return result.filtered.groupBy("gridtype").agg(F.count(F.lit(1)).alias("count"))
+
+
+@_query
+def drawn_vs_footprint(t: DriverTables) -> DataFrame:
+    """Drawn rectangles that miss the footprint of the default selection."""
+    shown = SE.apply_selection(t.grouped(), t.areas(), D.DEFAULT)
+    return SP.disjoint_rectangles(t.drawn(), shown.footprint).select("event_id")
+
+
 @_query
 def reset_polygon(t: DriverTables) -> DataFrame:
     return SE.selected(t.grouped(), t.areas(), D.DEFAULT.without_polygon()).select(*SELECTED)
@@ -294,13 +341,20 @@ def facet_year_gridtype(t: DriverTables) -> DataFrame:
 
 @_query
 def facet_labels(t: DriverTables) -> DataFrame:
-    return FA.facet_labels(t.values(), t.codelists())
+    return FA.facet_labels(t.values(), t.codelists()).drop("sort_label")
+
+
+@_query
+def dataset_facet(t: DriverTables) -> DataFrame:
+    facet = FA.dataset_facet(FA.values_of(t.values(), "dataset"), _enriched(t))
+    return facet.select("code", "label", "title", "identifier", "url")
 
 
 @_query
 def facet_order(t: DriverTables) -> DataFrame:
     labels = FA.facet_labels(t.values(), t.codelists())
-    return FA.ordered_labels(labels.where(~F.col("dimension").isin("year", "gridtype")))
+    ordered = FA.ordered_labels(labels.where(~F.col("dimension").isin("year", "gridtype")))
+    return ordered.drop("sort_label")
 
 
 @_query
@@ -321,7 +375,7 @@ def species_facet(t: DriverTables) -> DataFrame:
 
 @_query
 def gear_facet(t: DriverTables) -> DataFrame:
-    return FA.gear_facet(FA.values_of(t.values(), "gear_type"), t.codelists()["gear_type"])
+    return FA.gear_facet(FA.values_of(t.values(), "gear_type"), t.codelists()["gear_type"]).select("code", "label")
 
 
 @_query
@@ -402,6 +456,19 @@ def series_dense(t: DriverTables) -> DataFrame:
     return V.series_dense(_series(t))
 
 
+@_query
+def series_dense_undated(t: DriverTables) -> DataFrame:
+    """A series in which the rows of one year have lost their date."""
+    rows = _rows(t, ALL_UNITS).withColumn("year", F.when(F.col("year") != 1998, F.col("year")))
+    return V.series_dense(V.series_long(V.plot_view(rows)))
+
+
+@_query
+def series_date_one_unit(t: DriverTables) -> DataFrame:
+    rows = _rows(t, LISTS_ONLY.with_values(measurement_unit=("HOOKS",)))
+    return V.series_by_date(V.series_long(V.plot_view(rows)), D.DATASETS)
+
+
 @_query
 def series_date_merge(t: DriverTables) -> DataFrame:
     return V.series_by_date(_series(t), D.DATASETS)
@@ -491,3 +558,29 @@ def top_gear_series(t: DriverTables) -> DataFrame:
 @_query
 def top_rows(t: DriverTables) -> DataFrame:
     return V.top_rows(SE.selected(t.grouped(), t.areas(), D.DEFAULT)).select(*SELECTED, "rank")
+
+
+def _priced(t: DriverTables) -> DataFrame:
+    """Facts with fractional values: area, gear and discounted price."""
+    value = F.col("l_extendedprice") * (1 - F.col("l_discount"))
+    lines = t.table("lineitem").select("l_partkey", F.col("l_suppkey").cast("string").alias("codesource_area"), value.cast("double").alias("measurement_value"))
+    parts = t.table("part").select("p_partkey", F.col("p_brand").alias("gear_type"), F.col("p_type").alias("species"))
+    return lines.join(parts, F.col("l_partkey") == F.col("p_partkey"))
+
+
+@_query
+def top_rows_fractional(t: DriverTables) -> DataFrame:
+    """The ten largest sums of fractional values, per area and species."""
+    sums = _priced(t).groupBy("codesource_area", "species").agg(X.sum_or_zero("measurement_value").alias("measurement_value"))
+    return V.top_rows(sums).withColumn("measurement_value", F.round("measurement_value", 2))
+
+
+@_query
+def top_gears_fractional(t: DriverTables) -> DataFrame:
+    return V.top_gears_by_total(_priced(t)).withColumn("measurement_value", F.round("measurement_value", 2))
+
+
+@_query
+def map_deciles_fractional(t: DriverTables) -> DataFrame:
+    rows = _priced(t).select("codesource_area", F.col("species").alias("dataset"), F.lit("t").alias("measurement_unit"), "measurement_value")
+    return V.map_deciles(V.map_cells(rows)).select("codesource_area", "dataset", "decile")

@@ -120,12 +120,12 @@ unit_labels AS (
   SELECT code, CASE code WHEN 't' THEN 'Tons of fish (catch unit)' WHEN 'no' THEN 'Number of fish (catch unit)' ELSE code END AS label
   FROM (SELECT DISTINCT measurement_unit AS code FROM grouped)),
 labels_all AS (
-  SELECT 'fishing_fleet' AS dimension, code, label FROM fleet_labels
-  UNION ALL SELECT 'gear_type', code, label FROM gear_labels
-  UNION ALL SELECT 'species', code, label FROM species_labels
-  UNION ALL SELECT 'source_authority', code, label FROM authority_labels
-  UNION ALL SELECT 'measurement_unit', code, label FROM unit_labels
-  UNION ALL SELECT 'dataset', dataset, dataset FROM (SELECT DISTINCT dataset FROM grouped))
+  SELECT 'fishing_fleet' AS dimension, code, label, label AS sort_label FROM fleet_labels
+  UNION ALL SELECT 'gear_type', code, label, label FROM gear_labels
+  UNION ALL SELECT 'species', code, label, CASE WHEN code = 'STANDARD' THEN code ELSE 'Label ' || code END FROM species_labels
+  UNION ALL SELECT 'source_authority', code, label, code FROM authority_labels
+  UNION ALL SELECT 'measurement_unit', code, label, label FROM unit_labels
+  UNION ALL SELECT 'dataset', dataset, dataset, dataset FROM (SELECT DISTINCT dataset FROM grouped))
 """
 
 _FACET_PAIRS = """
@@ -215,6 +215,12 @@ _SQL = {
         SELECT a.codesource_area, a.gridtype, a.geom_wkt, CAST(MIN(l_orderkey) AS INTEGER) AS ogc_fid
         FROM lineitem JOIN area_sources a ON a.codesource_area = CAST(l_suppkey AS VARCHAR) AND l_suppkey % 20 <> 7
         GROUP BY ALL""",
+    "areas_from_facts_within": """
+        SELECT DISTINCT a.codesource_area
+        FROM (SELECT codesource_area, x0, y0, x1, y1 FROM area_grid
+              UNION ALL SELECT codesource_area, x0, y0, x0 + 6, y0 + 6 FROM area_nominal) a
+        JOIN lineitem ON a.codesource_area = CAST(l_suppkey AS VARCHAR) AND l_suppkey % 20 <> 7
+        WHERE x0 >= -53.789063 AND x1 <= 98.964844 AND y0 >= -35.746512 AND y1 <= 21.616579""",
     "nominal_disc": """
         SELECT codesource_area, CAST(x0 + 2 AS DOUBLE) AS cx, CAST(y0 + 2 AS DOUBLE) AS cy, 121 AS n_points
         FROM area_nominal""",
@@ -248,8 +254,7 @@ _SQL = {
                           WHERE pow(greatest(d.x0 - (n.x0 + 2), (n.x0 + 2) - d.x1, 0), 2)
                               + pow(greatest(d.y0 - (n.y0 + 2), (n.y0 + 2) - d.y1, 0), 2) <= 1)""",
     "footprint_text": """
-        SELECT 0 AS chunk,
-               'MULTIPOLYGON (' || string_agg(replace(geom_wkt, 'POLYGON ', ''), ',' ORDER BY codesource_area) || ')' AS footprint
+        SELECT codesource_area, 'MULTIPOLYGON (' || replace(geom_wkt, 'POLYGON ', '') || ')' AS footprint
         FROM area_grid WHERE codesource_area IN (SELECT codesource_area FROM listed)""",
     "hull_centre": """
         SELECT round(SUM((px + qx) * c) / (3 * SUM(c)), 6) AS lon, round(SUM((py + qy) * c) / (3 * SUM(c)), 6) AS lat
@@ -292,6 +297,23 @@ _SQL = {
     "refine_subset": f"""
         SELECT {_KEYS} FROM narrow WHERE codesource_area IN (SELECT codesource_area FROM within_default)""",
     "reset_all": "SELECT gridtype, COUNT(*) AS count FROM grouped GROUP BY gridtype",
+    "refine_chain": f"""
+        SELECT {_KEYS}, 'applied' AS status FROM grouped
+        WHERE species IN ('PROMO', 'SMALL', 'ECONOMY') AND year BETWEEN 1996 AND 1999 AND measurement_unit = 't'
+          AND gridtype IN ('1deg_x_1deg', '5deg_x_5deg', 'others') AND gear_type <> 'Brand#1'
+          AND CAST(replace(fishing_fleet, 'NATION_', '') AS INTEGER) < 14
+          AND codesource_area IN (SELECT codesource_area FROM within_second)""",
+    "reset_listed": "SELECT gridtype, COUNT(*) AS count FROM grouped GROUP BY gridtype",
+    "drawn_vs_footprint": """
+        SELECT event_id FROM drawn d
+        WHERE NOT EXISTS (SELECT 1 FROM area_grid a
+                          WHERE a.codesource_area IN (SELECT codesource_area FROM listed)
+                            AND a.x0 <= d.x1 AND a.x1 >= d.x0 AND a.y0 <= d.y1 AND a.y1 >= d.y0)""",
+    "dataset_facet": """
+        SELECT code, code AS label, title, identifier, url
+        FROM (SELECT DISTINCT dataset AS code FROM grouped)
+        LEFT JOIN (SELECT stem || '_' || m.record_id AS code, COALESCE(title, '') AS title, COALESCE(identifier, '') AS identifier,
+                          'https://doi.org/' || doi AS url FROM manifest m LEFT JOIN records r ON m.record_id = r.record_id) USING (code)""",
     "reset_polygon": f"SELECT {_KEYS} FROM listed",
     "values_added": f"""
         SELECT * FROM ({_FACET_PAIRS.format(rows="listed")})
@@ -315,7 +337,7 @@ _SQL = {
                   FROM (SELECT DISTINCT gridtype FROM grouped WHERE gridtype IS NOT NULL)""",
     "facet_order": """
         SELECT dimension, code, label,
-               CAST(row_number() OVER (PARTITION BY dimension ORDER BY lower(label), label, code) AS INTEGER) AS pos
+               CAST(row_number() OVER (PARTITION BY dimension ORDER BY lower(sort_label), sort_label, code) AS INTEGER) AS pos
         FROM labels_all""",
     "facet_dependent": _FACET_PAIRS.format(rows="(SELECT * FROM grouped WHERE species = 'PROMO')"),
     "codelist_join": "SELECT code, label FROM fleet_labels",
@@ -357,6 +379,20 @@ _SQL = {
         FROM (SELECT dataset, measurement_unit FROM series GROUP BY ALL HAVING SUM(trunc(measurement_value)) > 0) k
         CROSS JOIN (SELECT DISTINCT year FROM series) y
         LEFT JOIN series s ON s.dataset = k.dataset AND s.measurement_unit = k.measurement_unit AND s.year = y.year""",
+    "series_dense_undated": """
+        SELECT * FROM (WITH undated AS (
+          SELECT dataset, measurement_unit, CASE WHEN year <> 1998 THEN year END AS year, trunc(SUM(measurement_value)) AS v
+          FROM listed_any_unit GROUP BY ALL)
+        SELECT k.dataset || '_' || k.measurement_unit AS series_name, k.measurement_unit, k.dataset, y.year,
+               CAST(COALESCE(s.v, 0) AS INTEGER) AS measurement_value
+        FROM (SELECT dataset, measurement_unit FROM undated GROUP BY ALL HAVING SUM(v) > 0) k
+        CROSS JOIN (SELECT DISTINCT year FROM undated) y
+        LEFT JOIN undated s ON s.dataset = k.dataset AND s.measurement_unit = k.measurement_unit
+                           AND s.year IS NOT DISTINCT FROM y.year)""",
+    "series_date_one_unit": f"""
+        SELECT make_date(year, 1, 1) AS date, {", ".join(
+            f"COALESCE(SUM(CASE WHEN dataset = '{d}' THEN measurement_value END), 0.0) AS \"{d}\"" for d in _DATASETS)}
+        FROM series WHERE measurement_unit = 'HOOKS' GROUP BY year""",
     "series_date_merge": f"""
         SELECT make_date(year, 1, 1) AS date, {_BY_DATE} FROM series WHERE measurement_unit IN ('t', 'no') GROUP BY year""",
     "gridtype_totals": """
@@ -403,6 +439,25 @@ _SQL = {
         SELECT {_KEYS}, CAST(rank AS INTEGER) AS rank
         FROM (SELECT *, rank() OVER (ORDER BY measurement_value DESC) AS rank FROM listed
               WHERE codesource_area IN (SELECT codesource_area FROM within_default)) WHERE rank <= 10""",
+    "top_rows_fractional": """
+        SELECT codesource_area, species, CAST(round(v, 2) AS DOUBLE) AS measurement_value, CAST(r AS INTEGER) AS rank
+        FROM (SELECT *, rank() OVER (ORDER BY v DESC) AS r FROM (
+              SELECT CAST(l_suppkey AS VARCHAR) AS codesource_area, p_type AS species,
+                     SUM(CAST(l_extendedprice * (1 - l_discount) AS DECIMAL(28, 9))) AS v
+              FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL)) WHERE r <= 10""",
+    "top_gears_fractional": """
+        SELECT gear_type, CAST(round(v, 2) AS DOUBLE) AS measurement_value
+        FROM (SELECT *, rank() OVER (ORDER BY v DESC) AS r FROM (
+              SELECT p_brand AS gear_type, SUM(CAST(l_extendedprice * (1 - l_discount) AS DECIMAL(28, 9))) AS v
+              FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL)) WHERE r <= 9""",
+    "map_deciles_fractional": """
+        SELECT * FROM (WITH sums AS (
+          SELECT CAST(l_suppkey AS VARCHAR) AS codesource_area, p_type AS dataset,
+                 CAST(SUM(CAST(l_extendedprice * (1 - l_discount) AS DECIMAL(28, 9))) AS DOUBLE) AS v
+          FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL),
+        breaks AS (SELECT quantile_cont(v, [0.1,0.2,0.3,0.4,0.5,0.6,0.7,0.8,0.9]) AS b FROM sums)
+        SELECT codesource_area, dataset, CAST(1 + len(list_filter(b, lambda x: x <= v)) AS INTEGER) AS decile
+        FROM sums, breaks)""",
 }
 
 

@@ -13,8 +13,9 @@ from gridcompare import schema as S
 from gridcompare.functions.scalars import recode_gridtype
 from gridcompare.operators import areas as A
 from gridcompare.operators import ingest as I
+from gridcompare.operators import spatial as SP
 from gridcompare.operators.selection import Selection
-from gridcompare.sources.stored import StoredTables
+from gridcompare.sources.stored import StoredTables, materialise
 
 LEVEL0 = "global_nominal_catch_firms_level0"
 LEVEL1 = "global_catch_level1"
@@ -111,7 +112,7 @@ class DriverTables(StoredTables):
 
     def layouts(self) -> dict[str, DataFrame]:
         """The three published layouts: level 0, level 1 and level 2 with their own column names."""
-        raw = self.raw_catch()
+        raw = materialise(self.spark, "raw_catch", self.fact_inputs(), self.raw_catch, partition_by=["dataset"])
 
         def published(dataset: str, names: dict[str, str]) -> DataFrame:
             return raw.where(F.col("dataset") == dataset).drop("dataset").withColumnsRenamed(names)
@@ -282,6 +283,12 @@ class DriverTables(StoredTables):
         feature = F.concat(F.lit('{"geometry":{"coordinates":[['), F.concat_ws(",", *pairs), F.lit("]]}}"))
         return placed.select("event_id", feature.alias("feature"))
 
+    def drawn(self) -> DataFrame:
+        """The drawn rectangles, read from their features once and stored."""
+        return materialise(
+            self.spark, "drawn", [self.path("events")], lambda: SP.drawn_rectangles(self.drawn_features())
+        )
+
 
 def _area_code():
     return F.when(F.col("l_suppkey") % 20 != 7, F.col("l_suppkey").cast("string")).alias("codesource_area")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,10 +27,11 @@ FACT_COLUMNS = (
     "codesource_area",
     "geom_id",
 )
+# Fixed value: the first polygon of a geometry as text, in the database's own functions.
 FIRST_PART = "ST_AsText(ST_GeometryN(geom, 1)) AS geom"
 
 
-def fact_query(table: str = "public.shinycatch") -> str:
+def fact_query(table: str) -> str:
     """Subquery with only the needed columns and the first polygon of each geometry as text."""
     return f"(SELECT {', '.join(FACT_COLUMNS)}, {FIRST_PART} FROM {table}) AS fact"
 
@@ -56,9 +58,7 @@ def partition_options(first_id: int, last_id: int, partitions: int, fetch_rows:
     }
 
 
-def read_fact(
-    spark: SparkSession, env: Mapping[str, str], table: str = "public.shinycatch", partitions: int = 64
-) -> DataFrame:
+def read_fact(spark: SparkSession, env: Mapping[str, str], table: str, partitions: int = 64) -> DataFrame:
     """Read the table in parallel. Only the smallest and largest row id are fetched beforehand."""
     reader = spark.read.format("jdbc").options(**connection_options(env))
     bounds = reader.option("dbtable", f"(SELECT min(ogc_fid) AS a, max(ogc_fid) AS b FROM {table}) AS bounds").load().first()
@@ -68,6 +68,9 @@ def read_fact(
     return reader.load()
 
 
-def stored_fact(spark: SparkSession, env: Mapping[str, str], version: str, **read_options) -> DataFrame:
-    """The table as stored parquet, fetched from the database on first use of ``version``."""
-    return materialise(spark, "database_fact", [], lambda: read_fact(spark, env, **read_options), version=version)
+def stored_fact(spark: SparkSession, env: Mapping[str, str], version: str, table: str, partitions: int = 64) -> DataFrame:
+    """The table as stored parquet, fetched from the database on first use of ``version``. Databases and tables
+    are told apart."""
+    source = f"{connection_options(env)['url']}\n{fact_query(table)}"
+    key = f"{version}-{hashlib.sha256(source.encode()).hexdigest()[:16]}"
+    return materialise(spark, "database_fact", [], lambda: read_fact(spark, env, table, partitions), version=key)

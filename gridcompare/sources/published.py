@@ -12,7 +12,14 @@ from pyspark.sql import functions as F
 from gridcompare.operators import areas as A
 from gridcompare.operators import facets as FA
 from gridcompare.operators import ingest as I
-from gridcompare.operators.selection import Selection, SelectionResult, apply_selection, next_selection
+from gridcompare.operators import spatial as SP
+from gridcompare.operators.selection import (
+    Selection,
+    SelectionResult,
+    apply_selection,
+    next_selection,
+    recognise_reset,
+)
 from gridcompare.sources import files
 from gridcompare.sources.stored import StoredTables, materialise
 
@@ -30,6 +37,7 @@ class Inputs:
     nominal_areas: str
     codelists: Mapping[str, str] = field(default_factory=dict)
     records: str | None = None
+    multiline: bool = False  # fields of the CSV files may hold line breaks
 
 
 class PublishedFiles(StoredTables):
@@ -91,8 +99,10 @@ class PublishedFiles(StoredTables):
                 by_columns.setdefault(tuple(files.csv_columns(self.spark, path)), []).append(path)
             else:
                 frames.append(I.harmonise(self._unsplit(entry), entry["code"]))
-        for paths in by_columns.values():
-            raw = files.with_file_provenance(files.read_observations_csv(self.spark, paths))
+        for columns, paths in by_columns.items():
+            raw = files.with_file_provenance(
+                files.read_observations_csv(self.spark, paths, columns, self.inputs.multiline)
+            )
             frames.append(I.harmonise(raw, F.col("dataset")))
         return I.stack(frames)
 
@@ -118,14 +128,30 @@ class PublishedFiles(StoredTables):
         return {name: files.read_codelist(self.spark, path) for name, path in self.inputs.codelists.items()}
 
     def facets(self) -> DataFrame:
-        """``(dimension, code, label)`` of everything a user can choose."""
-        return FA.facet_labels(self.values(), self.codelists())
+        """``(dimension, code, label, sort_label, pos)`` of everything a user can choose, in display order by ``pos``."""
+        return FA.ordered_labels(FA.facet_labels(self.values(), self.codelists()))
+
+    def datasets(self) -> DataFrame:
+        """The dataset list with titles, identifiers and links."""
+        return FA.dataset_facet(FA.values_of(self.values(), "dataset"), self.manifest())
 
     def select(self, selection: Selection, previous: SelectionResult | None = None) -> SelectionResult:
-        """Apply a selection, from the previous result when that holds all rows needed."""
+        """Apply a selection. Lists that hold every value are a reset."""
+        selection = recognise_reset(selection, self.values())
         if previous is None:
             return apply_selection(self.grouped(), self.areas(), selection)
         return next_selection(self.grouped(), self.areas(), previous, selection)[0]
 
+    def draw(self, feature: str, previous: SelectionResult) -> SelectionResult | None:
+        """Apply a drawn rectangle (GeoJSON) to the previous selection. None when it shares no point with the areas
+        shown, so there is nothing to select. Holes of areas count as area."""
+        drawn = SP.drawn_rectangles(self.spark.createDataFrame([(feature,)], "feature string"))
+        if not SP.disjoint_rectangles(drawn, previous.footprint).isEmpty():
+            return None
+        return self.select(previous.selection.with_values(polygon=drawn.first()["wkt"]), previous)
+
     def default(self) -> SelectionResult:
-        return self.select(Selection.default())
+        """The default selection; its rows are stored on first use."""
+        result = self.select(Selection.default())
+        inputs = self.fact_inputs() + self.area_inputs()
+        return result.read_from(materialise(self.spark, "default_selection", inputs, lambda: result.filtered))

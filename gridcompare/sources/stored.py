@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import hashlib
 import json
+import logging
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator, Sequence
@@ -16,22 +19,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gridcompare.operators import areas as AR
 from gridcompare.operators import facets as FA
 from gridcompare.operators import grouped as GR
 
 
 @cache
-def _local_root() -> str:
-    return tempfile.mkdtemp(prefix="gridcompare-")
+def _local_root(application: str) -> str:
+    folder = tempfile.mkdtemp(prefix=f"gridcompare-{application}-")
+    logging.getLogger(__name__).warning("spark.checkpoint.dir is unset; tables of this local session are stored in %s", folder)
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
 
 
-def storage_root(spark: SparkSession) -> str | None:
-    """Shared folder for stored tables: ``spark.checkpoint.dir``. Where it is unset, a local session uses a
-    temporary folder and a cluster session stores nothing."""
+def storage_root(spark: SparkSession) -> str:
+    """Shared folder for stored tables: ``spark.checkpoint.dir``. Where it is unset, a local session uses a folder
+    that it names in a warning and removes at its end; a cluster session cannot work without the setting."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return f"{configured.rstrip('/')}/gridcompare"
-    return _local_root() if spark.conf.get("spark.master", "").startswith("local") else None
+    if spark.conf.get("spark.master", "").startswith("local"):
+        return _local_root(spark.sparkContext.applicationId)
+    raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
 
 
 @cache
@@ -119,12 +128,11 @@ def materialise(
     columns are sorted inside each file, so filters on them skip row groups.
     """
     root = storage_root(spark)
-    if root is None:
-        return build()
-    inputs = tuple(sorted(inputs))
+    inputs = tuple(inputs)  # in the order of their roles
     session_key = (spark.sparkContext.applicationId, root, name, inputs, version)
     if session_key not in _opened:
-        key = "-".join(filter(None, [name, version, fingerprint(spark, inputs) if inputs else _code_version()]))
+        roles = hashlib.sha256("\n".join(inputs).encode()).hexdigest()[:12]
+        key = "-".join(filter(None, [name, version, f"{fingerprint(spark, inputs)}-{roles}" if inputs else _code_version()]))
         registry = f"{root}/registry"
         _opened[session_key] = _stored(spark, registry, key) or _store(
             spark, registry, key, f"{root}/{key}/{uuid.uuid4().hex}", build(), partition_by, cluster_by
@@ -171,8 +179,15 @@ class StoredTables:
         return GR.grouped_fact(self.facts(), self.areas())
 
     def areas(self) -> DataFrame:
-        """The numbered area dimension, stored on first use."""
-        return materialise(self.spark, "areas", self.area_inputs(), self.build_areas)
+        """The numbered area dimension, stored on first use. Its codes must be unique, or facts would be repeated."""
+        return materialise(self.spark, "areas", self.area_inputs(), self._checked_areas)
+
+    def _checked_areas(self) -> DataFrame:
+        areas = self.build_areas()
+        repeated = [row["codesource_area"] for row in AR.repeated_codes(areas).limit(5).collect()]
+        if repeated:
+            raise ValueError(f"area codes are listed more than once: {', '.join(map(str, repeated))}")
+        return areas
 
     def grouped(self) -> DataFrame:
         """The grouped fact, stored on first use: one folder per dataset, sorted by unit, species and year."""

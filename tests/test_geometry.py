@@ -235,12 +235,11 @@ def test_hull_centre_of_nothing(spark):
 # ---- dimension
 
 
-def test_long_footprints_continue_in_the_next_chunk(spark):
+def test_a_footprint_is_one_text_per_area(spark):
     shapes = {f"{i:03d}": square(i, 0) for i in range(25)}
-    frame = A.footprint(areas_frame(spark, shapes))
-    rows = sorted(A.footprint_text(frame, chunk_rows=10).collect(), key=lambda r: r["chunk"])
-    assert [r["footprint"].count("((") for r in rows] == [10, 10, 5]
-    assert rows[0]["footprint"].startswith("MULTIPOLYGON (((0 0,1 0,1 1,0 1,0 0)),((1 0,")
+    rows = {r["codesource_area"]: r["footprint"] for r in A.footprint_text(A.footprint(areas_frame(spark, shapes))).collect()}
+    assert len(rows) == 25
+    assert rows["001"] == "MULTIPOLYGON (((1 0,2 0,2 1,1 1,1 0)))"
 
 
 def test_repeated_codes_are_reported(spark):

@@ -99,16 +99,34 @@ EXPECTED = [("IOTC", None, "1.5", 'a, "b"'), ("ICCAT", "", None, "")]
 def test_csv_reader_tells_missing_from_blank(spark, tmp_path):
     path = tmp_path / "obs.csv"
     path.write_text(CSV)
-    raw = files.read_observations_csv(spark, str(path))
-    raw = raw.withColumn("note", F.regexp_replace("note", r'\\"|""', '"'))
+    raw = files.read_observations_csv(spark, str(path), files.csv_columns(spark, str(path)))
     assert {t for _, t in raw.dtypes} == {"string"}
-    assert [tuple(r) for r in raw.select("source_authority", "flag", "value").collect()] == [e[:3] for e in EXPECTED]
+    assert [tuple(r) for r in raw.collect()] == EXPECTED
+
+
+QUOTED = 'a,b,c\n1,"he said ""hi"", ok",x\n2,"two\nlines",y\n'
+
+
+def test_quotes_commas_and_line_breaks_are_the_same_in_csv_and_zip(spark, tmp_path):
+    path = tmp_path / "q.csv"
+    path.write_text(QUOTED)
+    with zipfile.ZipFile(tmp_path / "q.zip", "w") as archive:
+        archive.writestr("q.csv", QUOTED)
+    zipped = [tuple(r) for r in files.read_observations_zip(spark, str(tmp_path / "q.zip")).collect()]
+    assert zipped == [("1", 'he said "hi", ok', "x"), ("2", "two\nlines", "y")]
+    columns = files.csv_columns(spark, str(path))
+    plain = files.read_observations_csv(spark, str(path), columns, multiline=True)
+    assert [tuple(r) for r in plain.collect()] == zipped
+    with pytest.raises(Exception, match="(?i)malformed"):
+        files.read_observations_csv(spark, str(path), columns).collect()
+    with pytest.raises(Exception, match="(?i)malformed"):
+        files.read_observations_csv(spark, str(path), columns).select("a").collect()
 
 
 def test_dataset_from_file_name(spark, tmp_path):
     for name in ("one_1.csv", "two + 3%_2.csv"):
         (tmp_path / name).write_text("a,b\n1,2\n")
-    raw = files.with_file_provenance(files.read_observations_csv(spark, str(tmp_path)))
+    raw = files.with_file_provenance(files.read_observations_csv(spark, str(tmp_path), ["a", "b"]))
     assert {r["dataset"] for r in raw.collect()} == {"one_1", "two + 3%_2"}
 
 

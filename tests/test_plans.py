@@ -4,9 +4,9 @@ import re
 
 import pytest
 
-import __spark_entry__ as entry
+from gridcompare.plans.catalog import all_queries
 
-QUERIES = entry.queries()
+QUERIES = all_queries()
 PYTHON_QUERIES = {"hull_centre"}
 
 
@@ -60,3 +60,30 @@ def test_unused_columns_are_not_read(spark, small_dir):
     plan = plan_of(QUERIES["union_datasets"](spark, small_dir))
     schemas = re.findall(r"ReadSchema: struct<(.*?)>", plan)
     assert schemas and not any("l_extendedprice" in s or "l_quantity" in s for s in schemas)
+
+
+def test_a_chain_of_selections_keeps_its_size(spark, small_dir):
+    from gridcompare.operators import selection as SE
+    from gridcompare.plans.catalog import CHAIN
+    from gridcompare.sources.driver_tables import DriverTables
+
+    tables = DriverTables(spark, small_dir)
+    result, sizes, scans = SE.apply_selection(tables.grouped(), tables.areas(), CHAIN[0]), [], []
+    for selection in CHAIN[1:]:
+        result, _ = SE.next_selection(tables.grouped(), tables.areas(), result, selection)
+        for frame in (result.filtered, result.base, result.footprint):
+            scans.append(plan_of(frame).split("== Initial Plan ==")[0].count("measurement_value:double"))
+        sizes.append(len(result.filtered._jdf.queryExecution().analyzed().toString()))
+    assert max(sizes) < 1.5 * sizes[0]
+    assert max(scans) <= 2
+
+
+def test_a_list_of_ten_thousand_values_is_a_filter_of_the_scan(spark, small_dir):
+    from gridcompare.operators.selection import Selection, filter_dimensions
+    from gridcompare.sources.driver_tables import LEVEL1, DriverTables
+
+    grouped = DriverTables(spark, small_dir).grouped()
+    short = filter_dimensions(grouped, Selection(dataset=(LEVEL1,), year=(1997,)))
+    long = filter_dimensions(grouped, Selection(dataset=(LEVEL1, *map(str, range(10_000))), year=("1997", "x")))
+    assert re.search(r"PartitionFilters: \[.*dataset", plan_of(long))
+    assert sorted(map(tuple, long.collect()), key=repr) == sorted(map(tuple, short.collect()), key=repr)

@@ -101,6 +101,38 @@ def test_selections_step_by_step(published):
     first.release()
 
 
+def test_the_default_is_stored_and_read(published):
+    first = published.default()
+    assert "default_selection" in first.filtered._jdf.queryExecution().optimizedPlan().toString() or first.filtered.inputFiles()
+    assert [tuple(r) for r in published.default().filtered.collect()] == [tuple(r) for r in first.filtered.collect()]
+
+
+def test_a_drawing_that_misses_the_footprint_selects_nothing(published):
+    ring = lambda x, y: f'{{"geometry":{{"coordinates":[[[{x},{y}],[{x},{y + 2}],[{x + 2},{y + 2}],[{x + 2},{y}],[{x},{y}]]]}}}}'
+    first = published.default()
+    assert published.draw(ring(100, 60), first) is None
+    drawn = published.draw(ring(-1, -1), first)
+    assert {r["codesource_area"] for r in drawn.filtered.collect()} == {"100"}
+
+
+def test_facets_have_places(published):
+    rows = [r for r in published.facets().collect() if r["dimension"] == "fishing_fleet"]
+    assert [r["code"] for r in sorted(rows, key=lambda r: r["pos"])] == ["EUESP", "FRA", "EUFRA"]
+    assert published.datasets().count() == 4
+
+
+def test_parquet_fact_from_file_to_map(spark, published, tmp_path):
+    from gridcompare.operators.selection import apply_selection
+    from gridcompare.sources.parquet_fact import ParquetFact
+
+    shapes = published.areas().select("codesource_area", "gridtype", "geom_wkt", "ogc_fid")
+    published.facts().join(shapes, "codesource_area", "left").write.parquet(str(tmp_path / "fact"))
+    fact = ParquetFact(spark, str(tmp_path / "fact"))
+    result = apply_selection(fact.grouped(), fact.areas(), Selection(polygon="POLYGON ((-1 -1,4 -1,4 4,-1 4,-1 -1))"))
+    cells = V.map_view(V.map_cells(result.filtered), fact.areas())
+    assert {(r["codesource_area"], r["xmin"]) for r in cells.collect()} == {("100", 0.0), ("N1", 1.0)}
+
+
 def test_manifest_has_titles(published):
     titles = {r["code"]: (r["title"], r["identifier"]) for r in published.manifest().collect()}
     assert titles == {

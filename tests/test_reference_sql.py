@@ -5,8 +5,10 @@ import pytest
 import __spark_entry__ as entry
 import compare
 from conftest import SMALL
+from gridcompare.plans.catalog import all_queries
+from gridcompare.plans.reference_sql import all_reference_sql
 
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+QUERIES, SQL = all_queries(), all_reference_sql()
 
 
 @pytest.fixture(scope="module")
@@ -17,6 +19,7 @@ def duck():
 
 def test_every_query_has_reference_sql():
     assert set(QUERIES) == set(SQL)
+    assert set(QUERIES) <= set(entry.queries()) and set(SQL) <= set(entry.oracle_sql())
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))

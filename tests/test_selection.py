@@ -67,13 +67,44 @@ def test_empty_list_keeps_nothing(facts):
     assert SE.filter_dimensions(facts, Selection(species=())).isEmpty()
 
 
-def test_long_lists_are_joined_with_the_same_result(facts, monkeypatch):
-    years, fleets = tuple(range(1500, 2012)), ("FR", None, *map(str, range(300)))
-    selection = Selection(year=years, fishing_fleet=fleets)
-    joined = SE.filter_dimensions(facts, selection)
-    assert "LeftSemi" in joined._jdf.queryExecution().executedPlan().toString()
-    monkeypatch.setattr(SE, "INLINE_VALUES", 10_000)
-    assert sorted(map(tuple, joined.collect()), key=repr) == sorted(map(tuple, SE.filter_dimensions(facts, selection).collect()), key=repr)
+def test_long_lists_and_text_values(facts):
+    years, fleets = tuple(str(y) for y in range(1500, 2012)), ("FR", None, *map(str, range(300)))
+    long = SE.filter_dimensions(facts, Selection(year=years, fishing_fleet=fleets))
+    short = SE.filter_dimensions(facts, Selection(year=(2011,), fishing_fleet=("FR", None)))
+    assert sorted(map(tuple, long.collect()), key=repr) == sorted(map(tuple, short.collect()), key=repr)
+    assert not long.isEmpty()
+
+
+def test_all_values_of_all_lists_are_a_reset(spark, facts):
+    from gridcompare.operators import facets as FA
+
+    values = FA.facet_values(facts)
+    listed = {}
+    for r in values.where("value is not null").collect():
+        listed.setdefault(r["dimension"], []).append(r["value"])
+    full = Selection(**{k: tuple(v) for k, v in listed.items()}, polygon=NO_AREA)
+    assert SE.recognise_reset(full, values) == Selection.all(NO_AREA)
+    fewer = full.with_values(species=("YFT",))
+    assert SE.recognise_reset(fewer, values) == fewer
+    assert SE.recognise_reset(full.with_values(year=None), values) == full.with_values(year=None)
+
+
+def test_many_steps_end_like_a_fresh_selection(facts, areas):
+    steps = [
+        EVERYTHING,
+        EVERYTHING.with_values(year=(2011,)),
+        EVERYTHING.with_values(year=(2011,), species=("YFT",)),
+        EVERYTHING.with_values(year=(2011,), species=("none",)),
+        EVERYTHING.with_values(polygon=NO_AREA),
+        EVERYTHING.with_values(dataset=("d1",)),
+    ]
+    result = SE.apply_selection(facts, areas, steps[0])
+    statuses = []
+    for step in steps[1:]:
+        result, _ = SE.next_selection(facts, areas, result, step)
+        statuses.append(result.status)
+    assert statuses == [SE.APPLIED, SE.APPLIED, SE.DIMENSION_FALLBACK, SE.SPATIAL_FALLBACK, SE.APPLIED]
+    assert as_set(result.filtered) == as_set(SE.selected(facts, areas, steps[-1]))
 
 
 def test_rows_without_area_are_dropped(spark, facts):

@@ -66,9 +66,33 @@ def test_layout_of_a_stored_table(spark, root):
     assert {(r["dataset"], r["unit"], r["n"], r["v"]) for r in table.collect()} == {("007", "", 2, None), ("d", "t", 1, 1.5)}
 
 
-def test_without_shared_folder_nothing_is_stored(spark, monkeypatch):
-    monkeypatch.setattr(stored, "storage_root", lambda spark: None)
-    assert stored.materialise(spark, "t", ["/nowhere"], lambda: spark.range(3)).count() == 3
+def test_a_cluster_needs_a_shared_folder():
+    class Conf:
+        def get(self, name, default=""):
+            return {"spark.master": "yarn"}.get(name, default)
+
+    class Cluster:
+        conf = Conf()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        stored.storage_root(Cluster())
+
+
+def test_inputs_are_told_apart_by_role(spark, root):
+    one = source(spark, root, "a")[0]
+    two = str(root / "other")
+    spark.range(1).write.parquet(two)
+    assert stored.materialise(spark, "t", [one, two], lambda: spark.range(4)).count() == 4
+    assert stored.materialise(spark, "t", [two, one], lambda: spark.range(9)).count() == 9
+
+
+def test_databases_and_tables_are_told_apart(spark, root, monkeypatch):
+    from gridcompare.sources import jdbc
+
+    monkeypatch.setattr(jdbc, "read_fact", lambda spark, env, table, partitions: spark.createDataFrame([(env["DB_HOST"], table)], "h string, t string"))
+    env = lambda host: {"DB_HOST": host, "DB_NAME": "d", "DB_USER_READONLY": "u", "DB_PASSWORD": "p"}
+    for host, table in (("one", "a"), ("two", "a"), ("two", "b")):
+        assert tuple(jdbc.stored_fact(spark, env(host), "v1", table).first()) == (host, table)
 
 
 def test_fact_round_trip(spark, tmp_path):

@@ -140,7 +140,7 @@ def test_missing_label_shows_the_code(spark):
 def test_gears_fall_back_to_codes_when_the_list_repeats_one(spark):
     values = codes(spark, "01", "02")
     clean = spark.createDataFrame([("01", "One")], "code string, label string")
-    assert {tuple(r) for r in FA.gear_facet(values, clean).collect()} == {("01", "One"), ("02", "02")}
+    assert {tuple(r) for r in FA.gear_facet(values, clean).select("code", "label").collect()} == {("01", "One"), ("02", "02")}
     repeated = clean.union(spark.createDataFrame([("01", "Uno")], clean.schema))
     assert {r["label"] for r in FA.gear_facet(values, repeated).collect()} == {"01", "02"}
 
@@ -155,8 +155,8 @@ def test_unknown_species_and_missing_definition(spark):
 
 
 def test_labels_sort_as_in_english(spark):
-    labels = spark.createDataFrame([("d", l, l) for l in ["b", "Z", "a", "é", "A", "B", "z"]], "dimension string, code string, label string")
-    ordered = [r["label"] for r in sorted(FA.ordered_labels(labels).collect(), key=lambda r: r["pos"])]
+    labels = spark.createDataFrame([("d", l, "shown", l) for l in ["b", "Z", "a", "é", "A", "B", "z"]], "dimension string, code string, label string, sort_label string")
+    ordered = [r["code"] for r in sorted(FA.ordered_labels(labels).collect(), key=lambda r: r["pos"])]
     assert ordered == ["a", "A", "b", "B", "é", "z", "Z"]
 
 
@@ -182,3 +182,21 @@ def test_last_taxon_match_wins(spark):
     species = spark.createDataFrame([("a", "Thunnus"), ("b", "Thunnini"), ("c", None), ("d", "Nobody")], "code string, taxon_scientific_name string")
     matches = spark.createDataFrame([("Thunnus", 1, 10), ("Thunnus", 3, 30), ("Thunnus", 2, 20), ("Thunnini", 1, 99)], "name string, pos int, aphia_id int")
     assert {r["code"]: r["aphia_id"] for r in FA.taxon_ids(species, matches).collect()} == {"a": 30, "b": None, "c": None, "d": None}
+
+
+def test_a_year_that_is_missing_is_one_of_the_years(spark):
+    series = spark.createDataFrame([("d", 2011, "t", 5.0), ("d", None, "t", 7.0)], "dataset string, year int, measurement_unit string, measurement_value double")
+    assert {(r["year"], r["measurement_value"]) for r in V.series_dense(series).collect()} == {(2011, 5), (None, 7)}
+
+
+def test_a_single_unit_has_columns_without_suffix(spark):
+    series = spark.createDataFrame([("d1", 2011, "HOOKS", 5.0), ("d2", 2012, "HOOKS", 0.0)], "dataset string, year int, measurement_unit string, measurement_value double")
+    dated = V.series_by_date(series, ["d1", "d2"])
+    assert dated.columns == ["date", "d1", "d2"]
+    assert sorted((r["d1"], r["d2"]) for r in dated.collect()) == [(0.0, 0.0), (5.0, 0.0)]
+
+
+def test_values_missing_from_a_pivot_list_are_an_error(spark):
+    series = spark.createDataFrame([("d3", 2011, "t", 5.0)], "dataset string, year int, measurement_unit string, measurement_value double")
+    with pytest.raises(ValueError, match="d3"):
+        V.series_wide(series, ["d1", "d2"])
