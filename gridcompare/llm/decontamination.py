@@ -119,9 +119,9 @@ def decontamination_report(docs: DataFrame, benchmark: DataFrame, *keep: str) ->
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose text holds no benchmark window, all columns as they are."""
-    hits = contaminated_words(docs, benchmark).select("text_key", "n_words")
+    hits = contaminated_words(docs, benchmark)
+    hits = hits.select(F.col("text_key").alias("_hit_key"), F.col("n_words").alias("_hit_size"))
     key, size = text_key("_words")
     marked = docs.withColumn("_words", words_of(F.col("text"))).withColumns({"_key": key, "_size": size}).drop("_words")
-    return marked.join(
-        hits, (F.col("_key") == F.col("text_key")) & (F.col("_size") == F.col("n_words")), "left_anti"
-    ).drop("_key", "_size")
+    same = (F.col("_key") == F.col("_hit_key")) & (F.col("_size") == F.col("_hit_size"))
+    return marked.join(hits, same, "left_anti").drop("_key", "_size")

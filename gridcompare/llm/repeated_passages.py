@@ -61,6 +61,11 @@ def _words(part: pa.RecordBatch) -> tuple[np.ndarray, ...]:
     return word_hashes(data, starts, ends, lower=False), before
 
 
+def _version(words: np.ndarray) -> int:
+    """A number that tells rows with one doc_id apart."""
+    return int(mix(np.array([words.sum(dtype=np.uint64)])).view(np.int64)[0])
+
+
 def _list_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in chunks(batch, "text"):
@@ -85,7 +90,7 @@ def _cut_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             out: list[list] = [[], [], [], [], [], [], []]
             for i, segments in enumerate(part.column("segments").to_pylist()):
                 mine = words[before[i] : before[i + 1]]
-                version = int(mix(np.array([mine.sum(dtype=np.uint64)])).view(np.int64)[0]) if len(mine) else 0
+                version = _version(mine)
                 for s in segments:
                     piece = mine[s["start"] : s["start"] + s["windows"] + WINDOW - 1]
                     if len(piece) < s["windows"] + WINDOW - 1:  # listed for another row with this id
@@ -247,12 +252,14 @@ def _keep_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for i, ranges in enumerate(part.column("ranges").to_pylist()):
                 low, high = int(before[i]), int(before[i + 1])
                 mine = words[low:high]
-                version = int(mix(np.array([mine.sum(dtype=np.uint64)])).view(np.int64)[0]) if len(mine) else 0
+                version = _version(mine)
                 gone = np.zeros(high - low, bool)
                 for r in ranges or []:
-                    if r["version"] is None:
+                    if r["version"] != version:
+                        continue
+                    if r["windows"] is None:
                         gone[:] = True
-                    elif r["version"] == version:
+                    else:
                         for k in r["windows"]:
                             gone[r["start"] + k : r["start"] + k + WINDOW] = True
                 left = low + np.flatnonzero(~gone)
@@ -273,8 +280,9 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             place = np.arange(1, max(map(len, rows), default=0) + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
             one = [int(mix(r * place[: len(r)]).sum(dtype=np.uint64).view(np.int64)) for r in rows]
             two = [int(mix(r ^ mix(place[: len(r)])).sum(dtype=np.uint64).view(np.int64)) for r in rows]
+            versions = pa.array([_version(r) for r in rows], pa.int64())
             columns = [part.column("doc_id"), pa.array([len(r) for r in rows], pa.int32()), pa.array(one, pa.int64()), pa.array(two, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_words", "text_a", "text_b"])
+            yield pa.RecordBatch.from_arrays([*columns, versions], names=["doc_id", "n_words", "text_a", "text_b", "version"])
 
 
 def without_repeats(docs: DataFrame, most: int = MOST_SEGMENTS) -> DataFrame:
@@ -287,9 +295,12 @@ def without_repeats(docs: DataFrame, most: int = MOST_SEGMENTS) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     named = docs.where("doc_id IS NOT NULL AND text IS NOT NULL")
     # A document whose whole sequence of words is in an earlier one loses all of them.
-    rows = stored(named.mapInArrow(_describe, "doc_id long, n_words int, text_a long, text_b long").where(F.col("n_words") >= WINDOW), "sequences")
+    schema = "doc_id long, n_words int, text_a long, text_b long, version long"
+    rows = stored(named.mapInArrow(_describe, schema).where(F.col("n_words") >= WINDOW), "sequences")
+    one_text = rows.groupBy("doc_id").agg(F.min("version").alias("version"), F.max("version").alias("_other")).where("version = _other")
     first = rows.groupBy("n_words", "text_a", "text_b").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
-    copies = stored(rows.join(first, ["n_words", "text_a", "text_b"]).where("first < doc_id").select("doc_id").distinct(), "copies")
+    copies = rows.join(first, ["n_words", "text_a", "text_b"]).where("first < doc_id").select("doc_id").distinct()
+    copies = stored(copies.join(one_text.select("doc_id", "version"), "doc_id"), "copies")
     listed = named.mapInArrow(_list_segments, "doc_id long, minimizer long, start int, windows int")
     shared = listed.groupBy("minimizer").agg(F.min("doc_id").alias("_low"), F.max("doc_id").alias("_high"))
     shared = shared.where("_low < _high").select("minimizer")
@@ -308,7 +319,7 @@ def without_repeats(docs: DataFrame, most: int = MOST_SEGMENTS) -> DataFrame:
     earlier = F.filter(F.transform("holders", lambda h, i: F.when(h < F.col("doc_id"), i)), lambda k: k.isNotNull())
     repeated = cut.select("doc_id", "version", "start", "key_a", "key_b").join(holders, ["key_a", "key_b"])
     repeated = repeated.select("doc_id", "version", "start", earlier.alias("windows")).where("size(windows) > 0")
-    whole = copies.select("doc_id", F.lit(None).cast("long").alias("version"), F.lit(0).alias("start"), F.array().cast("array<int>").alias("windows"))
+    whole = copies.select("doc_id", "version", F.lit(0).alias("start"), F.lit(None).cast("array<int>").alias("windows"))
     ranges = repeated.unionByName(whole).groupBy("doc_id").agg(F.collect_list(F.struct("version", "start", "windows")).alias("ranges"))
     ranges = stored(ranges, "repeats")
     collect_garbage(docs.sparkSession)
