@@ -15,15 +15,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridcompare.llm.storage import drop_stored, stored
+from gridcompare.llm.storage import collect_garbage, drop_stored, stored
 
-NEIGHBOURS = 16
+NEIGHBOURS = 32
 REVERSE = 16
-TREES = 4
-LEAF = 192
+TREES = 12
+LEAF = 512
 ROUNDS = 3
-BEAM = 24
-POOL = 80
+BEAM = 48
+POOL = 160
 SEARCH_ROUNDS = 5
 CENTRES_A_TASK_GROUP = 400
 
@@ -170,6 +170,7 @@ def neighbour_graph(nodes: DataFrame, keep: int = NEIGHBOURS, rounds: int = ROUN
     for turn in range(rounds):
         before, graph = graph, stored(_improved(graph, nodes, count, keep, turn), "graph")
         drop_stored(before)
+        collect_garbage(nodes.sparkSession)
     return graph
 
 
