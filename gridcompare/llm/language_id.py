@@ -14,7 +14,7 @@ from __future__ import annotations
 import sys
 import unicodedata
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import cache
 
 import numpy as np
@@ -100,25 +100,24 @@ def _words(column: pa.Array) -> _Words:
     points, row_at = _code_point_rows(column)
     folded, script = _code_points()
     codes = folded[np.minimum(points, sys.maxunicode)]
-    inside = codes > 0
     # Rows are set apart by zeros, so that no word or gram spans two of them.
-    shift = np.repeat(np.arange(1, len(row_at)) * 2, np.diff(row_at))
+    place = np.repeat(np.arange(1, len(row_at), dtype=np.int32) * np.int32(2), np.diff(row_at))
+    place += np.arange(len(codes), dtype=np.int32)
     padded = np.zeros(len(codes) + 2 * len(row_at) + 2, np.uint32)
-    place = np.arange(len(codes)) + shift
     padded[place] = codes
     edge = padded > 0
     starts = np.flatnonzero(edge[1:] & ~edge[:-1]) + 1
     ends = np.flatnonzero(edge[:-1] & ~edge[1:]) + 1
     letters = np.flatnonzero(edge)
     firsts = np.searchsorted(letters, starts)
-    x, k1, k2 = padded.astype(np.uint32), np.uint32(0x9E3779B1), np.uint32(0x85EBCA77)
+    x, k1, k2 = padded, np.uint32(0x9E3779B1), np.uint32(0x85EBCA77)
     two = (x[letters - 1] * k1 + x[letters]) * k2
     three = (two + x[letters + 1]) * k1
     before = np.where(x[letters - 1] > 0, x[letters - 2], 0).astype(np.uint32)
     four = (three ^ (before * k2 + np.uint32(77))) * k2
-    grams = tuple((((g ^ (g >> np.uint32(15))) * k1) >> np.uint32(16)).astype(np.intp) for g in (two, three, four))
-    back = np.zeros(len(padded), np.int64)
-    back[place] = np.arange(len(codes))
+    grams = tuple((((g ^ (g >> np.uint32(15))) * k1) >> np.uint32(16)).astype(np.uint16) for g in (two, three, four))
+    back = np.zeros(len(padded), np.int32)
+    back[place] = np.arange(len(codes), dtype=np.int32)
     bits = (np.uint32(1) << script[points[back[letters]]].astype(np.uint32)) if len(letters) else np.zeros(0, np.uint32)
     scripts = np.bitwise_or.reduceat(bits, firsts) if len(firsts) else np.zeros(0, np.uint32)
     starts = back[starts]
@@ -146,7 +145,7 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang in set(langs):
             rows = batch.filter(pa.array(langs == lang))
             total = totals.setdefault(lang, np.zeros(BUCKETS + len(SCRIPTS) + 1, np.int64))
-            for part in chunks(rows, "text"):
+            for part in chunks(rows, "text", 1 << 20):
                 words = _words(part.column("text"))
                 for gram in words.grams:
                     total[:BUCKETS] += np.bincount(gram, minlength=BUCKETS)
@@ -240,10 +239,10 @@ _SPAN = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.strin
 
 def _identify_rows(part: pa.RecordBatch, model: LanguageModel) -> list[pa.Array]:
     pieces, scores = [], []
-    for piece in chunks(part, "text"):
+    for piece in chunks(part, "text", 1 << 20):
         words = _words(piece.column("text"))
         scores.append(_scores(words, model))
-        pieces.append(words)
+        pieces.append(replace(words, letters=None, grams=(), firsts=None, scripts=None))  # of no more use
     sizes = np.concatenate([np.diff(w.rows) for w in pieces])
     rows = np.concatenate([[0], np.cumsum(sizes)])
     labels = best_path(np.concatenate(scores), rows)
@@ -286,7 +285,7 @@ def identify(docs: DataFrame, model: LanguageModel, *keep: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(batch, "text", 8 << 20):
+            for part in chunks(batch, "text", 4 << 20):
                 found = _identify_rows(part, model) if model.languages else _undetermined(part.num_rows)
                 kept = [part.column(name) for name in ("doc_id", *keep)]
                 yield pa.RecordBatch.from_arrays([*kept, *found], names=["doc_id", *keep, "lang_pred", "score", "spans"])

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from gridcompare.llm.words import chunks
 
 LEAF_PIECES = 32
-CACHED_PIECES = 500_000
+CACHED_PIECES = 300_000
 CONTEXT = 2  # characters before an edit that can depend on it
 
 # Fixed value: how the tokenizer splits text before it merges bytes.
