@@ -71,6 +71,18 @@ def pre_tokens(normal: str) -> list[str]:
     return _FAST.findall(normal) if normal.isascii() or rare.isdisjoint(normal) else pattern.findall(normal)
 
 
+def normalized(text: str) -> str | None:
+    """What the tokenizer's normalizers make of a text, white space aside: composed, and lower-cased letter by
+    letter, so that a sigma at a word's end is like any other. None for the rare texts that must go through the
+    tokenizer whole: they hold a special token's marks, or lower case has put their accents out of order."""
+    if "<|" in text:
+        return None
+    if text.isascii():
+        return text.lower()
+    low = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+    return low if unicodedata.is_normalized("NFC", low) else None
+
+
 class WordIds:
     """The ids of pre-tokens as little-endian bytes, looked up, or made by the tokenizer on first use."""
 
@@ -103,10 +115,8 @@ class WordIds:
             self.known.update((word, self._whole(word)) for word in new)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """All ids of each text, four bytes each. A text with the marks of a special token goes through the
-        tokenizer whole."""
-        split, normalize = pre_tokens, self.tokenizer.normalizer.normalize_str
-        words = [None if "<|" in t else split(t.lower() if t.isascii() else normalize(t)) for t in texts]
+        """All ids of each text, four bytes each."""
+        words = [None if (low := normalized(t)) is None else pre_tokens(low) for t in texts]
         self._learn(set().union(*(w for w in words if w)))
         known = self.known.__getitem__
         return [self._whole(t) if w is None else b"".join(map(known, w)) for t, w in zip(texts, words, strict=True)]
@@ -124,10 +134,11 @@ def _cut(path: str):
     end = np.array([END], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids_of = word_ids(path)
         for batch in batches:
-            for part in chunks(batch, "text", 4 << 20):
+            for part in chunks(batch, "text", 2 << 20):
                 rows = []
-                encoded = word_ids(path).encode([t or "" for t in part.column("text").to_pylist()])
+                encoded = ids_of.encode([t or "" for t in part.column("text").to_pylist()])
                 for doc_id, ids in zip(part.column("doc_id").to_pylist(), encoded, strict=True):
                     ids += end
                     total = len(ids) // 4
@@ -136,6 +147,7 @@ def _cut(path: str):
                         rows.append((doc_id, start, len(piece) // 4, zlib.crc32(piece), total))
                 columns = [pa.array(column, pa.int64()) for column in zip(*rows, strict=True)]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+        ids_of.known.clear()  # a worker process goes on to other tasks
 
     return cut
 
