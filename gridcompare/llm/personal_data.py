@@ -2,8 +2,8 @@
 
 Emails, IP addresses, card and phone numbers found by fixed patterns are the seeds. Their left contexts (two
 words) become lexical patterns. Patterns and the identifier-like tokens that follow them form a graph, which is
-scored in rounds: a pattern is as trustworthy as the share of known identifiers among all that follows it in the
-corpus, plain words included; a token is as trustworthy as its patterns. Tokens above a threshold are new
+scored in rounds: a pattern is as trustworthy as the share of known identifiers among the different words that
+follow it in the corpus, plain ones included; a token is as trustworthy as its patterns. Tokens above a threshold are new
 identifiers, and count as known in the next round. DataFrame expressions only.
 """
 
@@ -110,35 +110,49 @@ def _trimmed(tokens: DataFrame) -> DataFrame:
     return tokens.withColumn("end", F.col("start") + F.char_length("value")).where("value <> ''")
 
 
-def _follower_counts(docs: DataFrame, contexts: DataFrame) -> DataFrame:
-    """(context, followers): how many words follow each context in the whole corpus."""
+def _follower_counts(texts: DataFrame, contexts: DataFrame) -> DataFrame:
+    """(context, followers): how many different words follow each context in ``texts``."""
     contexts = contexts.select("context", F.xxhash64("context").alias("pair"))
     if is_small(contexts, BROADCAST_PATTERNS):
         contexts = F.broadcast(contexts)
     words = F.split(F.lower("text"), r"\s+")
-    pairs = F.transform(
-        F.sequence(F.lit(1), F.size("words") - 2), lambda i: F.xxhash64(F.array_join(F.slice("words", i, 2), " "))
+    after = F.transform(
+        F.sequence(F.lit(1), F.size("words") - 2),
+        lambda i: F.struct(
+            F.xxhash64(F.array_join(F.slice("words", i, 2), " ")).alias("pair"), F.xxhash64(F.get("words", i + 1)).alias("next")
+        ),
     )
-    rows = docs.where("text IS NOT NULL").select(words.alias("words")).where("size(words) > 2")
-    return rows.select(F.explode(pairs).alias("pair")).join(contexts, "pair").groupBy("context").agg(F.count("pair").alias("followers"))
+    rows = texts.where("text IS NOT NULL").select(words.alias("words")).where("size(words) > 2")
+    found = rows.select(F.inline(after)).join(contexts, "pair").select("context", "next").distinct()
+    return found.groupBy("context").agg(F.count("next").alias("followers"))
 
 
-def discovered(docs: DataFrame, base: DataFrame, tokens: DataFrame) -> DataFrame:
-    """(value, kind): tokens that trusted contexts mark as identifiers of a kind."""
+def discovered(docs: DataFrame, texts: DataFrame, base: DataFrame, tokens: DataFrame) -> DataFrame:
+    """(value, kind): tokens that trusted contexts mark as identifiers of a kind.
+
+    The words that follow a context are first counted in ``texts``, the few that hold digits. Contexts that cannot be
+    trusted after that, because all their tokens together are too few among these words, need no count in ``docs``.
+    """
     seeds = base.select(F.col("context"), F.col("value"), "kind").where("context IS NOT NULL").distinct()
     shapes = [F.when(F.col("value").rlike(shape), F.lit(kind)) for kind, shape in SHAPES.items()]
     unknown = tokens.where("context IS NOT NULL").select("context", "value", F.explode(F.array_compact(F.array(*shapes))).alias("kind"))
     edges = stored(
         seeds.withColumn("seed", F.lit(True)).unionByName(unknown.distinct().withColumn("seed", F.lit(False))), "pattern-graph"
     )
-    usable = edges.groupBy("context", "kind").agg(F.count("value").alias("_n"), F.max("seed").alias("_seeded"))
-    contexts = stored(usable.where(F.col("_n") >= LEAST_SUPPORT).select("context").distinct(), "contexts")
     nothing = edges.select("value", "kind").limit(0)
-    if edges.where("NOT seed").isEmpty() or contexts.isEmpty():
+    if edges.where("NOT seed").isEmpty():
+        return nothing
+    usable = edges.groupBy("context", "kind").agg(F.countDistinct("value").alias("_n")).where(F.col("_n") >= LEAST_SUPPORT)
+    usable = stored(usable.groupBy("context").agg(F.max("_n").alias("_n")), "usable-contexts")
+    here = _follower_counts(texts, usable.select("context"))
+    contexts = usable.join(here, "context").where(F.col("_n") >= LEAST_CONFIDENCE * F.col("followers")).select("context")
+    contexts = stored(contexts, "contexts")
+    if contexts.isEmpty():
         return nothing
     followers = stored(_follower_counts(docs, contexts), "followers")
     edges = stored(edges.join(followers, "context"), "scored-graph")
-    known = edges.where("seed").select("value", "kind").distinct().withColumn("trust", F.lit(1.0))
+    seeds = stored(edges.where("seed").select("value", "kind").distinct().withColumn("trust", F.lit(1.0)), "seeds")
+    known = seeds
     for _ in range(ROUNDS):
         trusted = edges.join(known, ["value", "kind"])
         patterns = trusted.groupBy("context", "kind").agg(
@@ -149,9 +163,8 @@ def discovered(docs: DataFrame, base: DataFrame, tokens: DataFrame) -> DataFrame
             edges.where("NOT seed").join(patterns.select("context", "kind", "confidence"), ["context", "kind"])
             .groupBy("value", "kind").agg(F.least(F.lit(1.0), F.max("confidence")).alias("trust"))
         )
-        seeds = edges.where("seed").select("value", "kind").distinct().withColumn("trust", F.lit(1.0))
         known = stored(seeds.unionByName(new).groupBy("value", "kind").agg(F.max("trust").alias("trust")), "known")
-    return known.join(edges.where("seed").select("value", "kind").distinct(), ["value", "kind"], "left_anti").select("value", "kind")
+    return known.join(seeds.select("value", "kind"), ["value", "kind"], "left_anti").select("value", "kind")
 
 
 def find_spans(docs: DataFrame) -> DataFrame:
@@ -167,7 +180,7 @@ def find_spans(docs: DataFrame) -> DataFrame:
     at = ["text_key", "size"]
     touching = tokens.join(covered, at).where("start < _e AND _s < end").select(*at, "start", "end").distinct()
     free = tokens.join(touching, [*at, "start", "end"], "left_anti")
-    new = free.join(discovered(docs, base, free), "value")
+    new = free.join(discovered(docs, texts, base, free), "value")
     number = reduce(lambda c, k: c.when(F.col("kind") == k, KINDS.index(k)), KINDS[1:], F.when(F.col("kind") == KINDS[0], 0))
     entry = F.struct("start", number.alias("number"), "end", "kind")
     every = base.select(*at, "kind", "start", "end", F.lit(True).alias("fixed")).unionByName(
