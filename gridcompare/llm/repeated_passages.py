@@ -17,19 +17,22 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridcompare.llm.storage import collect_garbage, stored
-from gridcompare.llm.words import chunks, mix, text_buffer, window_hashes, word_hashes, word_spans
+from gridcompare.llm.storage import collect_garbage, drop_stored, stored
+from gridcompare.llm.words import chunks, mix, run_hashes, text_buffer, window_hashes, word_hashes, word_spans
 
 WINDOW = 13
 RUN = 4
 SHARD_WORDS = 1_500_000
 MOST_SEGMENTS = 20_000
+BYTES_A_WORD = 6
 
 # ---------------------------------------------------------------------------------------------
 # Segments
@@ -55,21 +58,23 @@ def _segments(words: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, ...]:
     return row[first], at[first] - before[row[first]], windows, smallest[first].view(np.int64)
 
 
-def _words(part: pa.RecordBatch) -> tuple[np.ndarray, ...]:
-    data, offsets = text_buffer(part.column("text"))
+def _words(column: pa.Array) -> tuple[np.ndarray, ...]:
+    """(hash of each word, words before each row, text as bytes, start of each word, end of each word)."""
+    data, offsets = text_buffer(column)
     starts, ends, before = word_spans(data, offsets)
-    return word_hashes(data, starts, ends, lower=False), before
+    return word_hashes(data, starts, ends, lower=False), before, data, starts, ends
 
 
-def _version(words: np.ndarray) -> int:
-    """A number that tells rows with one doc_id apart."""
-    return int(mix(np.array([words.sum(dtype=np.uint64)])).view(np.int64)[0])
+def _versions(words: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """A number for each row that tells rows with one doc_id apart."""
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(words, dtype=np.uint64)])
+    return mix(sums[before[1:]] - sums[before[:-1]]).view(np.int64)
 
 
 def _list_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in chunks(batch, "text"):
-            row, start, windows, minimizer = _segments(*_words(part))
+            row, start, windows, minimizer = _segments(*_words(part.column("text"))[:2])
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column("doc_id").take(pa.array(row)),
@@ -82,30 +87,32 @@ def _list_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def _cut_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The words (as hashes) of the listed segments of each document, and a key of them."""
+    """The listed segments of each document as text, and a key of their words."""
     for batch in batches:
         for part in chunks(batch, "text"):
-            words, before = _words(part)
-            ids = part.column("doc_id").to_pylist()
-            out: list[list] = [[], [], [], [], [], [], []]
-            for i, segments in enumerate(part.column("segments").to_pylist()):
-                mine = words[before[i] : before[i + 1]]
-                version = _version(mine)
-                for s in segments:
-                    piece = mine[s["start"] : s["start"] + s["windows"] + WINDOW - 1]
-                    if len(piece) < s["windows"] + WINDOW - 1:  # listed for another row with this id
-                        continue
-                    key = piece.copy()
-                    key[1:] += key[:-1] * np.uint64(0xD6E8FEB86659FD93)
-                    place = np.arange(1, len(key) + 1, dtype=np.uint64)
-                    one = mix(key * (place * np.uint64(2) + np.uint64(1))).sum(dtype=np.uint64)
-                    two = mix(piece ^ mix(place)).sum(dtype=np.uint64)
-                    row = (ids[i], version, s["start"], s["minimizer"], one.view(np.int64), two.view(np.int64), piece.tobytes())
-                    for column, value in zip(out, row, strict=True):
-                        column.append(value)
-            types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-            arrays = [pa.array(column, kind) for column, kind in zip(out, types, strict=True)]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "version", "start", "minimizer", "key_a", "key_b", "words"])
+            words, before, data, starts, ends = _words(part.column("text"))
+            listed = part.column("segments")
+            row = pc.list_parent_indices(listed).to_numpy()
+            segments = pc.list_flatten(listed)
+            start, windows, minimizer = (pc.struct_field(segments, i) for i in range(3))
+            low = before[row] + start.to_numpy()
+            size = windows.to_numpy().astype(np.int64) + WINDOW - 1
+            mine = np.flatnonzero(low + size <= before[row + 1])  # others are listed for another row with this id
+            row, low, size = row[mine], low[mine], size[mine]
+            raw = data.tobytes()
+            places = zip(starts[low].tolist(), ends[low + size - 1].tolist(), strict=True)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    part.column("doc_id").take(pa.array(row)),
+                    pa.array(_versions(words, before)[row]),
+                    start.take(pa.array(mine)),
+                    minimizer.take(pa.array(mine)),
+                    pa.array(run_hashes(words, low, size).view(np.int64)),
+                    pa.array(run_hashes(mix(words ^ np.uint64(0x5851F42D4C957F2D)), low, size).view(np.int64)),
+                    pa.array([raw[first:last] for first, last in places], pa.binary()).cast(pa.string(), safe=False),
+                ],
+                names=["doc_id", "version", "start", "minimizer", "key_a", "key_b", "words"],
+            )
 
 
 # ---------------------------------------------------------------------------------------------
@@ -188,9 +195,8 @@ def smallest_holders(segments: list[np.ndarray], holders: np.ndarray, size: int
 
 
 def _search_shard(table: pa.Table) -> pa.Table:
-    segments = [np.frombuffer(w, np.uint64) for w in table.column("words").to_pylist()]
-    holders = table.column("holder").to_numpy()
-    best = smallest_holders(segments, holders)
+    words, before, *_ = _words(table.column("words"))
+    best = smallest_holders(np.split(words, before[1:-1]), table.column("holder").to_numpy())
     found = table.select(["key_a", "key_b"])
     return found.append_column("holders", pa.array(best, pa.list_(pa.int64())))
 
@@ -202,13 +208,16 @@ def _search_shard(table: pa.Table) -> pa.Table:
 def _single_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
-        for a, b, words, holder in zip(*(batch.column(c).to_pylist() for c in ("key_a", "key_b", "words", "holder")), strict=True):
-            every = np.frombuffer(words, np.uint64)
-            for i, key in enumerate(window_hashes(every, WINDOW).view(np.int64).tolist()):
-                rows.append((a, b, i, key, every[i : i + WINDOW].tobytes(), holder))
+        words, before, data, starts, ends = _words(batch.column("words"))
+        keys, raw = window_hashes(words, WINDOW).view(np.int64).tolist(), data.tobytes()
+        names = zip(*(batch.column(c).to_pylist() for c in ("key_a", "key_b", "holder")), strict=True)
+        for (a, b, holder), low, high in zip(names, before[:-1].tolist(), before[1:].tolist(), strict=True):
+            for i in range(low, high - WINDOW + 1):
+                rows.append((a, b, i - low, keys[i], raw[starts[i] : ends[i + WINDOW - 1]], holder))
         columns = zip(*rows, strict=True) if rows else [[]] * 6
         types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int64()]
         arrays = [pa.array(c, t) for c, t in zip(columns, types, strict=True)]
+        arrays[4] = arrays[4].cast(pa.string(), safe=False)
         yield pa.RecordBatch.from_arrays(arrays, names=["of_a", "of_b", "place", "key_a", "words", "holder"])
 
 
@@ -217,7 +226,7 @@ def window_holders(distinct: DataFrame, most: int = MOST_SEGMENTS) -> DataFrame:
     smallest doc_id that holds each of its windows."""
     crowded = distinct.groupBy("minimizer").agg(F.count("holder").alias("_n")).where(F.col("_n") > most).select("minimizer")
     crowded = stored(crowded, "crowded")
-    total = distinct.agg(F.sum(F.octet_length("words") / 8)).first()[0] or 0
+    total = distinct.agg(F.sum(F.octet_length("words") / BYTES_A_WORD)).first()[0] or 0
     shards = max(1, math.ceil(total / SHARD_WORDS))
     shard = lambda key: F.pmod(F.xxhash64(key), F.lit(shards)).alias("shard")
     schema = "key_a long, key_b long, holders array<long>"
@@ -226,10 +235,10 @@ def window_holders(distinct: DataFrame, most: int = MOST_SEGMENTS) -> DataFrame:
     if crowded.isEmpty():
         return found
     single = distinct.join(crowded, "minimizer", "left_semi").select("key_a", "key_b", "words", "holder").mapInArrow(
-        _single_windows, "of_a long, of_b long, place int, key_a long, words binary, holder long"
+        _single_windows, "of_a long, of_b long, place int, key_a long, words string, holder long"
     )
     single = stored(single, "single-windows")
-    once = single.groupBy("key_a", "words").agg(F.min("holder").alias("holder"))
+    once = single.groupBy("key_a").agg(F.min("holder").alias("holder"), F.any_value("words").alias("words"))
     once = once.select(shard("key_a"), "key_a", F.lit(0).cast("long").alias("key_b"), "words", "holder")
     of_window = once.groupBy("shard").applyInArrow(_search_shard, schema).select("key_a", F.col("holders")[0].alias("holder"))
     back = single.select("of_a", "of_b", "place", "key_a").join(of_window, "key_a").groupBy("of_a", "of_b").agg(
@@ -241,33 +250,31 @@ def window_holders(distinct: DataFrame, most: int = MOST_SEGMENTS) -> DataFrame:
 
 
 def _keep_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The text without the words under repeated windows. ``ranges`` holds (version, start, bits of the windows)."""
+    """The text without the words under repeated windows. ``ranges`` holds (version, start, windows); no windows
+    stand for the whole text."""
     for batch in batches:
         for part in chunks(batch, "text"):
-            data, offsets = text_buffer(part.column("text"))
-            starts, ends, before = word_spans(data, offsets)
-            words = word_hashes(data, starts, ends, lower=False)
-            raw = data.tobytes()
-            counts, removed, kept = [], [], []
-            for i, ranges in enumerate(part.column("ranges").to_pylist()):
-                low, high = int(before[i]), int(before[i + 1])
-                mine = words[low:high]
-                version = _version(mine)
-                gone = np.zeros(high - low, bool)
-                for r in ranges or []:
-                    if r["version"] != version:
-                        continue
-                    if r["windows"] is None:
-                        gone[:] = True
-                    else:
-                        for k in r["windows"]:
-                            gone[r["start"] + k : r["start"] + k + WINDOW] = True
-                left = low + np.flatnonzero(~gone)
-                counts.append(high - low)
-                removed.append(int(gone.sum()))
-                kept.append(b" ".join([raw[s:e] for s, e in zip(starts[left].tolist(), ends[left].tolist(), strict=True)]))
+            words, before, data, *_ = _words(part.column("text"))
+            _, offsets = text_buffer(part.column("text"))
+            row = pc.list_parent_indices(part.column("ranges")).to_numpy()
+            version, start, windows = (pc.struct_field(pc.list_flatten(part.column("ranges")), i) for i in range(3))
+            mine = version.to_numpy() == _versions(words, before)[row]
+            of = pc.list_parent_indices(windows).to_numpy()
+            at = (before[row] + start.to_numpy())[of] + pc.list_flatten(windows).to_numpy()
+            at = at[mine[of]]
+            opened = np.bincount(at, minlength=len(words) + 1) - np.bincount(at + WINDOW, minlength=len(words) + 1)[: len(words) + 1]
+            gone = np.cumsum(opened)[: len(words)] > 0
+            for i in row[mine & windows.is_null().to_numpy(zero_copy_only=False)]:
+                gone[before[i] : before[i + 1]] = True
+            raw, left, removed, kept = data.tobytes(), ~gone, [], []
+            edges = zip(offsets[:-1].tolist(), offsets[1:].tolist(), before[:-1].tolist(), before[1:].tolist(), strict=True)
+            for first, last, low, high in edges:
+                some = left[low:high]
+                removed.append(high - low - int(some.sum()))
+                mine = raw[first:last].split()  # at the bytes that separate words
+                kept.append(b" ".join(compress(mine, some.tolist()) if removed[-1] else mine))
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string(), safe=False)],
+                [part.column("doc_id"), pa.array(np.diff(before)), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string(), safe=False)],
                 names=["doc_id", "n_words", "n_removed", "kept"],
             )
 
@@ -275,12 +282,12 @@ def _keep_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in chunks(batch, "text"):
-            words, before = _words(part)
+            words, before, *_ = _words(part.column("text"))
             rows = [words[i:j] for i, j in zip(before[:-1], before[1:], strict=True)]
             place = np.arange(1, max(map(len, rows), default=0) + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
             one = [int(mix(r * place[: len(r)]).sum(dtype=np.uint64).view(np.int64)) for r in rows]
             two = [int(mix(r ^ mix(place[: len(r)])).sum(dtype=np.uint64).view(np.int64)) for r in rows]
-            versions = pa.array([_version(r) for r in rows], pa.int64())
+            versions = pa.array(_versions(words, before))
             columns = [part.column("doc_id"), pa.array([len(r) for r in rows], pa.int32()), pa.array(one, pa.int64()), pa.array(two, pa.int64())]
             yield pa.RecordBatch.from_arrays([*columns, versions], names=["doc_id", "n_words", "text_a", "text_b", "version"])
 
@@ -310,11 +317,13 @@ def without_repeats(docs: DataFrame, most: int = MOST_SEGMENTS) -> DataFrame:
     )
     collect_garbage(docs.sparkSession)
     cut = named.join(open_segments, "doc_id").mapInArrow(
-        _cut_segments, "doc_id long, version long, start int, minimizer long, key_a long, key_b long, words binary"
+        _cut_segments, "doc_id long, version long, start int, minimizer long, key_a long, key_b long, words string"
     )
     cut = stored(cut, "segments")
+    collect_garbage(docs.sparkSession)
     distinct = cut.groupBy("key_a", "key_b", "minimizer").agg(F.min("doc_id").alias("holder"), F.any_value("words").alias("words"))
     distinct = stored(distinct, "distinct-segments")
+    collect_garbage(docs.sparkSession)
     holders = stored(window_holders(distinct, most), "holders")
     earlier = F.filter(F.transform("holders", lambda h, i: F.when(h < F.col("doc_id"), i)), lambda k: k.isNotNull())
     repeated = cut.select("doc_id", "version", "start", "key_a", "key_b").join(holders, ["key_a", "key_b"])
@@ -322,6 +331,8 @@ def without_repeats(docs: DataFrame, most: int = MOST_SEGMENTS) -> DataFrame:
     whole = copies.select("doc_id", "version", F.lit(0).alias("start"), F.lit(None).cast("array<int>").alias("windows"))
     ranges = repeated.unionByName(whole).groupBy("doc_id").agg(F.collect_list(F.struct("version", "start", "windows")).alias("ranges"))
     ranges = stored(ranges, "repeats")
+    for done in (rows, open_segments, cut, distinct, holders):
+        drop_stored(done)
     collect_garbage(docs.sparkSession)
     return docs.join(ranges, "doc_id", "left").select("doc_id", "text", "ranges").mapInArrow(
         _keep_words, "doc_id long, n_words long, n_removed long, kept string"

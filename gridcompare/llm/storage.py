@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from functools import cache
 
@@ -55,5 +56,7 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def collect_garbage(spark: SparkSession) -> None:
     """Let Spark remove the shuffle files of finished steps now, not when the driver's memory fills up."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)  # files are removed by a thread of their own

@@ -106,6 +106,14 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: b
     return out
 
 
+def run_hashes(words: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A hash for each run of ``size`` words from ``first`` on, of any length."""
+    n = 1 << max(16, len(words).bit_length())
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(words * _powers(_MULTIPLIER, n)[: len(words)], dtype=np.uint64)])
+    inside = (sums[first + size] - sums[first]) * _powers(_INVERSE, n)[first]
+    return mix(inside + size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
 def window_hashes(words: np.ndarray, size: int) -> np.ndarray:
     """A hash for each run of ``size`` consecutive words, in order; rows are not told apart."""
     n = len(words) - size + 1
