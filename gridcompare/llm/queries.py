@@ -50,7 +50,7 @@ def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_folder(spark, "archives")
-    archive(read_table(spark, sf_dir, "pages"), folder)
+    archive(read_table(spark, sf_dir, "pages"), folder, "gzip")
     return archived_pages(spark, folder)
 
 
