@@ -1,9 +1,10 @@
 """Approximate nearest neighbours: a graph built by NN-descent, searched greedily.
 
 The graph starts from random hyperplane trees (exact neighbours within small leaves). Each round then joins every
-node with its neighbours and reverse neighbours, compares these with each other, and keeps the nearest. A search
-starts at a query's own node and expands the nearest unexpanded nodes of its pool, for all queries side by side.
-Equal vectors are one node, so that a common vector is no hub.
+node with its neighbours and reverse neighbours, compares these with each other, and keeps the nearest; rounds end
+when hardly an edge changes. A search starts at a query's own node and expands the nearest unexpanded nodes of its
+pool, for all queries side by side, until every node of every pool is expanded. Trees and pool grow with the number
+of nodes. Equal vectors are one node, so that a common vector is no hub.
 """
 
 from __future__ import annotations
@@ -19,12 +20,12 @@ from gridcompare.llm.storage import collect_garbage, drop_stored, stored
 
 NEIGHBOURS = 32
 REVERSE = 16
-TREES = 12
+TREES = 12  # at least
+TREES_A_LEVEL = 2
 LEAF = 512
-ROUNDS = 3
-BEAM = 48
-POOL = 160
-SEARCH_ROUNDS = 5
+CHANGED = 0.001  # rounds end when a smaller share of the edges is new
+POOL = 160  # at least
+BEAM_OF_POOL = 0.3
 CENTRES_A_TASK_GROUP = 400
 
 
@@ -74,24 +75,27 @@ def _near_table(node: np.ndarray, to: np.ndarray, d: np.ndarray) -> pa.Table:
 
 
 def _nearest(found: DataFrame, keep: int) -> DataFrame:
-    """(node, near): the ``keep`` nearest of all that was found for a node, sorted."""
+    """(node, near): the ``keep`` nearest of all that was found for a node, sorted. A pair's distance can differ in its
+    last bits from one comparison to the next; the pair is one edge all the same."""
     order = Window.partitionBy("node").orderBy("near")
-    best = found.distinct().withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= keep)
+    pairs = found.groupBy("node", F.col("near.to").alias("to")).agg(F.min("near.d").alias("d"))
+    best = pairs.select("node", F.struct("d", "to").alias("near")).withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= keep)
     return best.groupBy("node").agg(F.array_sort(F.collect_list("near")).alias("near"))
 
 
 def _leaves(nodes: DataFrame, count: int, size: int) -> DataFrame:
     """Every node once for each tree, with the leaf it falls into."""
     bits = max(0, math.ceil(math.log2(max(1, count) / LEAF)))
+    trees = max(TREES, TREES_A_LEVEL * bits)
     centre = [r["m"] for r in nodes.select(F.posexplode("vec")).groupBy("pos").agg(F.avg("col").alias("m")).orderBy("pos").collect()]
-    planes = np.random.default_rng(11).normal(size=(TREES, bits, size)).astype(np.float32)
+    planes = np.random.default_rng(11).normal(size=(trees, bits, size)).astype(np.float32)
     shift = np.array(centre, np.float32) if centre else np.zeros(size, np.float32)
 
     def assign(batches):
         for batch in batches:
             ids = batch.column("node")
             x = _matrix(pa.chunked_array([batch.column("vec")]), len(ids)) - shift if len(ids) else np.zeros((0, size))
-            for tree in range(TREES):
+            for tree in range(trees):
                 sides = (x @ planes[tree].T > 0).astype(np.int64) if bits else np.zeros((len(ids), 0), np.int64)
                 leaf = sides @ (1 << np.arange(bits, dtype=np.int64)) if bits else np.zeros(len(ids), np.int64)
                 yield pa.RecordBatch.from_arrays(
@@ -160,32 +164,47 @@ def _improved(graph: DataFrame, nodes: DataFrame, count: int, keep: int, turn: i
     return _nearest(graph.select("node", F.explode("near").alias("near")).unionByName(proposed), keep)
 
 
-def neighbour_graph(nodes: DataFrame, keep: int = NEIGHBOURS, rounds: int = ROUNDS) -> DataFrame:
+def _share_of_new_edges(before: DataFrame, after: DataFrame) -> float:
+    pairs = after.select("node", F.col("near.to").alias("now")).join(before.select("node", F.col("near.to").alias("was")), "node", "left")
+    new = F.size(F.array_except("now", F.coalesce("was", F.array().cast("array<bigint>"))))
+    row = pairs.agg(F.sum(new).alias("new"), F.sum(F.size("now")).alias("all")).first()
+    return row["new"] / row["all"] if row["all"] else 0.0
+
+
+def neighbour_graph(nodes: DataFrame, keep: int = NEIGHBOURS) -> DataFrame:
     """(node, near): for each of ``nodes`` (node, vec) about its ``keep`` nearest others, as (d squared, to)."""
     count = nodes.count()
     size = nodes.select(F.size("vec").alias("n")).first()["n"] if count else 0
     leaves = _leaves(nodes, count, size).groupBy("tree", "leaf", "part")
     found = leaves.applyInArrow(_nearest_in_leaf(keep), _NEAR_SCHEMA)
-    graph = stored(_nearest(found, keep), "graph")
-    for turn in range(rounds):
+    graph, turn, changed = stored(_nearest(found, keep), "graph"), 0, 1.0
+    while changed >= CHANGED:  # lists only get nearer, so this ends
         before, graph = graph, stored(_improved(graph, nodes, count, keep, turn), "graph")
+        changed, turn = _share_of_new_edges(before, graph), turn + 1
         drop_stored(before)
         collect_garbage(nodes.sparkSession)
     return graph
 
 
-def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, pool: int = POOL) -> DataFrame:
+def pool_size(count: int) -> int:
+    """Places in a search's pool among ``count`` nodes."""
+    return max(POOL, math.ceil(math.sqrt(count)))
+
+
+def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, pool: int) -> DataFrame:
     """(query_id, node, d): the ``pool`` nearest nodes found for each of ``queries`` (query_id, node, goal),
     where ``node`` is where the search starts and ``goal`` the vector sought."""
+    beam = math.ceil(BEAM_OF_POOL * pool)
     goals = queries.select("query_id", "goal")
     near = Window.partitionBy("query_id").orderBy("d", "node")
     start = queries.select("query_id", "node").join(nodes, "node").join(goals, "query_id")
     state = stored(start.select("query_id", "node", squared_distance("vec", "goal").alias("d"), F.lit(False).alias("done")), "pool")
-    for _ in range(SEARCH_ROUNDS):
+    while True:  # pools only get nearer, and a node is expanded once
         waiting = Window.partitionBy("query_id", "done").orderBy("d", "node")
-        turn = state.withColumn("_open", ~F.col("done") & (F.row_number().over(waiting) <= BEAM))
+        turn = state.withColumn("_open", ~F.col("done") & (F.row_number().over(waiting) <= beam))
         turn = stored(turn.select("query_id", "node", "d", (F.col("done") | F.col("_open")).alias("done"), "_open"), "turn")
         if turn.where("_open").isEmpty():
+            drop_stored(turn)
             break
         ahead = turn.where("_open").select("query_id", "node").join(graph, "node")
         ahead = ahead.select("query_id", F.explode("near.to").alias("node")).distinct()
@@ -217,7 +236,7 @@ def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = 10) -> Dat
     # Rows that repeat an id with other vectors: the query is the first of them.
     one = Window.partitionBy("query_id").orderBy("node")
     queries = stored(queries.withColumn("_n", F.row_number().over(one)).where("_n = 1").drop("_n"), "queries")
-    found = search(graph, nodes, queries)
+    found = search(graph, nodes, queries, pool_size(nodes.count()))
     first = Window.partitionBy("node").orderBy("vec_id")
     few = members.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= k + 1).drop("_n")
     near = found.join(few, "node").where("vec_id <> query_id")
