@@ -1,10 +1,10 @@
 """Assignment of documents to shards by balanced label propagation.
 
-Documents with equal texts are linked. Each starts in a shard named by its id. In every round a group of linked
-documents looks at the shards of its members and moves to the one that holds most of them, as far as the quotas
-of the shards allow. Groups that would fill a large part of a shard are cut into communities first. A last pass
-makes the counts equal: it moves the fewest rows it can, and unlinked documents before linked ones.
-DataFrame expressions only.
+Documents with equal texts are linked. Each starts in a shard named by its id. A group of linked documents moves to
+the shard that holds most of its members and has room: large groups first, largest before smaller ones, then in rounds
+the others, as far as the quotas of the shards allow, until none is left or no shard has room. Only groups larger than
+a shard are cut. A last pass makes the counts equal: it moves the fewest rows it can, and unlinked documents before
+linked ones. DataFrame expressions only.
 """
 
 from __future__ import annotations
@@ -17,10 +17,9 @@ from pyspark.sql import functions as F
 from gridcompare.llm.storage import drop_stored, stored
 
 SHARDS = 24
-ROUNDS = 3
 OVERHEAD = 8  # bytes a document takes besides its text
 RANKED_ROWS = 100_000  # about so many rows are ranked in one task
-LARGEST_COMMUNITY = 8  # a community is this part of a shard at most
+LARGE_COMMUNITY = 256  # larger than this part of a shard: placed one by one, at most this many for each shard
 
 ROWS_LAW = "rows"
 
@@ -41,32 +40,48 @@ def _numbers(values: list) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
-def propagate(linked: DataFrame, capacity: int, shards: int, rounds: int = ROUNDS) -> DataFrame:
-    """``linked`` (community, shard, ...) after some rounds. Unlinked documents make room later, at no cost, so
+def _place_large(found: list, loads: list[int], capacity: int) -> list[tuple]:
+    """(community, home) for each row (community, members, votes), largest first; adds to ``loads``. A community goes
+    where most of its members are and all have room, else where room is, else to the emptiest shard."""
+    homes = []
+    for row in sorted(found, key=lambda r: (-r["members"], r["community"])):
+        votes = {v["shard"]: v["n"] for v in row["votes"]}
+        free = [s for s in range(len(loads)) if loads[s] + row["members"] <= capacity]
+        home = max(free or range(len(loads)), key=lambda s: (votes.get(s, 0) if free else 0, -loads[s], -s))
+        loads[home] += row["members"]
+        homes.append((row["community"], home))
+    return homes
+
+
+def propagate(linked: DataFrame, capacity: int, shards: int) -> DataFrame:
+    """``linked`` (community, shard, ...) after all moves. Unlinked documents make room later, at no cost, so
     only linked ones count for a shard's quota."""
-    linked = stored(linked, "linked")
-    for turn in range(rounds):
-        votes = linked.groupBy("community", "shard").agg(F.count("shard").alias("n"))
-        favour = F.struct(F.col("n"), F.xxhash64("community", "shard", F.lit(turn)), F.col("shard"))
-        wish = votes.groupBy("community").agg(F.max(favour)["shard"].alias("wish"), F.sum("n").alias("members"), F.max("n").alias("there"))
-        wish = stored(wish.where("there < members"), "wishes")
-        if wish.isEmpty():
-            drop_stored(wish)
+    votes = linked.groupBy("community", "shard").agg(F.count("shard").alias("n"))
+    votes = votes.groupBy("community").agg(F.sum("n").alias("members"), F.collect_list(F.struct("n", "shard")).alias("votes"))
+    votes = stored(votes, "votes")
+    large, loads = capacity // LARGE_COMMUNITY, [0] * shards
+    found = votes.where(F.col("members") > large).collect()  # at most shards x LARGE_COMMUNITY rows
+    homes = linked.sparkSession.createDataFrame(_place_large(found, loads, capacity), "community long, home int")
+    left, turn = votes.where(F.col("members") <= large), 0
+    while large > 1 and not left.isEmpty():
+        # A shard is open while any community left has room there, so some are placed in a round.
+        room = [capacity - n if capacity - n >= large else 0 for n in loads]
+        doors = [s for s in range(shards) if room[s]]
+        if not doors:
             break
-        arriving, leaving = [0] * shards, [0] * shards
-        moving = linked.join(wish, "community").where("shard <> wish")
-        for row in moving.groupBy("shard", "wish").agg(F.count("shard").alias("n")).collect():  # shards squared
-            leaving[row["shard"]] += row["n"]
-            arriving[row["wish"]] += row["n"]
-        loads = _loads(linked, shards)
-        room = [capacity - loads[s] + leaving[s] for s in range(shards)]
-        quota = _numbers([max(0.0, min(1.0, room[s] / arriving[s])) if arriving[s] else 1.0 for s in range(shards)])
-        allowed = _share("community", F.lit(turn)) < F.get(quota, F.col("wish"))
-        moved = linked.join(wish.where(allowed).select("community", "wish"), "community", "left")
-        before, linked = linked, stored(moved.withColumn("shard", F.coalesce("wish", "shard")).drop("wish"), "linked")
-        drop_stored(before)
-        drop_stored(wish)
-    return linked
+        at_door = F.filter("votes", lambda v: F.array_contains(_numbers(doors), v["shard"]))
+        favour = F.transform(at_door, lambda v: F.struct(v["n"], F.xxhash64("community", v["shard"], F.lit(turn)), v["shard"].alias("shard")))
+        any_door = F.get(_numbers(doors), F.pmod(F.xxhash64("community", F.lit("door"), F.lit(turn)), F.lit(len(doors))).cast("int"))
+        wish = stored(left.withColumn("home", F.coalesce(F.array_max(favour)["shard"], any_door)), "wishes")
+        arriving = {r["home"]: r["n"] for r in wish.groupBy("home").agg(F.sum("members").alias("n")).collect()}  # a row per shard
+        quota = _numbers([min(1.0, room[s] / arriving[s]) if s in arriving else 1.0 for s in range(shards)])
+        allowed = _share("community", F.lit(turn)) < F.get(quota, F.col("home"))
+        for row in wish.where(allowed).groupBy("home").agg(F.sum("members").alias("n")).collect():  # a row per shard
+            loads[row["home"]] += row["n"]
+        homes = homes.unionByName(wish.where(allowed).select("community", "home"))
+        left, turn = stored(wish.where(~allowed).drop("home"), "left"), turn + 1
+    moved = linked.join(homes, "community", "left")
+    return moved.withColumn("shard", F.coalesce("home", "shard")).drop("home")
 
 
 def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
@@ -86,11 +101,10 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     rows = stored(rows, "sizes")
     total = rows.count()
     capacity = max(1, math.ceil(total / shards))
-    largest = max(1, capacity // LARGEST_COMMUNITY)
     group = ["text_hash", "text_crc32", "size"]
     groups = rows.groupBy(*group).agg(F.count("size").alias("members"))
     first = F.pmod(F.xxhash64("doc_id", F.lit("shard")), F.lit(shards)).cast("int")
-    spread = F.pmod(F.xxhash64("doc_id", F.lit("community")), F.ceil(F.col("members") / largest))
+    spread = F.pmod(F.xxhash64("doc_id", F.lit("community")), F.ceil(F.col("members") / capacity))
     rows = rows.join(groups, group).withColumn("shard", first)
     rows = stored(rows.withColumn("community", F.xxhash64(*group, spread)), "started")
     alone = rows.where("members = 1")
@@ -98,11 +112,11 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     rows = alone.unionByName(linked)
     # Ranks within a shard: linked rows first, communities together, in slices that one task can sort.
     slices = max(1, math.ceil(total / shards / RANKED_ROWS))
-    cuts = max(1, math.ceil(largest / RANKED_ROWS))
+    cuts = max(1, math.ceil(capacity / RANKED_ROWS))
     rows = rows.withColumns({
         "single": F.col("members") == 1,
         "slice": F.pmod(F.xxhash64("community"), F.lit(slices)).cast("int"),
-        "cut": F.when(F.col("members") == 1, 0).otherwise(F.pmod(F.xxhash64("doc_id"), F.lit(cuts))).cast("int"),
+        "cut": F.when(F.col("members") <= RANKED_ROWS, 0).otherwise(F.pmod(F.xxhash64("doc_id"), F.lit(cuts))).cast("int"),
     })
     part = ["shard", "single", "slice", "cut"]
     sizes = rows.groupBy(*part).agg(F.count("size").alias("n"))
