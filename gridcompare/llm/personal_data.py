@@ -1,9 +1,10 @@
 """Personal data in text: fixed patterns, and identifiers found from the words before them.
 
-Emails, IP addresses, card and phone numbers found by fixed patterns are the seeds. Their left contexts (two
-words) become lexical patterns. Patterns and the identifier-like tokens that follow them form a graph, which is
-scored in rounds: a pattern is as trustworthy as the share of known identifiers among the different words that
-follow it in the corpus, plain ones included; a token is as trustworthy as its patterns. Tokens above a threshold are new
+Emails, IP addresses, card and phone numbers found by fixed patterns are the seeds. Their left contexts (the two
+words before, white space of any kind between them) become lexical patterns. Patterns and the identifier-like tokens
+that follow them form a graph, which is scored in rounds: a pattern is as trustworthy as the share of known identifiers
+among the different instances that follow it in the corpus. An instance is a whole match, blanks included, or else a
+word without the punctuation around it; plain words are instances too. A token is as trustworthy as its patterns. Tokens above a threshold are new
 identifiers, and count as known in the next round. DataFrame expressions only.
 """
 
@@ -33,7 +34,11 @@ SHAPES = {
     "card": r"^(?:[0-9][.\x20_-]?){12,19}$",
     "phone": r"^\(?(?:[0-9][().\x20/_-]{0,2}){7,15}$",
 }
+# What context may find: a word with a digit or an at sign, or digit groups with blanks between them.
 TOKEN = r"\S*[0-9@]\S*"
+RUN = r"(?<![^\s\"'(\[{<,;:])\(?[0-9](?:[().\x20/_-]{0,2}+[0-9])++(?![A-Za-z@])"
+LEAD = r"[\"'(\[{<,;:]"
+TRAIL = r"[\"')\]}>.,;:!?]"
 ROUNDS = 3
 LEAST_SUPPORT = 3  # distinct identifiers a pattern must be seen with
 LEAST_CONFIDENCE = 0.8
@@ -68,9 +73,15 @@ def _may_hold(text: Column) -> Column:
     return text.rlike("[0-9@]")
 
 
+def _opened(text: Column) -> Column:
+    """Lower case, and words without the punctuation before them; a word of nothing else stays."""
+    return F.regexp_replace(F.lower(text), rf"(?<!\S){LEAD}+(?=\S)", "")
+
+
 def _matches(texts: DataFrame, patterns: dict[str, str]) -> DataFrame:
-    """(text_key, size, kind, start, end, value, gap): leftmost matches of each pattern that do not overlap. ``gap`` is
-    the end of the text between a match and the one before. Positions are code points, end exclusive."""
+    """(text_key, size, kind, word, start, end, value, context): leftmost matches of each pattern that do not overlap.
+    ``word`` numbers the words between white space, and is that of the word in which a match starts. Tokens have the
+    two words before them as ``context``, null where there are not two. Positions are code points, end exclusive."""
     parts = []
     for kind, pattern in patterns.items():
         parts.append(
@@ -84,72 +95,90 @@ def _matches(texts: DataFrame, patterns: dict[str, str]) -> DataFrame:
         )
     rows = texts.select("text_key", "size", F.inline(F.array(*parts))).where("size(found) > 1")
     rows = rows.select("text_key", "size", "kind", F.posexplode("found").alias("i", "m"))
+    breaks = lambda c: F.size(F.split(c, r"\s+", -1)) - 1  # noqa: E731  no match begins or ends with white space
     rows = rows.select(
-        "text_key", "size", "kind", "i", F.col("m.value").alias("value"),
-        F.char_length("m.gap").alias("between"), F.expr("right(m.gap, 160)").alias("gap"),
+        "text_key", "size", "kind", "i", F.col("m.value").alias("value"), F.char_length("m.gap").alias("between"),
+        breaks(F.col("m.gap")).alias("breaks"), F.when(F.col("m.value").isNotNull(), breaks(F.col("m.value"))).alias("inside"),
+        # Between tokens there are whole words only.
+        F.when(F.col("kind") == "token", F.expr("slice(reverse(filter(split(m.gap, '\\\\s+'), w -> w <> '')), 1, 2)")).alias("tail"),
     )
-    upto = Window.partitionBy("text_key", "size", "kind").orderBy("i")
-    length = F.coalesce(F.char_length("value"), F.lit(0))
-    rows = rows.withColumn("end", F.sum(F.col("between") + length).over(upto)).where("value IS NOT NULL")
-    return rows.select(
-        "text_key", "size", "kind", (F.col("end") - F.char_length("value")).cast("int").alias("start"), F.col("end").cast("int").alias("end"), "value", "gap"
+    one = Window.partitionBy("text_key", "size", "kind").orderBy("i")
+    none = F.array().cast("array<string>")
+    back = lambda c, n: F.lag(c, n).over(one)
+    nearest = F.concat(
+        F.coalesce("tail", none), F.array(back("value", 1)), F.coalesce(back("tail", 1), none), F.array(back("value", 2))
     )
-
-
-def _left_context(gap: Column) -> Column:
-    """The two words before a match, in lower case; null where there are not two."""
-    words = F.split(F.rtrim(F.lower(gap)), r"\s+")
-    return F.when(F.size(words) > 2, F.array_join(F.slice(words, -2, 2), " "))
+    nearest = F.array_compact(nearest)
+    length, inside = F.coalesce(F.char_length("value"), F.lit(0)), F.coalesce("inside", F.lit(0))
+    rows = rows.withColumns({
+        "end": F.sum(F.col("between") + length).over(one),
+        "word": (F.sum(F.col("breaks") + inside).over(one) - inside).cast("int"),
+        "nearest": F.when(F.col("kind") == "token", nearest),
+    }).where("value IS NOT NULL")
+    context = F.concat_ws(" ", _opened(F.get("nearest", F.lit(1))), _opened(F.get("nearest", F.lit(0))))
+    return rows.select(
+        "text_key", "size", "kind", "word", (F.col("end") - F.char_length("value")).cast("int").alias("start"), F.col("end").cast("int").alias("end"),
+        "value", F.when(F.size("nearest") >= 2, context).alias("context"),
+    )
 
 
 def _trimmed(tokens: DataFrame) -> DataFrame:
     """Tokens without the punctuation around them."""
-    lead = F.char_length(F.regexp_extract("value", r"^[\"'(\[{<,;:]*", 0))
-    core = F.regexp_replace(F.regexp_replace("value", r"^[\"'(\[{<,;:]+", ""), r"[\"')\]}>.,;:!?]+$", "")
+    lead = F.char_length(F.regexp_extract("value", f"^{LEAD}*", 0))
+    core = F.regexp_replace(F.regexp_replace("value", f"^{LEAD}+", ""), f"{TRAIL}+$", "")
     tokens = tokens.withColumn("start", F.col("start") + lead).withColumn("value", core)
     return tokens.withColumn("end", F.col("start") + F.char_length("value")).where("value <> ''")
 
 
-def _follower_counts(texts: DataFrame, contexts: DataFrame) -> DataFrame:
-    """(context, followers): how many different words follow each context in ``texts``."""
+def _plain_followers(texts: DataFrame, contexts: DataFrame) -> DataFrame:
+    """(context, plain): how many different words without digit or at sign follow each context in ``texts``."""
     contexts = contexts.select("context", F.xxhash64("context").alias("pair"))
     if is_small(contexts, BROADCAST_PATTERNS):
         contexts = F.broadcast(contexts)
-    words = F.split(F.lower("text"), r"\s+")
+    words = F.split(_opened(F.regexp_replace("text", r"^\s+|\s+$", "")), r"\s+")
     after = F.transform(
         F.sequence(F.lit(1), F.size("words") - 2),
-        lambda i: F.struct(
-            F.xxhash64(F.array_join(F.slice("words", i, 2), " ")).alias("pair"), F.xxhash64(F.get("words", i + 1)).alias("next")
-        ),
+        lambda i: F.struct(F.xxhash64(F.array_join(F.slice("words", i, 2), " ")).alias("pair"), F.get("words", i + 1).alias("next")),
     )
     rows = texts.where("text IS NOT NULL").select(words.alias("words")).where("size(words) > 2")
-    found = rows.select(F.inline(after)).join(contexts, "pair").select("context", "next").distinct()
-    return found.groupBy("context").agg(F.count("next").alias("followers"))
+    found = rows.select(F.inline(after)).join(contexts, "pair").where(~_may_hold(F.col("next")))
+    found = found.select("context", F.xxhash64(F.regexp_replace("next", f"{TRAIL}+$", "")).alias("next")).distinct()
+    return found.groupBy("context").agg(F.count("next").alias("plain"))
+
+
+def _shapes(value: str) -> Column:
+    """The kinds for which a value has the look."""
+    return F.array_compact(F.array(*[F.when(F.col(value).rlike(shape), F.lit(kind)) for kind, shape in SHAPES.items()]))
 
 
 def discovered(docs: DataFrame, texts: DataFrame, base: DataFrame, tokens: DataFrame) -> DataFrame:
     """(value, kind): tokens that trusted contexts mark as identifiers of a kind.
 
-    The words that follow a context are first counted in ``texts``, the few that hold digits. Contexts that cannot be
-    trusted after that, because all their tokens together are too few among these words, need no count in ``docs``.
+    All instances with digits are in ``base`` and ``tokens``; plain followers are first counted in ``texts``, the few
+    that hold digits. Contexts that cannot be trusted after that, because all their tokens together are too few among
+    these instances, need no count in ``docs``.
     """
     seeds = base.select(F.col("context"), F.col("value"), "kind").where("context IS NOT NULL").distinct()
-    shapes = [F.when(F.col("value").rlike(shape), F.lit(kind)) for kind, shape in SHAPES.items()]
-    unknown = tokens.where("context IS NOT NULL").select("context", "value", F.explode(F.array_compact(F.array(*shapes))).alias("kind"))
-    edges = stored(
-        seeds.withColumn("seed", F.lit(True)).unionByName(unknown.distinct().withColumn("seed", F.lit(False))), "pattern-graph"
-    )
+    unknown = tokens.where("context IS NOT NULL").select("context", "value", F.explode(_shapes("value")).alias("kind"))
+    edges = seeds.withColumn("seed", F.lit(True)).unionByName(unknown.distinct().withColumn("seed", F.lit(False)))
+    edges = stored(edges.groupBy("context", "value", "kind").agg(F.max("seed").alias("seed")), "pattern-graph")
     nothing = edges.select("value", "kind").limit(0)
     if edges.where("NOT seed").isEmpty():
         return nothing
     usable = edges.groupBy("context", "kind").agg(F.countDistinct("value").alias("_n")).where(F.col("_n") >= LEAST_SUPPORT)
-    usable = stored(usable.groupBy("context").agg(F.max("_n").alias("_n")), "usable-contexts")
-    here = _follower_counts(texts, usable.select("context"))
-    contexts = usable.join(here, "context").where(F.col("_n") >= LEAST_CONFIDENCE * F.col("followers")).select("context")
+    usable = usable.groupBy("context").agg(F.max("_n").alias("_n"))
+    instances = base.select("context", "value").unionByName(tokens.select("context", "value")).where("context IS NOT NULL")
+    instances = instances.distinct().groupBy("context").agg(F.count("value").alias("instances"))
+    usable = usable.join(instances, "context").where(F.col("_n") >= LEAST_CONFIDENCE * F.col("instances"))
+    usable = stored(usable, "usable-contexts")
+    here = _plain_followers(texts, usable.select("context"))
+    everything = F.col("instances") + F.coalesce("plain", F.lit(0))
+    contexts = usable.join(here, "context", "left").where(F.col("_n") >= LEAST_CONFIDENCE * everything).select("context", "instances")
     contexts = stored(contexts, "contexts")
     if contexts.isEmpty():
         return nothing
-    followers = stored(_follower_counts(docs, contexts), "followers")
+    plain = _plain_followers(docs, contexts.select("context"))
+    followers = stored(contexts.join(plain, "context", "left").select("context", everything.alias("followers")), "followers")
     edges = stored(edges.join(followers, "context"), "scored-graph")
     seeds = stored(edges.where("seed").select("value", "kind").distinct().withColumn("trust", F.lit(1.0)), "seeds")
     known = seeds
@@ -173,13 +202,23 @@ def find_spans(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.coalesce(F.col("text"), F.lit("")).alias("text"))
     texts = docs.where(_may_hold(F.col("text"))).select(*text_key(F.col("text")), "text")
     texts = stored(texts.groupBy("text_key", "size").agg(F.any_value("text").alias("text")), "texts-with-digits")
-    found = stored(_matches(texts, {**PATTERNS, "token": TOKEN}).withColumn("context", _left_context(F.col("gap"))).drop("gap"), "matches")
-    base = found.where("kind <> 'token'").where(_valid(F.col("kind"), F.col("value")))
-    tokens = _trimmed(found.where("kind = 'token'")).drop("kind")
-    covered = base.select("text_key", "size", F.col("start").alias("_s"), F.col("end").alias("_e"))
     at = ["text_key", "size"]
+    spaced = (F.col("kind") != "run") | (F.col("value").contains(" ") & (F.size(_shapes("value")) > 0))
+    found = stored(_matches(texts, {**PATTERNS, "token": TOKEN, "run": RUN}).where(spaced), "matches")
+    # Every match starts in a word that is a token, and has its context.
+    words = found.where("kind = 'token'").select(*at, "word", "context").where("context IS NOT NULL")
+    base = found.where(F.col("kind").isin(*KINDS)).where(_valid(F.col("kind"), F.col("value"))).drop("context")
+    base = stored(base.join(words, [*at, "word"], "left"), "fixed")
+    tokens = _trimmed(found.where("kind = 'token'"))
+    alike = tokens.where(F.size(_shapes("value")) > 0).select(*at, "word").distinct()
+    runs = found.where("kind = 'run'").drop("context").join(alike, [*at, "word"], "left_anti").join(words, [*at, "word"], "left")
+    tokens = tokens.unionByName(_trimmed(runs))
+    covered = base.select("text_key", "size", F.col("start").alias("_s"), F.col("end").alias("_e"))
     touching = tokens.join(covered, at).where("start < _e AND _s < end").select(*at, "start", "end").distinct()
     free = tokens.join(touching, [*at, "start", "end"], "left_anti")
+    # A word that begins a run is no instance of its own.
+    begun = free.where("kind = 'run'").select(*at, "word", F.lit("token").alias("kind")).distinct()
+    free = stored(free.join(begun, [*at, "word", "kind"], "left_anti").drop("kind"), "tokens")
     new = free.join(discovered(docs, texts, base, free), "value")
     number = reduce(lambda c, k: c.when(F.col("kind") == k, KINDS.index(k)), KINDS[1:], F.when(F.col("kind") == KINDS[0], 0))
     entry = F.struct("start", number.alias("number"), "end", "kind")

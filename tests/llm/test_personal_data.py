@@ -55,3 +55,39 @@ def test_an_empty_table_and_clashing_columns(spark):
     one = spark.createDataFrame([(None, "write a@b.co or c@d.org now", "s", 1)], "doc_id long, text string, size string, number int")
     assert personal_data_report(one).first().n_email == 2
     assert masked(one).first()[:] == (None, "write [EMAIL] or [EMAIL] now", "s", 1)
+
+
+def seeds(lead: str, count: int = 9) -> list[str]:
+    return [f"{' '.join(FILLER[: 3 + i % 5])} {lead} +1 (555) 555-{1000 + i:04d} soon" for i in range(count)]
+
+
+def test_contexts_are_the_two_words_before_whatever_stands_there(spark):
+    unseen = [
+        "Please call 555-867-5301 as a whole text",
+        "see line 2 please call\n555-867-5302 today",
+        "so (please call <555-867-5303> today",
+        "so please\tcall 555 867 5304 today",
+        "555-867-5305 please call 555-867-5306",
+    ]
+    values = ["555-867-5301", "555-867-5302", "555-867-5303", "555 867 5304", "555-867-5306"]
+    found = report(spark, [*seeds("please call", 40), *unseen])
+    for i, (text, value) in enumerate(zip(unseen, values, strict=True), 40):
+        start = text.index(value)
+        assert f"phone:{start}:{start + 12}" in found[i].spans.split(",")
+
+
+def test_a_word_with_digits_is_a_word_of_the_context(spark):
+    rows = [*seeds("room 7", 20), "they said room 7 555-867-5309 soon"]
+    assert report(spark, rows)[20].spans == "phone:17:29"
+
+
+def test_seeds_with_blanks_do_not_outnumber_the_words_that_follow(spark):
+    plain = [f"so please call {a}{b} again" for a in FILLER for b in FILLER]
+    rows = [*seeds("please call", 200), *plain, "so please call 555-867-5309 soon"]
+    assert report(spark, rows)[len(rows) - 1].spans == ""  # 200 phones among 322 instances
+
+
+def test_punctuation_after_an_instance_makes_no_other_instance(spark):
+    marks = ["", ",", ".", ";", "!"]
+    rows = [f"please write to mail{i}@b.co{m} soon" for i in range(9) for m in marks]
+    assert report(spark, [*rows, "please write to me7(at)b.co soon"])[len(rows)].spans == "email:16:27"
