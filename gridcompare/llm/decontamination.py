@@ -1,8 +1,8 @@
-"""Removal of benchmark passages from training documents.
+"""Benchmark passages in training documents: a report, and removal of the documents that hold them.
 
 The windows of the benchmark (ten consecutive words of an item, or all words of a shorter item) are a hash set.
-Every window of every document is looked up in it, hits are verified on the words themselves, and the words inside
-a hit are removed. DataFrame expressions only.
+Every window of every document is looked up in it, and hits are verified on the words themselves. There is a report of
+the words inside hits, and a filter that drops whole documents with a hit; no text is changed. DataFrame expressions only.
 """
 
 from __future__ import annotations
