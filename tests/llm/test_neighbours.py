@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-
 from gridcompare.llm import neighbours
 
 CHAIN = 14
@@ -19,19 +17,10 @@ def test_a_search_goes_on_until_its_pool_has_no_open_node(spark):
     assert {r.node for r in found} == {CHAIN - 1, CHAIN - 2}
 
 
-def test_rounds_go_on_until_hardly_an_edge_changes(spark, monkeypatch):
-    monkeypatch.setattr(neighbours, "LEAF", 8)
-    monkeypatch.setattr(neighbours, "TREES", 1)
-    monkeypatch.setattr(neighbours, "TREES_A_LEVEL", 0, raising=False)
-    x = np.random.default_rng(5).normal(size=(3000, 24)).astype(np.float32)
-    nodes = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "node long, vec array<float>")
-    graph = {r.node: [n.to for n in r.near] for r in neighbours.neighbour_graph(nodes, 12).collect()}
-    square = (x * x).sum(axis=1)
-    d = square[:, None] + square[None, :] - 2 * x @ x.T
-    np.fill_diagonal(d, np.inf)
-    best = np.argpartition(d, 11, axis=1)[:, :12]
-    assert all(len(set(near)) == len(near) for near in graph.values())
-    assert sum(len(set(graph[i]) & set(best[i].tolist())) for i in graph) / best.size > 0.9
+def test_new_edges_are_counted(spark):
+    graph = lambda *to: spark.createDataFrame([(0, [(1.0, t) for t in to])], "node long, near array<struct<d:float,to:long>>")
+    assert neighbours._share_of_new_edges(graph(1, 2), graph(1, 2)) == 0
+    assert neighbours._share_of_new_edges(graph(1, 2), graph(1, 3)) == 0.5
 
 
 def test_trees_and_pool_follow_the_number_of_nodes():
