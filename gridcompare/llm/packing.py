@@ -10,13 +10,9 @@ the patterns pass through the driver.
 
 from __future__ import annotations
 
-import re
-import sys
-import unicodedata
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,108 +20,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridcompare.llm.storage import stored
+from gridcompare.llm.word_ids import word_ids
 from gridcompare.llm.words import chunks
 
 SEQUENCE = 2048
 END = 1
 STEP = 16
 SALTS = 64
-CACHED_WORDS = 500_000
-
-# ---------------------------------------------------------------------------------------------
-# Tokens
-
-
-def _ranges_of(kind: str) -> str:
-    """A character class of the letters (L) or numbers (N)."""
-    runs, last = [], -2
-    for c in range(sys.maxunicode + 1):
-        if unicodedata.category(chr(c))[0] == kind:
-            if c == last + 1:
-                runs[-1][1] = c
-            else:
-                runs.append([c, c])
-            last = c
-    return "".join(f"\\U{low:08x}-\\U{high:08x}" for low, high in runs)
-
-
-# White space, and how the tokenizer's file splits text that is normalised and lower-cased.
-_SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-
-
-_FAST = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w{_SPACE}]|_)+")
-
-
-@cache
-def _exact() -> tuple[re.Pattern, frozenset[str]]:
-    """The pattern spelled out, and the characters (rare ones) on which the fast pattern differs from it."""
-    letters, numbers = _ranges_of("L"), _ranges_of("N")
-    pattern = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^{_SPACE}{letters}{numbers}]+")
-    every = map(chr, range(sys.maxunicode + 1))
-    return pattern, frozenset(c for c in every if pattern.findall(c) != _FAST.findall(c) or unicodedata.category(c) in ("No", "Nl"))
-
-
-def pre_tokens(normal: str) -> list[str]:
-    """The pre-tokens of a normalised text."""
-    pattern, rare = _exact()
-    return _FAST.findall(normal) if normal.isascii() or rare.isdisjoint(normal) else pattern.findall(normal)
-
-
-def normalized(text: str) -> str | None:
-    """What the tokenizer's normalizers make of a text, white space aside: composed, and lower-cased letter by
-    letter, so that a sigma at a word's end is like any other. None for the rare texts that must go through the
-    tokenizer whole: they hold a special token's marks, or lower case has put their accents out of order."""
-    if "<|" in text:
-        return None
-    if text.isascii():
-        return text.lower()
-    low = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
-    return low if unicodedata.is_normalized("NFC", low) else None
-
-
-class WordIds:
-    """The ids of pre-tokens as little-endian bytes, looked up, or made by the tokenizer on first use."""
-
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-        vocabulary = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends[[i for word, i in vocabulary.items() if word.endswith("</w>")]] = True
-
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _learn(self, words: set[str]) -> None:
-        """Encodes new words in one go; every word's last id has the mark of a word's end."""
-        new = sorted(words - self.known.keys())
-        if len(self.known) + len(new) > CACHED_WORDS:
-            self.known.clear()
-            new = sorted(words)
-        if not new:
-            return
-        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, "<u4")
-        cuts = np.flatnonzero(self.ends[ids]) + 1
-        if len(cuts) == len(new):
-            raw, at = ids.tobytes(), [0, *(4 * cuts).tolist()]
-            self.known.update((word, raw[at[i] : at[i + 1]]) for i, word in enumerate(new))
-        else:
-            self.known.update((word, self._whole(word)) for word in new)
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """All ids of each text, four bytes each."""
-        words = [None if (low := normalized(t)) is None else pre_tokens(low) for t in texts]
-        self._learn(set().union(*(w for w in words if w)))
-        known = self.known.__getitem__
-        return [self._whole(t) if w is None else b"".join(map(known, w)) for t, w in zip(texts, words, strict=True)]
-
-
-@cache
-def word_ids(path: str) -> WordIds:
-    return WordIds(path)
-
 
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 

@@ -13,10 +13,13 @@ from gridcompare.llm.near_duplicates import near_duplicates
 from gridcompare.llm.neighbours import nearest_neighbours
 from gridcompare.llm.packing import pack
 from gridcompare.llm.personal_data import personal_data_report
+from gridcompare.llm.phrases import collocations
 from gridcompare.llm.repeated_passages import without_repeats
 from gridcompare.llm.sharding import shard_documents
-from gridcompare.llm.storage import new_folder, read_table
+from gridcompare.llm.storage import new_folder, read_table, stored
 from gridcompare.llm.token_counts import EDIT, edited, with_trees
+from gridcompare.llm.token_files import read_tokens, write_tokens
+from gridcompare.llm.vector_codes import codebook_numbers, encode_vectors, learn_codebooks, with_label_error
 from gridcompare.llm.warc import archive, archived_pages
 
 
@@ -85,9 +88,27 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")
 
 
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_folder(spark, "token-files")
+    write_tokens(read_table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), folder)
+    return read_tokens(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings")
+    codebooks = learn_codebooks(vectors)
+    coded = stored(encode_vectors(vectors, codebooks, "label"), "codes")
+    digest = F.sha2(F.lit(codebook_numbers(codebooks)), 256).alias("codebooks_sha256")
+    return with_label_error(coded).select("vec_id", "code", "error", "label_error", digest)
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(read_table(spark, sf_dir, "documents"))
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = (
         op1_token_counts, op2_nearest_neighbours, op3_warc, op4_minhash_dedup, op5_packing, op6_repeated_passages, op7_sharding, op8_decontamination,
-        op9_personal_data, op10_language_id,
+        op9_personal_data, op10_language_id, op11_token_files, op12_vector_codes, op13_collocations,
     )
     return {f.__name__: f for f in named}

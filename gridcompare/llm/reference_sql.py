@@ -83,6 +83,81 @@ SELECT doc_id, n_words::BIGINT AS n_words, n_removed::BIGINT AS n_removed, sha25
 FROM kept
 """
 
+# Vector codes: ``assigned`` picks each part's nearest entry, a round replaces entries by floors of means.
+ASSIGNED = """
+    SELECT vec_id, label, part, v, entry, distance FROM (
+        SELECT x.vec_id, x.label, x.part, x.v, c.entry,
+               list_sum(list_transform(range(1, len(x.v) + 1), lambda i: (x.v[i] - c.v[i]) * (x.v[i] - c.v[i]))) AS distance,
+               row_number() OVER (PARTITION BY x.vec_id, x.part ORDER BY distance, c.entry) AS place
+        FROM parts x JOIN {0} c USING (part)) WHERE place = 1"""
+
+ROUND = """
+    SELECT c.part, c.entry, CASE WHEN n IS NULL THEN c.v ELSE m.v END AS v
+    FROM {0} c LEFT JOIN (
+        SELECT part, entry, count(*) AS n, list(m ORDER BY i) AS v FROM (
+            SELECT part, entry, i, floor(sum(x)::HUGEINT / count(*))::BIGINT AS m
+            FROM (SELECT part, entry, unnest(range(1, len(v) + 1)) AS i, unnest(v) AS x FROM {1}) GROUP BY part, entry, i)
+        GROUP BY part, entry) m USING (part, entry)"""
+
+OP12 = f"""
+WITH kept AS (
+    SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS x FROM embeddings
+    WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+parts AS (
+    SELECT vec_id, label, part, x[part * len(x) // 16 + 1 : (part + 1) * len(x) // 16] AS v FROM kept, range(16) p(part)),
+book0 AS (
+    SELECT part, dense_rank() OVER (ORDER BY vec_id) - 1 AS entry, v
+    FROM parts WHERE vec_id IN (SELECT vec_id FROM kept ORDER BY vec_id LIMIT 64)),
+near0 AS ({ASSIGNED.format("book0")}),
+book1 AS ({ROUND.format("book0", "near0")}),
+near1 AS ({ASSIGNED.format("book1")}),
+book2 AS ({ROUND.format("book1", "near1")}),
+near2 AS ({ASSIGNED.format("book2")}),
+coded AS (
+    SELECT vec_id, label, string_agg(printf('%02x', entry::INTEGER), '' ORDER BY part) AS code, sum(distance)::BIGINT AS error
+    FROM near2 GROUP BY vec_id, label)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+       (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY part, entry)) FROM book2) AS codebooks_sha256
+FROM coded
+"""
+
+# A phrase is its words joined by spaces, which no word holds.
+GRAMS_OF = "SELECT lang, {0} AS size, unnest(list_transform(range(1, len(w) - {0} + 2), lambda i: array_to_string(w[i:i + {0} - 1], ' '))) AS gram FROM w"
+
+GRAM_COUNTS = f"""
+pieces AS (
+    SELECT coalesce(lang, 'und') AS lang,
+           unnest(regexp_split_to_array({LOWER.format("coalesce(text, '')")}, '[.,;:!?\\x0A-\\x0D]')) AS piece
+    FROM documents),
+w AS MATERIALIZED (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM pieces),
+grams AS ({" UNION ALL ".join(GRAMS_OF.format(n) for n in (1, 2, 3, 4))}),
+f AS MATERIALIZED (SELECT lang, size, gram, count(*) AS a FROM grams GROUP BY lang, size, gram),
+totals AS (SELECT lang, sum(a) AS n FROM f WHERE size = 1 GROUP BY lang)
+"""
+
+OP13 = f"""
+WITH {GRAM_COUNTS},
+candidates AS MATERIALIZED (SELECT lang, size, gram, a, string_split(gram, ' ') AS w FROM f WHERE a >= 30 AND size > 1),
+cuts AS (
+    SELECT lang, gram, a, k, array_to_string(w[1:k], ' ') AS first, array_to_string(w[k + 1:], ' ') AS rest
+    FROM (SELECT *, unnest(range(1, size)) AS k FROM candidates)),
+scores AS (
+    SELECT c.lang, c.gram, c.a, c.k, l.a AS l, r.a AS r, (2000000 * c.a::HUGEINT) // (l.a + r.a) AS score
+    FROM cuts c JOIN f l ON l.lang = c.lang AND l.gram = c.first JOIN f r ON r.lang = c.lang AND r.gram = c.rest),
+lowest AS (SELECT * FROM scores QUALIFY row_number() OVER (PARTITION BY lang, gram ORDER BY score, k) = 1),
+inside AS (
+    SELECT lang, array_to_string(w[i:i + part - 1], ' ') AS gram, max(a) AS longer FROM (
+        SELECT lang, w, a, part, unnest(range(1, size - part + 2)) AS i
+        FROM candidates, range(2, 4) s(part) WHERE part < size) GROUP BY ALL),
+left_over AS (
+    SELECT c.lang, c.gram AS phrase, a, l, r, score FROM lowest c LEFT JOIN inside i USING (lang, gram)
+    WHERE longer IS NULL OR 100 * longer < 80 * a),
+ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM left_over)
+SELECT lang, rank, phrase, a, l, r, n::BIGINT AS n, score::BIGINT AS score
+FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
 
 def llm_reference_sql() -> dict[str, str]:
-    return {"op4_minhash_dedup": OP4, "op6_repeated_passages": OP6, "op8_decontamination": OP8}
+    return {"op4_minhash_dedup": OP4, "op6_repeated_passages": OP6, "op8_decontamination": OP8, "op12_vector_codes": OP12, "op13_collocations": OP13}
