@@ -18,34 +18,48 @@ _SUFFIXES = "'s|'t|'re|'ve|'m|'ll|'d"
 _FAST = re.compile(rf"{_SUFFIXES}|[^\W\d_]+|\d|(?:[^\w{_SPACE}]|_)+")
 
 
-def _class_of(*kinds: str) -> str:
-    """The inside of a character class of all code points of these general categories."""
-    runs, last = [], -2
-    for c in range(sys.maxunicode + 1):
+def _class_of(*kinds: str, last: int = sys.maxunicode) -> str:
+    """The inside of a character class of the code points of these general categories, up to ``last``."""
+    runs, end = [], -2
+    for c in range(last + 1):
         if unicodedata.category(chr(c)) in kinds:
-            if c == last + 1:
+            if c == end + 1:
                 runs[-1][1] = c
             else:
                 runs.append([c, c])
-            last = c
+            end = c
     return "".join(f"\\U{low:08x}-\\U{high:08x}" for low, high in runs)
 
 
+# Classes are looked up in a table below this; beyond it they are searched range by range, which is slow.
+_TABLE_END = 0xFFFF
+_BEYOND = re.compile("[\U00010000-\U0010ffff]")
+
+
+@cache
+def _bare(kind: tuple[str, ...]) -> re.Pattern:
+    return re.compile(f"[{_class_of(*kind, last=_TABLE_END)}]")
+
+
+def _holds(text: str, *kinds: str) -> bool:
+    """Whether a text holds a code point of these general categories."""
+    if _bare(kinds).search(text):
+        return True
+    return any(unicodedata.category(c) in kinds for c in set(_BEYOND.findall(text)))
+
+
 @cache
-def _rare() -> tuple[re.Pattern, re.Pattern, re.Pattern]:
-    """Finds code points that this Python does not know and a newer tokenizer may; finds numbers that are no
-    decimal digits; and splits a text that holds such numbers."""
+def _with_numbers() -> re.Pattern:
+    """Splits a text that holds numbers which are no decimal digits."""
     numbers = _class_of("No", "Nl")
-    split = re.compile(rf"{_SUFFIXES}|[^\W\d_{numbers}]+|[\d{numbers}]|(?:[^\w{_SPACE}]|_)+")
-    return re.compile(f"[{_class_of('Cn')}]"), re.compile(f"[{numbers}]"), split
+    return re.compile(rf"{_SUFFIXES}|[^\W\d_{numbers}]+|[\d{numbers}]|(?:[^\w{_SPACE}]|_)+")
 
 
 def pre_tokens(normal: str) -> list[str]:
     """The pre-tokens of a normalised text."""
-    if normal.isascii():
+    if normal.isascii() or not _holds(normal, "No", "Nl"):
         return _FAST.findall(normal)
-    _, numbers, split = _rare()
-    return (split if numbers.search(normal) else _FAST).findall(normal)
+    return _with_numbers().findall(normal)
 
 
 def normalized(text: str) -> str | None:
@@ -58,7 +72,7 @@ def normalized(text: str) -> str | None:
     if text.isascii():
         return text.lower()
     low = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
-    return low if unicodedata.is_normalized("NFC", low) and not _rare()[0].search(low) else None
+    return low if unicodedata.is_normalized("NFC", low) and not _holds(low, "Cn") else None
 
 
 class WordIds:
