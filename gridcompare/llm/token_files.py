@@ -400,7 +400,6 @@ def _encoded(path: str):
             for part in chunks(batch, "text", 2 << 20):
                 ids = [x + end for x in ids_of.encode([t or "" for t in part.column("text").to_pylist()])]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
-        ids_of.known.clear()  # a worker process goes on to other tasks
 
     return encoded
 

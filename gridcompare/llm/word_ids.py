@@ -9,13 +9,15 @@ from functools import cache
 
 import numpy as np
 
-CACHED_WORDS = 500_000
+CACHED_WORDS = 150_000  # of two generations
 
-# White space, and how the tokenizer's file splits text that is normalised and lower-cased.
+# White space, and how the tokenizer's file splits text that is normalised and lower-cased. Letters begin
+# none of the other kinds, so they can be tried first.
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-_SUFFIXES = "'s|'t|'re|'ve|'m|'ll|'d"
+_SUFFIXES = "'(?:s|t|re|ve|m|ll|d)"
 
-_FAST = re.compile(rf"{_SUFFIXES}|[^\W\d_]+|\d|(?:[^\w{_SPACE}]|_)+")
+_ASCII = re.compile(rf"[a-z]+|{_SUFFIXES}|[0-9]|[^\t-\r a-z0-9]+")
+_FAST = re.compile(rf"[^\W\d_]+|{_SUFFIXES}|\d|(?:[^\w{_SPACE}]|_)+")
 
 
 def _class_of(*kinds: str, last: int = sys.maxunicode) -> str:
@@ -52,14 +54,24 @@ def _holds(text: str, *kinds: str) -> bool:
 def _with_numbers() -> re.Pattern:
     """Splits a text that holds numbers which are no decimal digits."""
     numbers = _class_of("No", "Nl")
-    return re.compile(rf"{_SUFFIXES}|[^\W\d_{numbers}]+|[\d{numbers}]|(?:[^\w{_SPACE}]|_)+")
+    return re.compile(rf"[^\W\d_{numbers}]+|{_SUFFIXES}|[\d{numbers}]|(?:[^\w{_SPACE}]|_)+")
+
+
+@cache
+def _letters_by_table() -> re.Pattern:
+    """``_FAST`` for texts without code points beyond the table, with letters and digits looked up there."""
+    letters = _class_of("Ll", "Lu", "Lt", "Lm", "Lo", last=_TABLE_END)
+    digits = _class_of("Nd", last=_TABLE_END)
+    return re.compile(rf"[{letters}]+|{_SUFFIXES}|[{digits}]|[^{letters}{digits}{_SPACE}]+")
 
 
 def pre_tokens(normal: str) -> list[str]:
     """The pre-tokens of a normalised text."""
-    if normal.isascii() or not _holds(normal, "No", "Nl"):
-        return _FAST.findall(normal)
-    return _with_numbers().findall(normal)
+    if normal.isascii():
+        return _ASCII.findall(normal)
+    if _holds(normal, "No", "Nl"):
+        return _with_numbers().findall(normal)
+    return (_FAST if _BEYOND.search(normal) else _letters_by_table()).findall(normal)
 
 
 def normalized(text: str) -> str | None:
@@ -83,6 +95,7 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for word, i in vocabulary.items() if word.endswith("</w>")]] = True
@@ -91,11 +104,14 @@ class WordIds:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _learn(self, words: set[str]) -> None:
-        """Encodes new words in one go; every word's last id has the mark of a word's end."""
-        new = sorted(words - self.known.keys())
-        if len(self.known) + len(new) > CACHED_WORDS:
-            self.known.clear()
-            new = sorted(words)
+        """Encodes new words in one go; every word's last id has the mark of a word's end. Words not met since the
+        last time the store filled up are forgotten when it fills up again."""
+        if len(self.known) > CACHED_WORDS:
+            self.older, self.known = self.known, {}
+        new = words - self.known.keys()
+        met = new & self.older.keys()
+        self.known.update((word, self.older[word]) for word in met)
+        new = sorted(new - met)
         if not new:
             return
         ids = np.array(self.tokenizer.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, "<u4")
