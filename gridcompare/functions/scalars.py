@@ -10,16 +10,6 @@ from pyspark.sql import functions as F
 from gridcompare import schema as S
 
 
-def sum_or_zero(value: str | Column) -> Column:
-    """Sum that ignores NULLs and gives 0 for a group without any value.
-
-    Values are added as decimals with nine places, so the result does not depend on the order in which rows arrive:
-    rankings and classes of sums come out the same however often they are computed.
-    """
-    value = F.col(value) if isinstance(value, str) else value
-    return F.coalesce(F.sum(value.cast("decimal(28,9)")).cast("double"), F.lit(0.0))
-
-
 def in_values(column: str | Column, values: Iterable) -> Column:
     """Membership test for a filter: NULL passes only when ``values`` holds None."""
     column = F.col(column) if isinstance(column, str) else column

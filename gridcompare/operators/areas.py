@@ -61,7 +61,7 @@ def area_dimension(grid: DataFrame, nominal: DataFrame) -> DataFrame:
 
 def numbered(areas: DataFrame) -> DataFrame:
     """Add ``ogc_fid``: the position in code order."""
-    return number_rows(areas, ["codesource_area", "gridtype"], "ogc_fid")
+    return number_rows(areas, ["codesource_area", "gridtype"], "ogc_fid").withColumn("ogc_fid", F.col("ogc_fid").cast("int"))
 
 
 def repeated_codes(areas: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridcompare import schema as S
-from gridcompare.functions.scalars import sum_or_zero
+from gridcompare.functions.exact_sum import exact_sums
 
 
 def grouped_fact(facts: DataFrame, areas: DataFrame) -> DataFrame:
@@ -15,11 +15,7 @@ def grouped_fact(facts: DataFrame, areas: DataFrame) -> DataFrame:
     The join comes after the sum, so it sees one row per group. Areas that are not in the dimension
     keep a NULL grid type.
     """
-    summed = (
-        facts.where(F.col("codesource_area").isNotNull())
-        .groupBy(*S.GROUP_KEYS)
-        .agg(sum_or_zero("measurement_value").alias("measurement_value"))
-    )
+    summed = exact_sums(facts.where(F.col("codesource_area").isNotNull()), S.GROUP_KEYS, "measurement_value")
     return summed.join(areas.select("codesource_area", "gridtype"), "codesource_area", "left").select(*S.GROUPED_COLUMNS)
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from gridcompare import schema as S
 from gridcompare.functions import scalars as X
+from gridcompare.functions.exact_sum import exact_sums
 
 
 class UnknownLayout(ValueError):
@@ -116,10 +117,8 @@ def unit_spellings(harmonised: DataFrame) -> DataFrame:
 
 def measure_quality(harmonised: DataFrame) -> DataFrame:
     """Rows, readable measures and their sum per dataset."""
-    value = X.lenient_double("measurement_value")
-    return harmonised.groupBy("dataset").agg(
-        F.count(F.lit(1)).alias("n_rows"), F.count(value).alias("n_valid"), X.sum_or_zero(value).alias("total")
-    )
+    read = harmonised.withColumn("total", X.lenient_double("measurement_value"))
+    return exact_sums(read, ["dataset"], "total", n_rows=F.count(F.lit(1)), n_valid=F.count("total"))
 
 
 def rows_with_area(facts: DataFrame) -> DataFrame:

@@ -12,16 +12,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridcompare.functions import scalars as X
-from gridcompare.functions.ordering import quantile_breaks, top_rows_with_ties, top_values
-from gridcompare.functions.scalars import sum_or_zero
+from gridcompare.functions.exact_sum import exact_sums
+from gridcompare.functions.ordering import number_rows, quantile_breaks, top_rows_with_ties, top_values
 
 # The text shown for a map cell.
 MAP_LABEL = ("Captures pour cette espece: ", " tonnes(t)")
 DECILES = tuple(i / 10 for i in range(11))
 
 
-def _total():
-    return sum_or_zero("measurement_value").alias("measurement_value")
+def _totals(rows: DataFrame, *keys: str, **others) -> DataFrame:
+    return exact_sums(rows, keys, "measurement_value", **others)
 
 
 def _rows():
@@ -33,7 +33,7 @@ def _rows():
 
 
 def map_cells(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("codesource_area", "dataset", "measurement_unit").agg(_total())
+    return _totals(rows, "codesource_area", "dataset", "measurement_unit")
 
 
 def map_view(rows: DataFrame, areas: DataFrame) -> DataFrame:
@@ -69,11 +69,11 @@ def map_deciles(cells: DataFrame) -> DataFrame:
 
 
 def plot_view(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("dataset", "year", "gridtype", "measurement_unit").agg(_total())
+    return _totals(rows, "dataset", "year", "gridtype", "measurement_unit")
 
 
 def series_long(plot: DataFrame) -> DataFrame:
-    return plot.groupBy("dataset", "year", "measurement_unit").agg(_total())
+    return _totals(plot, "dataset", "year", "measurement_unit")
 
 
 def _require_listed(rows: DataFrame, column: str, values: Sequence[str]) -> None:
@@ -160,16 +160,16 @@ def series_by_date(series: DataFrame, datasets: Sequence[str], units: Sequence[s
 
 
 def gridtype_totals(plot: DataFrame) -> DataFrame:
-    return plot.groupBy("dataset", "gridtype", "measurement_unit").agg(_total(), _rows())
+    return _totals(plot, "dataset", "gridtype", "measurement_unit", count=_rows())
 
 
 def dataset_unit_totals(plot: DataFrame) -> DataFrame:
-    return plot.groupBy("dataset", "measurement_unit").agg(_total(), _rows())
+    return _totals(plot, "dataset", "measurement_unit", count=_rows())
 
 
 def dataset_totals(plot: DataFrame) -> DataFrame:
     """Total per dataset, units added together."""
-    return plot.groupBy("dataset").agg(_total())
+    return _totals(plot, "dataset")
 
 
 def one_unit(totals: DataFrame, show_numbers: bool = True) -> DataFrame:
@@ -228,11 +228,17 @@ def ratio_share(ratios: DataFrame) -> DataFrame:
 
 
 def gear_species_series(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("measurement_unit", "gear_type", "year", "species").agg(_total())
+    return _totals(rows, "measurement_unit", "gear_type", "year", "species")
 
 
 def gear_totals(series: DataFrame) -> DataFrame:
-    return series.groupBy("measurement_unit", "gear_type").agg(_total())
+    return _totals(series, "measurement_unit", "gear_type")
+
+
+def sorted_gear_totals(totals: DataFrame) -> DataFrame:
+    """Totals in the order of their unit, ties by gear, with ``pos``, their place in it."""
+    placed = number_rows(totals, ["measurement_unit", "gear_type"], "pos")
+    return placed.select("pos", "measurement_unit", "gear_type", "measurement_value").orderBy("pos")
 
 
 def top_gears_by_code(gears: DataFrame, n: int = 9) -> DataFrame:
@@ -243,7 +249,7 @@ def top_gears_by_code(gears: DataFrame, n: int = 9) -> DataFrame:
 
 def top_gears_by_total(totals: DataFrame, n: int = 9) -> DataFrame:
     """The ``n`` gears with the largest totals, units added together, ties kept."""
-    by_gear = totals.groupBy("gear_type").agg(_total())
+    by_gear = _totals(totals, "gear_type")
     return top_rows_with_ties(by_gear, "measurement_value", n).select("gear_type", "measurement_value")
 
 

@@ -6,7 +6,7 @@ from gridcompare.functions import ordering as O
 
 
 def test_number_rows_is_gapless_and_in_order(spark, monkeypatch):
-    monkeypatch.setattr(O, "BUCKETS", 7)
+    monkeypatch.setattr(O, "RANGE", 7)
     df = spark.range(500).select(F.concat(F.lit("a"), (F.col("id") * 37 % 500).cast("string")).alias("code"))
     rows = sorted(O.number_rows(df, ["code"], "n").collect(), key=lambda r: r["n"])
     assert [r["n"] for r in rows] == list(range(1, 501))
@@ -19,6 +19,23 @@ def test_number_rows_with_repeated_and_missing_keys(spark):
     assert [(r["code"], r["tie"]) for r in rows] == [(None, 3), ("a", 2), ("b", 0), ("b", 1), ("b", 4)]
 
 
+def test_numbers_within_groups_in_collation_order(spark, monkeypatch):
+    monkeypatch.setattr(O, "RANGE", 3)
+    rows = [(g, c) for g in ("x", "y") for c in ("b", "A", "a", "B", "c", "Ä", "z", "Z", None)]
+    df = spark.createDataFrame(rows, "g string, code string")
+    found = O.number_rows(df, [F.collate("code", "en"), "code"], "n", ["code"], "g").collect()
+    for g in ("x", "y"):
+        mine = sorted((r["n"], r["code"]) for r in found if r["g"] == g)
+        assert [n for n, _ in mine] == list(range(1, 10))
+        assert [c for _, c in mine] == [None, "a", "A", "Ä", "b", "B", "c", "z", "Z"]
+
+
+def test_ranges_follow_the_number_of_keys(spark, monkeypatch):
+    monkeypatch.setattr(O, "RANGE", 100)
+    ranges = [O._with_range(spark.range(n), F.col("id"), ["id"]).select("_range").distinct().count() for n in (50, 1000, 10000)]
+    assert ranges[0] <= 5 and 4 <= ranges[1] <= 25 and 70 <= ranges[2] <= 130
+
+
 def test_number_rows_of_nothing(spark):
     df = spark.createDataFrame([], "code string")
     assert O.number_rows(df, ["code"], "n").collect() == []
@@ -34,14 +51,14 @@ PROBS = [i / 10 for i in range(11)]
 
 @pytest.mark.parametrize("seed", range(3))
 def test_quantiles_match_numpy(spark, seed, monkeypatch):
-    monkeypatch.setattr(O, "BUCKETS", 5)
+    monkeypatch.setattr(O, "RANGE", 5)
     rng = np.random.default_rng(seed)
     values = [float(v) for v in rng.integers(0, 40, size=int(rng.integers(1, 300)))]
     assert _breaks(spark, values, PROBS) == pytest.approx(list(np.quantile(values, PROBS)))
 
 
 def test_quantiles_with_one_value_in_a_third_of_the_rows(spark, monkeypatch):
-    monkeypatch.setattr(O, "BUCKETS", 4)
+    monkeypatch.setattr(O, "RANGE", 4)
     values = [7.0] * 100 + [float(v) for v in range(200)]
     assert _breaks(spark, values, PROBS) == pytest.approx(list(np.quantile(values, PROBS)))
 
