@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -109,6 +110,11 @@ def outer_edges(polygons: str | Column) -> Column:
     return F.flatten(F.transform(outer_rings(polygons), edges))
 
 
+def all_edges(polygons: str | Column) -> Column:
+    """Edges of all rings, holes included."""
+    return F.flatten(F.transform(F.flatten(_col(polygons)), edges))
+
+
 def _ring_moments(ring: Column, weight: Column) -> Column:
     """Area and first moments of a ring about its own first point, made positive and times ``weight``."""
     origin = F.get(ring, F.lit(0))
@@ -179,47 +185,95 @@ def rectangle_wkt(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
 # One selection polygon, known when the plan is built
 
 
+Ring = tuple[tuple[float, float], ...]
+PROBE = 1e-6  # how far beside an edge a region is probed, in degrees
+
+
+def _rings_of(body: str) -> tuple[Ring, ...]:
+    rings = []
+    for text in re.findall(r"\(([^()]*)\)", body):
+        points = tuple(tuple(float(v) for v in pair.split()[:2]) for pair in text.split(","))
+        if len(points) < 4 or points[0] != points[-1]:
+            raise ValueError("the rings of a selection must be closed and have at least three corners")
+        rings.append(points)
+    return tuple(rings)
+
+
 @dataclass(frozen=True)
 class SelectionPolygon:
-    """A polygon without holes given as text; small enough to be a literal of the plan."""
+    """A polygon or several, with or without holes, given as text; small enough to be a literal of the plan.
+
+    What is inside is told by the even-odd rule over all rings, so a part within a hole counts again.
+    """
 
-    points: tuple[tuple[float, float], ...]
+    parts: tuple[tuple[Ring, ...], ...]  # of each part the outer ring and its holes
 
     @staticmethod
     def from_wkt(wkt: str) -> "SelectionPolygon":
-        match = re.fullmatch(r"(?is)\s*(?:SRID=\d+;)?\s*POLYGON\s*\(\s*\(([^()]*)\)\s*\)\s*", wkt)
-        if match is None:
-            raise ValueError("a selection must be one POLYGON without holes")
-        points = tuple(tuple(float(v) for v in pair.split()[:2]) for pair in match.group(1).split(","))
-        if len(points) < 4 or points[0] != points[-1]:
-            raise ValueError("the ring of a selection must be closed and have at least three corners")
-        return SelectionPolygon(points)
+        ring = r"\(\s*[^()]+\)"
+        part = rf"\(\s*{ring}(?:\s*,\s*{ring})*\s*\)"
+        text = re.sub(r"(?i)^\s*(?:SRID=\d+;)?\s*", "", wkt)
+        if re.fullmatch(rf"(?is)POLYGON\s*{part}\s*", text):
+            bodies = [text]
+        elif re.fullmatch(rf"(?is)MULTIPOLYGON\s*\(\s*{part}(?:\s*,\s*{part})*\s*\)\s*", text):
+            bodies = re.findall(part, text[text.index("(") + 1 :])
+        else:
+            raise ValueError("a selection must be a POLYGON or a MULTIPOLYGON")
+        return SelectionPolygon(tuple(map(_rings_of, bodies)))
+
+    @property
+    def rings(self) -> tuple[Ring, ...]:
+        return tuple(ring for part in self.parts for ring in part)
 
     @property
     def bbox(self) -> tuple[float, float, float, float]:
-        xs, ys = [p[0] for p in self.points], [p[1] for p in self.points]
+        points = [p for part in self.parts for p in part[0]]
+        xs, ys = [p[0] for p in points], [p[1] for p in points]
         return min(xs), min(ys), max(xs), max(ys)
 
     @property
     def is_rectangle(self) -> bool:
+        if len(self.rings) != 1:
+            return False
+        points = self.rings[0]
         xmin, ymin, xmax, ymax = self.bbox
         corners = {(xmin, ymin), (xmin, ymax), (xmax, ymin), (xmax, ymax)}
-        steps = zip(self.points, self.points[1:])
+        steps = zip(points, points[1:])
         return (
-            len(self.points) == 5
-            and set(self.points) == corners
+            len(points) == 5
+            and set(points) == corners
             and len(corners) == 4
             and all((a[0] == b[0]) != (a[1] == b[1]) for a, b in steps)
         )
 
+    def _sides(self) -> list[tuple[float, float, float, float]]:
+        """The edges of all rings. An edge that two parts share bounds nothing and is left out."""
+        found = [a + b for ring in self.rings for a, b in zip(ring, ring[1:]) if a != b]
+        count = Counter(min(e, e[2:] + e[:2]) for e in found)
+        return [e for e in found if count[min(e, e[2:] + e[:2])] % 2]
+
+    def contains(self, x: float, y: float) -> bool:
+        """Whether a point that is on no edge lies inside."""
+        crossed = 0
+        for x1, y1, x2, y2 in self._sides():
+            if (y1 > y) != (y2 > y) and x < x1 + (y - y1) * (x2 - x1) / (y2 - y1):
+                crossed += 1
+        return crossed % 2 == 1
+
+    def _probes(self) -> list[tuple[float, float]]:
+        """Points just outside, one beside each edge: every hole, and every gap between parts, has some."""
+        if len(self.rings) == 1:
+            return []  # what a single ring leaves out reaches to infinity, so no area can enclose it
+        points = []
+        for x1, y1, x2, y2 in self._sides():
+            length = math.hypot(x2 - x1, y2 - y1)
+            dx, dy = PROBE * (y1 - y2) / length, PROBE * (x2 - x1) / length
+            x, y = (x1 + x2) / 2, (y1 + y2) / 2
+            points += [p for p in ((x + dx, y + dy), (x - dx, y - dy)) if not self.contains(*p)]
+        return points
+
     def _edges(self) -> Column:
-        return F.array(
-            *[
-                F.struct(*[F.lit(v).alias(n) for n, v in zip(("x1", "y1", "x2", "y2"), a + b)])
-                for a, b in zip(self.points, self.points[1:])
-                if a != b
-            ]
-        )
+        return F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(("x1", "y1", "x2", "y2"), e)]) for e in self._sides()])
 
     def covers_box(self, xmin="xmin", ymin="ymin", xmax="xmax", ymax="ymax") -> Column:
         """Bounding-box containment: necessary for any polygon, exact for a rectangle. Can be pushed to parquet."""
@@ -234,7 +288,8 @@ class SelectionPolygon:
         When no edge of the selection meets the bounding box, everything in the box is on one side and one
         point decides. Otherwise each edge of the tested ring is cut wherever it meets an edge of the
         selection. Between two cuts a piece is wholly inside or wholly outside, so its midpoint decides.
-        As the selection has no hole, a ring that is inside encloses only points that are inside.
+        A ring that is inside may still enclose a hole, or a gap between parts. It then encloses all of it, and so
+        the points probed beside the edges there.
         """
         sel_edges = self._edges()
         box = [_col(c) for c in (xmin, ymin, xmax, ymax)]
@@ -258,9 +313,13 @@ class SelectionPolygon:
 
         start = F.get(F.get(F.get(_col(polygons), F.lit(0)), F.lit(0)), F.lit(0))
         near = F.exists(sel_edges, lambda e: edge_meets_box(e, *box))
-        return F.when(~near, point_in_ring(start["x"], start["y"], sel_edges)).otherwise(
-            F.forall(outer_edges(polygons), piece_ok)
-        )
+        within = F.forall(outer_edges(polygons), piece_ok)
+        if probes := self._probes():
+            own_edges = all_edges(polygons)
+            points = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in probes])
+            near_box = lambda p: p["x"].between(box[0], box[2]) & p["y"].between(box[1], box[3])
+            within &= ~F.exists(points, lambda p: near_box(p) & crosses_odd(p["x"], p["y"], own_edges))
+        return F.when(~near, point_in_ring(start["x"], start["y"], sel_edges)).otherwise(within)
 
 
 def _cross(ax: Column, ay: Column, bx: Column, by: Column) -> Column:
@@ -287,6 +346,21 @@ def _cut_positions(edge: Column, other: Column) -> Column:
     return F.filter(found, lambda t: (t > 0) & (t < 1))
 
 
+def edges_meet(a: Column, b: Column) -> Column:
+    """Whether two segments share a point: neither's line has the other wholly on one side, and their boxes meet."""
+
+    def side(e: Column, x: Column, y: Column) -> Column:
+        return F.signum(_cross(e["x2"] - e["x1"], e["y2"] - e["y1"], x - e["x1"], y - e["y1"]))
+
+    apart = [
+        F.greatest(p[f"{axis}1"], p[f"{axis}2"]) < F.least(q[f"{axis}1"], q[f"{axis}2"])
+        for p, q in ((a, b), (b, a))
+        for axis in ("x", "y")
+    ]
+    split = [side(p, q["x1"], q["y1"]) * side(p, q["x2"], q["y2"]) <= 0 for p, q in ((a, b), (b, a))]
+    return ~(apart[0] | apart[1] | apart[2] | apart[3]) & split[0] & split[1]
+
+
 def point_on_edges(px: Column, py: Column, ring_edges: Column) -> Column:
     def on(e: Column) -> Column:
         dx, dy = e["x2"] - e["x1"], e["y2"] - e["y1"]
@@ -302,15 +376,20 @@ def point_on_edges(px: Column, py: Column, ring_edges: Column) -> Column:
     return F.exists(ring_edges, on)
 
 
-def point_in_ring(px: Column, py: Column, ring_edges: Column) -> Column:
-    """Closed point-in-polygon test by ray casting."""
+def crosses_odd(px: Column, py: Column, ring_edges: Column) -> Column:
+    """Ray casting: whether a point is inside by the even-odd rule; on an edge it may be either."""
 
     def crosses(e: Column) -> Column:
         straddles = (e["y1"] > py) != (e["y2"] > py)
         at = e["x1"] + (py - e["y1"]) * (e["x2"] - e["x1"]) / F.when(straddles, e["y2"] - e["y1"])
         return F.coalesce(straddles & (px < at), F.lit(False))
 
-    return point_on_edges(px, py, ring_edges) | (F.size(F.filter(ring_edges, crosses)) % 2 == 1)
+    return F.size(F.filter(ring_edges, crosses)) % 2 == 1
+
+
+def point_in_ring(px: Column, py: Column, ring_edges: Column) -> Column:
+    """Closed point-in-polygon test by ray casting, over the edges of all rings."""
+    return point_on_edges(px, py, ring_edges) | crosses_odd(px, py, ring_edges)
 
 
 def edge_meets_box(e: Column, xmin: Column, ymin: Column, xmax: Column, ymax: Column) -> Column:

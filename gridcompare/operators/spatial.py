@@ -65,6 +65,27 @@ def drawn_rectangles(features: DataFrame, feature: str = "feature") -> DataFrame
     return texts.withColumn("wkt", G.rectangle_wkt(*[F.col(f"_{n}") for n in names])).drop(*[f"_{n}" for n in names])
 
 
+def drawn_polygons(features: DataFrame, feature: str = "feature") -> DataFrame:
+    """``polygons`` and ``wkt`` of each drawn GeoJSON feature: Polygon or MultiPolygon of any shape, holes included.
+    NULL where the feature is neither, or a ring has under four points or none that ends where it began."""
+    point = "array<double>"
+    one = F.from_json(feature, f"geometry struct<type:string,coordinates:array<array<{point}>>>")["geometry"]
+    many = F.from_json(feature, f"geometry struct<type:string,coordinates:array<array<array<{point}>>>>")["geometry"]
+    kind = F.coalesce(one["type"], F.lit("Polygon"))
+    parts = F.when(kind == "Polygon", F.array(one["coordinates"])).when(kind == "MultiPolygon", many["coordinates"])
+
+    def as_point(p):
+        return F.struct(F.get(p, F.lit(0)).alias("x"), F.get(p, F.lit(1)).alias("y"))
+
+    polygons = F.transform(parts, lambda part: F.transform(part, lambda ring: F.transform(ring, as_point)))
+    closed = F.forall(F.flatten("polygons"), lambda r: (F.size(r) >= 4) & (F.element_at(r, 1) == F.element_at(r, -1)))
+    shaped = features.withColumn("polygons", polygons)
+    shaped = shaped.withColumn("polygons", F.when(closed & (F.size(F.flatten("polygons")) > 0), F.col("polygons")))
+    body = F.array_join(F.transform("polygons", G.polygon_body), ",")
+    text = F.when(F.size("polygons") == 1, F.concat(F.lit("POLYGON "), body)).otherwise(F.concat(F.lit("MULTIPOLYGON ("), body, F.lit(")")))
+    return shaped.withColumn("wkt", text).drop(feature)
+
+
 def rectangle_centres(rectangles: DataFrame) -> DataFrame:
     return rectangles.withColumns(
         {"lon": (F.col("lng1") + F.col("lng2")) / 2, "lat": (F.col("lat1") + F.col("lat2")) / 2}
@@ -128,3 +149,50 @@ def disjoint_rectangles(rectangles: DataFrame, areas: DataFrame) -> DataFrame:
         "left_semi",
     )
     return boxed.join(touching.select(*box), box, "left_anti").drop(*box)
+
+
+def _edge_cells(shapes: DataFrame, name: str) -> DataFrame:
+    """(key, edge, cell_x, cell_y): every edge of every ring once for each grid cell its box touches."""
+    edges = shapes.select(F.col("_key"), F.explode(G.all_edges("polygons")).alias(name))
+    ends = {axis: (F.least(f"{name}.{axis}1", f"{name}.{axis}2"), F.greatest(f"{name}.{axis}1", f"{name}.{axis}2")) for axis in "xy"}
+    boxed = edges.withColumns({"_left": ends["x"][0], "_right": ends["x"][1], "_low": ends["y"][0], "_high": ends["y"][1]})
+    return _by_cell(boxed, "_left", "_low", "_right", "_high").drop("_left", "_right", "_low", "_high")
+
+
+def _point_cells(shapes: DataFrame) -> DataFrame:
+    """(key, px, py, cell_x, cell_y): one corner of each polygon of each shape."""
+    corners = shapes.select("_key", F.explode(G.outer_rings("polygons")).alias("_ring"))
+    points = corners.select("_key", F.get("_ring", F.lit(0))["x"].alias("px"), F.get("_ring", F.lit(0))["y"].alias("py"))
+    return points.withColumns({f"cell_{a}": F.floor(F.col(f"p{a}") / CELL_DEGREES).cast("int") for a in "xy"})
+
+
+def _filled_cells(shapes: DataFrame) -> DataFrame:
+    """(key, edges, cell_x, cell_y): every shape with all its edges once for each grid cell of its box."""
+    filled = shapes.select("_key", G.all_edges("polygons").alias("_edges"), *[c.alias(n) for n, c in G.bounding_box("polygons").items()])
+    return _by_cell(filled, "xmin", "ymin", "xmax", "ymax").drop("xmin", "ymin", "xmax", "ymax")
+
+
+def disjoint_polygons(drawn: DataFrame, areas: DataFrame) -> DataFrame:
+    """Drawn shapes (``polygons``, ``wkt``) of any form that share no point with any area; holes are no part of a shape.
+
+    Two shapes share a point if edges of theirs meet, or if one holds a corner of a polygon of the other. Edges are
+    dealt to grid cells and compared with the edges in the same cell only; corners with the shapes that reach their
+    cell. All three tests are semi joins on the cell, which stop at the first match and which adaptive execution can
+    split where a cell is hot. Equal shapes are tested once. A shape that is NULL is disjoint from everything.
+    """
+    shapes = drawn.where(F.col("polygons").isNotNull()).select(F.col("wkt").alias("_key"), "polygons").dropDuplicates(["_key"])
+    others = areas.where(F.col("polygons").isNotNull()).select("polygons").distinct().withColumn("_key", F.lit(0))
+    cell = ["cell_x", "cell_y"]
+
+    def meeting(left: DataFrame, right: DataFrame, test) -> DataFrame:
+        same = (F.col("l.cell_x") == F.col("r.cell_x")) & (F.col("l.cell_y") == F.col("r.cell_y"))
+        return left.alias("l").join(right.drop("_key").alias("r"), same & test, "left_semi").select("_key")
+
+    def holds(point: str, edges: str):
+        return G.crosses_odd(F.col(f"{point}.px"), F.col(f"{point}.py"), F.col(f"{edges}._edges"))
+
+    crossing = meeting(_edge_cells(shapes, "edge"), _edge_cells(others, "other"), G.edges_meet(F.col("l.edge"), F.col("r.other")))
+    around = meeting(_filled_cells(shapes), _point_cells(others).select("_key", "px", "py", *cell).distinct(), holds("r", "l"))
+    within = meeting(_point_cells(shapes), _filled_cells(others), holds("l", "r"))
+    touching = crossing.unionByName(around).unionByName(within)
+    return drawn.join(touching, drawn["wkt"] == touching["_key"], "left_anti")

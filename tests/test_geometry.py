@@ -142,9 +142,9 @@ def test_an_area_without_gridtype_is_never_within(spark):
 
 
 @pytest.mark.parametrize(
-    "bad", ["POINT (1 2)", "POLYGON ((0 0,9 0,9 9,0 0),(1 1,2 1,2 2,1 1))", "POLYGON ((0 0,1 1,2 0))", "MULTIPOLYGON (((0 0,1 0,1 1,0 0)))"]
+    "bad", ["POINT (1 2)", "POLYGON ((0 0,1 1,2 0))", "POLYGON ((0 0,9 0,9 9,0 0),(1 1,2 1,2 2))", "MULTIPOLYGON ((0 0,1 0,1 1,0 0))", "POLYGON EMPTY"]
 )
-def test_selections_with_holes_or_open_rings_are_refused(bad):
+def test_selections_that_are_no_polygons_or_open_are_refused(bad):
     with pytest.raises(ValueError):
         SelectionPolygon.from_wkt(bad)
 
@@ -246,3 +246,45 @@ def test_repeated_codes_are_reported(spark):
     frame = areas_frame(spark, {"a": square(0, 0), "b": square(1, 1)})
     assert A.repeated_codes(frame).isEmpty()
     assert [r[0] for r in A.repeated_codes(frame.union(frame.where("codesource_area = 'b'"))).collect()] == ["b"]
+
+
+HOLED = "POLYGON ((0 0,20 0,20 20,0 20,0 0),(5 5,5 15,15 15,15 5,5 5))"
+PARTS = "MULTIPOLYGON (((0 0,10 0,10 10,0 10,0 0)),((10 0,20 0,20 10,10 10,10 0)),((30 0,40 0,40 10,30 10,30 0)))"
+# Two parts that touch in two points and so enclose a gap.
+GAP = "MULTIPOLYGON (((0 0,30 0,30 10,10 10,10 20,0 20,0 0)),((30 10,30 30,0 30,0 20,20 20,20 10,30 10)))"
+
+
+def test_areas_inside_a_polygon_with_a_hole(spark):
+    shapes = {
+        "beside the hole": square(1, 1, 3, 3),
+        "touches the hole": square(0, 5, 5, 5),
+        "around the hole": square(1, 1, 18, 18),
+        "is the hole": square(5, 5, 10, 10),
+        "inside the hole": square(7, 7, 2, 2),
+        "reaches into the hole": square(3, 3, 4, 4),
+        "whole outer ring": square(0, 0, 20, 20),
+        "outside": square(30, 30, 1, 1),
+    }
+    assert within(spark, shapes, HOLED) == {"beside the hole", "touches the hole"}
+
+
+def test_areas_inside_several_polygons(spark):
+    shapes = {
+        "first": square(1, 1, 5, 5),
+        "across the common edge": square(5, 2, 10, 5),
+        "whole of two": square(0, 0, 20, 10),
+        "third": square(30, 0, 10, 10),
+        "between": square(22, 2, 3, 3),
+        "across the gap": square(15, 2, 20, 3),
+    }
+    assert within(spark, shapes, PARTS) == {"first", "across the common edge", "whole of two", "third"}
+
+
+def test_a_gap_enclosed_by_parts_is_outside(spark):
+    shapes = {"around the gap": square(0, 0, 30, 30), "the gap": square(10, 10, 10, 10), "in the gap": square(12, 12, 2, 2), "corner": square(0, 0, 10, 10)}
+    assert within(spark, shapes, GAP) == {"corner"}
+
+
+def test_a_part_within_a_hole_counts(spark):
+    island = HOLED.replace("POLYGON (", "MULTIPOLYGON ((") + ",((8 8,12 8,12 12,8 12,8 8)))"
+    assert within(spark, {"island": square(8, 8, 4, 4), "lagoon": square(6, 6, 1, 1)}, island) == {"island"}
