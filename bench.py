@@ -46,11 +46,11 @@ RUNS = 3
 def chain_step_seconds(spark, sf_dir: str) -> list[float]:
     """Time of each step of a session of changed selections, rows to show included."""
     tables = DriverTables(spark, sf_dir)
-    grouped, areas = tables.grouped(), tables.areas()
-    result, times = apply_selection(grouped, areas, CHAIN[0]), []
+    grouped, areas, kept = tables.grouped(), tables.areas(), tables.kept()
+    result, times = apply_selection(grouped, areas, CHAIN[0], None, True, kept).keep(), []
     for selection in CHAIN[1:]:
         start = time.perf_counter()
-        result, _ = next_selection(grouped, areas, result, selection)
+        result, _ = next_selection(grouped, areas, result, selection, True, kept)
         result.filtered.write.format("noop").mode("overwrite").save()
         times.append(round(time.perf_counter() - start, 3))
     return times

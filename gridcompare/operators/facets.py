@@ -6,12 +6,13 @@ below read that small table. Only dependent facets go back to the combinations.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridcompare import schema as S
 from gridcompare.functions import scalars as X
-from gridcompare.operators.selection import Selection, filter_dimensions
+from gridcompare.functions.ordering import number_rows
+from gridcompare.operators.selection import Selection, filter_dimensions, typed_values
 
 LABEL_COLLATION = "en"
 
@@ -30,15 +31,41 @@ def values_of(values: DataFrame, dimension: str) -> DataFrame:
 
 
 def dependent_values(combinations: DataFrame, selection: Selection) -> DataFrame:
-    """Values still possible in every dimension once some lists are chosen."""
+    """Values that occur in every dimension once some lists are chosen; each list is narrowed by its own choice too."""
     kept = combinations
     for name in S.DIMENSIONS:
         values = getattr(selection, name)
         if values is not None:
-            kept = kept.where(X.in_values(name, values))
+            kept = kept.where(X.in_values(name, typed_values(values, combinations.schema[name].dataType)))
     return facet_values(kept)
 
 
+def choosable_values(combinations: DataFrame, selection: Selection) -> DataFrame:
+    """Values that could be chosen in every dimension without emptying the selection: those that occur with the
+    choices made in the other lists, so a list shows what it can be widened by.
+
+    One pass counts the lists that each combination misses. Its value stands in a list if no other list is missed:
+    when none is, or only that one. Values may be given as text, as in ``filter_dimensions``.
+    """
+    missed = {}
+    for name in S.DIMENSIONS:
+        values = getattr(selection, name)
+        if values is not None:
+            inside = X.in_values(name, typed_values(values, combinations.schema[name].dataType))
+            missed[name] = F.when(F.coalesce(inside, F.lit(False)), 0).otherwise(1)
+    total = sum(missed.values(), F.lit(0))
+    pairs = [
+        F.struct(
+            F.lit(name).alias("dimension"),
+            F.col(name).cast("string").alias("value"),
+            (F.col("_missed") == missed.get(name, F.lit(0))).alias("possible"),
+        )
+        for name in S.DIMENSIONS
+    ]
+    exploded = combinations.withColumn("_missed", total).where("_missed <= 1").select(F.explode(F.array(*pairs)).alias("p"))
+    return exploded.where("p.possible").select("p.dimension", "p.value").distinct()
+
+
 def added_values(new: DataFrame, old: DataFrame) -> DataFrame:
     """Facet values of one selection that another does not have; missing values compare as equal."""
     return new.select("dimension", "value").subtract(old.select("dimension", "value"))
@@ -53,8 +80,8 @@ def ordered_values(values: DataFrame, dimensions: tuple[str, ...] = ("year", "gr
     """Sorted values of the dimensions that have no code list, missing values left out."""
     listed = values.where(F.col("dimension").isin(list(dimensions)) & F.col("value").isNotNull())
     number = F.when(F.col("dimension") == "year", F.col("value").try_cast("int"))
-    pos = F.row_number().over(Window.partitionBy("dimension").orderBy(number, "value"))
-    return listed.select("dimension", "value", pos.alias("pos"))
+    placed = number_rows(listed, [number, "value"], "pos", ["value"], "dimension")
+    return placed.select("dimension", "value", F.col("pos").cast("int").alias("pos"))
 
 
 # ---------------------------------------------------------------------------------------------
@@ -124,10 +151,10 @@ def english(label: str | Column) -> Column:
 
 def ordered_labels(codelist: DataFrame, group: str = "dimension") -> DataFrame:
     """Add ``pos``: the place within its list, years by number, all else in English order of the code list's
-    label. A list holds the distinct codes of one dimension."""
+    label. A list holds the distinct codes of one dimension; a long one is ordered in many tasks."""
     number = F.when(F.col(group) == "year", F.col("code").try_cast("int"))
-    order = Window.partitionBy(group).orderBy(number, english("sort_label"), "code")
-    return codelist.withColumn("pos", F.row_number().over(order))
+    placed = number_rows(codelist, [number, english("sort_label"), "code"], "pos", ["sort_label", "code"], group)
+    return placed.withColumn("pos", F.col("pos").cast("int"))
 
 
 def taxon_ids(species: DataFrame, matches: DataFrame) -> DataFrame:

@@ -7,14 +7,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass, fields, replace
 from functools import cached_property
+from typing import Protocol
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DataType, IntegralType
+from pyspark.sql.types import DataType, IntegralType, StructType
 
 from gridcompare import schema as S
-from gridcompare.functions.geometry import SelectionPolygon
-from gridcompare.functions.scalars import in_values, sum_or_zero
+from gridcompare.functions.exact_sum import exact_sums
+from gridcompare.functions.scalars import in_values
 from gridcompare.operators.areas import footprint
 from gridcompare.operators.spatial import areas_inside, facts_within
 
@@ -108,6 +109,16 @@ class Selection:
         """True when every value list is a subset of the other's, so its rows hold all that is needed."""
         return not self.added_values(other)
 
+    def canonical(self, schema: StructType) -> "Selection":
+        """The same selection with each list once, sorted, in the type of its column, so that equal selections are
+        equal values."""
+        lists = {}
+        for name in self.dimensions:
+            values = getattr(self, name)
+            if values is not None:
+                lists[name] = tuple(sorted(typed_values(values, schema[name].dataType), key=lambda v: (v is not None, v)))
+        return replace(self, **lists)
+
 
 # ---------------------------------------------------------------------------------------------
 # Filters
@@ -120,11 +131,11 @@ def filter_dimensions(facts: DataFrame, selection: Selection) -> DataFrame:
     for name in S.DIMENSIONS:
         values = getattr(selection, name)
         if values is not None:
-            kept = kept.where(in_values(name, _typed(values, facts.schema[name].dataType)))
+            kept = kept.where(in_values(name, typed_values(values, facts.schema[name].dataType)))
     return kept
 
 
-def _typed(values: tuple, kind: DataType) -> list:
+def typed_values(values: tuple, kind: DataType) -> list:
     """Distinct values in the type of their column. A text that is no number equals no number."""
     if not isinstance(kind, IntegralType):
         return list(dict.fromkeys(values))
@@ -139,7 +150,7 @@ def _typed(values: tuple, kind: DataType) -> list:
 
 def regroup(facts: DataFrame) -> DataFrame:
     """Sum to the grain of a selection."""
-    return facts.groupBy(*S.SELECTION_KEYS).agg(sum_or_zero("measurement_value").alias("measurement_value"))
+    return exact_sums(facts, S.SELECTION_KEYS, "measurement_value")
 
 
 def kept_rows(facts: DataFrame, areas: DataFrame, selection: Selection) -> DataFrame:
@@ -153,20 +164,26 @@ def kept_rows(facts: DataFrame, areas: DataFrame, selection: Selection) -> DataF
     return facts_within(listed, areas_inside(areas, selection.polygon))
 
 
-def at_grain(rows: DataFrame, selection: Selection) -> DataFrame:
-    """Kept rows summed to the grain of a selection. After a full reset the facts stay as they are."""
-    return rows.select(*S.SELECTION_KEYS, "measurement_value") if selection.is_reset else regroup(rows)
+def at_grain(rows: DataFrame, selection: Selection, summed: bool = False) -> DataFrame:
+    """Kept rows summed to the grain of a selection. After a full reset the facts stay as they are.
+
+    ``summed`` says that the rows come from the grouped fact or from an earlier selection. Those hold each key once,
+    with a number, so they are at the grain already and nothing is shuffled.
+    """
+    if summed or selection.is_reset:
+        return rows.select(*S.SELECTION_KEYS, "measurement_value")
+    return regroup(rows)
 
 
-def non_spatial(facts: DataFrame, areas: DataFrame, selection: Selection) -> DataFrame:
+def non_spatial(facts: DataFrame, areas: DataFrame, selection: Selection, summed: bool = False) -> DataFrame:
     """Rows kept by the lists alone, polygon ignored, at the grain of a selection."""
-    return selected(facts, areas, selection.without_polygon())
+    return selected(facts, areas, selection.without_polygon(), summed)
 
 
-def selected(facts: DataFrame, areas: DataFrame, selection: Selection) -> DataFrame:
+def selected(facts: DataFrame, areas: DataFrame, selection: Selection, summed: bool = False) -> DataFrame:
     """Rows kept by the lists and the polygon, at the grain of a selection. The area list is applied
     before the sum, which gives the same rows as applying it afterwards and shuffles only what is kept."""
-    return at_grain(kept_rows(facts, areas, selection), selection)
+    return at_grain(kept_rows(facts, areas, selection), selection, summed)
 
 
 def refine_polygon(base: DataFrame, areas: DataFrame, polygon: str | None) -> DataFrame:
@@ -178,12 +195,20 @@ def refine_polygon(base: DataFrame, areas: DataFrame, polygon: str | None) -> Da
 # Results and fallbacks
 
 
+class KeptRows(Protocol):
+    """Results of earlier selections that can answer later ones (see ``sources/kept.py``)."""
+
+    def source(self, lists: Selection) -> DataFrame | None: ...
+
+    def keep(self, lists: Selection) -> None: ...
+
+
 @dataclass(frozen=True)
 class SelectionResult:
     """What one selection gives, described by the selection that is in effect after the fallbacks.
 
-    Every frame is built from the grouped fact and the area dimension, so its plan has the same size after one
-    step of a session as after a hundred.
+    Every frame is built from the grouped fact, or from a kept result that holds its rows, and the area dimension.
+    So its plan has the same size after one step of a session as after a hundred.
     """
 
     selection: Selection  # as asked for
@@ -192,24 +217,40 @@ class SelectionResult:
     effective: Selection  # as shown
     listed: Selection  # the lists of ``base``
     status: str
+    summed: bool = False  # the facts hold each key once
+    kept: KeptRows | None = None
+    last_polygon: str | None = None  # the polygon before this one
+
+    def _from(self, lists: Selection) -> tuple[DataFrame, bool]:
+        """The rows to read for some lists, and whether they are summed."""
+        held = None if self.kept is None or lists.is_reset else self.kept.source(lists)
+        return (self.facts, self.summed) if held is None else (held, True)
+
+    def _rows(self, selection: Selection) -> DataFrame:
+        facts, summed = self._from(selection.without_polygon())
+        return selected(facts, self.areas, selection, summed)
 
     @cached_property
     def base(self) -> DataFrame:
         """Rows kept by the lists alone."""
-        return selected(self.facts, self.areas, self.listed)
+        return self._rows(self.listed)
 
     @cached_property
     def footprint(self) -> DataFrame:
         """Areas of the rows that the lists in effect keep, with their bounding boxes."""
         lists = self.effective.without_polygon()
-        return footprint(self.areas, None if lists.is_reset else kept_rows(self.facts, self.areas, lists))
+        return footprint(self.areas, None if lists.is_reset else kept_rows(self._from(lists)[0], self.areas, lists))
 
     @cached_property
     def filtered(self) -> DataFrame:
         """Rows to show, with ``status`` telling which fallback, if any, was used."""
-        rows = selected(self.facts, self.areas, self.effective)
+        rows = self._rows(self.effective)
         return rows.select(*S.SELECTION_KEYS, "measurement_value").withColumn("status", F.lit(self.status))
 
+    def with_last_polygon(self) -> Selection:
+        """The selection asked for, with the polygon that was in use before this one (none, if there was none)."""
+        return replace(self.selection, polygon=self.last_polygon)
+
     def read_from(self, rows: DataFrame) -> "SelectionResult":
         """The same result with its rows to show read from a stored table."""
         same = replace(self)
@@ -217,13 +258,13 @@ class SelectionResult:
         return same
 
     def keep(self) -> "SelectionResult":
-        """Hold the rows to show for several views; lost blocks are computed again from the stored fact. Call
-        ``release`` when the selection is left."""
-        self.filtered.persist()
-        return self
-
-    def release(self) -> None:
-        self.filtered.unpersist()
+        """Store the rows of the lists in effect, so that this result and narrower ones read them and not the fact."""
+        if self.kept is None:
+            raise ValueError("this result comes from frames alone; results of stored tables can be kept")
+        lists = self.effective.without_polygon()
+        if not lists.is_reset:
+            self.kept.keep(lists)
+        return replace(self)  # its frames are made anew
 
 
 def _any(rows: DataFrame):
@@ -237,7 +278,7 @@ def _unless(condition, frame: DataFrame) -> DataFrame:
 
 
 def with_fallback(
-    facts: DataFrame, areas: DataFrame, selection: Selection, previous: DataFrame | None = None
+    facts: DataFrame, areas: DataFrame, selection: Selection, previous: DataFrame | None = None, summed: bool = False
 ) -> DataFrame:
     """Selected rows plus ``status``, decided inside the plan.
 
@@ -246,7 +287,7 @@ def with_fallback(
     """
     keys = [*S.SELECTION_KEYS, "measurement_value"]
     if selection.is_reset:
-        return selected(facts, areas, selection).select(*keys).withColumn("status", F.lit(APPLIED))
+        return selected(facts, areas, selection, summed).select(*keys).withColumn("status", F.lit(APPLIED))
     listed = kept_rows(facts, areas, selection.without_polygon())
     rows, status = listed, F.lit(APPLIED)
     if selection.polygon is not None:
@@ -257,7 +298,7 @@ def with_fallback(
         marked = listed.join(marks, "codesource_area", "left").withColumn("_some", some_inside)
         rows = marked.where(F.col("_inside").isNotNull() | ~F.col("_some")).drop("_inside", "_some")
         status = F.when(some_inside, F.lit(APPLIED)).otherwise(F.lit(SPATIAL_FALLBACK))
-    result = regroup(rows).select(*keys).withColumn("status", status)
+    result = at_grain(rows, selection, summed).select(*keys).withColumn("status", status)
     if previous is not None:
         fallback = _unless(_any(listed), previous.select(*keys))
         result = result.unionByName(fallback.withColumn("status", F.lit(DIMENSION_FALLBACK)))
@@ -265,42 +306,62 @@ def with_fallback(
 
 
 def apply_selection(
-    facts: DataFrame, areas: DataFrame, selection: Selection, previous: SelectionResult | None = None
+    facts: DataFrame,
+    areas: DataFrame,
+    selection: Selection,
+    previous: SelectionResult | None = None,
+    summed: bool = False,
+    kept: KeptRows | None = None,
 ) -> SelectionResult:
     """The results of one selection. Looks for a first row of the lists, and for one inside the polygon, to know
     which fallback is in effect; a full reset has none.
 
     When the lists keep nothing, what the previous selection shows is shown again, and base is the whole fact.
-    When no row is inside the polygon, the lists alone are in effect.
+    When no row is inside the polygon, the lists alone are in effect. With ``kept``, the smallest kept result that
+    holds the lists is read and not the fact.
     """
     lists = selection.without_polygon()
     effective, listed, status = selection, lists, APPLIED
     if not selection.is_reset:
-        if previous is not None and kept_rows(facts, areas, lists).isEmpty():
-            effective, listed, status = previous.effective, Selection.all(), DIMENSION_FALLBACK
-        elif selection.polygon is not None and kept_rows(facts, areas, selection).isEmpty():
-            effective, status = lists, SPATIAL_FALLBACK
-    return SelectionResult(selection, facts, areas, effective, listed, status)
+        held = None if kept is None else kept.source(lists)
+        rows = facts if held is None else held
+        inside = selection.polygon is not None and not kept_rows(rows, areas, selection).isEmpty()
+        if not inside:  # a row inside is a row of the lists
+            if previous is not None and kept_rows(rows, areas, lists).isEmpty():
+                effective, listed, status = previous.effective, Selection.all(), DIMENSION_FALLBACK
+            elif selection.polygon is not None:
+                effective, status = lists, SPATIAL_FALLBACK
+    last = None
+    if previous is not None:
+        last = previous.last_polygon if selection.polygon == previous.selection.polygon else previous.selection.polygon
+    return SelectionResult(selection, facts, areas, effective, listed, status, summed, kept, last)
 
 
 def next_selection(
-    whole: DataFrame, areas: DataFrame, previous: SelectionResult, selection: Selection
+    whole: DataFrame,
+    areas: DataFrame,
+    previous: SelectionResult,
+    selection: Selection,
+    summed: bool = False,
+    kept: KeptRows | None = None,
 ) -> tuple[SelectionResult, str]:
     """Answer a changed selection.
 
     Returns the result and the way it was made: ``same`` (nothing changed), ``polygon`` (only the polygon
-    changed: no fallback), ``refine`` (lists narrowed), ``reset`` (all lists open) or ``scratch``. Lists reach the
-    scan of the stored fact, which is sorted for them, so no way needs the rows of the previous result.
+    changed: no fallback), ``refine`` (a kept result holds it, or the lists are narrower than before), ``reset`` (all
+    lists open) or ``scratch``. Without ``kept`` every way reads the fact.
     """
     if selection.dimensions == previous.selection.dimensions:
         if selection.polygon == previous.selection.polygon:
             return previous, "same"
         effective = replace(previous.listed, polygon=selection.polygon)
-        return SelectionResult(selection, whole, areas, effective, previous.listed, APPLIED), "polygon"
+        last = previous.selection.polygon
+        return SelectionResult(selection, whole, areas, effective, previous.listed, APPLIED, summed, kept, last), "polygon"
+    result = apply_selection(whole, areas, selection, previous, summed, kept)
     if selection.is_reset:
-        return apply_selection(whole, areas, selection), "reset"
-    way = "refine" if selection.narrows(previous.selection) else "scratch"
-    return apply_selection(whole, areas, selection, previous), way
+        return result, "reset"
+    held = kept is not None and kept.source(selection.without_polygon()) is not None
+    return result, "refine" if held or selection.narrows(previous.selection) else "scratch"
 
 
 def recognise_reset(selection: Selection, values: DataFrame) -> Selection:

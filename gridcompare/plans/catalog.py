@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gridcompare import schema as S
 from gridcompare.functions import scalars as X
+from gridcompare.functions.exact_sum import exact_sums
 from gridcompare.operators import areas as A
 from gridcompare.operators import facets as FA
 from gridcompare.operators import grouped as GR
@@ -170,6 +171,12 @@ def areas_within_rect(t: DriverTables) -> DataFrame:
     return SP.areas_within(t.areas(), D.DEFAULT.polygon)
 
 
+@_query
+def areas_within_holed(t: DriverTables) -> DataFrame:
+    """Areas inside two polygons, one of which has a hole."""
+    return SP.areas_within(t.areas(), D.HOLED_POLYGONS)
+
+
 @_query
 def areas_within_polygon(t: DriverTables) -> DataFrame:
     return SP.areas_within(t.areas(), D.NOTCHED_POLYGON)
@@ -221,6 +228,14 @@ def _rows(t: DriverTables, selection: SE.Selection) -> DataFrame:
     return SE.kept_rows(t.grouped(), t.areas(), selection)
 
 
+@_query
+def fact_by_parts(t: DriverTables) -> DataFrame:
+    """The grouped fact stored one dataset at a time: two datasets first, then the third is added to them."""
+    t.grouped_parts(D.DATASETS[:2])
+    rows = t.grouped_parts(D.DATASETS)
+    return exact_sums(rows, ["dataset"], "measurement_value", "total", n_rows=F.count(F.lit(1)))
+
+
 @_query
 def filter_eight_dims(t: DriverTables) -> DataFrame:
     return SE.filter_dimensions(t.grouped(), D.DEFAULT).select(*S.GROUPED_COLUMNS)
@@ -235,38 +250,41 @@ def filter_regroup(t: DriverTables) -> DataFrame:
 
 @_query
 def filter_with_polygon(t: DriverTables) -> DataFrame:
-    return SE.selected(t.grouped(), t.areas(), D.DEFAULT).select(*SELECTED)
+    return SE.selected(t.grouped(), t.areas(), D.DEFAULT, summed=True).select(*SELECTED)
 
 
 @_query
 def fallback_spatial(t: DriverTables) -> DataFrame:
-    return SE.with_fallback(t.grouped(), t.areas(), D.DEFAULT.with_values(polygon=D.EMPTY_RECTANGLE))
+    return SE.with_fallback(t.grouped(), t.areas(), D.DEFAULT.with_values(polygon=D.EMPTY_RECTANGLE), summed=True)
 
 
 @_query
 def fallback_dims(t: DriverTables) -> DataFrame:
-    previous = SE.selected(t.grouped(), t.areas(), D.DEFAULT)
-    return SE.with_fallback(t.grouped(), t.areas(), D.IMPOSSIBLE, previous)
+    previous = SE.selected(t.grouped(), t.areas(), D.DEFAULT, summed=True)
+    return SE.with_fallback(t.grouped(), t.areas(), D.IMPOSSIBLE, previous, summed=True)
 
 
 @_query
 def refine_polygon_only(t: DriverTables) -> DataFrame:
-    previous = SE.apply_selection(t.grouped(), t.areas(), D.DEFAULT)
+    previous = SE.apply_selection(t.grouped(), t.areas(), D.DEFAULT, summed=True)
     result, _ = SE.next_selection(
-        t.grouped(), t.areas(), previous, D.DEFAULT.with_values(polygon=D.SECOND_RECTANGLE)
+        t.grouped(), t.areas(), previous, D.DEFAULT.with_values(polygon=D.SECOND_RECTANGLE), summed=True
     )
     return result.filtered.select(*SELECTED)
 
 
 @_query
 def refine_subset(t: DriverTables) -> DataFrame:
-    previous = SE.apply_selection(t.grouped(), t.areas(), D.DEFAULT)
-    return SE.selected(previous.base, t.areas(), D.NARROW).select(*SELECTED)
+    """A narrowing answered from the kept rows of the selection before it."""
+    grouped, areas, kept = t.grouped(), t.areas(), t.kept()
+    previous = SE.apply_selection(grouped, areas, D.DEFAULT, None, True, kept).keep()
+    result, _ = SE.next_selection(grouped, areas, previous, D.NARROW, True, kept)
+    return result.filtered.select(*SELECTED)
 
 
 @_query
 def reset_all(t: DriverTables) -> DataFrame:
-    everything = SE.selected(t.grouped(), t.areas(), SE.Selection.all())
+    everything = SE.selected(t.grouped(), t.areas(), SE.Selection.all(), summed=True)
     return everything.groupBy("gridtype").agg(F.count(F.lit(1)).alias("count"))
 
 
@@ -285,12 +303,24 @@ CHAIN = (
 @_query
 def refine_chain(t: DriverTables) -> DataFrame:
     """Five narrowings, one that keeps nothing, and a widening, each from the result before."""
-    result = SE.apply_selection(t.grouped(), t.areas(), CHAIN[0])
+    grouped, areas, kept = t.grouped(), t.areas(), t.kept()
+    result = SE.apply_selection(grouped, areas, CHAIN[0], None, True, kept).keep()
     for selection in CHAIN[1:]:
-        result, _ = SE.next_selection(t.grouped(), t.areas(), result, selection)
+        result, _ = SE.next_selection(grouped, areas, result, selection, True, kept)
     return result.filtered
 
 
+@_query
+def back_to_last_polygon(t: DriverTables) -> DataFrame:
+    """A second polygon is drawn, the lists are narrowed, and the first polygon is asked for again."""
+    grouped, areas, kept = t.grouped(), t.areas(), t.kept()
+    result = SE.apply_selection(grouped, areas, D.DEFAULT, None, True, kept)
+    for change in ({"polygon": D.SECOND_RECTANGLE}, {"year": D.NARROW.year}):
+        result, _ = SE.next_selection(grouped, areas, result, result.selection.with_values(**change), True, kept)
+    back, _ = SE.next_selection(grouped, areas, result, result.with_last_polygon(), True, kept)
+    return back.filtered.select(*SELECTED)
+
+
 @_query
 def reset_listed(t: DriverTables) -> DataFrame:
     """All values of all lists are a reset."""
@@ -305,13 +335,19 @@ def reset_listed(t: DriverTables) -> DataFrame:
 @_query
 def drawn_vs_footprint(t: DriverTables) -> DataFrame:
     """Drawn rectangles that miss the footprint of the default selection."""
-    shown = SE.apply_selection(t.grouped(), t.areas(), D.DEFAULT)
+    shown = SE.apply_selection(t.grouped(), t.areas(), D.DEFAULT, summed=True)
     return SP.disjoint_rectangles(t.drawn(), shown.footprint).select("event_id")
 
 
+@_query
+def drawings_disjoint(t: DriverTables) -> DataFrame:
+    """Drawn frames that share no point with any area; an area inside the hole of a frame is no part of it."""
+    return SP.disjoint_polygons(t.drawn_frames(), t.areas()).select("event_id")
+
+
 @_query
 def reset_polygon(t: DriverTables) -> DataFrame:
-    return SE.selected(t.grouped(), t.areas(), D.DEFAULT.without_polygon()).select(*SELECTED)
+    return SE.selected(t.grouped(), t.areas(), D.DEFAULT.without_polygon(), summed=True).select(*SELECTED)
 
 
 @_query
@@ -357,6 +393,12 @@ def facet_order(t: DriverTables) -> DataFrame:
     return ordered.drop("sort_label")
 
 
+@_query
+def facet_choosable(t: DriverTables) -> DataFrame:
+    """What can be chosen in each list with two others chosen; years are given as text, one of them no number."""
+    return FA.choosable_values(t.combinations(), SE.Selection(species=("PROMO",), year=("1997", "1998", "n/a"), measurement_unit=("t",)))
+
+
 @_query
 def facet_dependent(t: DriverTables) -> DataFrame:
     return FA.dependent_values(t.combinations(), SE.Selection(species=("PROMO",)))
@@ -535,6 +577,11 @@ def gear_species_series(t: DriverTables) -> DataFrame:
     return _gear_series(t)
 
 
+@_query
+def gear_totals_sorted(t: DriverTables) -> DataFrame:
+    return V.sorted_gear_totals(V.gear_totals(_gear_series(t)))
+
+
 @_query
 def gear_totals(t: DriverTables) -> DataFrame:
     return V.gear_totals(_gear_series(t))
@@ -557,7 +604,7 @@ def top_gear_series(t: DriverTables) -> DataFrame:
 
 @_query
 def top_rows(t: DriverTables) -> DataFrame:
-    return V.top_rows(SE.selected(t.grouped(), t.areas(), D.DEFAULT)).select(*SELECTED, "rank")
+    return V.top_rows(SE.selected(t.grouped(), t.areas(), D.DEFAULT, summed=True)).select(*SELECTED, "rank")
 
 
 def _priced(t: DriverTables) -> DataFrame:
@@ -571,7 +618,7 @@ def _priced(t: DriverTables) -> DataFrame:
 @_query
 def top_rows_fractional(t: DriverTables) -> DataFrame:
     """The ten largest sums of fractional values, per area and species."""
-    sums = _priced(t).groupBy("codesource_area", "species").agg(X.sum_or_zero("measurement_value").alias("measurement_value"))
+    sums = exact_sums(_priced(t), ["codesource_area", "species"], "measurement_value")
     return V.top_rows(sums).withColumn("measurement_value", F.round("measurement_value", 2))
 
 

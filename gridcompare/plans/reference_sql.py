@@ -240,6 +240,15 @@ _SQL = {
         SELECT codesource_area FROM areas
         WHERE xmin >= -160 AND xmax <= 160 AND ymin >= -70 AND ymax <= 70
           AND NOT (xmax > -60 AND xmin < 40 AND ymax > -20)""",
+    "areas_within_holed": """
+        SELECT codesource_area FROM areas
+        WHERE ymin >= -70 AND ymax <= 70 AND (xmin >= -160 AND xmax <= 60 OR xmin >= 80 AND xmax <= 160)
+          AND codesource_area NOT IN (
+            SELECT codesource_area FROM area_grid WHERE x1 > -100 AND x0 < -20 AND y1 > -30 AND y0 < 40
+            UNION ALL
+            SELECT codesource_area FROM area_nominal
+            WHERE x0 + 2 > -101 AND x0 + 2 < -19 AND y0 + 2 BETWEEN -30 AND 40
+               OR y0 + 2 > -31 AND y0 + 2 < 41 AND x0 + 2 BETWEEN -100 AND -20)""",
     "facts_within": f"""
         SELECT {_KEYS} FROM grouped WHERE codesource_area IN (SELECT codesource_area FROM within_default)""",
     "geojson_rect_wkt": """
@@ -296,6 +305,9 @@ _SQL = {
         SELECT {_KEYS} FROM listed WHERE codesource_area IN (SELECT codesource_area FROM within_second)""",
     "refine_subset": f"""
         SELECT {_KEYS} FROM narrow WHERE codesource_area IN (SELECT codesource_area FROM within_default)""",
+    "back_to_last_polygon": f"""
+        SELECT {_KEYS} FROM listed
+        WHERE year IN (1997, 1998) AND codesource_area IN (SELECT codesource_area FROM within_default)""",
     "reset_all": "SELECT gridtype, COUNT(*) AS count FROM grouped GROUP BY gridtype",
     "refine_chain": f"""
         SELECT {_KEYS}, 'applied' AS status FROM grouped
@@ -314,6 +326,15 @@ _SQL = {
         FROM (SELECT DISTINCT dataset AS code FROM grouped)
         LEFT JOIN (SELECT stem || '_' || m.record_id AS code, COALESCE(title, '') AS title, COALESCE(identifier, '') AS identifier,
                           'https://doi.org/' || doi AS url FROM manifest m LEFT JOIN records r ON m.record_id = r.record_id) USING (code)""",
+    "drawings_disjoint": """
+        SELECT event_id FROM drawn d
+        WHERE NOT EXISTS (SELECT 1 FROM area_grid a
+                          WHERE a.x0 <= d.x1 + 3 AND a.x1 >= d.x0 - 3 AND a.y0 <= d.y1 + 3 AND a.y1 >= d.y0 - 3
+                            AND NOT (a.x0 > d.x0 AND a.x1 < d.x1 AND a.y0 > d.y0 AND a.y1 < d.y1))
+          AND NOT EXISTS (SELECT 1 FROM area_nominal n
+                          WHERE pow(greatest(d.x0 - 3 - (n.x0 + 2), (n.x0 + 2) - d.x1 - 3, 0), 2)
+                              + pow(greatest(d.y0 - 3 - (n.y0 + 2), (n.y0 + 2) - d.y1 - 3, 0), 2) <= 1
+                            AND NOT (n.x0 + 1 > d.x0 AND n.x0 + 3 < d.x1 AND n.y0 + 1 > d.y0 AND n.y0 + 3 < d.y1))""",
     "reset_polygon": f"SELECT {_KEYS} FROM listed",
     "values_added": f"""
         SELECT * FROM ({_FACET_PAIRS.format(rows="listed")})
@@ -340,6 +361,18 @@ _SQL = {
                CAST(row_number() OVER (PARTITION BY dimension ORDER BY lower(sort_label), sort_label, code) AS INTEGER) AS pos
         FROM labels_all""",
     "facet_dependent": _FACET_PAIRS.format(rows="(SELECT * FROM grouped WHERE species = 'PROMO')"),
+    "facet_choosable": """
+        SELECT * FROM (
+        WITH c AS (SELECT *, species = 'PROMO' AS s, year IN (1997, 1998) AS y, measurement_unit = 't' AS u FROM grouped),
+        k AS (SELECT * FROM c WHERE s AND y AND u)
+        SELECT DISTINCT 'species' AS dimension, species AS value FROM c WHERE y AND u
+        UNION ALL SELECT DISTINCT 'year', CAST(year AS VARCHAR) FROM c WHERE s AND u
+        UNION ALL SELECT DISTINCT 'measurement_unit', measurement_unit FROM c WHERE s AND y
+        UNION ALL SELECT DISTINCT 'dataset', dataset FROM k
+        UNION ALL SELECT DISTINCT 'gridtype', gridtype FROM k
+        UNION ALL SELECT DISTINCT 'gear_type', gear_type FROM k
+        UNION ALL SELECT DISTINCT 'source_authority', source_authority FROM k
+        UNION ALL SELECT DISTINCT 'fishing_fleet', fishing_fleet FROM k)""",
     "codelist_join": "SELECT code, label FROM fleet_labels",
     "species_facet": "SELECT code, label FROM species_labels",
     "gear_facet": "SELECT code, label FROM gear_labels",
@@ -427,6 +460,11 @@ _SQL = {
     "gear_species_series": "SELECT measurement_unit, gear_type, year, species, measurement_value FROM gear_series",
     "gear_totals": """
         SELECT measurement_unit, gear_type, SUM(measurement_value) AS measurement_value FROM gear_series GROUP BY ALL""",
+    "gear_totals_sorted": """
+        SELECT row_number() OVER (ORDER BY measurement_unit, gear_type) AS pos, measurement_unit, gear_type, measurement_value
+        FROM (SELECT measurement_unit, gear_type, SUM(measurement_value) AS measurement_value FROM gear_series GROUP BY ALL)""",
+    "fact_by_parts": """
+        SELECT dataset, COUNT(*) AS n_rows, SUM(measurement_value) AS total FROM grouped GROUP BY dataset""",
     "top_gears_by_code": "SELECT DISTINCT gear_type FROM grouped ORDER BY gear_type DESC LIMIT 9",
     "top_gears_by_total": """
         SELECT gear_type, measurement_value

@@ -12,10 +12,11 @@ from pyspark.sql.types import StructType
 from gridcompare import schema as S
 from gridcompare.functions.scalars import recode_gridtype
 from gridcompare.operators import areas as A
+from gridcompare.operators import grouped as GR
 from gridcompare.operators import ingest as I
 from gridcompare.operators import spatial as SP
 from gridcompare.operators.selection import Selection
-from gridcompare.sources.stored import StoredTables, materialise
+from gridcompare.sources.stored import StoredTables, materialise, materialise_parts
 
 LEVEL0 = "global_nominal_catch_firms_level0"
 LEVEL1 = "global_catch_level1"
@@ -34,6 +35,10 @@ DEFAULT = Selection(
 SECOND_RECTANGLE = "POLYGON ((-160 60,20 60,20 -75,-160 -75,-160 60))"
 EMPTY_RECTANGLE = "POLYGON ((170 89.5,179 89.5,179 85,170 85,170 89.5))"
 NOTCHED_POLYGON = "POLYGON ((-160 -70,160 -70,160 70,40 70,40 -20,-60 -20,-60 70,-160 70,-160 -70))"
+HOLED_POLYGONS = (
+    "MULTIPOLYGON (((-160 -70,60 -70,60 70,-160 70,-160 -70),(-100 -30,-100 40,-20 40,-20 -30,-100 -30)),"
+    "((80 -70,160 -70,160 70,80 70,80 -70)))"
+)
 NARROW = DEFAULT.with_values(species=("PROMO",), year=(1997, 1998))
 IMPOSSIBLE = DEFAULT.with_values(species=("NONE",))
 
@@ -149,6 +154,16 @@ class DriverTables(StoredTables):
         """The typed fact, from one pass over the tables."""
         return I.typed_observations(self.raw_catch())
 
+    def grouped_parts(self, datasets) -> DataFrame:
+        """The grouped fact of some datasets, stored dataset by dataset."""
+        inputs = self.fact_inputs() + self.area_inputs()
+
+        def build(missing: list[str]) -> DataFrame:
+            return GR.grouped_fact(self.facts().where(F.col("dataset").isin(missing)), self.areas())
+
+        parts = {dataset: inputs for dataset in datasets}
+        return materialise_parts(self.spark, "grouped_parts", parts, build, "dataset", ["measurement_unit", "species", "year"])
+
     # -- areas ------------------------------------------------------------------------------
 
     def _placed(self) -> DataFrame:
@@ -283,6 +298,21 @@ class DriverTables(StoredTables):
         feature = F.concat(F.lit('{"geometry":{"coordinates":[['), F.concat_ws(",", *pairs), F.lit("]]}}"))
         return placed.select("event_id", feature.alias("feature"))
 
+    def drawn_frames(self) -> DataFrame:
+        """The drawn rectangles as holes of frames three degrees wide."""
+        e = F.col("event_id")
+        x0, y0 = (e * 7 % 300 - 150).cast("int"), (e * 11 % 120 - 60).cast("int")
+        x1, y1 = x0 + (1 + e % 20).cast("int"), y0 + (1 + e % 13).cast("int")
+
+        def ring(left, low, right, high):
+            corners = [(left, low), (left, high), (right, high), (right, low), (left, low)]
+            pairs = [F.concat(F.lit("["), x.cast("string"), F.lit(","), y.cast("string"), F.lit("]")) for x, y in corners]
+            return F.concat(F.lit("["), F.concat_ws(",", *pairs), F.lit("]"))
+
+        rings = F.concat_ws(",", ring(x0 - 3, y0 - 3, x1 + 3, y1 + 3), ring(x0, y0, x1, y1))
+        feature = F.concat(F.lit('{"geometry":{"type":"Polygon","coordinates":['), rings, F.lit("]}}"))
+        return SP.drawn_polygons(self.table("events").select("event_id", feature.alias("feature")))
+
     def drawn(self) -> DataFrame:
         """The drawn rectangles, read from their features once and stored."""
         return materialise(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Collection, Mapping
 from dataclasses import dataclass, field
 from functools import cached_property
 
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from gridcompare.operators import areas as A
 from gridcompare.operators import facets as FA
+from gridcompare.operators import grouped as GR
 from gridcompare.operators import ingest as I
 from gridcompare.operators import spatial as SP
 from gridcompare.operators.selection import (
@@ -21,7 +22,7 @@ from gridcompare.operators.selection import (
     recognise_reset,
 )
 from gridcompare.sources import files
-from gridcompare.sources.stored import StoredTables, materialise
+from gridcompare.sources.stored import StoredTables, materialise, materialise_parts
 
 
 @dataclass(frozen=True)
@@ -85,8 +86,8 @@ class PublishedFiles(StoredTables):
     def area_inputs(self) -> list[str]:
         return [self.inputs.grid_areas, self.inputs.nominal_areas, *self.fact_inputs()]
 
-    def harmonised(self) -> DataFrame:
-        """All observations in canonical columns, as text.
+    def harmonised(self, datasets: Collection[str] | None = None) -> DataFrame:
+        """All observations, or those of some datasets, in canonical columns, as text.
 
         CSV files with the same columns are read by one scan, so the plan grows with the number of layouts
         and not with the number of files.
@@ -94,6 +95,8 @@ class PublishedFiles(StoredTables):
         by_columns: dict[tuple[str, ...], list[str]] = {}
         frames = []
         for entry in self._published:
+            if datasets is not None and entry["code"] not in datasets:
+                continue
             if entry["file_mime"] == "csv":
                 path = self._path(entry)
                 by_columns.setdefault(tuple(files.csv_columns(self.spark, path)), []).append(path)
@@ -106,21 +109,49 @@ class PublishedFiles(StoredTables):
             frames.append(I.harmonise(raw, F.col("dataset")))
         return I.stack(frames)
 
+    def _files(self) -> dict[str, list[str]]:
+        """The files of each dataset. Only these are read anew when they change."""
+        parts: dict[str, list[str]] = {}
+        for entry in self._published:
+            parts.setdefault(entry["code"], []).append(self._path(entry))
+        return parts
+
     def facts(self) -> DataFrame:
-        """The typed fact, stored on first use, one folder per dataset."""
-        return materialise(
-            self.spark,
-            "facts",
-            self.fact_inputs(),
-            lambda: I.typed_observations(self.harmonised()),
-            partition_by=["dataset"],
-        )
+        """The typed fact, stored on first use dataset by dataset. A dataset that is new or whose file has changed is
+        read; the others stay as they are stored."""
+        build = lambda datasets: I.typed_observations(self.harmonised(datasets))
+        return materialise_parts(self.spark, "facts", self._files(), build, "dataset")
 
-    def build_areas(self) -> DataFrame:
-        """Grid areas that occur in the facts, and all nominal areas."""
+    def _area_lists(self) -> tuple[DataFrame, DataFrame]:
         grid = A.grid_areas(files.read_grid_areas(self.spark, self.inputs.grid_areas))
-        nominal = A.nominal_areas(files.read_nominal_areas(self.spark, self.inputs.nominal_areas))
-        return A.numbered(A.area_dimension(A.used_by(grid, self.facts()), nominal))
+        return grid, A.nominal_areas(files.read_nominal_areas(self.spark, self.inputs.nominal_areas))
+
+    def build_areas(self) -> DataFrame:
+        """Grid areas that occur in the facts, and all nominal areas. The codes of each dataset are stored, so a
+        change reads the codes of the others and not their observations."""
+        codes = lambda datasets: self.facts().where(F.col("dataset").isin(datasets)).select("dataset", "codesource_area").distinct()
+        used = materialise_parts(self.spark, "used_areas", self._files(), codes, "dataset")
+        grid, nominal = self._area_lists()
+        return A.numbered(A.area_dimension(A.used_by(grid, used), nominal))
+
+    def grouped(self) -> DataFrame:
+        """The grouped fact, stored on first use dataset by dataset, each sorted by unit, species and year. A group
+        belongs to one dataset, and the grid type of an area to its code, so the parts are those of the whole."""
+        self.areas()  # checks that no area code is listed twice
+        lists = [self.inputs.grid_areas, self.inputs.nominal_areas]
+        parts = {code: [*paths, *lists] for code, paths in self._files().items()}
+
+        def build(datasets: list[str]) -> DataFrame:
+            return GR.grouped_fact(self.facts().where(F.col("dataset").isin(datasets)), A.area_dimension(*self._area_lists()))
+
+        return materialise_parts(self.spark, "grouped", parts, build, "dataset", ["measurement_unit", "species", "year"])
+
+    def combinations(self) -> DataFrame:
+        """The facet combinations, stored on first use dataset by dataset."""
+        lists = [self.inputs.grid_areas, self.inputs.nominal_areas]
+        parts = {code: [*paths, *lists] for code, paths in self._files().items()}
+        build = lambda datasets: GR.facet_combinations(self.grouped().where(F.col("dataset").isin(datasets)))
+        return materialise_parts(self.spark, "combinations", parts, build, "dataset")
 
     # -- facets and selections --------------------------------------------------------------------
 
@@ -136,19 +167,33 @@ class PublishedFiles(StoredTables):
         return FA.dataset_facet(FA.values_of(self.values(), "dataset"), self.manifest())
 
     def select(self, selection: Selection, previous: SelectionResult | None = None) -> SelectionResult:
-        """Apply a selection. Lists that hold every value are a reset."""
+        """Apply a selection. Lists that hold every value are a reset. What no kept result holds is read from the
+        fact and kept, so that narrower selections read that."""
         selection = recognise_reset(selection, self.values())
+        grouped, areas, kept = self.grouped(), self.areas(), self.kept()
         if previous is None:
-            return apply_selection(self.grouped(), self.areas(), selection)
-        return next_selection(self.grouped(), self.areas(), previous, selection)[0]
+            result = apply_selection(grouped, areas, selection, None, True, kept)
+        else:
+            result, _ = next_selection(grouped, areas, previous, selection, True, kept)
+        lists = result.effective.without_polygon()
+        if not lists.is_reset and kept.source(lists) is None:
+            result = result.keep()
+        return result
+
+    def last_polygon(self, result: SelectionResult) -> SelectionResult:
+        """Go back to the polygon that was in use before the present one."""
+        return self.select(result.with_last_polygon(), result)
 
     def draw(self, feature: str, previous: SelectionResult) -> SelectionResult | None:
-        """Apply a drawn rectangle (GeoJSON) to the previous selection. None when it shares no point with the areas
-        shown, so there is nothing to select. Holes of areas count as area."""
-        drawn = SP.drawn_rectangles(self.spark.createDataFrame([(feature,)], "feature string"))
-        if not SP.disjoint_rectangles(drawn, previous.footprint).isEmpty():
+        """Apply a drawn polygon (GeoJSON Polygon or MultiPolygon of any shape, holes included) to the previous
+        selection. None when it shares no point with the areas shown, so there is nothing to select."""
+        drawn = SP.drawn_polygons(self.spark.createDataFrame([(feature,)], "feature string"))
+        shape = drawn.first()["wkt"]
+        if shape is None:
+            raise ValueError("a drawing must be a Polygon or MultiPolygon with closed rings")
+        if not SP.disjoint_polygons(drawn, previous.footprint).isEmpty():
             return None
-        return self.select(previous.selection.with_values(polygon=drawn.first()["wkt"]), previous)
+        return self.select(previous.selection.with_values(polygon=shape), previous)
 
     def default(self) -> SelectionResult:
         """The default selection; its rows are stored on first use."""

@@ -6,13 +6,15 @@ import atexit
 import hashlib
 import json
 import logging
+import re
 import shutil
 import tempfile
 import uuid
-from collections.abc import Callable, Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 from contextlib import contextmanager
 from functools import cache
 from pathlib import Path
+from typing import TYPE_CHECKING
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -23,6 +25,9 @@ from gridcompare.operators import areas as AR
 from gridcompare.operators import facets as FA
 from gridcompare.operators import grouped as GR
 
+if TYPE_CHECKING:
+    from gridcompare.sources.kept import KeptSelections
+
 
 @cache
 def _local_root(application: str) -> str:
@@ -102,11 +107,16 @@ def _stored(spark: SparkSession, registry: str, key: str) -> tuple[str, T.Struct
 
 # Tables found or stored by this process. Inputs are checked once per session, like the file list of any
 # table Spark has opened; ``forget_tables`` makes the next query check them again.
-_opened: dict[tuple, tuple[str, T.StructType]] = {}
+_opened: dict[tuple, tuple[str | list[str], T.StructType]] = {}
 
 
 def forget_tables() -> None:
     _opened.clear()
+    _kept.clear()
+
+
+# Kept results of this process, by the tables they come from.
+_kept: dict[tuple, KeptSelections] = {}
 
 
 def materialise(
@@ -153,6 +163,102 @@ def _store(spark, registry, key, path, frame, partition_by, cluster_by) -> tuple
     return path, schema
 
 
+def fingerprints(spark: SparkSession, inputs: Iterable[str]) -> dict[str, str]:
+    """A fingerprint of each input by itself, all from one listing. One row an input comes back."""
+    inputs = sorted(set(inputs))
+    if not inputs:
+        return {}
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(inputs)
+    bare = {re.sub(r"^[A-Za-z][\w+.-]*:(//[^/]*)?/*", "/", i).rstrip("/"): i for i in inputs}  # Spark adds scheme and host
+    place = F.regexp_replace("path", r"^[A-Za-z][\w+.-]*:(//[^/]*)?/*", "/")
+    under = F.filter(F.array(*map(F.lit, bare)), lambda b: (place == b) | place.startswith(F.concat(b, F.lit("/"))))
+    listed = files.select(F.array_max(under).alias("input"), F.xxhash64("path", F.col("modificationTime").cast("string"), "length").alias("h"))
+    with _setting(spark, "spark.sql.files.maxPartitionNum", str(LISTING_TASKS)):
+        rows = (
+            listed.groupBy("input")
+            .agg(F.count("h").alias("n"), F.bit_xor("h").alias("x"), F.sum(F.col("h").cast("decimal(38,0)")).alias("s"))
+            .collect()
+        )
+    return {
+        bare[r["input"]]: hashlib.sha256(f"{r['n']}|{r['x']}|{r['s']}|{_code_version()}".encode()).hexdigest()[:24]
+        for r in rows
+        if r["input"] in bare
+    }
+
+
+def materialise_parts(
+    spark: SparkSession,
+    name: str,
+    parts: Mapping[str, Sequence[str]],
+    build: Callable[[list[str]], DataFrame],
+    part_column: str,
+    cluster_by: Sequence[str] = (),
+) -> DataFrame:
+    """Read a table that is stored part by part, and compute and store the parts that are missing first.
+
+    ``parts`` names the inputs of each part, ``build`` computes the rows of some parts together, and ``part_column``
+    tells them apart. A part is known by the fingerprint of its own inputs: after one input has been added or written
+    anew, only its part is built, and the table is the folders of all parts, new and old, read by one scan. A part
+    that is no longer named is no longer read. Attempts write folders of their own, as in ``materialise``.
+    """
+    root = storage_root(spark)
+    session_key = (spark.sparkContext.applicationId, root, name, tuple((p, tuple(i)) for p, i in sorted(parts.items())))
+    if session_key not in _opened:
+        states = fingerprints(spark, [i for inputs in parts.values() for i in inputs])
+        keys = {}
+        for part, inputs in parts.items():
+            roles = "|".join(f"{i}={states.get(i)}" for i in inputs)
+            keys[part] = f"{name}-{hashlib.sha256(f'{part}|{roles}'.encode()).hexdigest()[:32]}"
+        registry = f"{root}/registry"
+        found = _stored_parts(spark, registry, keys)
+        missing = [p for p in parts if p not in found]
+        if missing:
+            found |= _store_parts(spark, registry, keys, missing, f"{root}/{name}/{uuid.uuid4().hex}", build(missing), part_column, cluster_by)
+        schema = next(iter(found.values()))[1] if found else build([]).schema
+        _opened[session_key] = [path for p in parts for path in found[p][0]], schema
+    paths, schema = _opened[session_key]
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+
+
+def _stored_parts(spark: SparkSession, registry: str, keys: Mapping[str, str]) -> dict[str, tuple[list[str], T.StructType]]:
+    """Folders (none for a part without rows) and schema of the parts whose table is there."""
+    try:
+        entries = spark.read.schema(_REGISTRY_SCHEMA).json(registry).where(F.col("key").isin(list(keys.values()))).collect()
+    except AnalysisException:  # nothing has been stored yet
+        return {}
+    by_key = {}
+    for entry in entries:
+        schema = T.StructType.fromJson(json.loads(entry["schema"]))
+        paths = [entry["path"]] if entry["path"] else []
+        try:
+            spark.read.schema(schema).parquet(*paths) if paths else None
+        except AnalysisException:  # its folder has been removed
+            continue
+        by_key[entry["key"]] = paths, schema
+    return {part: by_key[key] for part, key in keys.items() if key in by_key}
+
+
+def _store_parts(spark, registry, keys, missing, path, frame, part_column, cluster_by) -> dict[str, tuple[list[str], T.StructType]]:
+    schema = frame.schema
+    names = {part: str(i) for i, part in enumerate(missing)}  # folders by number, the column stays in the files
+    numbers = F.create_map(*[F.lit(x) for item in names.items() for x in item])
+    numbered = frame.withColumn("_part", F.try_element_at(numbers, F.col(part_column)))
+    numbered = numbered.hint("rebalance", F.col("_part")).sortWithinPartitions("_part", *cluster_by)
+    numbered.write.partitionBy("_part").parquet(path)
+    written = {r["_part"] for r in spark.read.parquet(path).select(F.col("_part").cast("string")).distinct().collect()} if _has_rows(spark, path) else set()
+    found = {part: ([f"{path}/_part={n}"] if n in written else [], schema) for part, n in names.items()}
+    entries = [(keys[part], paths[0] if paths else "", schema.json()) for part, (paths, _) in found.items()]
+    spark.createDataFrame(entries, _REGISTRY_SCHEMA).coalesce(1).write.mode("append").json(registry)
+    return found
+
+
+def _has_rows(spark: SparkSession, path: str) -> bool:
+    try:
+        return bool(spark.read.parquet(path).columns)
+    except AnalysisException:  # no file has been written
+        return False
+
+
 class StoredTables:
     """The stored tables every selection and facet starts from. Subclasses say where facts and areas come from."""
 
@@ -200,6 +306,16 @@ class StoredTables:
             cluster_by=["measurement_unit", "species", "year"],
         )
 
+    def kept(self) -> KeptSelections:
+        """The kept results of this session's selections from the grouped fact as it is now."""
+        from gridcompare.sources.kept import KeptSelections
+
+        inputs = self.fact_inputs() + self.area_inputs()
+        key = (self.spark.sparkContext.applicationId, storage_root(self.spark), *inputs)
+        if key not in _kept:
+            _kept[key] = KeptSelections(self.grouped(), self.areas(), inputs)
+        return _kept[key]
+
     def combinations(self) -> DataFrame:
         """The facet combinations, stored on first use."""
         return materialise(

@@ -98,7 +98,6 @@ def test_selections_step_by_step(published):
     assert {r["status"] for r in nowhere.filtered.collect()} == {SPATIAL_FALLBACK}
     everything = published.select(Selection.all(), wider)
     assert everything.filtered.agg(F.sum("measurement_value")).first()[0] == 18.0
-    first.release()
 
 
 def test_the_default_is_stored_and_read(published):
@@ -145,3 +144,135 @@ def test_datasets_are_shown_with_their_titles(published):
     assert {r["code"]: (r["label"], r["title"]) for r in shown.where("code like '%_11' or code like '%_22'").collect()} == {
         "catch_a_11": ("catch_a_11", "Catch A"), "catch_b_22": ("catch_b_22", ""),
     }
+
+
+# ---- changes of the files
+
+
+def files_read(frame):
+    return {name.rsplit("/", 1)[-1] for name in frame.inputFiles()}
+
+
+@pytest.fixture
+def builds(monkeypatch):
+    """Which datasets each later build of a table takes."""
+    seen = []
+    build = PublishedFiles.harmonised
+
+    def watched(self, datasets=None):
+        seen.append(sorted(datasets))
+        return build(self, datasets)
+
+    monkeypatch.setattr(PublishedFiles, "harmonised", watched)
+    return seen
+
+
+def again(published):
+    stored.forget_tables()
+    return PublishedFiles(published.spark, published.inputs)
+
+
+def totals_by_dataset(published):
+    return {(r["dataset"], r["codesource_area"], r["year"]): r["measurement_value"] for r in published.grouped().collect()}
+
+
+def test_an_added_file_is_the_only_one_read(published, builds, tmp_path):
+    before = totals_by_dataset(published)
+    facets = published.values().count()
+    folders = set(published.facts().inputFiles())
+    (tmp_path / "data" / "catch_e_55.csv").write_text(HEADER_A + "IOTC,FRA,2001-01-01,2001-01-31,300,09,BET,FS,t,8\n")
+    with open(tmp_path / "list.csv", "a") as manifest:
+        manifest.write("10.5281/zenodo.55,catch_e.csv\n")
+    later = again(published)
+    assert totals_by_dataset(later) == {**before, ("catch_e_55", "300", 2001): 8.0}
+    assert builds[1:] == [["catch_e_55"]]  # the first build took all
+    assert folders < set(later.facts().inputFiles())
+    assert later.values().count() == facets + 3  # a dataset, a year and a species
+    assert {r["codesource_area"] for r in later.areas().collect()} == {"100", "200", "300", "N1", "N2"}
+    assert {r["gridtype"] for r in later.grouped().where("codesource_area = '300'").collect()} == {"5deg_x_5deg"}
+
+
+def test_a_removed_file_is_no_longer_read(published, builds, tmp_path):
+    before = totals_by_dataset(published)
+    text = (tmp_path / "list.csv").read_text()
+    (tmp_path / "list.csv").write_text(text.replace("10.5281/zenodo.22,catch_b.zip\n", ""))
+    later = again(published)
+    assert totals_by_dataset(later) == {k: v for k, v in before.items() if k[0] != "catch_b_22"}
+    assert len(builds) == 1
+    assert {r["codesource_area"] for r in later.areas().collect()} == {"100", "N1", "N2"}
+
+
+def test_a_rewritten_file_is_read_again(published, builds, tmp_path):
+    before = totals_by_dataset(published)
+    (tmp_path / "data" / "catch c_33.csv").write_text(HEADER_A + ROW_C.replace(",1\n", ",42\n"))
+    later = again(published)
+    assert totals_by_dataset(later) == {**before, ("catch c_33", "100", 1990): 42.0}
+    assert builds[1:] == [["catch c_33"]]
+
+
+def test_a_dataset_without_rows_is_stored_too(published, builds, tmp_path):
+    (tmp_path / "data" / "catch c_33.csv").write_text(HEADER_A)
+    assert {k[0] for k in totals_by_dataset(published)} == {"catch_a_11", "catch_b_22", "catch_d_44"}
+    assert totals_by_dataset(again(published)) and len(builds) == 1
+
+
+# ---- kept selections
+
+
+def test_a_narrowing_reads_the_kept_rows_and_not_the_fact(published):
+    wide = published.select(Selection(species=("YFT",), gear_type=("01.1", "01.2")))
+    fact = set(published.grouped().inputFiles())
+    narrow = published.select(Selection(species=("YFT",), gear_type=("01.1",), year=("2012",)), wide)
+    assert not fact & set(narrow.filtered.inputFiles())
+    assert not fact & set(wide.base.inputFiles())
+    assert {(r["codesource_area"], r["measurement_value"]) for r in narrow.filtered.collect()} == {("100", 4.0)}
+    assert not fact & set(narrow.footprint.inputFiles())
+    other = published.select(Selection(species=("SKJ",)), narrow)
+    assert {r["measurement_value"] for r in other.filtered.collect()} == {1.0, 2.0}
+
+
+def test_the_smallest_kept_result_answers(published):
+    kept = published.kept()
+    for lists in (Selection(species=("YFT", "SKJ")), Selection(species=("YFT",), year=(2012, 2013)), Selection(year=(2012,))):
+        kept.keep(lists)
+    rows = lambda lists: kept.source(lists).count()
+    assert rows(Selection(species=("YFT",), year=("2012",))) == 2  # of year 2012 alone
+    assert rows(Selection(species=("YFT",))) == kept.facts.count()
+    assert kept.source(Selection(gear_type=("09",))) is None and kept.source(Selection.all()) is None
+
+
+def test_kept_results_do_not_outlive_their_inputs(published, tmp_path):
+    lists = Selection(year=(1990,))
+    assert [r["measurement_value"] for r in published.select(lists).filtered.collect()] == [1.0]
+    (tmp_path / "data" / "catch c_33.csv").write_text(HEADER_A + ROW_C.replace(",1\n", ",42\n"))
+    assert [r["measurement_value"] for r in again(published).select(lists).filtered.collect()] == [42.0]
+
+
+def test_only_the_results_used_last_are_indexed(published):
+    kept = published.kept()
+    kept.most = 2
+    for year in (1990, 1991, 2012):
+        kept.keep(Selection(year=(year,)))
+    assert kept.source(Selection(year=(1990,))) is None and kept.source(Selection(year=(2012,))) is not None
+
+
+def test_going_back_to_the_last_polygon(published):
+    first = published.default()
+    second = published.select(first.selection.with_values(polygon="POLYGON ((39 9,46 9,46 16,39 16,39 9))"), first)
+    third = published.select(second.selection.with_values(year=(2012,)), second)
+    assert third.last_polygon == first.selection.polygon
+    back = published.last_polygon(third)
+    assert back.selection.polygon == first.selection.polygon and back.selection.year == (2012,)
+    assert {r["codesource_area"] for r in back.filtered.collect()} == {"100"}
+    assert published.last_polygon(first).selection.polygon is None
+
+
+def test_a_free_drawing_selects_what_it_touches(published):
+    first = published.default()
+    feature = '{"geometry":{"type":"Polygon","coordinates":[[[-1,-1],[-1,3],[2,3],[4,1],[2,-1],[-1,-1]]]}}'
+    drawn = published.draw(feature, first)
+    assert {r["codesource_area"] for r in drawn.filtered.collect()} == {"100"}
+    hole = '{"geometry":{"type":"Polygon","coordinates":[[[-9,-9],[-9,9],[9,9],[9,-9],[-9,-9]],[[-1,-1],[2,-1],[2,2],[-1,2],[-1,-1]]]}}'
+    assert published.draw(hole, first) is None
+    with pytest.raises(ValueError):
+        published.draw('{"geometry":{"type":"Point","coordinates":[1,2]}}', first)
