@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridcompare.llm.storage import is_small, stored
+from gridcompare.llm.storage import is_small, stored, unused
 
 WINDOW_WORDS = 10
 # A hash set of at most this many windows (some 20 MB) is broadcast; a larger one is joined by shuffling.
@@ -101,7 +101,7 @@ def decontamination_report(docs: DataFrame, benchmark: DataFrame, *keep: str) ->
     counted; the windows of an item without item_id hit, but it is not counted. Repeated rows, null ids and
     other columns do not matter. An empty benchmark leaves all documents clean.
     """
-    hits = contaminated_words(docs, benchmark)
+    hits = stored(contaminated_words(docs, benchmark), "hits")  # read as a table, so that the join can split a hot text
     words = docs.select("doc_id", words_of(F.col("text")).alias("_words"), *keep)
     words = words.select("doc_id", *text_key("_words"), *keep)
     items = F.coalesce("items", F.array().cast("array<string>"))
@@ -118,10 +118,15 @@ def decontamination_report(docs: DataFrame, benchmark: DataFrame, *keep: str) ->
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose text holds no benchmark window, all columns as they are."""
-    hits = contaminated_words(docs, benchmark)
-    hits = hits.select(F.col("text_key").alias("_hit_key"), F.col("n_words").alias("_hit_size"))
-    key, size = text_key("_words")
-    marked = docs.withColumn("_words", words_of(F.col("text"))).withColumns({"_key": key, "_size": size}).drop("_words")
-    same = (F.col("_key") == F.col("_hit_key")) & (F.col("_size") == F.col("_hit_size"))
-    return marked.join(hits, same, "left_anti").drop("_key", "_size")
+    """The rows of ``docs`` whose text holds no benchmark window, all columns as they are.
+
+    A null or empty text is clean. Repeated rows and rows without id are judged by their texts like all others. An
+    empty benchmark leaves all rows, no row gives none.
+    """
+    words, key, size, hit_key, hit_size = unused(docs, "words", "key", "size", "hit_key", "hit_size")
+    hits = stored(contaminated_words(docs, benchmark), "hits")
+    hits = hits.select(F.col("text_key").alias(hit_key), F.col("n_words").alias(hit_size))
+    own_key, own_size = text_key(words)
+    marked = docs.withColumn(words, words_of(F.col("text"))).withColumns({key: own_key, size: own_size})
+    same = (F.col(key) == F.col(hit_key)) & (F.col(size) == F.col(hit_size))
+    return marked.join(hits, same, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

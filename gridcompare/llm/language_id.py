@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from gridcompare.llm.words import chunks, text_buffer
 
-TRAIN_DOCUMENTS = 20_000
+TRAIN_DOCUMENTS = 8_000  # of each language
 BUCKETS = 1 << 16
 SWITCH_PENALTY = 12.0  # nats
 LEAST_SCRIPT_SHARE = 0.01
@@ -50,6 +50,9 @@ SCRIPTS = {
 }
 
 
+_MARK = np.uint32(1 << 24)
+
+
 @cache
 def _code_points() -> tuple[np.ndarray, np.ndarray]:
     """For each code point its lower-case form if it is a letter (or a mark on one), else 0; and its script."""
@@ -60,7 +63,7 @@ def _code_points() -> tuple[np.ndarray, np.ndarray]:
             low = chr(c).lower()
             folded[c] = ord(low) if len(low) == 1 else c
             if kind == "M":
-                folded[c] |= np.uint32(1 << 24)  # continues a word, does not start one
+                folded[c] |= _MARK  # continues a word, makes none alone
     script = np.zeros(sys.maxunicode + 1, np.uint8)
     for k, ranges in enumerate(SCRIPTS.values(), 1):
         for low, high in ranges:
@@ -110,6 +113,12 @@ def _words(column: pa.Array) -> _Words:
     ends = np.flatnonzero(edge[:-1] & ~edge[1:]) + 1
     letters = np.flatnonzero(edge)
     firsts = np.searchsorted(letters, starts)
+    if len(starts):
+        lettered = np.add.reduceat((padded[letters] < _MARK).astype(np.int64), firsts) > 0
+        if not lettered.all():  # runs of marks alone are no words
+            letters = letters[np.repeat(lettered, np.diff(np.append(firsts, len(letters))))]
+            starts, ends = starts[lettered], ends[lettered]
+            firsts = np.searchsorted(letters, starts)
     x, k1, k2 = padded, np.uint32(0x9E3779B1), np.uint32(0x85EBCA77)
     two = (x[letters - 1] * k1 + x[letters]) * k2
     three = (two + x[letters + 1]) * k1
@@ -158,15 +167,23 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def held_out(doc_id: Column | str) -> Column:
-    """One document in five, by a checksum of its id; never learned from."""
-    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0
+    """One document in five, by a checksum of its id; never learned from. A row without id is not held out."""
+    remainder = F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5
+    return F.coalesce(remainder == 0, F.lit(False))
 
 
 def learn(docs: DataFrame, documents: int = TRAIN_DOCUMENTS) -> LanguageModel:
-    """The model of (doc_id, text, lang) rows that have text and lang and are not held out."""
+    """The model of (doc_id, text, lang) rows that have text and lang and are not held out.
+
+    About ``documents`` rows of each language are drawn by a hash, all of a language that has fewer, so a rare
+    language is learned at every size. Rows without doc_id share one hash: all of them are drawn or none.
+    """
     labelled = docs.where("lang IS NOT NULL AND text IS NOT NULL").where(~held_out("doc_id"))
-    share = min(1.0, documents / max(1, labelled.select("lang").count()))
-    chosen = F.pmod(F.xxhash64("doc_id", F.lit("learn")), F.lit(1 << 20)) < int(share * (1 << 20)) + 1
+    found = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}  # a row per language
+    if not found:
+        return LanguageModel((), np.zeros((BUCKETS, 0), np.float32), np.zeros(0, np.uint32))
+    bounds = F.create_map(*[F.lit(x) for lang, n in found.items() for x in (lang, int(min(1.0, documents / n) * (1 << 20)) + 1)])
+    chosen = F.pmod(F.xxhash64("doc_id", F.lit("learn")), F.lit(1 << 20)) < F.element_at(bounds, F.col("lang"))
     sample = labelled.where(chosen).select("lang", "text")
     counts = (
         sample.mapInArrow(_count_grams, "lang string, bucket int, n long")

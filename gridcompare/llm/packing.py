@@ -1,6 +1,7 @@
 """Packing of documents into training sequences by cutting-stock column generation.
 
-A document's tokens are cut into full sequences and a rest. The lengths of all pieces, rounded up to a multiple
+A document's tokens are cut into full sequences and a rest. Short pieces of one length are tied into bundles that
+nearly fill a multiple of ``STEP`` tokens. The lengths of all bundles and other pieces, rounded up to a multiple
 of ``STEP``, make a histogram of fixed size. A linear program over patterns (how many pieces of each length fill a
 sequence) covers it with as few sequences as it can; a knapsack by dynamic programming prices new patterns. Whole
 multiples of the patterns are taken, the few pieces left over are packed best fit first. Pieces are then ranked
@@ -27,6 +28,9 @@ SEQUENCE = 2048
 END = 1
 STEP = 16
 SALTS = 64
+SHORT = 256  # pieces up to this length are tied into bundles
+BUNDLE = 512  # tokens of a bundle at most
+WASTE = 0.015  # a bundle is as small as it can be with less than this share of padding
 
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
@@ -48,7 +52,6 @@ def _cut(path: str):
                         rows.append((doc_id, start, len(piece) // 4, zlib.crc32(piece), total))
                 columns = [pa.array(column, pa.int64()) for column in zip(*rows, strict=True)]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
-        ids_of.known.clear()  # a worker process goes on to other tasks
 
     return cut
 
@@ -57,9 +60,9 @@ def _cut(path: str):
 # Patterns
 
 
-def _knapsack(value: np.ndarray, capacity: int, most: np.ndarray) -> tuple[float, Counter]:
-    """The best set of lengths (1-based, index + 1) that fit; a length is used at most ``most`` times overall
-    only as far as the linear program's demand already sees to it, so repeats are free here."""
+def _knapsack(value: np.ndarray, capacity: int) -> tuple[float, Counter]:
+    """The best set of lengths (1-based, index + 1) that fit. A length may repeat; the demand of the linear program
+    sees to it that no more are used than there are."""
     best = np.zeros(capacity + 1)
     last = np.zeros(capacity + 1, np.int64)
     lengths = np.flatnonzero(value > 1e-12) + 1
@@ -100,7 +103,7 @@ def solve_patterns(demand: dict[int, int], capacity: int, rounds: int = 4000) ->
         prices = inverse.sum(axis=0)  # each pattern costs one sequence
         value[:] = 0
         value[lengths - 1] = prices
-        worth, pattern = _knapsack(value, capacity, need)
+        worth, pattern = _knapsack(value, capacity)
         if worth <= 1 + 1e-7:
             break
         column = np.zeros(m)
@@ -178,6 +181,33 @@ def _ranges(plan: list[tuple[Counter, int]]) -> list[tuple]:
     return rows
 
 
+def bundle_size(length: int) -> int:
+    """How many pieces of a short length make a bundle: the fewest that waste little, or those that waste least."""
+    waste = lambda k: -(k * length) % STEP / (k * length)
+    sizes = range(1, BUNDLE // length + 1)
+    return next((k for k in sizes if waste(k) <= WASTE), min(sizes, key=waste))
+
+
+def _bundles(short: dict[int, int], demand: Counter) -> list[tuple]:
+    """For each short length (length, pieces a bundle, whole bundles, their class and first rank, class and rank of the
+    last, smaller one); adds the bundles to ``demand``."""
+    rows = []
+    for length, n in sorted(short.items()):
+        size = bundle_size(length)
+        whole, rest = divmod(n, size)
+        kind, last = -(-size * length // STEP), -(-rest * length // STEP)
+        first = demand[kind]
+        if whole:
+            demand[kind] += whole
+        rows.append((length, size, whole, kind, first, last, demand[last]))
+        if rest:
+            demand[last] += 1
+    return rows
+
+
+_BUNDLES = "short int, size int, whole long, kind int, first long, last_kind int, last_rank long"
+
+
 def pack(docs: DataFrame, tokenizer: str, salts: int = SALTS) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset), one row per piece of a document.
 
@@ -186,32 +216,45 @@ def pack(docs: DataFrame, tokenizer: str, salts: int = SALTS) -> DataFrame:
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     pieces = docs.mapInArrow(_cut(tokenizer), _PIECES)
-    # A class can hold a third of all pieces, so ranks are counted in slices of a class.
+    # A class can hold a third of all pieces, so ranks are counted in slices of a class. A short length is a class of
+    # its own, under its negative.
     slice_of = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(salts)).cast("int")
-    pieces = stored(pieces.withColumn("class", F.ceil(F.col("length") / STEP).cast("int")).withColumn("slice", slice_of), "pieces")
+    class_of = F.when(F.col("length") <= SHORT, -F.col("length")).otherwise(F.ceil(F.col("length") / STEP)).cast("int")
+    pieces = stored(pieces.withColumn("class", class_of).withColumn("slice", slice_of), "pieces")
     counts = sorted((r["class"], r["slice"], r["n"]) for r in pieces.groupBy("class", "slice").agg(F.count("start").alias("n")).collect())
-    demand, offsets = Counter(), []
-    for kind, part, n in counts:  # at most SEQUENCE / STEP x salts rows
-        offsets.append((kind, part, demand[kind]))
-        demand[kind] += n
+    seen, offsets = Counter(), []
+    for kind, part, n in counts:  # at most (SHORT + SEQUENCE / STEP) x salts rows
+        offsets.append((kind, part, seen[kind]))
+        seen[kind] += n
+    demand = Counter({kind: n for kind, n in seen.items() if kind > 0})
+    bundles = _bundles({-kind: n for kind, n in seen.items() if kind < 0}, demand)
     spark = docs.sparkSession
-    plan = whole_patterns(dict(demand), SEQUENCE // STEP)
+    plan = whole_patterns({kind: n for kind, n in demand.items() if n}, SEQUENCE // STEP)
     ranges = spark.createDataFrame(_ranges(plan), _RANGES).groupBy("class").agg(
         F.array_sort(F.collect_list(F.struct("low", "high", "pieces", "first_sequence", "place"))).alias("ranges")
     )
     offsets = spark.createDataFrame(offsets, "class int, slice int, before long")
+    bundles = spark.createDataFrame(bundles, _BUNDLES)
     order = Window.partitionBy("class", "slice").orderBy("doc_id", "start", "ids_crc32")
+    number = F.floor(F.col("rank") / F.col("size"))
+    in_whole = number < F.col("whole")
     ranked = (
         pieces.join(F.broadcast(offsets), ["class", "slice"])  # as many rows as counted above
         .withColumn("rank", F.col("before") + F.row_number().over(order) - 1)
+        .join(F.broadcast(bundles), F.col("class") == -F.col("short"), "left")  # at most SHORT rows
+        .withColumns({
+            "class": F.when(F.col("size").isNull(), F.col("class")).when(in_whole, F.col("kind")).otherwise(F.col("last_kind")),
+            "rank": F.when(F.col("size").isNull(), F.col("rank")).when(in_whole, F.col("first") + number).otherwise(F.col("last_rank")),
+            "inner": F.when(F.col("size").isNull(), 0).otherwise(F.col("rank") % F.col("size")),
+        })
         .join(F.broadcast(ranges), "class")  # at most one row a class
         .withColumn("range", F.expr("filter(ranges, r -> r.low <= rank AND rank < r.high)[0]"))
-    )
+    )
     at = F.col("rank") - F.col("range.low")
     placed = ranked.select(
         "doc_id", "start", "length", "ids_crc32", "doc_tokens",
         (F.col("range.first_sequence") + F.floor(at / F.col("range.pieces"))).cast("long").alias("sequence_id"),
-        (F.col("range.place") + at % F.col("range.pieces")).alias("place"),
+        (F.col("range.place") + at % F.col("range.pieces")).alias("place"), "inner",
     )
-    before = Window.partitionBy("sequence_id").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
-    return placed.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)).cast("long")).drop("place")
+    before = Window.partitionBy("sequence_id").orderBy("place", "inner").rowsBetween(Window.unboundedPreceding, -1)
+    return placed.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)).cast("long")).drop("place", "inner")

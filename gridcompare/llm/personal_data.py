@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridcompare.llm.storage import is_small, stored
+from gridcompare.llm.storage import is_small, stored, unused
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -240,7 +240,7 @@ def personal_data_report(docs: DataFrame) -> DataFrame:
     The counts are those of the fixed patterns. A null text counts as empty. Equal texts are judged once, repeated
     rows and null ids are kept, other columns are ignored.
     """
-    spans = find_spans(docs)
+    spans = stored(find_spans(docs), "spans")  # read as a table, so that the join can split a hot text
     none = F.array().cast("array<struct<start:int,number:int,end:int,kind:string>>")
     rows = docs.select("doc_id", *text_key(F.coalesce(F.col("text"), F.lit(""))))
     rows = rows.join(spans, ["text_key", "size"], "left")
@@ -256,11 +256,17 @@ def personal_data_report(docs: DataFrame) -> DataFrame:
 
 def masked(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` with every span of ``text`` replaced by its kind in brackets; spans that overlap
-    become one. Other columns stay as they are."""
-    spans = find_spans(docs).select(F.col("text_key").alias("_key"), F.col("size").alias("_size"), F.col("spans").alias("_spans"))
+    become one. Other columns stay as they are.
+
+    A null text stays null, an empty one empty. Repeated rows and rows without id are masked like all others; no row
+    gives none.
+    """
+    own_key, own_size, span_key, span_size, found = unused(docs, "key", "size", "span_key", "span_size", "spans")
+    spans = stored(find_spans(docs), "spans")
+    spans = spans.select(F.col("text_key").alias(span_key), F.col("size").alias(span_size), F.col("spans").alias(found))
     key, size = text_key(F.coalesce(F.col("text"), F.lit("")))
-    rows = docs.withColumns({"_k": key, "_n": size})
-    rows = rows.join(spans, (F.col("_k") == F.col("_key")) & (F.col("_n") == F.col("_size")), "left")
+    rows = docs.withColumns({own_key: key, own_size: size})
+    rows = rows.join(spans, (F.col(own_key) == F.col(span_key)) & (F.col(own_size) == F.col(span_size)), "left")
     text = F.col("text")
 
     def step(done: Column, span: Column) -> Column:
@@ -269,5 +275,6 @@ def masked(docs: DataFrame) -> DataFrame:
         return F.struct(out.alias("out"), F.greatest(done["at"], span["end"]).alias("at"))
 
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-    rebuilt = F.aggregate("_spans", start, step, lambda s: F.concat(s["out"], text.substr(s["at"] + 1, F.char_length(text))))
-    return rows.withColumn("text", F.when(F.col("_spans").isNull(), text).otherwise(rebuilt)).drop("_k", "_n", "_key", "_size", "_spans")
+    rebuilt = F.aggregate(found, start, step, lambda s: F.concat(s["out"], text.substr(s["at"] + 1, F.char_length(text))))
+    whole = F.when(F.col(found).isNull(), text).otherwise(rebuilt)
+    return rows.select(*[whole.alias(c) if c.lower() == "text" else F.col(f"`{c}`") for c in docs.columns])

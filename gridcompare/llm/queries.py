@@ -52,9 +52,10 @@ def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archives are read back twice, the responses and then the revisits; each time the reader passes over the others."""
     folder = new_folder(spark, "archives")
     archive(read_table(spark, sf_dir, "pages"), folder, "gzip")
-    return archived_pages(spark, folder)
+    return archived_pages(spark, folder, "response").unionByName(archived_pages(spark, folder, "revisit"))
 
 
 def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,15 +1,15 @@
 """Assignment of documents to shards by balanced label propagation.
 
-Documents with equal texts are linked. Each starts in a shard named by its id. A group of linked documents moves to
-the shard that holds most of its members and has room: large groups first, largest before smaller ones, then in rounds
-the others, as far as the quotas of the shards allow, until none is left or no shard has room. Only groups larger than
-a shard are cut. A last pass makes the counts equal: it moves the fewest rows it can, and unlinked documents before
+Documents with equal texts are linked. Each starts in a shard named by its id. In rounds, a group of linked documents
+moves to the shard that holds most of its members and has room, as far as the quotas of the shards allow and large
+groups first, until none is left or no shard has room. Only groups larger than a shard are cut. A last pass makes the counts equal: it moves the fewest rows it can, and unlinked documents before
 linked ones. DataFrame expressions only.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,7 +19,7 @@ from gridcompare.llm.storage import drop_stored, stored
 SHARDS = 24
 OVERHEAD = 8  # bytes a document takes besides its text
 RANKED_ROWS = 100_000  # about so many rows are ranked in one task
-LARGE_COMMUNITY = 256  # larger than this part of a shard: placed one by one, at most this many for each shard
+LARGE_PART = 16  # a community is large if it takes more than this part of the room of a slice
 
 ROWS_LAW = "rows"
 
@@ -40,48 +40,57 @@ def _numbers(values: list) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
-def _place_large(found: list, loads: list[int], capacity: int) -> list[tuple]:
-    """(community, home) for each row (community, members, votes), largest first; adds to ``loads``. A community goes
-    where most of its members are and all have room, else where room is, else to the emptiest shard."""
-    homes = []
-    for row in sorted(found, key=lambda r: (-r["members"], r["community"])):
-        votes = {v["shard"]: v["n"] for v in row["votes"]}
-        free = [s for s in range(len(loads)) if loads[s] + row["members"] <= capacity]
-        home = max(free or range(len(loads)), key=lambda s: (votes.get(s, 0) if free else 0, -loads[s], -s))
-        loads[home] += row["members"]
-        homes.append((row["community"], home))
-    return homes
+def propagate(linked: DataFrame, capacity: int, shards: int) -> tuple[DataFrame, int]:
+    """``linked`` (community, shard, ...) after all moves, and the number of rounds. Unlinked documents make room
+    later, at no cost, so only linked ones count for a shard's quota.
 
-
-def propagate(linked: DataFrame, capacity: int, shards: int) -> DataFrame:
-    """``linked`` (community, shard, ...) after all moves. Unlinked documents make room later, at no cost, so
-    only linked ones count for a shard's quota."""
+    In a round every community left wishes for the shard that holds most of its members among those with room for all
+    of it, else for any with room. Wishes are granted largest first as far as the room goes. Communities that are large
+    for a shard are ranked together; there are few of them. The others are ranked in slices, each with its share of the
+    room. A community that no shard has room for stays where it is.
+    """
     votes = linked.groupBy("community", "shard").agg(F.count("shard").alias("n"))
     votes = votes.groupBy("community").agg(F.sum("n").alias("members"), F.collect_list(F.struct("n", "shard")).alias("votes"))
-    votes = stored(votes, "votes")
-    large, loads = capacity // LARGE_COMMUNITY, [0] * shards
-    found = votes.where(F.col("members") > large).collect()  # at most shards x LARGE_COMMUNITY rows
-    homes = linked.sparkSession.createDataFrame(_place_large(found, loads, capacity), "community long, home int")
-    left, turn = votes.where(F.col("members") <= large), 0
-    while large > 1 and not left.isEmpty():
-        # A shard is open while any community left has room there, so some are placed in a round.
-        room = [capacity - n if capacity - n >= large else 0 for n in loads]
-        doors = [s for s in range(shards) if room[s]]
-        if not doors:
+    left, homes, loads, turn = stored(votes, "votes"), [], [0] * shards, 0
+    while not left.isEmpty():
+        room = _numbers([capacity - n for n in loads])
+        fits = lambda shard: F.get(room, shard) >= F.col("members")
+        favour = F.transform(
+            F.filter("votes", lambda v: fits(v["shard"])),
+            lambda v: F.struct(v["n"], F.xxhash64("community", v["shard"], F.lit(turn)), v["shard"].alias("shard")),
+        )
+        open_shards = F.filter(F.sequence(F.lit(0), F.lit(shards - 1)), fits)
+        any_open = F.get(open_shards, F.pmod(F.xxhash64("community", F.lit(turn)), F.greatest(F.size(open_shards), F.lit(1))).cast("int"))
+        wish = left.withColumn("home", F.coalesce(F.array_max(favour)["shard"], any_open)).where("home IS NOT NULL")
+        wish = stored(wish, "wishes")
+        arriving = {r["home"]: r["n"] for r in wish.groupBy("home").agg(F.count("home").alias("n")).collect()}  # a row per shard
+        if not arriving:
             break
-        at_door = F.filter("votes", lambda v: F.array_contains(_numbers(doors), v["shard"]))
-        favour = F.transform(at_door, lambda v: F.struct(v["n"], F.xxhash64("community", v["shard"], F.lit(turn)), v["shard"].alias("shard")))
-        any_door = F.get(_numbers(doors), F.pmod(F.xxhash64("community", F.lit("door"), F.lit(turn)), F.lit(len(doors))).cast("int"))
-        wish = stored(left.withColumn("home", F.coalesce(F.array_max(favour)["shard"], any_door)), "wishes")
-        arriving = {r["home"]: r["n"] for r in wish.groupBy("home").agg(F.sum("members").alias("n")).collect()}  # a row per shard
-        quota = _numbers([min(1.0, room[s] / arriving[s]) if s in arriving else 1.0 for s in range(shards)])
-        allowed = _share("community", F.lit(turn)) < F.get(quota, F.col("home"))
-        for row in wish.where(allowed).groupBy("home").agg(F.sum("members").alias("n")).collect():  # a row per shard
+        slices = [max(1, math.ceil(arriving.get(s, 0) / RANKED_ROWS)) for s in range(shards)]
+        of = lambda values: F.get(_numbers(values), F.col("home"))
+        large = F.col("members") * of(slices) * LARGE_PART > F.get(room, F.col("home"))
+        part = F.when(large, -1).otherwise(F.pmod(F.xxhash64("community", F.lit("slice")), of(slices)))
+        order = Window.partitionBy("home", "part").orderBy(F.desc("members"), "community").rowsBetween(Window.unboundedPreceding, 0)
+        ranked = stored(wish.withColumn("part", part).withColumn("upto", F.sum("members").over(order)), "ranked-wishes")
+        first = (F.col("part") == -1) & (F.col("upto") <= F.get(room, F.col("home")))
+        taken = [0] * shards
+        for row in ranked.where(first).groupBy("home").agg(F.max("upto").alias("n")).collect():  # a row per shard
+            taken[row["home"]] = row["n"]
+        share = F.floor((F.get(room, F.col("home")) - of(taken)) / of(slices))
+        granted = first | ((F.col("part") >= 0) & (F.col("upto") <= share))
+        moves = stored(ranked.where(granted).select("community", "home", "members"), "moves")
+        arrived = moves.groupBy("home").agg(F.sum("members").alias("n")).collect()  # a row per shard
+        for row in arrived:
             loads[row["home"]] += row["n"]
-        homes = homes.unionByName(wish.where(allowed).select("community", "home"))
-        left, turn = stored(wish.where(~allowed).drop("home"), "left"), turn + 1
-    moved = linked.join(homes, "community", "left")
-    return moved.withColumn("shard", F.coalesce("home", "shard")).drop("home")
+        homes.append(moves.select("community", "home"))
+        rest = stored(ranked.where(~granted).select("community", "members", "votes"), "left")
+        for table in (left, wish, ranked):
+            drop_stored(table)
+        left, turn = rest, turn + 1
+    if not homes:
+        return linked, 0
+    moved = linked.join(reduce(DataFrame.unionByName, homes), "community", "left")
+    return moved.withColumn("shard", F.coalesce("home", "shard")).drop("home"), turn
 
 
 def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
@@ -102,13 +111,14 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     total = rows.count()
     capacity = max(1, math.ceil(total / shards))
     group = ["text_hash", "text_crc32", "size"]
-    groups = rows.groupBy(*group).agg(F.count("size").alias("members"))
+    groups = rows.groupBy(*group).agg(F.count("size").alias("members")).where("members > 1")
+    groups = stored(groups, "groups")  # read as a table, so that the join can split a hot group
     first = F.pmod(F.xxhash64("doc_id", F.lit("shard")), F.lit(shards)).cast("int")
     spread = F.pmod(F.xxhash64("doc_id", F.lit("community")), F.ceil(F.col("members") / capacity))
-    rows = rows.join(groups, group).withColumn("shard", first)
+    rows = rows.join(groups, group, "left").withColumn("shard", first).withColumn("members", F.coalesce("members", F.lit(1)))
     rows = stored(rows.withColumn("community", F.xxhash64(*group, spread)), "started")
     alone = rows.where("members = 1")
-    linked = propagate(rows.where("members > 1"), capacity, shards)
+    linked, _ = propagate(rows.where("members > 1"), capacity, shards)
     rows = alone.unionByName(linked)
     # Ranks within a shard: linked rows first, communities together, in slices that one task can sort.
     slices = max(1, math.ceil(total / shards / RANKED_ROWS))

@@ -45,6 +45,18 @@ def drop_stored(df: DataFrame) -> None:
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Column names that begin with these and that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    found = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        found.append(name)
+    return found
+
+
 def is_small(df: DataFrame, rows: int) -> bool:
     """Whether ``df`` has at most ``rows`` rows; looks at no more than one row beyond that."""
     return df.limit(rows + 1).count() <= rows

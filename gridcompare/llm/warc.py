@@ -6,7 +6,8 @@
 Reading plans one partition per file (small files share one). Headers are parsed first; predicates on header
 columns are pushed down to the reader, which seeks past the block of a record that does not pass. With the option
 ``payload`` set to ``false`` no payload is decoded at all. Writing gives each task files of its own and lists them
-in a manifest once all tasks are done, so files of lost or repeated attempts are never read.
+in a manifest once all tasks are done, so files of lost or repeated attempts are never read. A second write in append
+mode adds its files to those of the first; overwrite mode removes them.
 """
 
 from __future__ import annotations
@@ -15,7 +16,6 @@ import base64
 import gzip
 import hashlib
 import io
-import json
 import os
 import uuid
 from collections.abc import Iterable, Iterator
@@ -42,11 +42,12 @@ from pyspark.sql.datasource import (
     WriterCommitMessage,
 )
 
+from gridcompare.llm.manifests import add_manifest, file_system, read_manifests
+
 SCHEMA = (
     "warc_type string, record_id string, target_uri string, warc_date string, refers_to string, payload_digest string, "
     "payload_length long, content_length long, payload binary"
 )
-MANIFEST = "_manifest.json"
 SMALL_FILES = 64 << 20
 BATCH_BYTES = 8 << 20
 
@@ -68,13 +69,6 @@ def payload_digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def file_system(uri: str):
-    """The file system of a location, and its path there. Any that Arrow knows (local, HDFS, object stores)."""
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(uri if "://" in uri else f"file://{os.path.abspath(uri.removeprefix('file:'))}")
-
-
 # ---------------------------------------------------------------------------------------------
 # Reading
 
@@ -189,9 +183,9 @@ class WarcReader(DataSourceReader):
         from pyarrow import fs
 
         system, root = file_system(self.path)
-        if system.get_file_info(f"{root}/{MANIFEST}").type == fs.FileType.File:
-            with system.open_input_stream(f"{root}/{MANIFEST}") as manifest:
-                files = [(f"{root}/{name}", size) for name, size in json.loads(manifest.read())]
+        listed = read_manifests(system, root)
+        if listed is not None:
+            files = [(f"{root}/{name}", size) for name, size in listed]
         else:
             found = system.get_file_info(fs.FileSelector(root, recursive=True))
             files = [(f.path, f.size) for f in found if f.path.endswith((".warc", ".warc.gz"))]
@@ -254,8 +248,8 @@ def format_record(row: dict, date: str) -> bytes:
 
 
 class WarcWriter(DataSourceArrowWriter):
-    def __init__(self, path: str, packed: bool):
-        self.path, self.packed = path, packed
+    def __init__(self, path: str, packed: bool, overwrite: bool):
+        self.path, self.packed, self.overwrite = path, packed, overwrite
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         system, root = file_system(self.path)
@@ -274,8 +268,7 @@ class WarcWriter(DataSourceArrowWriter):
 
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
         system, root = file_system(self.path)
-        with system.open_output_stream(f"{root}/{MANIFEST}", compression=None) as out:
-            out.write(json.dumps([(m.name, m.size) for m in messages if m is not None]).encode())
+        add_manifest(system, root, [[m.name, m.size] for m in messages if m is not None], self.overwrite)
 
     def abort(self, messages: list[WriterCommitMessage | None]) -> None:
         system, root = file_system(self.path)
@@ -299,7 +292,7 @@ class WarcSource(DataSource):
         return WarcReader(self.options["path"], payload, to_arrow_schema(schema))
 
     def writer(self, schema, overwrite: bool) -> DataSourceArrowWriter:
-        return WarcWriter(self.options["path"], self.options.get("compression", "none") == "gzip")
+        return WarcWriter(self.options["path"], self.options.get("compression", "none") == "gzip", overwrite)
 
 
 def register(spark: SparkSession) -> None:
@@ -357,10 +350,14 @@ def archive(pages: DataFrame, path: str, compression: str = "none") -> None:
     page_records(pages).write.format("warc").option("compression", compression).mode("append").save(path)
 
 
-def archived_pages(spark: SparkSession, path: str) -> DataFrame:
-    """(page_id, payload_bytes, payload_digest, record_type, refers_to) of every page record in the archives."""
+def archived_pages(spark: SparkSession, path: str, *types: str, prefix: str | None = None) -> DataFrame:
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to) of the page records in the archives, of all or
+    of some record types, and of pages whose address begins with ``prefix``. Both are handed to the reader, which
+    passes over the blocks of other records."""
     register(spark)
-    records = spark.read.format("warc").load(path).where(F.col("warc_type").isin("response", "revisit"))
+    records = spark.read.format("warc").load(path).where(F.col("warc_type").isin(*(types or ("response", "revisit"))))
+    if prefix is not None:
+        records = records.where(F.col("target_uri").startswith(prefix))
     return records.select(
         F.expr("try_cast(substring_index(record_id, ':', -1) AS long)").alias("page_id"),
         F.col("payload_length").alias("payload_bytes"),

@@ -25,7 +25,8 @@ from gridcompare.llm.warc import archive, archived_pages, register
 LONG = "lorem ipsum dolor sit amet " * 60_000
 WORDS = [f"w{i}" for i in range(400)]
 # Columns with the names that operators use themselves.
-CLASHING = ("words", "size", "band", "rank", "shard", "start", "text_key", "n_words", "hit", "component", "score")
+CLASHING = ("words", "size", "band", "rank", "shard", "start", "text_key", "n_words", "hit", "component", "score",
+    "_words", "_key", "_size", "_hit_key", "_hit_size", "_spans", "_k", "_n", "key", "spans", "code", "error", "class", "rank_", "home")
 
 
 def documents(spark, rows):
@@ -247,3 +248,86 @@ def test_records_that_do_not_pass_are_not_decoded():
         list(read_records(io.BytesIO(spoiled)))
     tests = [EqualTo(("warc_type",), "response"), StringStartsWith(("target_uri",), "http://h2")]
     assert [r[-1] for r in read_records(io.BytesIO(spoiled), tests)] == [b"two"]
+
+
+def test_users_columns_stay_as_they_are(spark):
+    """Names with and without underscore; each keeps its place and its values."""
+    from gridcompare.llm.decontamination import clean_documents
+    from gridcompare.llm.personal_data import masked
+
+    docs = documents(spark, [(1, "write to a@b.co now"), (2, None), (None, "x"), (2, None), (3, "one two three")])
+    items = spark.createDataFrame([(1, "one two three")], "item_id long, text string")
+    for found, n in ((clean_documents(docs, items), 4), (masked(docs), 5)):
+        assert found.columns == docs.columns
+        rows = found.collect()
+        assert len(rows) == n
+        assert all(r[name] == name for r in rows for name in CLASHING)
+    texts = {(r.doc_id, r.text) for r in masked(docs).collect()}
+    assert texts == {(1, "write to [EMAIL] now"), (2, None), (None, "x"), (3, "one two three")}
+    assert clean_documents(docs.limit(0), items).count() == masked(docs.limit(0)).count() == 0
+
+
+def test_short_documents_fill_their_sequences(spark):
+    """3,000 documents of two ids need three sequences; mixed short lengths hardly more than their ids do."""
+    path = tokenizer_file("word_bpe_49k.json")
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("hi").alias("text"))
+    rows = pack(docs, path).collect()
+    assert sum(r.length for r in rows) == 6000 and len({r.sequence_id for r in rows}) == 3
+    rng = random.Random(1)
+    mixed = [(i, " ".join(rng.choices(["a", "the", "of"], k=rng.randint(0, 120)))) for i in range(2000)]
+    rows = pack(spark.createDataFrame(mixed, "doc_id long, text string"), path).collect()
+    total = sum(r.length for r in rows)
+    assert len({r.sequence_id for r in rows}) * 2048 <= 1.06 * total + 2048
+    ends = {}
+    for r in sorted(rows, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == ends.get(r.sequence_id, 0)
+        ends[r.sequence_id] = r.offset + r.length
+    assert max(ends.values()) <= 2048
+
+
+def test_every_code_point_has_the_tokenizers_ids():
+    import sys
+
+    from tokenizers import Tokenizer
+
+    from gridcompare.llm.word_ids import WordIds
+
+    path = tokenizer_file("word_bpe_49k.json")
+    tokenizer, ours = Tokenizer.from_file(path), WordIds(path)
+    for low in range(0, sys.maxunicode + 1, 1 << 14):
+        texts = [f"a{chr(c)}b 1{chr(c)}" for c in range(low, low + (1 << 14)) if not 0xD800 <= c < 0xE000]
+        expected = tokenizer.encode_batch_fast(texts, add_special_tokens=False) if texts else []
+        found = ours.encode(texts)
+        bad = [t for t, e, f in zip(texts, expected, found, strict=True) if np.array(e.ids, "<u4").tobytes() != f]
+        assert not bad, [hex(ord(t[1])) for t in bad[:5]]
+
+
+def test_marks_and_digits_are_no_language(spark):
+    from gridcompare.llm.language_id import identify, learn
+
+    known = spark.createDataFrame([(i, "the cat and the dog", "en") for i in range(20)], "doc_id long, text string, lang string")
+    odd = spark.createDataFrame([(1, "\u0301 12"), (2, "\u0301\u0302"), (3, "12"), (4, "e\u0301"), (None, "the")], "doc_id long, text string")
+    found = {r.doc_id: (r.lang_pred, r.score) for r in identify(odd, learn(known)).collect()}
+    assert found == {1: ("und", 0.0), 2: ("und", 0.0), 3: ("und", 0.0), 4: ("en", 1.0), None: ("en", 1.0)}
+
+
+def test_a_rare_language_is_learned(spark):
+    from gridcompare.llm.language_id import learn
+
+    rows = [(i, "the cat", "el" if i % 400 == 1 else "en") for i in range(4000)]
+    model = learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), 200)
+    assert model.languages == ("el", "en")
+
+
+def test_a_second_append_adds_to_the_archive(spark, tmp_path):
+    from gridcompare.llm.warc import archive, archived_pages, page_records
+
+    page = lambda i: spark.createDataFrame([(i, f"http://h{i}.org/", f"<p>{i}")], "page_id long, url string, html string")
+    folder = str(tmp_path / "crawl")
+    for i in (1, 2, 3):
+        archive(page(i), folder)
+    assert {r.page_id for r in archived_pages(spark, folder).collect()} == {1, 2, 3}
+    assert {r.page_id for r in archived_pages(spark, folder, prefix="http://h2").collect()} == {2}
+    assert archived_pages(spark, folder, "revisit").count() == 0
+    page_records(page(9)).write.format("warc").mode("overwrite").save(folder)
+    assert {r.page_id for r in archived_pages(spark, folder).collect()} == {9}

@@ -31,8 +31,33 @@ def test_only_a_group_larger_than_a_shard_is_cut(spark):
 
 
 def test_small_groups_move_in_rounds_until_all_are_whole(spark, monkeypatch):
-    monkeypatch.setattr(sharding, "LARGE_COMMUNITY", 8)
+    """Wishes are ranked in several slices of a shard, each with its share of the room."""
+    monkeypatch.setattr(sharding, "RANKED_ROWS", 4)
     texts = [f"pair {i // 2}" for i in range(400)] + [f"single {i}" for i in range(80)]
     shards, _ = places(spark, texts)
     scattered = [t for t, c in shards.items() if len(c) > 1]
     assert len(scattered) <= 12
+
+
+def test_links_are_kept_by_moves_at_every_size(spark, monkeypatch):
+    """On a given table: the rounds run, and every link but those of a last pass for equal counts is kept."""
+    import duckdb
+
+    rounds = []
+    propagate = sharding.propagate
+
+    def watched(linked, capacity, shards):
+        moved, turns = propagate(linked, capacity, shards)
+        rounds.append(turns)
+        return moved, turns
+
+    monkeypatch.setattr(sharding, "propagate", watched)
+    for folder in ("/root/testdata/sf0.001", "/root/testdata/sf0.01"):
+        texts = [t or "" for (t,) in duckdb.sql(f"SELECT text FROM '{folder}/documents.parquet' ORDER BY doc_id").fetchall()]
+        capacity = -(-len(texts) // sharding.SHARDS)
+        shards, _ = places(spark, texts)
+        pairs = lambda counts: sum(n * (n - 1) // 2 for n in counts)
+        kept = sum(pairs(c.values()) for c in shards.values())
+        most = sum(pairs([min(capacity, n - at) for at in range(0, n, capacity)]) for n in Counter(texts).values())
+        assert kept >= 0.97 * most
+    assert min(rounds) > 0
