@@ -5,8 +5,8 @@ word edges, naive Bayes). The scripts a word is written in narrow the languages
 the words of a document, with a penalty for each change of language, labels spans. The document's language is the
 one whose spans hold most letters.
 
-The model is learned from a bounded sample of labelled rows (``TRAIN_DOCUMENTS`` of them are expected, chosen by a
-hash of doc_id). Its size is fixed: ``BUCKETS`` rows, one number for each learned language.
+The model is learned from a bounded sample of labelled rows (``TRAIN_DOCUMENTS`` of each language are expected, chosen
+by a hash of doc_id). Its size is fixed: ``BUCKETS`` rows, one number for each learned language.
 """
 
 from __future__ import annotations
