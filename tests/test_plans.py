@@ -87,3 +87,23 @@ def test_a_list_of_ten_thousand_values_is_a_filter_of_the_scan(spark, small_dir)
     long = filter_dimensions(grouped, Selection(dataset=(LEVEL1, *map(str, range(10_000))), year=("1997", "x")))
     assert re.search(r"PartitionFilters: \[.*dataset", plan_of(long))
     assert sorted(map(tuple, long.collect()), key=repr) == sorted(map(tuple, short.collect()), key=repr)
+
+
+def test_many_order_lines_are_dealt_once_to_tasks_by_their_number(spark, small_dir, monkeypatch):
+    """By bytes a task would get millions of short lines, and memory for the sums of all of them."""
+    from gridcompare.sources import driver_tables as D
+
+    rows = spark.read.parquet(f"{small_dir}/lineitem.parquet").count()
+    monkeypatch.setattr(D, "TASK_LINES", rows // 20)
+    grouped = D.DriverTables(spark, small_dir).build_grouped()
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = grouped._jdf.queryExecution().sparkPlan().toString() + grouped._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    dealt = [line for line in plan.splitlines() if "REPARTITION_BY_NUM" in line]
+    assert dealt and all("hashpartitioning(l_orderkey" in line for line in dealt)
+    assert min(int(line.split(", REPARTITION_BY_NUM")[0].rsplit(" ", 1)[1].strip(")")) for line in dealt if ", REPARTITION_BY_NUM" in line) >= 20
+    monkeypatch.setattr(D, "TASK_LINES", 1 << 19)
+    assert D.DriverTables(spark, small_dir).build_grouped().exceptAll(grouped).isEmpty()
