@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridcompare.functions import geometry as G
@@ -71,19 +71,23 @@ def drawn_polygons(features: DataFrame, feature: str = "feature") -> DataFrame:
     point = "array<double>"
     one = F.from_json(feature, f"geometry struct<type:string,coordinates:array<array<{point}>>>")["geometry"]
     many = F.from_json(feature, f"geometry struct<type:string,coordinates:array<array<array<{point}>>>>")["geometry"]
-    kind = F.coalesce(one["type"], F.lit("Polygon"))
-    parts = F.when(kind == "Polygon", F.array(one["coordinates"])).when(kind == "MultiPolygon", many["coordinates"])
+    kind = F.coalesce(F.col("_one.type"), F.lit("Polygon"))
+    parts = F.when(kind == "Polygon", F.array(F.col("_one.coordinates"))).when(kind == "MultiPolygon", many["coordinates"])
 
     def as_point(p):
         return F.struct(F.get(p, F.lit(0)).alias("x"), F.get(p, F.lit(1)).alias("y"))
 
-    polygons = F.transform(parts, lambda part: F.transform(part, lambda ring: F.transform(ring, as_point)))
-    closed = F.forall(F.flatten("polygons"), lambda r: (F.size(r) >= 4) & (F.element_at(r, 1) == F.element_at(r, -1)))
-    shaped = features.withColumn("polygons", polygons)
-    shaped = shaped.withColumn("polygons", F.when(closed & (F.size(F.flatten("polygons")) > 0), F.col("polygons")))
+    def once(frame: DataFrame, name: str, value: Column) -> DataFrame:
+        """A generated column: computed once, however often it is used, and not again in each use."""
+        return frame.select("*", F.explode(F.array(value)).alias(name))
+
+    parsed = once(features, "_one", one)
+    parsed = once(parsed, "_shape", F.transform(parts, lambda part: F.transform(part, lambda ring: F.transform(ring, as_point))))
+    closed = F.forall(F.flatten("_shape"), lambda r: (F.size(r) >= 4) & (F.element_at(r, 1) == F.element_at(r, -1)))
+    shaped = once(parsed, "polygons", F.when(closed & (F.size(F.flatten("_shape")) > 0), F.col("_shape")))
     body = F.array_join(F.transform("polygons", G.polygon_body), ",")
     text = F.when(F.size("polygons") == 1, F.concat(F.lit("POLYGON "), body)).otherwise(F.concat(F.lit("MULTIPOLYGON ("), body, F.lit(")")))
-    return shaped.withColumn("wkt", text).drop(feature)
+    return once(shaped, "wkt", text).drop(feature, "_one", "_shape")
 
 
 def rectangle_centres(rectangles: DataFrame) -> DataFrame:

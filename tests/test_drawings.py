@@ -99,3 +99,10 @@ def test_a_hot_cell_is_split(spark):
     assert SP.disjoint_polygons(many, areas).count() == 5000
     plan = SP.disjoint_polygons(many, areas)._jdf.queryExecution().optimizedPlan().toString()
     assert "LeftSemi" in plan and "cell_x" in plan
+
+
+def test_a_drawing_is_parsed_once_however_often_it_is_used(spark):
+    """Inlined in each of its uses, the parser would run dozens of times for every row."""
+    features = spark.createDataFrame([(1, "{}")], "id long, feature string")
+    plan = SP.drawn_polygons(features)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(") == 2  # as one polygon, and as several
