@@ -124,3 +124,26 @@ def test_arrays_of_ids_can_be_written(spark, tmp_path):
     frame.write.format("token_ids").mode("append").save(str(tmp_path / "ids"))
     found = T.read_tokens(spark, str(tmp_path / "ids")).orderBy("doc_id").collect()
     assert [np.frombuffer(r.ids, "<u4").tolist() for r in found] == [[5, 6, 7], [], []]
+
+
+def test_words_met_again_among_many_are_not_encoded_again():
+    """Texts of some tens of megabytes have that many distinct words, and most of them come back."""
+    from gridcompare.llm.word_ids import WordIds
+
+    class Counting:
+        def __init__(self, inner):
+            self.inner, self.words = inner, 0
+
+        def encode_batch_fast(self, texts, **options):
+            self.words += sum(t.count(" ") + 1 for t in texts)
+            return self.inner.encode_batch_fast(texts, **options)
+
+    ours = WordIds(PATH)
+    ours.tokenizer = counting = Counting(ours.tokenizer)
+    letters = str.maketrans("0123456789", "abcdefghij")
+    parts = [" ".join(str(i).translate(letters) for i in range(100_000 + k, 500_000, 8)) for k in range(8)]
+    first = ours.encode([parts[0]])
+    for part in parts[1:]:
+        ours.encode([part])
+    assert ours.encode([parts[0]]) == first
+    assert counting.words == 400_000
