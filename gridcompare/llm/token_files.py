@@ -2,6 +2,7 @@
 
     register(spark)
     tokens.write.format("token_ids").mode("append").save("hdfs:///ids")       # (doc_id, ids)
+    docs.write.format("token_ids").option("tokenizer", path).mode("append").save("hdfs:///ids")    # (doc_id, text)
     spark.read.format("token_ids").load("hdfs:///ids").where("doc_id = 7")    # (doc_id, start, n_tokens, ids)
 
 A word has 64 bits: four for the selector, which says how many ids of how many bits the other sixty hold. An id of
@@ -11,7 +12,9 @@ every block, so that any run of ids is read and decoded without what stands befo
 whole arrays: sliding maxima of bit lengths give the selector at every place, all blocks then step through their
 words at the same time, and the ids of all words with one selector are moved by one shift.
 
-A write lists its files in a manifest, in the order of their rows; the reader adds up the ids before each.
+A write lists its files in a manifest, in the order of their rows; the reader adds up the ids before each. With a
+tokenizer the writer encodes texts by itself: a task then has one Python worker, not one that encodes and one that
+writes, each with a tokenizer and a store of words.
 """
 
 from __future__ import annotations
@@ -44,7 +47,8 @@ SCHEMA = "doc_id long, start long, n_tokens long, ids binary"
 END = 1
 BLOCK = 2048
 FILE_IDS = 1 << 26  # a file that holds more is closed, and the task goes on with another
-AT_ONCE = 512 * BLOCK  # ids coded or decoded together
+AT_ONCE = 128 * BLOCK  # ids coded or decoded together
+TEXT_BYTES = 2 << 20  # of text that is encoded together
 
 # Fixed values of the format: mark at a file's end, and (ids, bits) of each selector.
 MAGIC = b"S8BIDS01"
@@ -267,9 +271,25 @@ def _ids_and_sizes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw.view("<u4").astype(np.uint64) if len(raw) else np.zeros(0, np.uint64), np.diff(at) // 4
 
 
+def _encoded(batch: pa.RecordBatch, tokenizer: str) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """The doc_ids, ids and sizes of some texts at a time; the end id stands after each text's ids."""
+    ids_of, end = word_ids(tokenizer), np.array([END], "<u4").tobytes()
+    for part in chunks(batch, "text", TEXT_BYTES):
+        raw = ids_of.encode([t or "" for t in part.column("text").to_pylist()])
+        sizes = np.array([len(x) // 4 + 1 for x in raw], np.int64)
+        yield part.column("doc_id"), np.frombuffer(end.join([*raw, b""]), "<u4").astype(np.uint64), sizes
+
+
 class TokenWriter(DataSourceArrowWriter):
-    def __init__(self, path: str, overwrite: bool):
-        self.path, self.overwrite = path, overwrite
+    """Writes rows of (doc_id, ids), or of (doc_id, text) if it has a tokenizer."""
+
+    def __init__(self, path: str, overwrite: bool, tokenizer: str | None = None):
+        self.path, self.overwrite, self.tokenizer = path, overwrite, tokenizer
+
+    def _parts(self, batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+        if self.tokenizer is not None:
+            return _encoded(batch, self.tokenizer)
+        return iter([(batch.column("doc_id"), *_ids_and_sizes(batch.column("ids")))])
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         from pyspark import TaskContext
@@ -290,7 +310,8 @@ class TokenWriter(DataSourceArrowWriter):
                 system.create_dir(root, recursive=True)
                 out = system.open_output_stream(f"{root}/{name}", compression=None)
                 file = FileWriter(out)
-            file.add(batch.column("doc_id").cast(pa.int64()), *_ids_and_sizes(batch.column("ids")))
+            for doc_ids, ids, sizes in self._parts(batch):
+                file.add(doc_ids.cast(pa.int64()), ids, sizes)
             if file.n_ids >= FILE_IDS:
                 close()
                 out = None
@@ -378,7 +399,7 @@ class TokenSource(DataSource):
         return TokenReader(self.options["path"], to_arrow_schema(schema))
 
     def writer(self, schema, overwrite: bool) -> DataSourceArrowWriter:
-        return TokenWriter(self.options["path"], overwrite)
+        return TokenWriter(self.options["path"], overwrite, self.options.get("tokenizer"))
 
 
 def register(spark: SparkSession) -> None:
@@ -391,19 +412,6 @@ def register(spark: SparkSession) -> None:
 # Documents
 
 
-def _encoded(path: str):
-    end = np.array([END], "<u4").tobytes()
-
-    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = word_ids(path)
-        for batch in batches:
-            for part in chunks(batch, "text", 2 << 20):
-                ids = [x + end for x in ids_of.encode([t or "" for t in part.column("text").to_pylist()])]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
-
-    return encoded
-
-
 def write_tokens(docs: DataFrame, tokenizer: str, path: str) -> None:
     """Write the ids of each document, and id 1 after them, in ascending order of doc_id.
 
@@ -416,7 +424,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str) -> None:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     order = [F.col("doc_id"), F.xxhash64("text")]
     dealt = docs.repartitionByRange(*order).sortWithinPartitions(*order, "text")
-    dealt.mapInArrow(_encoded(tokenizer), "doc_id long, ids binary").write.format("token_ids").mode("append").save(path)
+    dealt.write.format("token_ids").option("tokenizer", tokenizer).mode("append").save(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:

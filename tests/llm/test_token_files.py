@@ -126,6 +126,21 @@ def test_arrays_of_ids_can_be_written(spark, tmp_path):
     assert [np.frombuffer(r.ids, "<u4").tolist() for r in found] == [[5, 6, 7], [], []]
 
 
+def test_a_task_encodes_and_writes_in_one_worker(spark, tmp_path, monkeypatch):
+    """A second worker in each task would hold another tokenizer and another store of words."""
+    from pyspark.sql import DataFrame
+
+    def refused(*_):
+        raise AssertionError("texts must be encoded by the writer")
+
+    monkeypatch.setattr(DataFrame, "mapInArrow", refused)
+    monkeypatch.setattr(DataFrame, "mapInPandas", refused)
+    rows = [(i, text) for i, text in enumerate(["", None, "one TWO", "é ½ ᲊ", "long " * 9_000])]
+    T.write_tokens(spark.createDataFrame(rows, "doc_id long, text string"), PATH, str(tmp_path / "ids"))
+    found = T.read_tokens(spark, str(tmp_path / "ids")).orderBy("start").withColumn("crc", F.crc32("ids"))
+    assert [tuple(r) for r in found.select("doc_id", "start", "n_tokens", "crc").collect()] == expected(rows)
+
+
 def test_words_met_again_among_many_are_not_encoded_again():
     """Texts of some tens of megabytes have that many distinct words, and most of them come back."""
     from gridcompare.llm.word_ids import WordIds
