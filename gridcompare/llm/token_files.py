@@ -48,7 +48,8 @@ END = 1
 BLOCK = 2048
 FILE_IDS = 1 << 26  # a file that holds more is closed, and the task goes on with another
 AT_ONCE = 128 * BLOCK  # ids coded or decoded together
-TEXT_BYTES = 2 << 20  # of text that is encoded together
+TEXT_BYTES = 4 << 20  # of text that is encoded together
+CACHED_WORDS = 500_000  # of each of two generations, about 160 bytes a word; a task has one store
 
 # Fixed values of the format: mark at a file's end, and (ids, bits) of each selector.
 MAGIC = b"S8BIDS01"
@@ -273,7 +274,7 @@ def _ids_and_sizes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def _encoded(batch: pa.RecordBatch, tokenizer: str) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
     """The doc_ids, ids and sizes of some texts at a time; the end id stands after each text's ids."""
-    ids_of, end = word_ids(tokenizer), np.array([END], "<u4").tobytes()
+    ids_of, end = word_ids(tokenizer, CACHED_WORDS), np.array([END], "<u4").tobytes()
     for part in chunks(batch, "text", TEXT_BYTES):
         raw = ids_of.encode([t or "" for t in part.column("text").to_pylist()])
         sizes = np.array([len(x) // 4 + 1 for x in raw], np.int64)

@@ -90,9 +90,10 @@ def normalized(text: str) -> str | None:
 class WordIds:
     """The ids of pre-tokens as little-endian bytes, looked up, or made by the tokenizer on first use."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cached_words: int = CACHED_WORDS):
         from tokenizers import Tokenizer
 
+        self.cached_words = cached_words
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -106,7 +107,7 @@ class WordIds:
     def _learn(self, words: set[str]) -> None:
         """Encodes new words in one go; every word's last id has the mark of a word's end. Words not met since the
         last time the store filled up are forgotten when it fills up again."""
-        if len(self.known) > CACHED_WORDS:
+        if len(self.known) > self.cached_words:
             self.older, self.known = self.known, {}
         # Tested word by word: the difference with a view of the keys would go through the whole store.
         known, older = self.known, self.older
@@ -133,5 +134,5 @@ class WordIds:
 
 
 @cache
-def word_ids(path: str) -> WordIds:
-    return WordIds(path)
+def word_ids(path: str, cached_words: int = CACHED_WORDS) -> WordIds:
+    return WordIds(path, cached_words)

@@ -75,6 +75,10 @@ def test_a_range_of_ids_reads_its_blocks_only():
         T.FileReader(Source(b"x" * 40))
 
 
+def ids_of_tokenizer(text):
+    return np.array(Tokenizer.from_file(PATH).encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
 def expected(rows):
     tokenizer = Tokenizer.from_file(PATH)
     out, before = [], 0
@@ -141,6 +145,16 @@ def test_a_task_encodes_and_writes_in_one_worker(spark, tmp_path, monkeypatch):
     assert [tuple(r) for r in found.select("doc_id", "start", "n_tokens", "crc").collect()] == expected(rows)
 
 
+def test_writers_keep_more_words():
+    from gridcompare.llm.word_ids import WordIds
+
+    texts = ["abc abd abe", "abf abg", "abc abh"]
+    for kept in (1, T.CACHED_WORDS):
+        ours = WordIds(PATH, kept)
+        assert [ours.encode([t])[0] for t in texts] == [ids_of_tokenizer(t) for t in texts]
+        assert len(ours.known) == (6 if kept > 1 else 2)
+
+
 def test_words_met_again_among_many_are_not_encoded_again():
     """Texts of some tens of megabytes have that many distinct words, and most of them come back."""
     from gridcompare.llm.word_ids import WordIds
